@@ -34,7 +34,7 @@ def conceded_xg(big: Column, inside: Column, outside: Column) -> Column:
     """Expected goals against from counts of shots by place."""
     z = F.lit(0)
     big, inside, outside = F.coalesce(big, z), F.coalesce(inside, z), F.coalesce(outside, z)
-    return F.round(big * 0.35 + F.greatest(inside - big, z) * 0.08 + outside * 0.035, 2)
+    return big * 0.35 + F.greatest(inside - big, z) * 0.08 + outside * 0.035
 
 
 def defence_score(xgc_pg: Column, clean_rate: Column) -> Column:
