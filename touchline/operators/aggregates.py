@@ -51,7 +51,8 @@ def shrink_to_group(df: DataFrame, group: list[str], value: str, n: str, k: floa
 def relative_deviation(df: DataFrame, value: str, out: str, floor: float = 0.01) -> DataFrame:
     """(x - mean) / max(mean, floor) over the whole table, unclamped."""
     mean = df.agg(F.avg(value)).scalar()
-    return df.withColumn(out, (F.col(value) - mean) / F.greatest(mean, F.lit(floor)))
+    m = F.col("_mean")
+    return df.withColumn("_mean", mean).withColumn(out, (F.col(value) - m) / F.greatest(m, F.lit(floor))).drop("_mean")
 
 
 def largest_label(parts: dict[str, Column], minimum: float = 0.05) -> Column:
@@ -109,7 +110,8 @@ def bag_weights(df: DataFrame, weight: str) -> DataFrame:
 def normalised_to_mean(df: DataFrame, value: str, out: str) -> DataFrame:
     """value / mean of the positive values, over a per-team table."""
     mean = df.where(F.col(value) > 0).agg(F.avg(value)).scalar()
-    return df.withColumn(out, F.when(mean > 0, F.round(F.col(value) / mean, 4)).otherwise(1.0))
+    m = F.col("_mean")
+    return df.withColumn("_mean", mean).withColumn(out, F.when(m > 0, F.round(F.col(value) / m, 4)).otherwise(1.0)).drop("_mean")
 
 
 def consistency_by(df: DataFrame, keys: list[str], output: Column, active: Column) -> DataFrame:

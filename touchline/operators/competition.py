@@ -88,8 +88,9 @@ def team_strengths(matches: DataFrame, ranks: DataFrame, now: Column, half_life_
         F.sum(F.col("_gf") * F.col("_w")).alias("_sf"), F.sum(F.col("_ga") * F.col("_w")).alias("_sa"), F.sum("_w").alias("_sw"),
         weighted_mean(F.col("_mk"), F.col("_w")).alias("_im"), F.sum(F.when(F.col("_mk").isNotNull(), copies)).alias("_nq"),
     )
-    league = sums.agg(F.sum("_sf") / F.greatest(F.sum("_sw"), F.lit(0.01))).scalar()
-    out = sums.join(ranks, "team", "full_outer").withColumn("rank_score", F.coalesce("rank_score", F.lit(40.0)))
+    mean = sums.agg(F.sum("_sf") / F.greatest(F.sum("_sw"), F.lit(0.01))).scalar()
+    league = F.col("_lg")
+    out = sums.join(ranks, "team", "full_outer").withColumn("rank_score", F.coalesce("rank_score", F.lit(40.0))).withColumn("_lg", mean)
     prior_a, prior_b = 0.7 + F.col("rank_score") / 100 * 0.6, 1.3 - F.col("rank_score") / 100 * 0.6
     n = F.coalesce("_sw", F.lit(0.0))
     trust = F.least(F.lit(1.0), n / 8.0)
@@ -116,7 +117,8 @@ def fixture_lambdas(fixtures: DataFrame, strengths: DataFrame, form: DataFrame,
             F.coalesce("form", F.lit(1.0)).alias(f"_f_{side}"),
         )
         both = both.join(dim, side, "left").fillna(1.0, [f"_a_{side}", f"_b_{side}", f"_f_{side}"])
-    league = strengths.agg(F.max("league_avg")).scalar()
+    both = both.withColumn("_lg", strengths.agg(F.max("league_avg")).scalar())
+    league = F.col("_lg")
     home_host, away_host = F.col("home").isin(hosts), F.col("away").isin(hosts)
     up, down = F.lit(boost), F.lit(boost**-0.5)
     mh = F.when(home_host, up).when(away_host, down).otherwise(1.0)
@@ -124,7 +126,7 @@ def fixture_lambdas(fixtures: DataFrame, strengths: DataFrame, form: DataFrame,
     lh = F.col("_a_home") * F.col("_b_away") * league * mh * (0.7 + 0.3 * F.col("_f_home"))
     la = F.col("_a_away") * F.col("_b_home") * league * ma * (0.7 + 0.3 * F.col("_f_away"))
     out = both.withColumn("lambda_home", clamp(lh, 0.2, 5.0)).withColumn("lambda_away", clamp(la, 0.2, 5.0))
-    return out.drop(*[f"_{x}_{s}" for x in "abf" for s in ("home", "away")])
+    return out.drop("_lg", *[f"_{x}_{s}" for x in "abf" for s in ("home", "away")])
 
 
 def market_blend(fixtures: DataFrame, weight: float = 0.6) -> DataFrame:
@@ -227,13 +229,15 @@ def knockout_lambdas(fixtures: DataFrame, strengths: DataFrame, form: DataFrame,
 def quantile_bands(df: DataFrame, value: str, name: str = "band", low_is_hard: bool = True) -> DataFrame:
     """Five bands cut at nearest-rank quantiles sorted[int(n * p / 100)]."""
     cuts = order_statistics(df, [], value, {f"c{p}": (lambda n, p=p: F.floor(n * p / 100)) for p in (20, 40, 60, 80)})
-    c = cuts.select(F.struct("c20", "c40", "c60", "c80")).scalar()
+    # one subquery per row set: the struct is a column first, its fields are read from there
+    df = df.withColumn("_cuts", cuts.select(F.struct("c20", "c40", "c60", "c80")).scalar())
+    c = F.col("_cuts")
     v = F.col(value)
     if low_is_hard:
         band = F.when(v <= c["c20"], 1).when(v <= c["c40"], 2).when(v <= c["c60"], 3).when(v <= c["c80"], 4).otherwise(5)
     else:
         band = F.when(v >= c["c80"], 1).when(v >= c["c60"], 2).when(v >= c["c40"], 3).when(v >= c["c20"], 4).otherwise(5)
-    return df.withColumn(name, band)
+    return df.withColumn(name, band).drop("_cuts")
 
 
 def coach_values(fixtures: DataFrame, stats: DataFrame, league_avg: float, n: int = 8, max_goals: int = 6) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import clamp
-from touchline.operators.ordered import running_totals
+from touchline.operators.ordered import running_totals, top_n
 
 
 def ridge(df: DataFrame, group: str, features: list[str], target: str, alpha: float = 1.0, min_rows: int = 20, label: str = "ALL") -> DataFrame:
@@ -24,7 +24,8 @@ def ridge(df: DataFrame, group: str, features: list[str], target: str, alpha: fl
     k = len(features)
     # shift by a rough overall mean first, so the sums of squares keep their digits
     means = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols]).alias("m")).scalar()
-    shifted = df.select(F.col(group), means.alias("_m"), *[(F.col(c).cast("double") - means[c]).alias(c) for c in cols])
+    with_means = df.select(F.col(group), *cols).withColumn("_m", means)
+    shifted = with_means.select(F.col(group), "_m", *[(F.col(c).cast("double") - F.col(f"_m.{c}")).alias(c) for c in cols])
     sums = [F.sum(c).alias(f"s_{i}") for i, c in enumerate(cols)]
     cross = [F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"x_{i}_{j}") for i in range(k + 1) for j in range(i, k + 1)]
     agg = shifted.rollup(group).agg(
@@ -156,7 +157,8 @@ def with_residual(df: DataFrame, x: str, y: str, name: str = "residual") -> Data
     """Distance of each row from the overall line."""
     line = simple_ols(df, x, y)
     fit = line.select(F.struct("slope", "intercept")).scalar()
-    return df.withColumn(name, F.col(y) - (fit["intercept"] + fit["slope"] * F.col(x)))
+    fitted = F.col("_fit.intercept") + F.col("_fit.slope") * F.col(x)
+    return df.withColumn("_fit", fit).withColumn(name, F.col(y) - fitted).drop("_fit")
 
 
 def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidates: DataFrame, positions: list[str], per_position: int = 60) -> DataFrame:
@@ -167,24 +169,24 @@ def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidat
     one short list (its size is positions x per_position), walked once per plan with the
     money left as state. Plans are independent rows.
     """
-    from touchline.operators.ordered import top_n
-
     short = top_n(candidates.where((F.col("xpts") > 0) & (F.col("price") > 0)), ["position"], [F.col("xpts").desc(), F.col("id")], per_position)
     item = F.struct((-F.col("xpts")).alias("neg"), "id", "position", "price", "xpts")
     menu = short.agg(F.sort_array(F.collect_list(item)).alias("menu")).scalar()
-    need = F.map_from_arrays(F.array(*[F.lit(p) for p in positions]), F.array(*[F.col(f"need_{p}").cast("int") for p in positions]))
     start = F.struct(
-        F.col("budget").cast("double").alias("money"), need.alias("need"), F.lit(0.0).alias("points"), F.lit(0).alias("bought")
+        F.col("budget").cast("double").alias("money"), F.lit(0.0).alias("points"), F.lit(0).alias("bought"),
+        *[F.col(f"need_{p}").cast("int").alias(f"need_{p}") for p in positions],
     )
 
     def step(s, c):
-        left = F.coalesce(F.try_element_at(s["need"], c["position"]), F.lit(0))
-        ok = (left > 0) & (c["price"] <= s["money"])
-        used = F.transform_values(s["need"], lambda k, v: F.when(ok & (k == c["position"]), v - 1).otherwise(v))
+        wanted = F.lit(False)
+        for p in positions:
+            wanted = wanted | ((c["position"] == p) & (s[f"need_{p}"] > 0))
+        ok = wanted & (c["price"] <= s["money"])
         return F.struct(
-            F.when(ok, s["money"] - c["price"]).otherwise(s["money"]).alias("money"), used.alias("need"),
+            F.when(ok, s["money"] - c["price"]).otherwise(s["money"]).alias("money"),
             F.when(ok, s["points"] + c["xpts"]).otherwise(s["points"]).alias("points"),
             (s["bought"] + F.when(ok, 1).otherwise(0)).alias("bought"),
+            *[F.when(ok & (c["position"] == p), s[f"need_{p}"] - 1).otherwise(s[f"need_{p}"]).alias(f"need_{p}") for p in positions],
         )
 
     done = plans.withColumn("_menu", menu).withColumn("_r", F.aggregate("_menu", start, step)).drop("_menu")

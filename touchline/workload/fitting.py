@@ -1 +1,97 @@
-"""placeholder"""
+"""Regressions, classification, AUC, podium chances and squad plans."""
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from touchline.operators import models
+from touchline.operators.podium import podium
+from touchline.plans import transfers
+from touchline.workload.registry import query
+from touchline.workload.tables import PLAYERS_SQL, rnd  # noqa: F401
+
+RIDGE_SQL = """
+s AS (SELECT CASE WHEN grouping(l_returnflag) = 1 THEN 'ALL' ELSE l_returnflag END AS g, count(*) AS n, avg(l_quantity) AS m1, avg(l_discount) AS m2, avg(l_extendedprice) AS my,
+   stddev_pop(l_quantity) AS s1, stddev_pop(l_discount) AS s2, covar_pop(l_quantity, l_discount) AS c12, covar_pop(l_quantity, l_extendedprice) AS c1y, covar_pop(l_discount, l_extendedprice) AS c2y, var_pop(l_extendedprice) AS vy
+   FROM lineitem GROUP BY ROLLUP (l_returnflag)),
+w AS (SELECT *, ((n + 1) * n * c1y / s1 - n * c12 / (s1 * s2) * n * c2y / s2) / ((n + 1) * (n + 1) - (n * c12 / (s1 * s2)) ** 2) AS b1,
+   ((n + 1) * n * c2y / s2 - n * c12 / (s1 * s2) * n * c1y / s1) / ((n + 1) * (n + 1) - (n * c12 / (s1 * s2)) ** 2) AS b2 FROM s),
+f AS (SELECT *, my - b1 / s1 * m1 - b2 / s2 * m2 AS icpt, 1 - (n * vy - 2 * (b1 * n * c1y / s1 + b2 * n * c2y / s2) + n * (b1 * b1 + b2 * b2 + 2 * b1 * b2 * c12 / (s1 * s2))) / (n * vy) AS r2 FROM w)"""
+
+
+def ridge_model(t):
+    return models.ridge(t.lineitem, "l_returnflag", ["l_quantity", "l_discount"], "l_extendedprice")
+
+
+@query("ridge_by_group", "K02, D24", f"""WITH {RIDGE_SQL}, x AS (SELECT *, unnest(['l_quantity', 'l_discount']) AS feature, unnest([b1, b2]) AS cs, unnest([b1 / s1, b2 / s2]) AS cr FROM f)
+SELECT g AS l_returnflag, feature, n, {rnd('cs')} AS coef_std, {rnd('cr')} AS coef_raw, {rnd('icpt')} AS intercept, {rnd('r2', 6)} AS r2 FROM x""")
+def _(t):
+    out = ridge_model(t)
+    return out.withColumns({c: F.round(c, 4) for c in ("coef_std", "coef_raw", "intercept")} | {"r2": F.round("r2", 6)})
+
+
+@query("rescored_corrections", "K03, L05", f"""WITH {RIDGE_SQL}, c AS (SELECT o_orderkey, CAST(o_orderkey % 3 - 1 AS DOUBLE) AS delta FROM orders WHERE o_orderstatus = 'P'),
+j AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, icpt + b1 / s1 * l_quantity + b2 / s2 * l_discount AS p, icpt + b1 / s1 * (l_quantity + delta) + b2 / s2 * l_discount AS q FROM lineitem JOIN c ON o_orderkey = l_orderkey JOIN f ON g = l_returnflag)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {rnd('greatest(1.0, least(60000.0, p))', 2)} AS predicted, {rnd('greatest(1.0, least(60000.0, q)) - greatest(1.0, least(60000.0, p))', 2)} AS change FROM j""")
+def _(t):
+    fixes = t.orders.where(F.col("o_orderstatus") == "P").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_orderkey") % 3 - 1).cast("double").alias("delta"))
+    out = models.rescore(t.lineitem, fixes, ridge_model(t), "l_returnflag", ["l_quantity", "l_discount"], "l_quantity", ["l_orderkey"], 1.0, 60000.0)
+    out = out.where(F.col("l_linenumber").isNotNull())
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.round("predicted", 2).alias("predicted"), F.round("change", 2).alias("change"))
+
+
+def labelled(t):
+    return t.labels.join(t.documents.select("doc_id", "n_chars", "lang"), "doc_id").select(
+        "doc_id", "quality", (F.col("n_chars") / 1000).alias("size"), F.log1p("n_chars").alias("log_size"), F.col("toxic").cast("double").alias("toxic")
+    )
+
+
+@query("logistic_coefficients", "K04")
+def _(t):
+    coefs, _scored = models.logistic(labelled(t), ["size", "log_size", "toxic"], "quality")
+    return coefs.withColumn("coefficient", F.round("coefficient", 6))
+
+
+@query("auc_of_score", "E18, K04", f"""WITH d AS (SELECT quality, n_chars FROM labels JOIN documents USING (doc_id)), r AS (SELECT quality, avg(rk) OVER (PARTITION BY n_chars) AS rk FROM (SELECT *, row_number() OVER (ORDER BY n_chars) AS rk FROM d))
+SELECT count(*) FILTER (quality = 1) AS n_pos, count(*) FILTER (quality <> 1) AS n_neg,
+  {rnd('(sum(rk) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2) / (count(*) FILTER (quality = 1) * count(*) FILTER (quality <> 1))', 6)} AS auc FROM r""")
+def _(t):
+    return models.auc(labelled(t), "size", "quality").withColumn("auc", F.round("auc", 6))
+
+
+@query("roc_curve", "E18", f"""WITH d AS (SELECT quality, n_chars FROM labels JOIN documents USING (doc_id)), s AS (SELECT n_chars, count(*) FILTER (quality = 1) AS p, count(*) FILTER (quality <> 1) AS n FROM d GROUP BY 1)
+SELECT {rnd('n_chars / 1000', 3)} AS size, {rnd('sum(p) OVER (ORDER BY n_chars DESC) / (SELECT sum(p) FROM s)', 6)} AS tpr, {rnd('sum(n) OVER (ORDER BY n_chars DESC) / (SELECT sum(n) FROM s)', 6)} AS fpr FROM s""")
+def _(t):
+    return models.roc_curve(labelled(t), "size", "quality").select(F.round("size", 3).alias("size"), F.round("tpr", 6).alias("tpr"), F.round("fpr", 6).alias("fpr"))
+
+
+@query("ols_residuals", "K07", f"""WITH f AS (SELECT regr_slope(l_extendedprice, l_quantity) AS b, regr_intercept(l_extendedprice, l_quantity) AS a FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, {rnd('l_extendedprice - (a + b * l_quantity)', 2)} AS residual FROM lineitem, f""")
+def _(t):
+    rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
+    return models.with_residual(rows, "l_quantity", "l_extendedprice").withColumn("residual", F.round("residual", 2)).drop("l_quantity")
+
+
+@query("ols_by_group", "K07", f"""SELECT l_returnflag, count(*) AS n, {rnd('regr_slope(l_extendedprice, l_quantity)')} AS slope, {rnd('regr_intercept(l_extendedprice, l_quantity)')} AS intercept, {rnd('regr_r2(l_extendedprice, l_quantity)', 6)} AS r2 FROM lineitem GROUP BY 1""")
+def _(t):
+    out = models.simple_ols(t.lineitem, "l_quantity", "l_extendedprice", ["l_returnflag"])
+    return out.select("l_returnflag", "n", F.round("slope", 4).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"))
+
+
+@query("podium_chances", "E19", f"""WITH d AS (SELECT CAST(day(ts) AS INTEGER) AS d, user_id AS u, avg(value) / 200 AS x FROM events GROUP BY 1, 2),
+p AS (SELECT d, u, exp(x / 0.4) / sum(exp(x / 0.4)) OVER (PARTITION BY d) AS p FROM d),
+g AS (SELECT a.d, a.u AS j, b.u AS k, a.p * b.p / ((1 - a.p) * (1 - a.p - b.p)) AS g FROM p a JOIN p b ON a.d = b.d AND a.u <> b.u),
+t AS (SELECT d, sum(g) AS g FROM g GROUP BY 1), r AS (SELECT d, j AS u, sum(g) AS r FROM g GROUP BY 1, 2), c AS (SELECT d, k AS u, sum(g) AS c FROM g GROUP BY 1, 2),
+q AS (SELECT b.d, b.u, sum(a.p / (1 - a.p)) * any_value(b.p) AS p2 FROM p a JOIN p b ON a.d = b.d AND a.u <> b.u GROUP BY 1, 2)
+SELECT p.d AS match_day, p.u AS user_id, {rnd('p.p', 6)} AS p1, {rnd('q.p2', 6)} AS p2, {rnd('p.p * (t.g - r.r - c.c)', 6)} AS p3 FROM p JOIN q ON q.d = p.d AND q.u = p.u JOIN t ON t.d = p.d JOIN r ON r.d = p.d AND r.u = p.u JOIN c ON c.d = p.d AND c.u = p.u""")
+def _(t):
+    d = t.events.groupBy(F.dayofmonth("ts").alias("match_day"), "user_id").agg((F.avg("value") / 200).alias("x"))
+    out = podium(d, ["match_day"], "user_id", F.col("x"))
+    return out.select("match_day", "user_id", *[F.round(c, 6).alias(c) for c in ("p1", "p2", "p3")])
+
+
+@query("best_squad_plans", "K05, J03")
+def _(t):
+    managers = t.supplier.select(F.col("s_suppkey").alias("manager_id"), (F.lit(90.0) + F.col("s_acctbal") / 100).alias("budget"))
+    pool = t.players().select(F.col("player_id").alias("id"), F.col("pos").alias("position"), "price", (F.col("xg") * 5 + F.col("xa") * 3).alias("xpts"))
+    out = transfers.best_transfers(transfers.formation_plans(managers), pool, ["manager_id", "formation"])
+    return out.select("manager_id", "formation", F.round("total", 4).alias("total"), F.round("money_left", 4).alias("money_left"))
