@@ -7,6 +7,7 @@ from touchline.functions import probability as pr
 from touchline.operators import competition as cp
 from touchline.operators.joins import match_sides, unordered_pair
 from touchline.plans import bracket, strength
+from touchline.session import durable
 from touchline.workload.registry import query
 from touchline.workload.tables import FIXTURES_SQL, rnd
 
@@ -124,7 +125,7 @@ SELECT pair, {rnd('any_value(lh)', 3)} AS lambda_home, {rnd('any_value(la)', 3)}
 def _(t):
     fx = t.fixtures().select(F.concat_ws("|", "home", "away").alias("event_id"), "home", "away").distinct()
     fx = fx.withColumns({c: F.lit(None).cast("double") for c in ("odds_home", "odds_draw", "odds_away")})
-    s = strengths(t)
+    s = durable(strengths(t))
     form = s.select("team", F.lit(1.0).alias("form"))
     f = cp.fixture_lambdas(fx, s, form, ["NATION_1", "NATION_2"])
     out = cp.outcome_probabilities(cp.market_blend(f))
@@ -150,7 +151,7 @@ ROUND_WEIGHTS = {1: 1.5, 2: 2.0, 3: 0.25, 4: 3.0}
 
 @query("tournament_form", "D37, C16", f"WITH {TOUR_SQL} SELECT team, {rnd('sch', 3)} AS schedule, {rnd('att_mult', 3)} AS att_mult, {rnd('def_mult', 3)} AS def_mult FROM tour")
 def _(t):
-    out = cp.tournament_form(t.sides(), strengths(t), ROUND_WEIGHTS)
+    out = cp.tournament_form(t.sides(), durable(strengths(t)), ROUND_WEIGHTS)
     return out.select("team", *[F.round(c, 3).alias(c) for c in ("schedule", "att_mult", "def_mult")])
 
 
@@ -231,10 +232,12 @@ f{r + 1} AS (SELECT e.event_id, a.winner AS home, b.winner AS away FROM e{r} e J
 @query("knockout_bracket", "L11, C22, E05", _bracket_sql())
 def _(t):
     home_region = t.nation.join(t.region, F.col("r_regionkey") == F.col("n_regionkey")).select(F.col("n_name").alias("team"), F.col("r_name").alias("grp"))
+    # the match table and the strengths are read several times: derive each once and go on from the files
+    t.fixtures = lambda f=durable(t.fixtures()): f
     table = cp.standings(t.fixtures()).join(home_region, ["team", "grp"], "left_semi")
-    first = bracket.fixtures_from_slots(slots(GROUPS), cp.group_positions(table))
-    s = strengths(t)
-    form = cp.tournament_form(t.sides(), s, ROUND_WEIGHTS)
+    first = durable(bracket.fixtures_from_slots(slots(GROUPS), cp.group_positions(table)))
+    s = durable(strengths(t))
+    form = durable(cp.tournament_form(t.sides(), s, ROUND_WEIGHTS))
     played = t.fixtures().where(F.col("round_num") == 12)
     last = played.groupBy(unordered_pair(F.col("home"), F.col("away")).alias("pair")).agg(
         F.max_by(F.struct("home", "away", "score_home", "score_away"), "event_id").alias("m")
@@ -242,8 +245,5 @@ def _(t):
         "pair", F.col("m.home").alias("res_home"), F.col("m.away").alias("res_away"), F.col("m.score_home").alias("res_score_home"),
         F.col("m.score_away").alias("res_score_away"), F.lit(None).cast("string").alias("pens"),
     )
-    # teams and bracket are small results of a long plan: write them once for the four rounds
-    from touchline.session import durable
-
-    out = bracket.project_bracket(durable(first), EDGES, durable(s), durable(form), durable(last), [])
+    out = bracket.project_bracket(first, EDGES, s, form, durable(last), [])
     return out.select("round", "event_id", "home", "away", "winner", "confirmed")
