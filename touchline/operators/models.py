@@ -189,7 +189,9 @@ def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidat
             *[F.when(ok & (c["position"] == p), s[f"need_{p}"] - 1).otherwise(s[f"need_{p}"]).alias(f"need_{p}") for p in positions],
         )
 
-    done = plans.withColumn("_menu", menu).withColumn("_r", F.aggregate("_menu", start, step)).drop("_menu")
+    # the walk is the cost, not the bytes: spread the plans over all cores before it
+    cores = plans.sparkSession.sparkContext.defaultParallelism
+    done = plans.repartition(cores, *plan_keys).withColumn("_menu", menu).withColumn("_r", F.aggregate("_menu", start, step)).drop("_menu")
     total = sum((F.col(f"need_{p}") for p in positions[1:]), F.col(f"need_{positions[0]}"))
     full = done.where(F.col("_r.bought") == total).withColumn("total", F.col("keep_points") + F.col("_r.points"))
     pick = F.max_by(F.struct(*plan_keys, "total", F.col("_r.money").alias("money_left")), F.struct("total", *[-F.col(k) for k in plan_keys]))

@@ -25,6 +25,10 @@ def formation_plans(managers: DataFrame, formations=FORMATIONS) -> DataFrame:
     )
 
 
+def _at(position: str):
+    return lambda s: s["pos"] == position
+
+
 def keep_plans(squads: DataFrame, keep: int = 5, formations=FORMATIONS) -> DataFrame:
     """All plans of each manager: formations x keep-sets of the squad's kept-able slots.
 
@@ -40,7 +44,7 @@ def keep_plans(squads: DataFrame, keep: int = 5, formations=FORMATIONS) -> DataF
     add = lambda arr, f: F.aggregate(F.transform(arr, lambda s: s[f].cast("double")), F.lit(0.0), lambda a, b: a + b)
     p = p.withColumns({
         "keep_points": add(F.col("_kept"), "xpts"), "budget": F.col("bank") + add(F.col("slots"), "price") - add(F.col("_kept"), "price"),
-        **{f"_k{q}": F.size(F.filter("_kept", lambda s, q=q: s["pos"] == q)) for q in POSITIONS},
+        **{f"_k{q}": F.size(F.filter("_kept", _at(q))) for q in POSITIONS},
     })
     p = p.select("manager_id", "keep_set", "keep_points", "budget", *[f"_k{q}" for q in POSITIONS], F.explode(shapes).alias("_f"))
     p = p.select("manager_id", "keep_set", "keep_points", "budget", F.col("_f.id").alias("formation"), *[(F.col(f"_f.{q}") - F.col(f"_k{q}")).alias(f"need_{q}") for q in POSITIONS])

@@ -50,36 +50,53 @@ def final_whistles(inc: DataFrame) -> DataFrame:
     return inc.where((F.col("kind") == "period") & F.col("text").isin("FT", "AP", "AET")).select("event_id", "minute", "added")
 
 
+def _tagged(side: str, number: int, rank: int, status: str):
+    def tag(p, i):
+        return F.struct(
+            F.lit(rank).alias("rank"), F.lit(number).alias("_s"), i.alias("ordinal"), F.lit(status).alias("status"), F.lit(side == "home").alias("is_home"),
+            F.col(f"{side}.team.name").alias("team"), p.alias("p"),
+        )
+
+    return tag
+
+
+def _sided(side: str):
+    return lambda p: F.struct(F.lit(side == "home").alias("is_home"), p.alias("p"))
+
+
 def lineups(df: DataFrame, sides=("home", "away")) -> DataFrame:
     """Starters, bench and missing players; the strongest status of a player wins.
 
     ``df``: event_id and one struct column per side.
     """
-    parts = []
+    entry = df.schema[sides[0]].dataType["players"].dataType
+    empty = F.array().cast(entry)
+    lists = []
     for s, side in enumerate(sides):
         for rank, (field, status) in enumerate([("players", "starter"), ("substitutes", "substitute"), ("bench", "substitute"), ("missingPlayers", "missing")]):
-            p = df.select("event_id", F.col(f"{side}.team.name").alias("team"), F.posexplode(f"{side}.{field}").alias("ordinal", "p"))
-            parts.append(p.select(
-                "event_id", F.col("p.player.id").alias("player_id"), F.lit(status).alias("status"), F.lit(side == "home").alias("is_home"), "team",
-                F.col("p.jerseyNumber").alias("jersey"), F.coalesce("p.position", "p.player.position").alias("pos"), F.coalesce("p.player.name", "p.player.shortName").alias("name"),
-                F.when(F.lit(status) == "missing", F.coalesce("p.type", "p.reason")).alias("reason"), F.lit(min(rank, 2) + (1 if rank == 3 else 0)).alias("rank"), F.lit(s).alias("_s"), "ordinal",
-            ))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
+            lists.append(F.transform(F.coalesce(F.col(f"{side}.{field}"), empty), _tagged(side, s, rank, status)))
+    # one explode over all lists, so the nested record is read once
+    rows = df.select("event_id", F.explode(F.concat(*lists)).alias("e")).select("event_id", "e.*")
+    rows = rows.select(
+        "event_id", "rank", "_s", "ordinal", "status", "is_home", "team", F.col("p.player.id").alias("player_id"), F.col("p.jerseyNumber").alias("jersey"),
+        F.coalesce("p.position", "p.player.position").alias("pos"), F.coalesce("p.player.name", "p.player.shortName").alias("name"),
+        F.when(F.col("status") == "missing", F.coalesce("p.type", "p.reason")).alias("reason"),
+    )
     cols = ["status", "is_home", "team", "jersey", "pos", "name", "reason"]
     known = rows.where(F.col("player_id").isNotNull())
-    # starter before bench before missing; inside one status the earlier side and entry
-    return arg_min(known, ["event_id", "player_id"], [F.col("rank"), F.col("_s"), F.col("ordinal")], cols)
+    # starter before bench before missing; inside one status the earlier side, list and entry
+    strength = F.when(F.col("status") == "starter", 0).when(F.col("status") == "substitute", 1).otherwise(2)
+    return arg_min(known, ["event_id", "player_id"], [strength, F.col("_s"), F.col("rank"), F.col("ordinal")], cols)
 
 
 def lineup_statistics(df: DataFrame, features: list[str], sides=("home", "away")) -> DataFrame:
     """One row per player and match with zero-filled features; rows without a rating are dropped."""
-    rows = None
-    for side in sides:
-        entries = F.concat(F.coalesce(f"{side}.players", F.array().cast(df.schema[side].dataType["players"].dataType)), F.coalesce(f"{side}.substitutes", F.array().cast(df.schema[side].dataType["players"].dataType)))
-        p = df.select("event_id", F.explode(entries).alias("p"), F.lit(side == "home").alias("is_home"))
-        rows = p if rows is None else rows.unionByName(p)
+    empty = F.array().cast(df.schema[sides[0]].dataType["players"].dataType)
+    lists = [
+        F.transform(F.coalesce(F.col(f"{side}.{field}"), empty), _sided(side))
+        for side in sides for field in ("players", "substitutes")
+    ]
+    rows = df.select("event_id", F.explode(F.concat(*lists)).alias("e")).select("event_id", "e.*")
     stat = lambda f: F.try_element_at(F.col("p.statistics"), F.lit(f))
     return rows.select(
         "event_id", "is_home", F.col("p.player.id").alias("player_id"), F.col("p.player.name").alias("name"), F.col("p.position").alias("pos"), stat("rating").alias("rating"),
