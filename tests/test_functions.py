@@ -59,8 +59,9 @@ def test_score_probabilities(one, lh, la):
     assert one(pr.goal_difference(h, a)) == pytest.approx(sum(p * (i - j) for (i, j), p in grid.items()), abs=1e-12)
     cells = one(pr.score_grid(h, a))
     assert sum(c["p"] for c in cells) == pytest.approx(sum(grid.values()), abs=1e-12)
+    assert one(pr.score_mass(h, a)) == pytest.approx(sum(grid.values()), abs=1e-12)
     best = sorted(grid, key=lambda k: (-grid[k], k))[:3]
-    assert one(pr.top_scores(pr.score_grid(h, a))) == [f"{i}-{j}" for i, j in best]
+    assert one(pr.top_scores(h, a)) == [f"{i}-{j}" for i, j in best]
 
 
 def test_market_ratio(one):

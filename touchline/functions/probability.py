@@ -55,33 +55,25 @@ def goal_difference(lh: Column, la: Column, max_goals: int = 8, rho: float = -0.
     return F.exp(-(lh + la)) * mean + 0.0 * rho
 
 
+def _cells(lh: Column, la: Column, max_goals: int, rho: float) -> list[tuple[int, int, Column]]:
+    """Probability of each score as a plain expression; the 2 (n + 1) factors are shared by code generation."""
+    corrected = {(0, 0): 1 - lh * la * rho, (1, 0): 1 + la * rho, (0, 1): 1 + lh * rho, (1, 1): F.lit(1 - rho)}
+    home = [F.exp(-lh) * F.pow(lh, F.lit(k)) / factorial(k) for k in range(max_goals + 1)]
+    away = [F.exp(-la) * F.pow(la, F.lit(k)) / factorial(k) for k in range(max_goals + 1)]
+    return [
+        (i, j, home[i] * away[j] * corrected[i, j] if (i, j) in corrected else home[i] * away[j])
+        for i in range(max_goals + 1) for j in range(max_goals + 1)
+    ]
+
+
 def score_grid(lh: Column, la: Column, max_goals: int = 8, rho: float = -0.13) -> Column:
     """array<struct<home, away, p>> of every score; never renormalised."""
-    goals = F.sequence(F.lit(0), F.lit(max_goals))
-
-    def mass(k, lam):
-        return F.exp(-lam) * F.pow(lam, k) / F.factorial(k)
-
-    def corrected(i, j):
-        return (
-            F.when((i == 0) & (j == 0), 1 - lh * la * rho)
-            .when((i == 1) & (j == 0), 1 + la * rho)
-            .when((i == 0) & (j == 1), 1 + lh * rho)
-            .when((i == 1) & (j == 1), F.lit(1 - rho))
-            .otherwise(F.lit(1.0))
-        )
-
-    return F.flatten(
-        F.transform(
-            goals,
-            lambda i: F.transform(
-                goals,
-                lambda j: F.struct(
-                    i.alias("home"), j.alias("away"), (mass(i, lh) * mass(j, la) * corrected(i, j)).alias("p")
-                ),
-            ),
-        )
-    )
+    return F.array(*[F.struct(F.lit(i).alias("home"), F.lit(j).alias("away"), p.alias("p")) for i, j, p in _cells(lh, la, max_goals, rho)])
+
+
+def score_mass(lh: Column, la: Column, max_goals: int = 8, rho: float = -0.13) -> Column:
+    """Total probability of the truncated grid."""
+    return p_home_win(lh, la, max_goals, rho) + p_draw(lh, la, max_goals, rho) + p_away_win(lh, la, max_goals, rho)
 
 
 def score_map(grid: Column, floor: float = 0.005) -> Column:
@@ -92,11 +84,10 @@ def score_map(grid: Column, floor: float = 0.005) -> Column:
     )
 
 
-def top_scores(grid: Column, n: int = 3) -> Column:
+def top_scores(lh: Column, la: Column, n: int = 3, max_goals: int = 8, rho: float = -0.13) -> Column:
     """The ``n`` likeliest scores, ties by fewer home then away goals."""
-    keyed = F.transform(grid, lambda s: F.struct((-s["p"]).alias("np"), s["home"].alias("home"), s["away"].alias("away")))
-    best = F.slice(F.array_sort(keyed), 1, n)
-    return F.transform(best, lambda s: F.concat_ws("-", s["home"], s["away"]))
+    keyed = F.array(*[F.struct((-p).alias("np"), F.lit(i).alias("home"), F.lit(j).alias("away")) for i, j, p in _cells(lh, la, max_goals, rho)])
+    return F.transform(F.slice(F.sort_array(keyed), 1, n), lambda s: F.concat_ws("-", s["home"], s["away"]))
 
 
 def market_ratio(total: Column, target: Column, max_goals: int = 8, rho: float = -0.13, steps: int = 25) -> Column:

@@ -178,21 +178,24 @@ def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidat
     )
 
     def step(s, c):
-        wanted = F.lit(False)
+        left = F.lit(0)
         for p in positions:
-            wanted = wanted | ((c["position"] == p) & (s[f"need_{p}"] > 0))
-        ok = wanted & (c["price"] <= s["money"])
-        return F.struct(
-            F.when(ok, s["money"] - c["price"]).otherwise(s["money"]).alias("money"),
-            F.when(ok, s["points"] + c["xpts"]).otherwise(s["points"]).alias("points"),
-            (s["bought"] + F.when(ok, 1).otherwise(0)).alias("bought"),
-            *[F.when(ok & (c["position"] == p), s[f"need_{p}"] - 1).otherwise(s[f"need_{p}"]).alias(f"need_{p}") for p in positions],
+            left = F.when(c["position"] == p, s[f"need_{p}"]).otherwise(left)
+        bought = F.struct(
+            (s["money"] - c["price"]).alias("money"), (s["points"] + c["xpts"]).alias("points"), (s["bought"] + 1).alias("bought"),
+            *[(s[f"need_{p}"] - (c["position"] == p).cast("int")).alias(f"need_{p}") for p in positions],
         )
+        return F.when((c["price"] <= s["money"]) & (left > 0), bought).otherwise(s)
 
     # the walk is the cost, not the bytes: spread the plans over all cores before it
     cores = plans.sparkSession.sparkContext.defaultParallelism
     done = plans.repartition(cores, *plan_keys).withColumn("_menu", menu).withColumn("_r", F.aggregate("_menu", start, step)).drop("_menu")
-    total = sum((F.col(f"need_{p}") for p in positions[1:]), F.col(f"need_{positions[0]}"))
-    full = done.where(F.col("_r.bought") == total).withColumn("total", F.col("keep_points") + F.col("_r.points"))
-    pick = F.max_by(F.struct(*plan_keys, "total", F.col("_r.money").alias("money_left")), F.struct("total", *[-F.col(k) for k in plan_keys]))
-    return full.groupBy(*group).agg(pick.alias("_b")).select(*group, *[F.col(f"_b.{k}") for k in plan_keys if k not in group], "_b.total", "_b.money_left")
+    wanted = sum((F.col(f"need_{p}") for p in positions[1:]), F.col(f"need_{positions[0]}"))
+    # incomplete plans get a null total, which max_by skips; a filter on the walk's result
+    # would be pushed below it and walk every plan twice
+    done = done.withColumn("total", F.when(F.col("_r.bought") == wanted, F.col("keep_points") + F.col("_r.points")))
+    order = F.when(F.col("total").isNotNull(), F.struct("total", *[-F.col(k) for k in plan_keys]))
+    pick = F.max_by(F.struct(*plan_keys, "total", F.col("_r.money").alias("money_left")), order)
+    rest = [k for k in plan_keys if k not in group]
+    best = done.groupBy(*group).agg(pick.alias("_b")).where(F.col("_b").isNotNull())
+    return best.select(*group, *[F.col(f"_b.{k}") for k in rest], "_b.total", "_b.money_left")

@@ -139,14 +139,13 @@ def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str
         )
     step = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets)
     binned = ranged.withColumn("_b", F.coalesce(step, F.lit(0)).cast("int")).drop("_lo", "_hi")
-    targets = stats.select(
-        *group,
-        F.explode(F.array(*[F.struct(F.lit(n).alias("_name"), r(F.col("_n")).cast("long").alias("_rank")) for n, r in ranks.items()])).alias("_t"),
-    ).select(*group, "_t.*")
     by_bucket = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     hist = binned.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
     hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(by_bucket), F.lit(0)))
-    hit = same_keys(hist, targets, group).where(
+    # the wanted ranks follow from the group's size; each histogram row is tried against them
+    sized = same_keys(hist, stats.select(*keys, "_n"), keys) if keys else hist.withColumn("_n", stats.select("_n").scalar())
+    wanted = F.array(*[F.struct(F.lit(n).alias("_name"), r(F.col("_n")).cast("long").alias("_rank")) for n, r in ranks.items()])
+    hit = sized.withColumn("_t", F.explode(wanted)).select(*hist.columns, "_t.*").where(
         (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
     ).select(*group, "_b", "_name", (F.col("_rank") - F.col("_before")).alias("_rank"))
     fine = same_keys(binned, hit.select(*group, "_b").distinct(), [*group, "_b"])
