@@ -45,7 +45,7 @@ def test_lookup_order(one):
 
 
 @pytest.mark.parametrize("lh,la", [(0.4, 2.2), (1.3, 1.1), (4.0, 0.3)])
-def test_score_probabilities(one, lh, la):
+def test_score_probabilities(spark, one, lh, la):
     def cell(i, j):
         c = {(0, 0): 1 + 0.13 * lh * la, (1, 0): 1 - 0.13 * la, (0, 1): 1 - 0.13 * lh, (1, 1): 1.13}.get((i, j), 1)
         return math.exp(-lh - la) * lh**i * la**j / math.factorial(i) / math.factorial(j) * c
@@ -57,11 +57,13 @@ def test_score_probabilities(one, lh, la):
     assert draw == pytest.approx(sum(p for (i, j), p in grid.items() if i == j), abs=1e-12)
     assert away == pytest.approx(sum(p for (i, j), p in grid.items() if i < j), abs=1e-12)
     assert one(pr.goal_difference(h, a)) == pytest.approx(sum(p * (i - j) for (i, j), p in grid.items()), abs=1e-12)
-    cells = one(pr.score_grid(h, a))
+    row = pr.with_goal_masses(spark.createDataFrame([(lh, la)], "h double, a double"), "h", "a")
+    top = row.select(pr.score_grid(F.col("h"), F.col("a")).alias("g"), pr.top_scores(F.col("h"), F.col("a")).alias("t")).first()
+    cells = top.g
     assert sum(c["p"] for c in cells) == pytest.approx(sum(grid.values()), abs=1e-12)
     assert one(pr.score_mass(h, a)) == pytest.approx(sum(grid.values()), abs=1e-12)
     best = sorted(grid, key=lambda k: (-grid[k], k))[:3]
-    assert one(pr.top_scores(h, a)) == [f"{i}-{j}" for i, j in best]
+    assert top.t == [f"{i}-{j}" for i, j in best]
 
 
 def test_market_ratio(one):

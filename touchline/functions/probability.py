@@ -5,7 +5,7 @@ from math import factorial, pi
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,15 +55,24 @@ def goal_difference(lh: Column, la: Column, max_goals: int = 8, rho: float = -0.
     return F.exp(-(lh + la)) * mean + 0.0 * rho
 
 
+def with_goal_masses(df: DataFrame, lh: str, la: str, max_goals: int = 8) -> DataFrame:
+    """Add the goal probabilities 0..max_goals of both sides as arrays, computed once per row.
+
+    Optimised plans keep them as columns of their own because every score reads them.
+    """
+    mass = lambda lam: F.array(*[F.exp(-F.col(lam)) * F.pow(F.col(lam), F.lit(k)) / factorial(k) for k in range(max_goals + 1)])
+    return df.withColumns({"_home_mass": mass(lh), "_away_mass": mass(la)})
+
+
 def _cells(lh: Column, la: Column, max_goals: int, rho: float) -> list[tuple[int, int, Column]]:
-    """Probability of each score as a plain expression; the 2 (n + 1) factors are shared by code generation."""
+    """Probability of each score from the two arrays of ``with_goal_masses``."""
     corrected = {(0, 0): 1 - lh * la * rho, (1, 0): 1 + la * rho, (0, 1): 1 + lh * rho, (1, 1): F.lit(1 - rho)}
-    home = [F.exp(-lh) * F.pow(lh, F.lit(k)) / factorial(k) for k in range(max_goals + 1)]
-    away = [F.exp(-la) * F.pow(la, F.lit(k)) / factorial(k) for k in range(max_goals + 1)]
-    return [
-        (i, j, home[i] * away[j] * corrected[i, j] if (i, j) in corrected else home[i] * away[j])
-        for i in range(max_goals + 1) for j in range(max_goals + 1)
-    ]
+    cells = []
+    for i in range(max_goals + 1):
+        for j in range(max_goals + 1):
+            p = F.col("_home_mass")[i] * F.col("_away_mass")[j]
+            cells.append((i, j, p * corrected[i, j] if (i, j) in corrected else p))
+    return cells
 
 
 def score_grid(lh: Column, la: Column, max_goals: int = 8, rho: float = -0.13) -> Column:

@@ -60,13 +60,15 @@ def _(t):
 @query("top_scorelines", "F05, H09", f"""WITH {LAMBDA_SQL}, r AS (SELECT event_id, i, j, p, row_number() OVER (PARTITION BY event_id ORDER BY p DESC, i, j) AS k FROM cells)
 SELECT event_id, string_agg(CAST(i AS VARCHAR) || '-' || CAST(j AS VARCHAR), ',' ORDER BY k) AS scores FROM r WHERE k <= 3 GROUP BY 1""")
 def _(t):
-    return lambdas(t).select("event_id", F.array_join(pr.top_scores(F.col("lambda_home"), F.col("lambda_away")), ",").alias("scores"))
+    f = pr.with_goal_masses(lambdas(t), "lambda_home", "lambda_away")
+    return f.select("event_id", F.array_join(pr.top_scores(F.col("lambda_home"), F.col("lambda_away")), ",").alias("scores"))
 
 
 @query("score_map_mass", "C18, H09", f"WITH {LAMBDA_SQL} SELECT event_id, count(*) FILTER (p > 0.005) AS n_scores, {rnd('sum(p)')} AS mass FROM cells GROUP BY 1")
 def _(t):
     lh, la = F.col("lambda_home"), F.col("lambda_away")
-    g = lambdas(t).select("event_id", pr.score_grid(lh, la).alias("g"), pr.score_mass(lh, la).alias("mass"))
+    f = pr.with_goal_masses(lambdas(t), "lambda_home", "lambda_away")
+    g = f.select("event_id", pr.score_grid(lh, la).alias("g"), pr.score_mass(lh, la).alias("mass"))
     return g.select("event_id", F.size(pr.score_map(F.col("g"))).cast("long").alias("n_scores"), F.round("mass", 4).alias("mass"))
 
 
