@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import arg_min, top_n
+from touchline.operators.ordered import arg_min, positions
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], defaults: dict | None = None) -> DataFrame:
@@ -131,9 +131,8 @@ def infer_team(known: DataFrame, events: DataFrame, players: DataFrame, match: s
 
 
 def zip_ranked(a: DataFrame, b: DataFrame, keys: list[str], order_a: list, order_b: list) -> DataFrame:
-    """Pair the k-th row of ``a`` with the k-th row of ``b`` per key."""
-    left = a.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_a)))
-    right = b.withColumn("position", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_b)))
+    """Pair the k-th row of ``a`` with the k-th row of ``b`` per key; both orders must be total."""
+    left, right = positions(a, keys, order_a), positions(b, keys, order_b)
     return left.join(right, [*keys, "position"])
 
 

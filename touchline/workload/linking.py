@@ -210,8 +210,8 @@ def _(t):
 b AS (SELECT l_orderkey, l_extendedprice AS bought, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_partkey) AS position FROM lineitem WHERE l_returnflag = 'N')
 SELECT l_orderkey, position, round(bought - sold, 2) AS gain FROM s JOIN b USING (l_orderkey, position)""")
 def _(t):
-    side = lambda flag, name: t.lineitem.where(F.col("l_returnflag") == flag).select("l_orderkey", "l_partkey", F.col("l_extendedprice").alias(name))
-    order = lambda name: [F.col(name).desc(), F.col("l_partkey")]
+    side = lambda flag, name: t.lineitem.where(F.col("l_returnflag") == flag).select("l_orderkey", F.col("l_partkey").alias(f"{name}_part"), F.col("l_extendedprice").alias(name))
+    order = lambda name: [F.col(name).desc(), F.col(f"{name}_part")]
     out = joins.zip_ranked(side("R", "sold"), side("N", "bought"), ["l_orderkey"], order("sold"), order("bought"))
     return out.select("l_orderkey", F.col("position").cast("long").alias("position"), F.round(F.col("bought") - F.col("sold"), 2).alias("gain"))
 

@@ -215,11 +215,12 @@ slot AS (SELECT * FROM (VALUES {", ".join(f"({e}, '{h}', '{a}')" for e, h, a in
 f1 AS (SELECT event_id, h.team AS home, a.team AS away FROM slot LEFT JOIN pos h ON h.position = sh LEFT JOIN pos a ON a.position = sa)"""
     for r in range(1, 5):
         sql += f""",
-l{r} AS (SELECT f.*, round(hs.alpha * ht.att_mult * greatest(0.45, ax.beta * ta.def_mult) * 1.02, 4) AS lh, round(ax.alpha * ta.att_mult * greatest(0.45, hs.beta * ht.def_mult), 4) AS la
-   FROM f{r} f JOIN str hs ON hs.team = home JOIN tour ht ON ht.team = home JOIN str ax ON ax.team = away JOIN tour ta ON ta.team = away),
+l{r} AS (SELECT f.*, round(coalesce(hs.alpha * coalesce(ht.att_mult, 1), 1.3) * coalesce(greatest(0.45, ax.beta * coalesce(ta.def_mult, 1)), 1.0) * 1.02, 4) AS lh,
+   round(coalesce(ax.alpha * coalesce(ta.att_mult, 1), 1.3) * coalesce(greatest(0.45, hs.beta * coalesce(ht.def_mult, 1)), 1.0), 4) AS la
+   FROM f{r} f LEFT JOIN str hs ON hs.team = home LEFT JOIN tour ht ON ht.team = home LEFT JOIN str ax ON ax.team = away LEFT JOIN tour ta ON ta.team = away),
 p{r} AS (SELECT event_id, home, away, lh, la, round(sum(p) FILTER (i > j), 3) AS ph, round(sum(p) FILTER (i < j), 3) AS pa FROM (SELECT l.*, i, j, exp(-lh) * lh ** i / factorial(CAST(i AS INTEGER)) * exp(-la) * la ** j / factorial(CAST(j AS INTEGER)) AS p
    FROM l{r} l, generate_series(0, 7) gi(i), generate_series(0, 7) gj(j)) GROUP BY ALL),
-w{r} AS (SELECT p.*, CASE WHEN rsh IS NULL THEN CASE WHEN ph >= pa THEN home ELSE away END WHEN rsh = rsa THEN home WHEN (rsh > rsa) = (rh = home) THEN home ELSE away END AS winner, rsh IS NOT NULL AS confirmed
+w{r} AS (SELECT p.*, CASE WHEN home IS NULL THEN away WHEN away IS NULL THEN home WHEN rsh IS NULL THEN CASE WHEN ph >= pa THEN home ELSE away END WHEN rsh = rsa THEN home WHEN (rsh > rsa) = (rh = home) THEN home ELSE away END AS winner, rsh IS NOT NULL AS confirmed
    FROM p{r} p LEFT JOIN last ON pair = least(home, away) || '|' || greatest(home, away))"""
         if r < 4:
             sql += f""",
