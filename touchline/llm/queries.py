@@ -4,8 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from touchline.llm import packing, wordtable
+from touchline.llm import html, language, packing, pii, quality, wordtable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -32,11 +33,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op2_html_extraction")
+def _(spark, sf_dir):
+    return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
 @query("op3_packing")
 def _(spark, sf_dir):
     return packing.digests(packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")))
 
 
+@query("op4_language_id")
+def _(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    model = language.fit(docs.where(F.crc32(F.col("doc_id").cast("string")) % 3 != 1))
+    return language.predict(docs.select("doc_id", "text", held_out.alias("held_out")), model).drop("text")
+
+
+@query("op5_pii")
+def _(spark, sf_dir):
+    return pii.digests(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+@query("op7_quality_rules")
+def _(spark, sf_dir):
+    return quality.score(table(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
+
+
 @query("op8_bpe_codec")
 def _(spark, sf_dir):
     return wordtable.digests(wordtable.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
