@@ -1,12 +1,14 @@
 """The registered queries of this folder and their SQL."""
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import html, language, packing, pii, quality, wordtable
+from touchline.llm import html, language, packing, pii, quality, rollups, vectors, wordtable
+from touchline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -56,6 +58,11 @@ def _(spark, sf_dir):
     return pii.digests(pii.find(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+@query("op6_embedding_dedup")
+def _(spark, sf_dir):
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op7_quality_rules")
 def _(spark, sf_dir):
     return quality.score(table(spark, sf_dir, "documents")).drop("text", "lang", "source", "n_chars")
@@ -64,3 +71,29 @@ def _(spark, sf_dir):
 @query("op8_bpe_codec")
 def _(spark, sf_dir):
     return wordtable.digests(wordtable.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
+
+
+ROLLUP_SQL = r"""
+WITH labelled AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
+counted AS (
+  SELECT d.source, d.lang, CASE WHEN l.doc_id IS NULL THEN 'words-1' ELSE 'words-2' END AS version,
+    CASE WHEN l.doc_id IS NULL THEN len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))
+      ELSE len(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9_\x{80}-\x{10FFFF}]+|[^A-Za-z0-9_\x{80}-\x{10FFFF}\x20\x09-\x0D]')) END AS n
+  FROM documents d LEFT JOIN labelled l ON d.doc_id = l.doc_id WHERE coalesce(l.toxic, 0) <> 1)
+SELECT source, lang, version, count(*) AS docs, CAST(sum(n) AS BIGINT) AS tokens FROM counted GROUP BY ALL"""
+
+
+@query("op10_token_counts", ROLLUP_SQL)
+def _(spark, sf_dir):
+    """All documents enter; those labelled toxic leave; labelled ones move to the second version; one batch comes twice."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
+    leave = docs.join(labels.where(toxic).select("doc_id"), "doc_id", "left_semi")
+    move = docs.join(labels.where(~toxic).select("doc_id"), "doc_id", "left_semi")
+    ledger = rollups.Ledger(spark, f"{shared_folder(spark)}/corpus/token-counts-{uuid.uuid4().hex}")
+    ledger.commit("load", rollups.signed(rollups.counted(docs, "words-1"), 1))
+    ledger.commit("toxic-out", rollups.signed(rollups.counted(leave, "words-1"), -1))
+    for _ in range(2):
+        ledger.commit("recount", rollups.revision(rollups.counted(move, "words-1"), rollups.counted(move, "words-2")))
+    return ledger.totals()

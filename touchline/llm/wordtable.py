@@ -2,8 +2,7 @@
 
 Documents are split into words in Spark. A run of documents (a chunk) refers to its words by number, so what moves is
 one row for each distinct word of a chunk and one compressed array of numbers for each document. Each distinct word of
-the corpus is encoded once, decoded by a join of its ids with the vocabulary, joined back to the chunks, and put in
-place by position.
+the corpus is encoded once, its ids are joined back to the chunks and with their pieces, and put in place by position.
 """
 from __future__ import annotations
 
@@ -16,12 +15,11 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.textscan import Flat, blocks, mix
+from touchline.llm.textscan import Flat, blocks
 from touchline.llm.tokens import CLASSES, DIGIT, FOREIGN, LETTER, OTHER, is_plain
-from touchline.llm.work import cut
 
 CHUNK_CHARS = 1 << 24
 
@@ -76,22 +74,21 @@ class Chunk:
         self.number, self.chars = number, 0
         self.known, self.code = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.words: list[str] = []
-        self.check = 0
 
     def codes(self, hashes: np.ndarray, word_at) -> np.ndarray:
         """The number of each word; ``word_at(i)`` gives the string of an unseen one."""
-        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
+        distinct, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
         place = np.searchsorted(self.known, distinct)
         new = place == len(self.known)
         new[~new] = self.known[place[~new]] != distinct[~new]
         if new.any():
-            fresh = distinct[new]
+            often = np.argsort(-times[new], kind="stable")  # frequent words first, for small numbers
+            fresh, first = distinct[new][often], first[new][often]
             known = np.concatenate((self.known, fresh))
             code = np.concatenate((self.code, np.arange(len(self.words), len(self.words) + len(fresh))))
             order = np.argsort(known)
             self.known, self.code = known[order], code[order]
-            self.words += [word_at(i) for i in first[new]]
-            self.check ^= int(np.bitwise_xor.reduce(mix(fresh)))
+            self.words += [word_at(i) for i in first]
         return self.code[np.searchsorted(self.known, distinct)][back]
 
 
@@ -126,17 +123,28 @@ def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int) -> Ite
     yield chunk, [], [], True
 
 
+def _packed(codes: np.ndarray) -> bytes:
+    """Word numbers as compressed byte planes: the high bytes of frequent words' small numbers are all alike."""
+    planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    return zlib.compress(np.ascontiguousarray(planes).tobytes(), 4)
+
+
+def _unpacked(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(packed), dtype=np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def document_codes(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """One row a document: its chunk, doc_id and compressed word numbers; ``check`` on a chunk's last row."""
+    """One row a document: its chunk, doc_id and compressed word numbers; then one row a chunk with its number of words."""
 
     def run(batches):
         for chunk, ids, codes, last in _chunks(batches, path, chunk_chars):
-            packed = [zlib.compress(c.astype("<u4").tobytes(), 1) for c in codes]
-            yield pd.DataFrame({"chunk": chunk.number, "doc_id": pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64"), "codes": packed, "is_check": False, "n_words": len(chunk.words), "check": 0})
+            ids = pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64")
+            yield pd.DataFrame({"chunk": chunk.number, "doc_id": ids, "codes": [_packed(c) for c in codes], "n_words": pd.array([None] * len(ids), dtype="Int64")})
             if last:
-                yield pd.DataFrame({"chunk": [chunk.number], "doc_id": pd.array([None], dtype="Int64"), "codes": [b""], "is_check": [True], "n_words": [len(chunk.words)], "check": [chunk.check >> 1]})
+                yield pd.DataFrame({"chunk": [chunk.number], "doc_id": pd.array([None], dtype="Int64"), "codes": [b""], "n_words": [len(chunk.words)]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, doc_id long, codes binary, is_check boolean, n_words long, check long")
+    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, doc_id long, codes binary, n_words long")
 
 
 def chunk_words(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -149,21 +157,17 @@ def chunk_words(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> D
                     words = chunk.words[a : a + 100_000]
                     yield pd.DataFrame({"chunk": chunk.number, "code": range(a, a + len(words)), "word": words})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, code long, word string")
-
-
-def vocabulary(spark: SparkSession, path: str) -> DataFrame:
-    """Pieces by id: as many rows as the tokenizer file has, whatever the corpus."""
-    t = splitter(path).tokenizer
-    rows = [(i, t.id_to_token(i)) for i in range(t.get_vocab_size(True))]
-    return spark.createDataFrame([r for r in rows if r[1] is not None], "id int, piece string")
+    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, code int, word string")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """ids of each row's word; the words are already normalised, so the normaliser is off."""
+    """``words`` with ids (little-endian unsigned 32-bit) in place of the word.
+
+    All rows of a word meet in one partition and stand together there, one for each chunk that has it, so every distinct
+    word is encoded once. The words are already normalised, so the normaliser is off.
+    """
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from tokenizers import Tokenizer
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -171,18 +175,37 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         t.no_truncation()
         t.no_padding()
         t.normalizer = None
+        last, last_ids = None, b""
         for batch in batches:
-            yield pd.Series([x.ids for x in t.encode_batch(batch.tolist(), add_special_tokens=False)])
+            word = batch["word"]
+            new = (word != word.shift(fill_value=last)).to_numpy() if last is not None else np.append(True, (word != word.shift())[1:].to_numpy())
+            ids = [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch(word[new].tolist(), add_special_tokens=False)]
+            ids = [last_ids, *ids]
+            at = np.cumsum(new)
+            yield pd.DataFrame({"chunk": batch["chunk"], "code": batch["code"], "ids": [ids[i] for i in at]})
+            last, last_ids = word.iloc[-1], ids[at[-1]]
+
+    return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, "chunk long, code int, ids binary")
+
+
+def vocabulary(path: str) -> dict[int, str]:
+    """Piece of each id: as many as the tokenizer file has, whatever the corpus."""
+    t = splitter(path).tokenizer
+    pieces = ((i, t.id_to_token(i)) for i in range(t.get_vocab_size(True)))
+    return {i: p for i, p in pieces if p is not None}
 
-    return words.withColumn("ids", encode("word"))
 
+def decode(encoded: DataFrame, path: str) -> DataFrame:
+    """``encoded`` (any columns and ids array<int>, no two rows alike) with the decoded text, by a join on the id.
 
-def decode_words(encoded: DataFrame, path: str) -> DataFrame:
-    """word, ids and decoded text (pieces joined by one blank, as the file names no decoder) through a join on the id."""
-    pieces = vocabulary(encoded.sparkSession, path)
-    rows = encoded.select("word", F.posexplode_outer("ids").alias("pos", "id")).join(F.broadcast(pieces), "id", "left")
-    whole = F.array_sort(F.collect_list(F.struct("pos", "id", "piece")))
-    return rows.groupBy("word").agg(whole.alias("all")).select("word", F.col("all.id").alias("ids"), F.array_join("all.piece", " ").alias("decoded"))
+    The text is the pieces with one blank between them, as a file without a decoder says. Unknown ids are left out; null
+    or empty ids give the empty text. Long documents' ids are spread over rows, then meet again by document.
+    """
+    pieces = encoded.sparkSession.createDataFrame(list(vocabulary(path).items()), "id int, piece string")
+    rows = encoded.withColumn("row", F.monotonically_increasing_id())
+    one = rows.select("row", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces), "id")
+    text = one.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("all")).select("row", F.array_join("all.piece", " ").alias("decoded"))
+    return rows.join(text, "row", "left").withColumn("decoded", F.coalesce("decoded", F.lit(""))).drop("row")
 
 
 def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
@@ -190,36 +213,36 @@ def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) ->
 
     ``docs`` needs doc_id and text; further columns are ignored; null ids and repeated rows come back as they are. A
     null, empty or white-space text has no ids and decodes to the empty text. An empty table gives no rows. ``docs`` is
-    read twice and must give the same partitions both times, as a table does; a checksum of each chunk's words is
-    compared and a difference raises an error. The only broadcast is the tokenizer's own vocabulary.
+    read twice and must give the same partitions both times, as a table does; the words of each chunk are counted both
+    times and a difference raises an error. A chunk's words are joined with their ids by number, and its distinct words
+    with the pieces of their ids (the tokenizer's own vocabulary, of fixed size, which every task holds); documents are
+    then put together by position. A task holds one chunk of ``chunk_chars`` characters, or one longer document.
     """
-    by_chunk = cut(chunk_words(docs, path, chunk_chars), "chunk-words")
-    words = decode_words(encode_words(by_chunk.select("word").distinct(), path), path)
-    known = by_chunk.join(words, "word").select("chunk", "code", "word", "ids", "decoded")
+    pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def rebuild(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        check = left[left["is_check"]].iloc[0]
-        right = right.sort_values("code")
-        flat = Flat(right["word"].tolist())
-        got = int(np.bitwise_xor.reduce(mix(flat.hashes(flat.starts[:-1], flat.starts[1:] - 1)))) >> 1 if len(right) else 0
-        if len(right) != check["n_words"] or got != check["check"]:
+        said = left["n_words"].dropna()
+        if len(said) != 1 or int(said.iloc[0]) != len(right):
             raise RuntimeError("the documents were dealt to partitions in another way the second time; give a stored table")
-        ids = [np.asarray(x, dtype=np.int32) for x in right["ids"]]
-        count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        store = np.concatenate(ids) if ids else np.zeros(0, dtype=np.int32)
+        right = right.sort_values("code")
+        store = np.frombuffer(b"".join(right["ids"]), dtype="<u4").astype(np.int32)
+        count = right["ids"].map(len).to_numpy(dtype=np.int64) // 4
         first = np.cumsum(count) - count
-        decoded = right["decoded"].tolist()
-        left = left[~left["is_check"]]
+        piece = pieces.value
+        names = [piece[i] for i in store.tolist()]
+        decoded = [" ".join(names[a : a + n]) for a, n in zip(first.tolist(), count.tolist())]
+        left = left[left["n_words"].isna()]
         out_ids, out_text = [], []
         for packed in left["codes"]:
-            codes = np.frombuffer(zlib.decompress(packed), dtype="<u4")
+            codes = _unpacked(packed)
             n = count[codes]
             stop = np.cumsum(n)
             out_ids.append(store[np.arange(stop[-1]) + np.repeat(first[codes] - (stop - n), n)] if len(codes) else np.zeros(0, dtype=np.int32))
-            out_text.append(" ".join([decoded[c] for c in codes]))
+            out_text.append(" ".join([decoded[c] for c in codes.tolist()]))
         return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "ids": out_ids, "decoded": out_text})
 
     coded = document_codes(docs, path, chunk_chars)
+    known = encode_words(chunk_words(docs, path, chunk_chars), path)
     return coded.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(rebuild, "doc_id long, ids array<int>, decoded string")
 
 
