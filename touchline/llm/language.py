@@ -10,6 +10,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -68,12 +69,14 @@ class Model:
 def training_sample(docs: DataFrame, per_lang: int) -> DataFrame:
     """At most ``per_lang`` labelled rows of each language, by the order of a hash of their ids.
 
-    A first filter on the hash leaves about four times as many, so the ordering never meets a whole language.
+    A first filter on the hash leaves about four times as many, so the ordering never meets a whole language. The
+    number of rows of each language goes through the driver.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text").withColumn("h", F.xxhash64("doc_id"))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    counts = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).groupBy("lang").count().collect()
     share = (F.col("h").cast("double") / F.lit(2.0**64)) + 0.5
-    near = labelled.join(counts, "lang").where(share * F.col("n") <= 4 * per_lang)
+    few = [F.col("lang").eqNullSafe(r["lang"]) & (share * r["count"] <= 4 * per_lang) for r in counts]
+    near = labelled.where(reduce(lambda a, b: a | b, few, F.lit(False)))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     return near.withColumn("rank", rank).where(F.col("rank") <= per_lang).select("lang", "rank", "text")
 
@@ -101,20 +104,20 @@ def fit(docs: DataFrame, per_lang: int = 500, landmarks_per_lang: int = 48, ridg
     if not len(got):
         return None
     got = got.sort_values(["lang", "rank"], ignore_index=True)
-    x = np.stack([np.unpackbits(np.frombuffer(zlib.decompress(b), dtype=np.uint8)) for b in got["bits"]])
-    size = np.sqrt(x.sum(axis=1, dtype=np.int64))
+    row = lambda packed: np.unpackbits(np.frombuffer(zlib.decompress(packed), dtype=np.uint8))
     langs = sorted(got["lang"].unique())
     mark = (got.groupby("lang").cumcount() < landmarks_per_lang).to_numpy()
-    slots = np.flatnonzero(x[mark].any(axis=0))
-    x = x[:, slots].astype(np.float32) / size[:, None].astype(np.float32)
-    land = x[mark].astype(np.float64)
-    values, vectors = np.linalg.eigh(land @ land.T)
+    slots = np.flatnonzero(reduce(np.bitwise_or, map(row, got["bits"][mark])))
+    size = np.sqrt([int(row(b).sum()) for b in got["bits"]])
+    unit = lambda i: (row(got["bits"][i])[slots] / size[i]).astype(np.float32)
+    land = np.stack([unit(i) for i in np.flatnonzero(mark)])
+    values, vectors = np.linalg.eigh((land @ land.T).astype(np.float64))
     good = values > 1e-8 * values[-1]
     root = vectors[:, good] / np.sqrt(values[good])  # Nystroem map, K_mm ** -1/2 up to a rotation
-    phi = (x @ land.T.astype(np.float32)).astype(np.float64) @ root
+    phi = np.stack([land @ unit(i) for i in range(len(got))]).astype(np.float64) @ root
     y = np.where(got["lang"].to_numpy()[:, None] == np.array(langs, dtype=object)[None, :], 1.0, -1.0)
     w = np.linalg.solve(phi.T @ phi + ridge * len(phi) / 100 * np.eye(phi.shape[1]), phi.T @ y)
-    return Model(langs, slots, (land.T @ (root @ w)).astype(np.float32))
+    return Model(langs, slots, land.T @ (root @ w).astype(np.float32))
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:

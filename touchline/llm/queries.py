@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import html, language, packing, pii, quality, rollups, vectors, wordtable
+from touchline.llm import html, language, minhash, packing, pii, quality, rollups, vectors, wordtable
 from touchline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,6 +35,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query("op1_minhash_dedup")
+def _(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query("op2_html_extraction")
 def _(spark, sf_dir):
     return html.extract(table(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
