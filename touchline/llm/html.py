@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from touchline.llm.work import cut
+
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
@@ -171,8 +173,14 @@ def read_blocks(page: str) -> list[tuple[str, list[int]]]:
     return out
 
 
-def parse(pages: DataFrame) -> DataFrame:
-    """page_id, url, host (null without one) and the blocks of every page."""
+def with_host(pages: DataFrame) -> DataFrame:
+    """page_id, url, html and the url's host, null without one."""
+    host = F.lower(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
+    return pages.select("page_id", "url", host.alias("host"), "html")
+
+
+def parse(hosted: DataFrame) -> DataFrame:
+    """page_id, url, host and the blocks of every page."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -180,20 +188,19 @@ def parse(pages: DataFrame) -> DataFrame:
             out["blocks"] = [[{"text": t, "path": p} for t, p in read_blocks(h)] if isinstance(h, str) else [] for h in batch["html"]]
             yield out
 
-    host = F.lower(F.nullif(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1), F.lit("")))
-    kind = dict(pages.dtypes)["page_id"]
-    return pages.select("page_id", "url", host.alias("host"), "html").mapInPandas(run, f"page_id {kind}, url string, host string, blocks array<struct<text:string,path:array<bigint>>>")
+    kind = dict(hosted.dtypes)["page_id"]
+    return hosted.mapInPandas(run, f"page_id {kind}, url string, host string, blocks array<struct<text:string,path:array<bigint>>>")
 
 
-def templates(parsed: DataFrame, min_pages: int, share: float) -> DataFrame:
+def templates(hosted: DataFrame, min_pages: int, share: float) -> DataFrame:
     """The subtrees of each host's template: on at least ``min_pages`` pages and on more than ``share`` of the host's.
 
     A host's list has at most 1/share times the mean number of subtrees of its pages.
     """
-    known = parsed.where(F.col("host").isNotNull())
-    hosts = known.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
+    hosted = hosted.where(F.col("host").isNotNull())
+    hosts = hosted.groupBy("host").agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages)
     subtree = F.explode(F.array_distinct(F.flatten(F.col("blocks.path")))).alias("subtree")
-    counts = known.select("host", subtree).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
+    counts = parse(hosted).select("host", subtree).groupBy("host", "subtree").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     return counts.join(hosts, "host").where(F.col("n") > share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
@@ -207,8 +214,9 @@ def extract(pages: DataFrame, min_pages: int = 10, share: float = 0.5) -> DataFr
     page gives the empty text; a null or odd url belongs to no host. Repeated rows come back as often, and count as
     pages. Broken markup (open tags, quotes, comments) is read to the end of the page. Other columns are ignored.
     """
-    parsed = parse(pages)
-    known = parsed.join(templates(parsed, min_pages, share), "host", "left")
+    hosted = with_host(pages)
+    template = cut(templates(hosted, min_pages, share), "templates")  # a table of its own: hot hosts can be split in the join
+    known = parse(hosted).join(template, "host", "left")
     kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.col("template")))
     blocks = F.when(F.col("template").isNull() | (F.size(kept) == 0), F.col("blocks")).otherwise(kept)
     text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")

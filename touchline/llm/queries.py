@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import html, language, minhash, packing, pii, quality, rollups, vectors, wordtable
+from touchline.llm import html, language, linededup, minhash, packing, pii, quality, rollups, vectors, wordtable
 from touchline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,11 @@ def _(spark, sf_dir):
     return wordtable.digests(wordtable.encode_decode(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json")))
 
 
+@query("op9_line_dedup")
+def _(spark, sf_dir):
+    return linededup.deduplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+
+
 ROLLUP_SQL = r"""
 WITH labelled AS (SELECT doc_id, max(toxic) AS toxic FROM labels GROUP BY doc_id),
 counted AS (
