@@ -1,8 +1,9 @@
 """Byte-pair encoding and decoding through a table of distinct words.
 
-Documents are split into words in Spark. A run of documents (a chunk) refers to its words by number, so what moves is
-one row for each distinct word of a chunk and one compressed array of numbers for each document. Each distinct word of
-the corpus is encoded once, its ids are joined back to the chunks and with their pieces, and put in place by position.
+Documents are split into words in Spark. A run of documents (a chunk) refers to its distinct words by number, so what
+moves is each chunk's list of words and one compressed array of numbers for each document. The lists meet by parts of
+the word table, where each distinct word of the corpus is encoded once; its ids are joined back to the chunks and with
+their pieces, and put in place by position.
 """
 from __future__ import annotations
 
@@ -21,7 +22,9 @@ from pyspark.sql import functions as F
 from touchline.llm.textscan import Flat, blocks
 from touchline.llm.tokens import CLASSES, DIGIT, FOREIGN, LETTER, OTHER, is_plain
 
-CHUNK_CHARS = 1 << 24
+CHUNK_CHARS = 1 << 23
+#: Parts of the word table; a task holds the distinct words of one.
+PARTS = 256
 
 
 class Splitter:
@@ -68,32 +71,42 @@ def splitter(path: str) -> Splitter:
 
 
 class Chunk:
-    """Numbers for the distinct words of consecutive documents."""
+    """Consecutive documents as numbers of their distinct words."""
 
     def __init__(self, number: int):
         self.number, self.chars = number, 0
         self.known, self.code = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
         self.words: list[str] = []
+        self.ids: list = []
+        self.codes: list[np.ndarray] = []
 
-    def codes(self, hashes: np.ndarray, word_at) -> np.ndarray:
-        """The number of each word; ``word_at(i)`` gives the string of an unseen one."""
-        distinct, first, back, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+    def numbers(self, hashes: np.ndarray, word_at) -> np.ndarray:
+        """The number of each word, by first occurrence; ``word_at(i)`` gives the string of an unseen one."""
+        distinct, first, back = np.unique(hashes, return_index=True, return_inverse=True)
         place = np.searchsorted(self.known, distinct)
         new = place == len(self.known)
         new[~new] = self.known[place[~new]] != distinct[~new]
         if new.any():
-            often = np.argsort(-times[new], kind="stable")  # frequent words first, for small numbers
-            fresh, first = distinct[new][often], first[new][often]
-            known = np.concatenate((self.known, fresh))
-            code = np.concatenate((self.code, np.arange(len(self.words), len(self.words) + len(fresh))))
+            known = np.concatenate((self.known, distinct[new]))
+            code = np.concatenate((self.code, np.arange(len(self.words), len(self.words) + int(new.sum()))))
             order = np.argsort(known)
             self.known, self.code = known[order], code[order]
-            self.words += [word_at(i) for i in first]
+            self.words += [word_at(i) for i in first[new]]
         return self.code[np.searchsorted(self.known, distinct)][back]
 
+    def finish(self) -> None:
+        """Number the words by falling frequency, which makes most numbers small."""
+        lengths = np.cumsum([len(c) for c in self.codes])[:-1]
+        all_codes = np.concatenate(self.codes) if self.codes else np.zeros(0, dtype=np.int64)
+        order = np.argsort(-np.bincount(all_codes, minlength=len(self.words)), kind="stable")
+        rank = np.empty(len(order), dtype=np.int64)
+        rank[order] = np.arange(len(order))
+        self.words = [self.words[i] for i in order]
+        self.codes = np.split(rank[all_codes], lengths) if self.codes else []
 
-def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int) -> Iterator[tuple[Chunk, list, list[np.ndarray], bool]]:
-    """Chunk, doc ids and word numbers by block of documents; True with the last block of a chunk."""
+
+def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int) -> Iterator[Chunk]:
+    """The finished chunks of a partition, in order."""
     split, partition, made = splitter(path), TaskContext.get().partitionId(), 0
     chunk = Chunk(partition << 32)
     for batch in batches:
@@ -105,7 +118,7 @@ def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int) -> Ite
             if plain:
                 h, s, e, flat = split.words([block[i] for i in plain])
                 cp = flat.cp
-                code = chunk.codes(h, lambda i: cp[s[i] : e[i]].tobytes().decode("utf-32-le")) if len(h) else np.zeros(0, dtype=np.int64)
+                code = chunk.numbers(h, lambda i: cp[s[i] : e[i]].tobytes().decode("utf-32-le")) if len(h) else np.zeros(0, dtype=np.int64)
                 bounds = np.searchsorted(s, flat.starts)
                 for i, x, y in zip(plain, bounds[:-1], bounds[1:]):
                     out[i] = code[x:y]
@@ -113,14 +126,18 @@ def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int) -> Ite
                 words = split.foreign(block[i])
                 if words:
                     flat = Flat(words)
-                    out[i] = chunk.codes(flat.hashes(flat.starts[:-1], flat.starts[1:] - 1), words.__getitem__)
+                    out[i] = chunk.numbers(flat.hashes(flat.starts[:-1], flat.starts[1:] - 1), words.__getitem__)
             chunk.chars += sum(map(len, block))
-            full = chunk.chars >= chunk_chars
-            yield chunk, ids[a:b], out, full
-            if full:
+            chunk.ids += ids[a:b]
+            chunk.codes += out
+            if chunk.chars >= chunk_chars:
                 made += 1
+                chunk.finish()
+                yield chunk
                 chunk = Chunk((partition << 32) + made)
-    yield chunk, [], [], True
+    if chunk.ids:
+        chunk.finish()
+        yield chunk
 
 
 def _packed(codes: np.ndarray) -> bytes:
@@ -135,36 +152,43 @@ def _unpacked(packed: bytes) -> np.ndarray:
 
 
 def document_codes(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """One row a document: its chunk, doc_id and compressed word numbers; then one row a chunk with its number of words."""
+    """One row a document: its chunk, doc_id, compressed word numbers and how many words the chunk has."""
 
     def run(batches):
-        for chunk, ids, codes, last in _chunks(batches, path, chunk_chars):
-            ids = pd.array([None if pd.isna(i) else int(i) for i in ids], dtype="Int64")
-            yield pd.DataFrame({"chunk": chunk.number, "doc_id": ids, "codes": [_packed(c) for c in codes], "n_words": pd.array([None] * len(ids), dtype="Int64")})
-            if last:
-                yield pd.DataFrame({"chunk": [chunk.number], "doc_id": pd.array([None], dtype="Int64"), "codes": [b""], "n_words": [len(chunk.words)]})
+        for chunk in _chunks(batches, path, chunk_chars):
+            ids = pd.array([None if pd.isna(i) else int(i) for i in chunk.ids], dtype="Int64")
+            yield pd.DataFrame({"chunk": chunk.number, "doc_id": ids, "codes": [_packed(c) for c in chunk.codes], "n_words": len(chunk.words)})
 
     return docs.select("doc_id", "text").mapInPandas(run, "chunk long, doc_id long, codes binary, n_words long")
 
 
-def chunk_words(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """One row for each distinct word of a chunk."""
+def chunk_words(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, parts: int = PARTS) -> DataFrame:
+    """The distinct words of each chunk, one row for each part (by a hash of the word) of the word table: the words in
+    order, joined by newlines, and their numbers."""
 
     def run(batches):
-        for chunk, _, _, last in _chunks(batches, path, chunk_chars):
-            if last:
-                for a in range(0, len(chunk.words), 100_000):
-                    words = chunk.words[a : a + 100_000]
-                    yield pd.DataFrame({"chunk": chunk.number, "code": range(a, a + len(words)), "word": words})
-
-    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, code int, word string")
+        for chunk in _chunks(batches, path, chunk_chars):
+            words = np.array(chunk.words, dtype=object)
+            flat = Flat(chunk.words)
+            part = (flat.hashes(flat.starts[:-1], flat.starts[1:] - 1) % np.uint64(parts)).astype(np.int64) if len(words) else np.zeros(0, dtype=np.int64)
+            order = np.argsort(part, kind="stable")
+            bounds = np.searchsorted(part[order], np.arange(parts + 1))
+            rows = []
+            for p in range(parts):
+                codes = order[bounds[p] : bounds[p + 1]]
+                if len(codes):
+                    codes = codes[np.argsort(words[codes])]
+                    rows.append((chunk.number, p, zlib.compress("\n".join(words[codes]).encode()), _packed(codes)))
+            yield pd.DataFrame(rows, columns=["chunk", "part", "words", "codes"])
+
+    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, part int, words binary, codes binary")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
-    """``words`` with ids (little-endian unsigned 32-bit) in place of the word.
+    """``words`` with their ids in place of the words: how many each has, and all of them in order.
 
-    All rows of a word meet in one partition and stand together there, one for each chunk that has it, so every distinct
-    word is encoded once. The words are already normalised, so the normaliser is off.
+    The rows of a part of the word table come together, one for each chunk, so each distinct word of the corpus is
+    encoded once; a task holds the distinct words of one part. The words are already normalised.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -175,17 +199,22 @@ def encode_words(words: DataFrame, path: str) -> DataFrame:
         t.no_truncation()
         t.no_padding()
         t.normalizer = None
-        last, last_ids = None, b""
+        part, known = None, {}
         for batch in batches:
-            word = batch["word"]
-            new = (word != word.shift(fill_value=last)).to_numpy() if last is not None else np.append(True, (word != word.shift())[1:].to_numpy())
-            ids = [np.array(x.ids, dtype="<u4").tobytes() for x in t.encode_batch(word[new].tolist(), add_special_tokens=False)]
-            ids = [last_ids, *ids]
-            at = np.cumsum(new)
-            yield pd.DataFrame({"chunk": batch["chunk"], "code": batch["code"], "ids": [ids[i] for i in at]})
-            last, last_ids = word.iloc[-1], ids[at[-1]]
-
-    return words.repartition("word").sortWithinPartitions("word").mapInPandas(run, "chunk long, code int, ids binary")
+            out = []
+            for chunk, p, packed, codes in batch.itertuples(index=False):
+                if p != part:
+                    part, known = p, {}
+                mine = zlib.decompress(packed).decode().split("\n")
+                new = [w for w in mine if w not in known]
+                for w, x in zip(new, t.encode_batch(new, add_special_tokens=False)):
+                    known[w] = np.array(x.ids, dtype="<u4").tobytes()
+                ids = [known[w] for w in mine]
+                count = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids)) // 4
+                out.append((chunk, codes, _packed(count), _packed(np.frombuffer(b"".join(ids), dtype="<u4"))))
+            yield pd.DataFrame(out, columns=["chunk", "codes", "counts", "ids"])
+
+    return words.repartition("part").sortWithinPartitions("part").mapInPandas(run, "chunk long, codes binary, counts binary, ids binary")
 
 
 def vocabulary(path: str) -> dict[int, str]:
@@ -221,17 +250,26 @@ def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) ->
     pieces = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
 
     def rebuild(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        said = left["n_words"].dropna()
-        if len(said) != 1 or int(said.iloc[0]) != len(right):
+        n_words = int(left["n_words"].iloc[0]) if len(left) else -1
+        count, ids = np.zeros(max(n_words, 0), dtype=np.int64), [b""] * max(n_words, 0)
+        filled = 0
+        for codes, counts, packed in zip(right["codes"], right["counts"], right["ids"]):
+            codes, counts, mine = _unpacked(codes), _unpacked(counts).astype(np.int64), _unpacked(packed).tobytes()
+            filled += len(codes)
+            if filled > n_words:
+                break
+            count[codes] = counts
+            stop = np.cumsum(counts)
+            for c, b, n in zip(codes.tolist(), stop.tolist(), counts.tolist()):
+                ids[c] = mine[4 * (b - n) : 4 * b]
+        if filled != n_words:
             raise RuntimeError("the documents were dealt to partitions in another way the second time; give a stored table")
-        right = right.sort_values("code")
-        store = np.frombuffer(b"".join(right["ids"]), dtype="<u4").astype(np.int32)
-        count = right["ids"].map(len).to_numpy(dtype=np.int64) // 4
+        store = np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32)
         first = np.cumsum(count) - count
         piece = pieces.value
         names = [piece[i] for i in store.tolist()]
         decoded = [" ".join(names[a : a + n]) for a, n in zip(first.tolist(), count.tolist())]
-        left = left[left["n_words"].isna()]
+        del names, ids
         out_ids, out_text = [], []
         for packed in left["codes"]:
             codes = _unpacked(packed)
@@ -239,7 +277,7 @@ def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) ->
             stop = np.cumsum(n)
             out_ids.append(store[np.arange(stop[-1]) + np.repeat(first[codes] - (stop - n), n)] if len(codes) else np.zeros(0, dtype=np.int32))
             out_text.append(" ".join([decoded[c] for c in codes.tolist()]))
-        return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "ids": out_ids, "decoded": out_text})
+        return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "ids": pd.Series(out_ids, dtype=object), "decoded": pd.Series(out_text, dtype=object)})
 
     coded = document_codes(docs, path, chunk_chars)
     known = encode_words(chunk_words(docs, path, chunk_chars), path)
