@@ -13,8 +13,11 @@ def _checksum(edges: DataFrame) -> tuple:
 
 
 def _least(edges: DataFrame) -> DataFrame:
-    """Each node's smallest neighbour or itself: a partial aggregate, so a hub meets as one row a task."""
-    return edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    """Each node's smallest neighbour or itself: a partial aggregate, so a hub meets as one row a task.
+
+    Written as a table of its own, so that a hub's links can be split over tasks in the join with it.
+    """
+    return cut(edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

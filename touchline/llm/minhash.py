@@ -28,6 +28,8 @@ SLICE = 1 << 14
 LEAST_SHARE = 0.01
 TABLE_BITS = 16
 BLOCK = 1 << 19
+#: Up to this many ids (some 30 MB) are sent to all executors to pick their texts; more are joined by shuffle.
+FEW_IDS = 2_000_000
 
 
 @dataclass(frozen=True)
@@ -55,14 +57,17 @@ def shingles(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray,
         h, owner = flat.hashes(s, e), flat.owner(s)
         first = np.searchsorted(owner, np.arange(b - a + 1))
         place = (np.arange(len(h)) - first[owner]).astype(np.uint64)
-        sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(place * np.uint64(k) + np.uint64(k)))))) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+        totals = []
+        for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix(place * np.uint64(k) + np.uint64(k))))))
+            totals.append(sums[first[1:]] - sums[first[:-1]])
         wh, at = window_hashes(h, owner, WORDS)
         bounds = np.searchsorted(at, first)
         for i in range(b - a):
             n = first[i + 1] - first[i]
-            sig = [int((c[first[i + 1]] - c[first[i]]).astype(np.int64)) for c in sums]
+            sig = [int(t[i].astype(np.int64)) for t in totals]
             if 0 < n < WORDS:
-                yield np.array([sums[0][first[i + 1]] - sums[0][first[i]]], dtype=np.uint64), np.ones(1, dtype=np.int64), *sig
+                yield totals[0][i : i + 1], np.ones(1, dtype=np.int64), *sig
             else:
                 yield *np.unique(wh[bounds[i] : bounds[i + 1]], return_counts=True), *sig
 
@@ -224,16 +229,17 @@ def star_pairs(buckets: DataFrame, pivots: int) -> DataFrame:
     return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b")).distinct()
 
 
-def rest_links(buckets: DataFrame, labels: DataFrame, feats: DataFrame, docs: DataFrame, idf, settings: Settings) -> DataFrame:
+def rest_links(buckets: DataFrame, labels: DataFrame, feats: DataFrame, texts: DataFrame, idf, settings: Settings) -> DataFrame:
     """Links the stars may have missed: in buckets too large for them that still hold several components, all members of
     different components are compared, block against block, so no task holds more than two blocks of a bucket."""
-    rows = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = rows.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-    open_ = open_.where((F.col("n") > settings.pivots + 1) & (F.col("lo") != F.col("hi"))).select("key", F.ceil(F.col("n") / settings.group).cast("int").alias("parts"))
+    large = buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > settings.pivots + 1)
+    rows = cut(buckets.join(large, "key"), "large-buckets").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_ = rows.groupBy("key").agg(F.max("n").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi"))
+    open_ = open_.select("key", F.ceil(F.col("n") / settings.group).cast("int").alias("parts"))
     rows = rows.join(open_, "key").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
     rows = cut(rows.select("key", "id", "component", "part", "parts"), "open-buckets")
     ids = rows.select(F.col("id").alias("doc_id")).distinct()
-    content = feats.join(ids, "doc_id").select(F.col("doc_id").alias("id"), "codes", "bands").join(docs.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "text"), "id")
+    content = feats.join(ids, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), "codes", "bands").join(texts.select(F.col("doc_id").alias("id"), "text"), "id")
     spread = rows.select("key", "id", "component", "part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     spread = spread.select("key", "id", "component", "part", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j")).join(content, "id")
     fewest = int(settings.samples * settings.least - 5 * np.sqrt(settings.samples * settings.least * (1 - settings.least)))
@@ -273,17 +279,18 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     idf = spark.sparkContext.broadcast(inverse_frequencies(docs))  # 4 MB, whatever the corpus
     known = docs.where(F.col("doc_id").isNotNull())
     feats = cut(features(known, idf, settings).where(F.size("bands") > 0), "features")
-    classes = feats.groupBy("s1", "s2").agg(F.min("doc_id").alias("id"))
+    classes = cut(feats.groupBy("s1", "s2").agg(F.min("doc_id").alias("id")), "classes")
     member = cut(feats.select("doc_id", "s1", "s2").join(classes, ["s1", "s2"]).select("doc_id", "id").distinct(), "members")
     reps = feats.join(classes.select(F.col("id").alias("doc_id"), "s1", "s2"), ["doc_id", "s1", "s2"]).dropDuplicates(["doc_id", "s1", "s2"])
     buckets = cut(reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("key")).distinct(), "buckets")
     pairs = cut(star_pairs(buckets, settings.pivots), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    wanted = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct(), "candidate-ids")
+    wanted = F.broadcast(wanted) if wanted.count() <= FEW_IDS else wanted
     texts = cut(known.join(wanted, "doc_id", "left_semi").distinct(), "candidate-texts")
     several = member.groupBy("doc_id").agg(F.min("id").alias("a"), F.max("id").alias("z")).where(F.col("a") != F.col("z"))
     links = verified(pairs, texts, idf, settings.least).union(member.join(several, "doc_id").where(F.col("id") != F.col("a")).select("a", F.col("id").alias("b")))
     first = cut(components(links).select(F.col("node").alias("id"), "component"), "first-components")
-    rest = rest_links(buckets, first, reps, known, idf, settings)
+    rest = rest_links(buckets, first, reps, texts, idf, settings)
     names = first.select(F.col("id").alias("a"), F.col("component").alias("ca")), first.select(F.col("id").alias("b"), F.col("component").alias("cb"))
     rest = rest.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
     second = components(rest).select(F.col("node").alias("component"), F.col("component").alias("final"))
