@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,8 +19,6 @@ VERSIONS: dict[str, Callable[[Column], Column]] = {
 
 def bpe_counter(path: str) -> Callable[[Column], Column]:
     """A version that counts the ids of a public byte-level BPE file."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
         from touchline.llm.tokens import encoder
