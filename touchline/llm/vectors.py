@@ -1,6 +1,7 @@
 """Near-duplicate vectors by cross-polytope hashing after fast Hadamard rotations."""
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -95,12 +96,17 @@ def _verified(pairs: DataFrame, units: DataFrame, least: float) -> DataFrame:
     return both.where(F.col("cosine") >= least).select("a", "b")
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int = 10, hashes: int = 2, probes: int = 2, seed: int = 7) -> DataFrame:
+def hash_length(rows: int, dim: int) -> int:
+    """Rotations to a bucket key: one more than it takes for as many buckets as rows, so chance meetings stay few."""
+    return 1 + max(1, math.ceil(math.log(max(rows, 2)) / math.log(2 * max(dim, 2))))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int = 12, hashes: int | None = None, probes: int = 2, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
 
     Two vectors link when their cosine in double precision is at least ``least``. Candidates share a bucket of one of
     ``tables`` tables, a vector looking into its own bucket and into ``probes`` more for each of the ``hashes``
-    rotations; each candidate pair is verified, so there are no false links, and every bucket is joined whole. Equal
+    rotations (by default hash_length of the table, so candidates grow with the rows and not their square); each candidate pair is verified, so there are no false links, and every bucket is joined whole. Equal
     unit vectors are one class, found by exact grouping and weighted by its size. Vectors that are null, zero or hold a
     null or non-finite component link with nothing, as do those of different lengths; a null vec_id keeps its row with
     no links and a null component. Rows that repeat a vec_id repeat its result; among rows of one vec_id with different
@@ -113,6 +119,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int = 10, h
     member = units.join(classes, ["h1", "h2"]).select("vec_id", "id", "size", "v")
     member = cut(member, "vector-classes")
     reps = member.where(F.col("vec_id") == F.col("id")).select("id", "v")
+    if hashes is None:
+        n, dim = reps.agg(F.count("*"), F.max(F.size("v"))).first()
+        hashes = hash_length(n, dim or 2)
     hashed = cut(_hashed(reps, tables, hashes, probes, seed), "buckets")
     own = hashed.select(F.col("id").alias("a"), "dim", F.explode("own").alias("key"))
     look = hashed.select(F.col("id").alias("b"), "dim", F.explode(F.concat("own", "probe")).alias("key"))
