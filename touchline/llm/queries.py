@@ -99,11 +99,11 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    leave = docs.join(labels.where(toxic).select("doc_id"), "doc_id", "left_semi")
-    move = docs.join(labels.where(~toxic).select("doc_id"), "doc_id", "left_semi")
+    one, two = rollups.counted(docs, "words-1"), rollups.counted(docs, "words-2")  # counts are joined, not texts
+    leave, move = labels.where(toxic).select("doc_id"), labels.where(~toxic).select("doc_id")
     ledger = rollups.Ledger(spark, f"{shared_folder(spark)}/corpus/token-counts-{uuid.uuid4().hex}")
-    ledger.commit("load", rollups.signed(rollups.counted(docs, "words-1"), 1))
-    ledger.commit("toxic-out", rollups.signed(rollups.counted(leave, "words-1"), -1))
+    ledger.commit("load", rollups.signed(one, 1))
+    ledger.commit("toxic-out", rollups.signed(one.join(leave, "doc_id", "left_semi"), -1))
     for _ in range(2):
-        ledger.commit("recount", rollups.revision(rollups.counted(move, "words-1"), rollups.counted(move, "words-2")))
+        ledger.commit("recount", rollups.revision(one.join(move, "doc_id", "left_semi"), two.join(move, "doc_id", "left_semi")))
     return ledger.totals()
