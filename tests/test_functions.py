@@ -78,10 +78,27 @@ def test_t_distribution(one, t, df, p):
     assert one(pr.t_two_sided(lit(t), lit(df))) == pytest.approx(p, abs=2e-4)
 
 
-def test_t_branches_agree(one):
-    for t in (0.5, 1.7, 2.9, 4.2):
-        exact = one(pr.t_two_sided(lit(t), lit(400)))
-        assert one(pr.t_two_sided(lit(t), lit(400), exact_to=10)) == pytest.approx(exact, abs=2e-6)
+def t_series(t, df):
+    """Finite series for whole degrees of freedom, any number of terms."""
+    theta = math.atan(abs(t) / math.sqrt(df))
+    c2, sin = math.cos(theta) ** 2, math.sin(theta)
+    if df % 2:
+        term = total = math.cos(theta) if df > 1 else 0.0
+        for k in range(1, (df - 3) // 2 + 1):
+            term *= 2 * k / (2 * k + 1) * c2
+            total += term
+        return 1 - 2 / math.pi * (theta + sin * total)
+    term = total = 1.0
+    for k in range(1, (df - 2) // 2 + 1):
+        term *= (2 * k - 1) / (2 * k) * c2
+        total += term
+    return 1 - sin * total
+
+
+@pytest.mark.parametrize("df", [1, 2, 3, 4, 7, 40, 41, 42, 43, 400, 401, 1500, 20_001, 300_000])
+def test_t_is_exact_for_all_degrees_of_freedom(one, df):
+    for t in (1e-6, 0.5, 1.7, 2.9, 4.2, 9.0, 60.0):
+        assert one(pr.t_two_sided(lit(t), lit(df))) == pytest.approx(t_series(t, df), abs=1e-10)
 
 
 def test_pitch(one):

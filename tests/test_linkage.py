@@ -76,6 +76,15 @@ def test_match_scorers(spark):
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
 
 
+def test_match_scorers_of_a_long_side(spark):
+    a = spark.range(10_001).selectExpr("1 as match_id", "cast(id as int) as ordinal", "element_at(array('juan perez', 'luis sosa', 'zz'), cast(id % 3 as int) + 1) as name")
+    b = spark.range(9_000).selectExpr("1 as match_id", "cast(id as int) as ordinal", "element_at(array('pedro perez', 'ana silva', 'l sosa'), cast(id % 3 as int) + 1) as name")
+    got = {}
+    for r in linkage.match_scorers(a, b, ["match_id"]).collect():
+        got[(r.source, r.name)] = got.get((r.source, r.name), 0) + 1
+    assert got == {("a", "zz"): 3333, ("b", "ana silva"): 3000}
+
+
 def test_setpiece_roles(spark):
     players = spark.createDataFrame([(1, "A", ["juan", "perez"]), (2, "A", ["silva"]), (3, "B", ["perez"])], "player_id int, team string, name_tokens array<string>")
     takers = spark.createDataFrame([("A", "pk", 0, ["silva"]), ("A", "pk", 1, ["perez"]), ("A", "ck", 1, ["perez", "juan"]), ("A", "fk", 0, [])], "team string, kind string, idx int, taker_tokens array<string>")

@@ -129,46 +129,28 @@ def market_ratio(total: Column, target: Column, max_goals: int = 8, rho: float =
     return F.when(total.isNotNull() & target.isNotNull(), search(total, target))
 
 
-def t_two_sided(t: Column, df: Column, exact_to: int = 400) -> Column:
-    """Two-sided p-value of Student's t for whole degrees of freedom.
+NODES = 96
 
-    Up to ``exact_to`` the finite series 26.7.3-4 of Abramowitz and Stegun; above it the
-    normal tail of the variance-stabilised t (error below 1e-5).
-    """
-    theta = F.atan(F.abs(t) / F.sqrt(df.cast("double")))
-    sin, cos = F.sin(theta), F.cos(theta)
-    odd = df % 2 == 1
-    # even: sin * (1 + 1/2 c^2 + 1*3/(2*4) c^4 + ..); odd: 2/pi (theta + sin (c + 2/3 c^3 + ..))
-    steps = F.when(odd, F.floor((df - 3) / 2)).otherwise(F.floor((df - 2) / 2)).cast("int")
-    ratio_top = F.when(odd, F.lit(0)).otherwise(F.lit(-1))
-    index = F.when(steps >= 1, F.sequence(F.lit(1), F.greatest(F.least(steps, F.lit(exact_to)), F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    first = F.when(odd, cos).otherwise(F.lit(1.0))
-    series = F.aggregate(
-        index,
-        F.struct(first.alias("s"), first.alias("u")),
-        lambda acc, k: F.struct(
-            (acc["s"] + acc["u"] * ((2 * k + ratio_top) / (2 * k + ratio_top + 1)) * cos * cos).alias("s"),
-            (acc["u"] * ((2 * k + ratio_top) / (2 * k + ratio_top + 1)) * cos * cos).alias("u"),
-        ),
-        lambda acc: acc["s"],
-    )
-    mass = (
-        F.when(df == 1, 2 / pi * theta)
-        .when(odd, 2 / pi * (theta + sin * series))
-        .otherwise(sin * series)
-    )
-    z = F.sqrt(df * F.log1p(t * t / df)) * (8.0 * df + 1) / (8.0 * df + 3)
-    return F.when(df <= exact_to, F.greatest(F.lit(0.0), 1 - mass)).otherwise(normal_two_sided(z))
 
+def t_two_sided(t: Column, df: Column) -> Column:
+    """Two-sided p-value of Student's t, by one method for all degrees of freedom.
 
-def normal_two_sided(z: Column) -> Column:
-    """2 * (1 - Phi(|z|)) by formula 26.2.17 (absolute error 1.5e-7)."""
-    a = F.abs(z)
-    u = 1 / (1 + 0.2316419 * a)
-    poly = u * (0.319381530 + u * (-0.356563782 + u * (1.781477937 + u * (-1.821255978 + u * 1.330274429))))
-    return 2 * F.exp(-a * a / 2) / (2 * pi) ** 0.5 * poly
+    With s = sqrt(df) tan(theta) the density becomes a power of a cosine, integrated from 0 to |t| by Gauss-Legendre
+    quadrature; angles at which the power is below e**-40 are cut off. The quotient of gamma functions comes from its
+    asymptotic series at an argument raised by 40 through the recurrence. The absolute error is below 1e-11.
+    """
+    n = df.cast("double")
+    top = F.atan(F.abs(t) / F.sqrt(n))
+    top = F.when(n > 41, F.least(top, F.acos(F.exp(-40 / F.greatest(n - 1, F.lit(1.0)))))).otherwise(top)
+    x, w = np.polynomial.legendre.leggauss(NODES)
+    nodes = F.array(*[F.struct(F.lit(float((1 + u) / 2)).alias("x"), F.lit(float(v / 2)).alias("w")) for u, v in zip(x, w)])
+    area = F.aggregate(nodes, F.lit(0.0), lambda acc, g: acc + g["w"] * F.pow(F.cos(top * g["x"]), n - 1)) * top
+    half = n / 2
+    far = half + 40
+    quotient = F.sqrt(far) * (1 - 1 / (8 * far) + 1 / (128 * far**2) + 5 / (1024 * far**3) - 21 / (32768 * far**4) - 399 / (262144 * far**5))
+    steps = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: (half + i) / (half + i + 0.5))
+    density = F.aggregate(steps, quotient, lambda acc, s: acc * s) / pi**0.5
+    return F.greatest(F.lit(0.0), 1 - 2 * density * area)
 
 
 def one_sample_t(n: Column, mean: Column, sample_var: Column, mu=0.0) -> Column:

@@ -1,7 +1,7 @@
 """Standings, knockout brackets, strengths and fixture probabilities."""
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as pr
@@ -27,9 +27,9 @@ def _table_order() -> list:
     return [F.col("pts").desc(), F.col("gd").desc(), F.col("gf").desc(), F.col("team")]
 
 
-def group_positions(table: DataFrame, places: int = 4) -> DataFrame:
-    """First ``places`` of each group with their position key ('1A')."""
-    ranked = top_n(table, ["grp"], _table_order(), places, "place")
+def group_positions(table: DataFrame) -> DataFrame:
+    """Every place of each group with its position key ('1A'). The table has one row a team."""
+    ranked = table.withColumn("place", F.row_number().over(Window.partitionBy("grp").orderBy(*_table_order())))
     return ranked.withColumn("position", F.concat(F.col("place").cast("string"), F.col("grp")))
 
 

@@ -8,11 +8,14 @@ rows times tokens even when one surname covers a third of them.
 """
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.text import tokens
-from touchline.operators.ordered import top_n
 
 
 def link_keys(name: Column, min_len: int = 3) -> Column:
@@ -101,36 +104,55 @@ def link_fixtures(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     return left.select(left_id).join(out, left_id, "left").select(left_id, F.col("_m._id").alias("match_id"))
 
 
-MAX_SIDE = 10_000
+def _leftovers(a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
+    """Rows of ``a`` without any match in ``b`` and rows of ``b`` that stay free; rows are (keys of the name, row), in order.
+
+    Free rows of ``b`` wait in one queue a name key, so a row of ``a`` looks at the heads of its own queues only.
+    """
+    queues: dict[str, deque[int]] = {}
+    for j, (names, _) in enumerate(b):
+        for k in set(names):
+            queues.setdefault(k, deque()).append(j)
+    known, free = set(queues), [True] * len(b)
+    for names, row in a:
+        if known.isdisjoint(names):
+            yield row
+            continue
+        heads = []
+        for k in names:
+            q = queues.get(k)
+            while q and not free[q[0]]:
+                q.popleft()
+            if q:
+                heads.append(q[0])
+        if heads:
+            free[min(heads)] = False
+    yield from (row for (_, row), left in zip(b, free) if left)
 
 
 def match_scorers(a: DataFrame, b: DataFrame, keys: list[str], ordinal: str = "ordinal", name: str = "name", min_len: int = 3) -> DataFrame:
-    """Leftovers of two goal lists of the same match side.
+    """Leftovers of two goal lists of the same match side, of any length.
 
-    A row of ``a`` is left over when no row of ``b`` matches its name at all. Rows of ``b``
-    are consumed one to one: each row of ``a``, in order, takes the first free match.
-    A side holds one team's goals of one match; more than ``MAX_SIDE`` rows is a broken
-    feed and stops the job instead of being cut.
+    A row of ``a`` is left over when no row of ``b`` matches its name at all. Rows of ``b`` are consumed one to one:
+    each row of ``a``, in order, takes the first free match. The order makes a side one fold over its sorted rows; its
+    time grows with the rows and their name tokens, its memory with the rows (one team's goals of one match).
     Returns keys, source ('a' or 'b'), ordinal, name.
     """
-
-    def packed(df: DataFrame, out: str) -> DataFrame:
-        item = F.struct(F.col(ordinal).alias("o"), F.col(name).alias("n"), link_keys(F.col(name), min_len).alias("k"))
-        rows = top_n(df, keys, [F.col(ordinal), F.col(name)], MAX_SIDE + 1, "_rn").groupBy(*keys).agg(
-            F.count("*").alias("_c"), F.array_sort(F.collect_list(item)).alias(out)
-        )
-        checked = F.when(F.col("_c") > MAX_SIDE, F.raise_error(F.lit("match side larger than any real goal list")).cast("int"))
-        return rows.withColumn("_c", checked).where(F.col("_c").isNull()).drop("_c")
-
-    both = packed(a, "_a").join(packed(b, "_b"), keys, "full_outer")
-    empty = F.array().cast(both.schema["_a"].dataType)
-    both = both.withColumns({"_a": F.coalesce("_a", empty), "_b": F.coalesce("_b", empty)})
-
-    def take(left, item):
-        match = F.array_min(F.transform(F.filter(left, lambda r: F.arrays_overlap(r["k"], item["k"])), lambda r: r["o"]))
-        return F.filter(left, lambda r: match.isNull() | (r["o"] != match))
-
-    left_b = F.aggregate("_a", F.col("_b"), take)
-    left_a = F.filter("_a", lambda x: ~F.exists("_b", lambda y: F.arrays_overlap(x["k"], y["k"])))
-    tag = lambda arr, s: F.transform(arr, lambda r: F.struct(F.lit(s).alias("source"), r["o"].alias(ordinal), r["n"].alias(name)))
-    return both.select(*keys, F.explode(F.concat(tag(left_a, "a"), tag(left_b, "b"))).alias("_r")).select(*keys, "_r.*")
+    out = [*keys, "source", ordinal, name]
+    rows = a.select(*keys, F.lit("a").alias("source"), ordinal, name).union(b.select(*keys, F.lit("b").alias("source"), ordinal, name))
+    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "source", ordinal, name).withColumn("_k", link_keys(F.col(name), min_len))
+    at = len(keys)
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        side, sides = None, {"a": [], "b": []}
+        for batch in batches:
+            done = []
+            for *row, names in zip(*[batch[c].tolist() for c in [*out, "_k"]]):
+                if row[:at] != side:
+                    done += _leftovers(**sides)
+                    side, sides = row[:at], {"a": [], "b": []}
+                sides[row[at]].append((names, row))
+            yield pd.DataFrame(done, columns=out)
+        yield pd.DataFrame(list(_leftovers(**sides)), columns=out)
+
+    return rows.mapInPandas(fold, rows.select(*out).schema)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from touchline.operators import linkage
 from touchline.operators.joins import reconcile
 from touchline.operators.models import rescore, ridge
-from touchline.operators.ordered import dense_ranks, top_n
+from touchline.operators.ordered import dense_ranks, positions, top_n
 
 
 def coverage(matches: DataFrame, rows: DataFrame, match: str, rating: str) -> DataFrame:
@@ -18,18 +18,13 @@ def coverage(matches: DataFrame, rows: DataFrame, match: str, rating: str) -> Da
     return out.withColumn("reason", reason)
 
 
-def scorer_totals(goals: DataFrame, player: list[str], occurrence: list[str], keep: int = 2000) -> DataFrame:
-    """Goals per player with the sorted list of occurrences.
+def scorer_totals(goals: DataFrame, player: list[str], occurrence: list[str]) -> DataFrame:
+    """One row a goal: the player's total, the goal's position in the player's list and the occurrence columns.
 
-    A player's goals are a short list; should a key hold more than ``keep`` rows its list is
-    split over numbered chunks, so no single row or task takes them all and none is lost.
+    Rows and no nested list, so a player with any number of goals is spread over many tasks.
     """
     totals = goals.groupBy(*player).agg(F.count("*").alias("total"))
-    big = totals.withColumn("_chunks", F.ceil(F.col("total") / keep).cast("int"))
-    rows = goals.select(*player, F.struct(*occurrence).alias("_o")).join(big, player)
-    chunk = F.pmod(F.xxhash64("_o"), F.col("_chunks"))
-    lists = rows.groupBy(*player, "total", chunk.alias("chunk")).agg(F.array_sort(F.collect_list("_o")).alias("occurrences"))
-    return lists
+    return positions(goals.select(*player, *occurrence), player, [F.col(c) for c in occurrence]).join(totals, player)
 
 
 def count_audit(incidents: DataFrame, lineups: DataFrame, stat: str) -> DataFrame:

@@ -119,11 +119,11 @@ def update_form(form: DataFrame, rows: DataFrame, weight: float, keep: int = 20,
     return kept, level
 
 
-def club_and_country(events: DataFrame, stats: DataFrame, national: DataFrame, recent: int = 40) -> tuple[DataFrame, DataFrame]:
+def club_and_country(events: DataFrame, stats: DataFrame, national: DataFrame, recent: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Main club competition of each player and the totals with the national team.
 
     ``events``: player_id, event_id, ts, tournament, season, home_id, away_id; ``stats``: player_id,
-    event_id and metrics; ``national``: player_id, national_id.
+    event_id and metrics; ``national``: player_id, national_id. ``recent`` limits the totals to the newest matches.
     """
     e = events.join(national, "player_id")
     with_country = (F.col("home_id") == F.col("national_id")) | (F.col("away_id") == F.col("national_id"))
@@ -131,7 +131,8 @@ def club_and_country(events: DataFrame, stats: DataFrame, national: DataFrame, r
     league = mode_rows(club, ["player_id"], ["tournament", "season"])
     inside = club.join(league.drop("n"), ["player_id", "tournament", "season"]).select("player_id", F.explode(F.array("home_id", "away_id")).alias("team_id"))
     main = league.join(mode_rows(inside, ["player_id"], ["team_id"]).drop("n"), "player_id")
-    country = top_n(e.where(with_country), ["player_id"], [F.col("ts").desc(), F.col("event_id")], recent).select("player_id", "event_id")
+    country = e.where(with_country)
+    country = (top_n(country, ["player_id"], [F.col("ts").desc(), F.col("event_id")], recent) if recent else country).select("player_id", "event_id")
     metrics = [c for c in stats.columns if c not in ("player_id", "event_id")]
     totals = stats.join(country, ["player_id", "event_id"]).groupBy("player_id").agg(F.count("*").alias("games"), *[F.sum(F.coalesce(c, F.lit(0))).alias(c) for c in metrics])
     return main, totals

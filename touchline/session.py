@@ -7,6 +7,7 @@ at planning time and again, on measured shuffle sizes, in adaptive execution).
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +55,7 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and continue from the files."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as Parquet below the checkpoint folder and continue from the files; later reads prune columns."""
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions import pitch, scalars as sc
 from touchline.operators import aggregates as ag
-from touchline.operators.ordered import arg_max
+from touchline.operators.ordered import arg_max, positions
 from touchline.workload.registry import query
 from touchline.workload.tables import FIXTURES_SQL, PLAYERS_SQL, rnd
 
@@ -185,13 +185,12 @@ def _(t):
     return bucket_rates(e, "value", "y", [0, 10, 50, 150, 300, 600]).withColumn("rate", F.round("rate", 4))
 
 
-@query("occurrence_lists", "D29", """SELECT l_suppkey, count(*) AS total, string_agg(CAST(l_orderkey AS VARCHAR), '|' ORDER BY l_orderkey, l_linenumber) AS orders FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45 GROUP BY 1""")
+@query("occurrence_lists", "D29", """SELECT l_suppkey, count(*) OVER (PARTITION BY l_suppkey) AS total, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS position, l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag = 'R'""")
 def _(t):
     from touchline.plans.audit import scorer_totals
 
-    goals = t.lineitem.where((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 45))
-    out = scorer_totals(goals, ["l_suppkey"], ["l_orderkey", "l_linenumber"])
-    return out.select("l_suppkey", "total", F.array_join(F.transform("occurrences", lambda s: s["l_orderkey"].cast("string")), "|").alias("orders"))
+    out = scorer_totals(t.lineitem.where(F.col("l_returnflag") == "R"), ["l_suppkey"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
+    return out.select("l_suppkey", "total", "position", "l_orderkey", "l_linenumber")
 
 
 @query("bag_multiplicity", "D30", f"""SELECT l_suppkey, CAST(sum(CAST(l_linenumber AS BIGINT)) AS BIGINT) AS copies, {rnd('sum(l_quantity * l_linenumber) / sum(l_linenumber)')} AS mean FROM lineitem GROUP BY 1""")
@@ -252,12 +251,11 @@ def _(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.round(ag.truthy_mean(F.col("l_discount"), 0.82), 4).alias("level"))
 
 
-@query("collect_by_round", "D40", f"""WITH {FIXTURES_SQL} SELECT grp, played, string_agg(CAST(event_id AS VARCHAR), '|' ORDER BY event_id) AS events FROM (SELECT grp, CAST(played AS VARCHAR) AS played, event_id FROM fixtures) GROUP BY 1, 2""")
+@query("collect_by_round", "D40", f"""WITH {FIXTURES_SQL} SELECT grp, CAST(played AS VARCHAR) AS played, row_number() OVER (PARTITION BY grp, played ORDER BY event_id) AS position, event_id FROM fixtures""")
 def _(t):
-    """Fixture ids per group and match day; a day of one group is a short list by nature."""
+    """Fixtures of each group and match day in order, as numbered rows."""
     f = t.fixtures().select("grp", F.col("played").cast("string").alias("played"), "event_id")
-    packed = f.groupBy("grp", "played").agg(F.array_sort(F.collect_list("event_id")).alias("e"))
-    return packed.select("grp", "played", F.array_join(F.transform("e", lambda x: x.cast("string")), "|").alias("events"))
+    return positions(f, ["grp", "played"], [F.col("event_id")])
 
 
 @query("recent_rating", "D41", f"""SELECT user_id, {rnd("avg(value) FILTER (value >= 20 AND event_type <> 'error')", 6)} AS rating FROM events GROUP BY 1""")

@@ -95,7 +95,18 @@ def _(t):
     return linkage.link_fixtures(left, right, "left_id", "id", "id")
 
 
-@query("scorer_leftovers", "C07")
+LEFTOVER_SQL = """WITH RECURSIVE lines AS (SELECT l_orderkey AS o, l_linenumber AS line, p_name AS name, l_returnflag AS flag, list_concat(['=' || p_name], list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) > 3), lambda x: '~' || x)) AS keys,
+  row_number() OVER (PARTITION BY l_orderkey, l_returnflag ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
+a AS (SELECT * FROM lines WHERE flag = 'A'), b AS (SELECT * FROM lines WHERE flag = 'R'),
+c AS (SELECT a.o, a.k, coalesce(list(b.k ORDER BY b.k) FILTER (b.k IS NOT NULL), []) AS found FROM a LEFT JOIN b ON a.o = b.o AND list_has_any(a.keys, b.keys) GROUP BY ALL),
+fold AS (SELECT o, CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS taken FROM (SELECT DISTINCT o FROM a)
+  UNION ALL SELECT f.o, c.k, CASE WHEN len(list_filter(c.found, lambda x: NOT list_contains(f.taken, x))) > 0 THEN list_append(f.taken, list_filter(c.found, lambda x: NOT list_contains(f.taken, x))[1]) ELSE f.taken END FROM fold f JOIN c ON c.o = f.o AND c.k = f.k + 1),
+last AS (SELECT o, arg_max(taken, k) AS taken FROM fold GROUP BY o)
+SELECT a.o AS l_orderkey, 'a' AS source, line, name FROM a JOIN c USING (o, k) WHERE len(found) = 0
+UNION ALL SELECT b.o, 'b', line, name FROM b LEFT JOIN last ON last.o = b.o WHERE taken IS NULL OR NOT list_contains(taken, k)"""
+
+
+@query("scorer_leftovers", "C07", LEFTOVER_SQL)
 def _(t):
     """Lines of an order named by part: shipped ones against returned ones."""
     lines = t.lineitem.join(t.part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_name").alias("name")), "l_partkey").select(

@@ -23,7 +23,7 @@ def _(t):
     return cp.standings(t.fixtures())
 
 
-@query("group_positions", "E05", f"WITH {TABLE_SQL} SELECT grp, team, pts, CAST(place AS VARCHAR) || grp AS position FROM pos WHERE place <= 4")
+@query("group_positions", "E05", f"WITH {TABLE_SQL} SELECT grp, team, pts, CAST(place AS VARCHAR) || grp AS position FROM pos")
 def _(t):
     return cp.group_positions(cp.standings(t.fixtures())).select("grp", "team", "pts", "position")
 

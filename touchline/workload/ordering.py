@@ -172,8 +172,8 @@ def _(t):
     return top_n(by_name, ["pos"], [F.col("xg").desc(), F.col("name")], 1).select("pos", "name", F.round("xg", 4).alias("xg"))
 
 
-@query("dynamic_sort", "F06, F07", """SELECT c_custkey, abs(c_acctbal) AS magnitude, CASE WHEN c_nationkey % 2 = 0 THEN c_acctbal END AS chosen FROM customer ORDER BY chosen DESC NULLS LAST, abs(c_acctbal) DESC, c_custkey LIMIT 200""")
+@query("dynamic_sort", "F06, F07", """SELECT c_custkey, abs(c_acctbal) AS magnitude, CASE WHEN c_nationkey % 2 = 0 THEN c_acctbal END AS chosen FROM customer ORDER BY chosen DESC NULLS LAST, abs(c_acctbal) DESC, c_custkey""")
 def _(t):
     column = "chosen"
     c = t.customer.select("c_custkey", F.abs("c_acctbal").alias("magnitude"), F.when(F.col("c_nationkey") % 2 == 0, F.col("c_acctbal")).alias("chosen"))
-    return c.orderBy(F.col(column).desc_nulls_last(), F.col("magnitude").desc(), "c_custkey").limit(200)
+    return c.orderBy(F.col(column).desc_nulls_last(), F.col("magnitude").desc(), "c_custkey")

@@ -12,8 +12,8 @@ from touchline.workload.tables import rnd
 
 
 def event_stream(t):
-    schema = t.events.schema
-    raw = t.spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(t.dir)
+    """The event table as a stream, whether it is one file or a folder of files (a plain path must be a folder, a pattern may match either)."""
+    raw = t.spark.readStream.schema(t.events.schema).parquet(f"{t.dir}/events.parque[t]")
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 

@@ -71,13 +71,14 @@ def _(t):
 
 
 @query("event_study", "K09, J01, D13, K01", f"""WITH {EVENTS_SQL.replace("ev AS (", "ev0 AS (").replace("),\nwin", "),\nev AS (SELECT event_id, user_id, minute, 'error' AS selector, is_home FROM ev0 WHERE event_type = 'error' UNION ALL SELECT event_id, user_id, minute, 'error_rival', NOT is_home FROM ev0 WHERE event_type = 'error' UNION ALL SELECT event_id, user_id, minute, 'purchase', is_home FROM ev0 WHERE event_type = 'purchase'),\nwin")},
-m AS (SELECT selector, event_id, avg(signed) FILTER ("offset" < 0) AS pre, avg(signed) FILTER ("offset" > 0) AS post FROM win GROUP BY 1, 2 HAVING count(*) >= 15 AND pre IS NOT NULL AND post IS NOT NULL)
-SELECT selector, count(*) AS n, {rnd('avg(pre)')} AS mean_pre, {rnd('avg(post)')} AS mean_post, {rnd('avg(post - pre)')} AS mean_delta, {rnd('avg(post - pre) / sqrt(var_samp(post - pre) / count(*))')} AS t_stat FROM m GROUP BY 1""")
+m AS (SELECT selector, event_id, avg(signed) FILTER ("offset" < 0) AS pre, avg(signed) FILTER ("offset" > 0) AS post FROM win GROUP BY 1, 2 HAVING count(*) >= 15 AND pre IS NOT NULL AND post IS NOT NULL),
+st AS (SELECT selector, count(*) AS n, avg(pre) AS mean_pre, avg(post) AS mean_post, avg(post - pre) AS mean_delta, avg(post - pre) / sqrt(var_samp(post - pre) / count(*)) AS t_stat, count(*) - 1 AS d FROM m GROUP BY 1)
+SELECT selector, n, {rnd('mean_pre')} AS mean_pre, {rnd('mean_post')} AS mean_post, {rnd('mean_delta')} AS mean_delta, {rnd('t_stat')} AS t_stat, {rnd(P_SQL, 6)} AS p_value FROM st""")
 def _(t):
     e = F.col("event_type")
     selectors = {"error": (e == "error", False), "error_rival": (e == "error", True), "purchase": (e == "purchase", False)}
     out = se.event_study(triggers(t), series(t), "user_id", selectors)
-    return out.select("selector", "n", *[F.round(c, 4).alias(c) for c in ("mean_pre", "mean_post", "mean_delta", "t_stat")])
+    return out.select("selector", "n", *[F.round(c, 4).alias(c) for c in ("mean_pre", "mean_post", "mean_delta", "t_stat")], F.round("p_value", 6).alias("p_value"))
 
 
 @query("event_trajectory", "D12", f"""WITH {EVENTS_SQL} SELECT event_type, "offset", count(*) AS n, {rnd('avg(signed)')} AS mean, {rnd('stddev_pop(signed) / sqrt(count(*))')} AS se FROM win GROUP BY 1, 2""")
@@ -96,13 +97,14 @@ def _(t):
 
 
 @query("context_comparison", "K08, K01", f"""WITH {EVENTS_SQL}, m AS (SELECT event_id, avg(signed) FILTER ("offset" < 0) AS pre, avg(signed) FILTER ("offset" > 0) AS post FROM win WHERE event_type = 'purchase' GROUP BY 1 HAVING count(*) >= 10),
-s AS (SELECT count(*) FILTER (pre > 0) AS n1, avg(post) FILTER (pre > 0) AS m1, var_samp(post) FILTER (pre > 0) AS v1, count(*) FILTER (pre <= 0) AS n2, avg(post) FILTER (pre <= 0) AS m2, var_samp(post) FILTER (pre <= 0) AS v2 FROM m WHERE pre IS NOT NULL AND post IS NOT NULL)
-SELECT n1 AS n_1, {rnd('m1')} AS mean_1, n2 AS n_2, {rnd('m2')} AS mean_2, {rnd('(m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2))')} AS t_stat FROM s""")
+s AS (SELECT count(*) FILTER (pre > 0) AS n1, avg(post) FILTER (pre > 0) AS m1, var_samp(post) FILTER (pre > 0) AS v1, count(*) FILTER (pre <= 0) AS n2, avg(post) FILTER (pre <= 0) AS m2, var_samp(post) FILTER (pre <= 0) AS v2 FROM m WHERE pre IS NOT NULL AND post IS NOT NULL),
+st AS (SELECT *, (m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)) AS t_stat, n1 + n2 - 2 AS d FROM s)
+SELECT n1 AS n_1, {rnd('m1')} AS mean_1, n2 AS n_2, {rnd('m2')} AS mean_2, {rnd('t_stat')} AS t_stat, {rnd(P_SQL, 6)} AS p_value FROM st""")
 def _(t):
     e = triggers(t).where(F.col("event_type") == "purchase")
     m = se.event_means(se.signed_windows(e, series(t), "user_id", 5, 10), ["event_id"], 10)
     out = se.compare_groups(m.withColumn("announced", F.col("pre_mean") > 0), "announced", "post_mean")
-    return out.select("n_1", F.round("mean_1", 4).alias("mean_1"), "n_2", F.round("mean_2", 4).alias("mean_2"), F.round("t_stat", 4).alias("t_stat"))
+    return out.select("n_1", F.round("mean_1", 4).alias("mean_1"), "n_2", F.round("mean_2", 4).alias("mean_2"), F.round("t_stat", 4).alias("t_stat"), F.round("p_value", 6).alias("p_value"))
 
 
 @query("dominance_by_team", "D15, D16, L06", f"""WITH {SERIES_SQL} SELECT user_id % 7 AS team, count(*) AS minutes, count(*) FILTER (value > 60) AS dominant, {rnd('count(*) FILTER (value > 60) * 100.0 / count(*)', 1)} AS pct_dominant FROM series GROUP BY 1""")
