@@ -215,3 +215,33 @@ def test_weighted_matches_and_gates(spark):
     p = spark.createDataFrame([(1, 4.0, 0.9, 0.9, "starter", None, 45.0), (2, 4.0, 0.9, 0.9, "starter", None, None)], "id int, xpts double, mins_share double, p_play double, role string, lineup_status string, recent double")
     got = {r.id: r for r in tournament.gate_by_recent_minutes(p, "recent").collect()}
     assert got[1].xpts == pytest.approx(4.0 * (0.5 / 0.9) * (0.6 / 0.9), abs=0.01) and got[1].role == "rotation" and got[2].xpts == 4.0
+
+
+def test_links_of_any_markup(spark):
+    page = """<a href="/1">one</a> <A class="c>d" HREF='/2'>two</A> <a name=x>no</a> <a rel=nofollow href=/3 >three</a> <abbr href="/no">x</abbr> <a data-href="/no" href="/4"><b>four</b></a>"""
+    rows = feeds.page_links(spark.createDataFrame([(1, page), (2, ""), (3, None)], "page_id int, html string"), ["page_id"]).collect()
+    assert [(r.ordinal, r.href, r.name) for r in rows] == [(0, "/1", "one"), (1, "/2", "two"), (2, "/3", "three"), (3, "/4", "<b>four</b>")]
+
+
+def test_embedded_payload_ends_at_its_brace(spark):
+    pages = ['const D = {"k": 1};', 'const D={"k": 2}\n</script>', 'const D = {"k": 3, "s": "a }; b", "o": {"x": 1}}; var e = {};', "const E = {};"]
+    rows = feeds.embedded_json(spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string"), "D", "struct<k: int, s: string>").collect()
+    assert [r.payload and (r.payload.k, r.payload.s) for r in rows] == [(1, None), (2, None), (3, "a }; b"), None]
+
+
+def test_published_pointer_moves_and_rolls_back(spark, tmp_path):
+    root = str(tmp_path)
+    for run in ("run9", "run10"):
+        sinks.publish(spark.createDataFrame([(run,)], "name string"), root, run)
+        assert sinks.latest(spark, root).first().name == run
+    sinks.point(spark, root, "run9")
+    assert sinks.latest(spark, root).first().name == "run9"
+
+
+def test_plans_keep_managers_and_skip_owned(spark):
+    squads = [(1, 0.0, [("G", 1.0, 1.0, False)] * 11, [1]), (2, 100.0, [("D", 1.0, 1.0, False)] * 13, [])]
+    df = spark.createDataFrame(squads, "manager_id int, bank double, slots array<struct<pos: string, xpts: double, price: double, must_sell: boolean>>, owned array<int>")
+    plans = transfers.keep_plans(df, keep=3).join(df.select("manager_id", "owned"), "manager_id", "right")
+    pool = [(i, "GDMF"[i % 4], 1.0 + i % 3, 50.0 - i) for i in range(40)]
+    got = {r.manager_id: r for r in transfers.best_transfers(plans, spark.createDataFrame(pool, "id int, position string, price double, xpts double"), ["manager_id", "formation", "keep_set"]).collect()}
+    assert got[1].total is None and got[2].total > 0 and bin(got[2].keep_set).count("1") == 3

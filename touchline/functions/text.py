@@ -4,6 +4,8 @@ from __future__ import annotations
 import sys
 import unicodedata
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,8 +63,8 @@ def taker_tokens(name: Column, min_length: int = 4) -> Column:
 
 def contains_any(text: Column, words: list[str]) -> Column:
     """True when the lower-cased text contains one of the words; null text is False."""
-    pattern = "|".join(w.replace(".", "\\.") for w in words)
-    return F.coalesce(F.lower(text).rlike(pattern), F.lit(False))
+    hits = [F.contains(F.lower(text), F.lit(w)) for w in words]
+    return F.coalesce(reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(False))
 
 
 def search_any(columns: list[Column], query: str) -> Column:
@@ -73,23 +75,29 @@ def search_any(columns: list[Column], query: str) -> Column:
     return hit
 
 
+# Factors of the unit letters of money texts.
+UNIT_FACTORS = {"m": 1_000_000, "k": 1_000, "th": 1_000}
+
+
 def market_value(text: Column) -> Column:
     """'1,50M' -> 1500000, '500k' / '500 Th.' -> 500000; unit-free numbers stay as they are."""
-    pattern = r"(?i)([\d.]+)\s*(m|k|Th\.)?"
-    flat = F.regexp_replace(F.regexp_replace(F.trim(text), " ", ""), ",", ".")
-    number = F.regexp_extract(flat, pattern, 1).try_cast("double")
-    unit = F.lower(F.regexp_extract(flat, pattern, 2))
-    scale = F.when(unit == "m", 1_000_000).when(unit.isin("k", "th."), 1_000).otherwise(1)
-    return F.round(number * scale).cast("long")
+    digits = F.rtrim(F.translate(F.regexp_replace(text, "[^0-9.,]", ""), ",", "."), F.lit("."))
+    letters = F.lower(F.regexp_replace(text, "[^A-Za-z]", ""))
+    factor = F.lit(1)
+    for unit, value in UNIT_FACTORS.items():
+        factor = F.when(letters == unit, value).otherwise(factor)
+    return F.round(digits.try_cast("double") * factor).cast("long")
+
+
+# How the providers' goal lines name own goals and penalties.
+OWN_GOAL_WORDS = "propia puerta|propia meta|Eigentor|en propia"
+PENALTY_WORDS = r"penal|penalty|Elfmeter|\(EP\)"
 
 
 def goal_kind(text: Column) -> Column:
     """own goal / penalty / regular from the free text of a goal line."""
-    return (
-        F.when(text.rlike("(?i)propia puerta|propia meta|Eigentor|en propia"), "owngoal")
-        .when(text.rlike(r"(?i)penal|penalty|Elfmeter|\(EP\)"), "penalty")
-        .otherwise("regular")
-    )
+    own, penalty = text.rlike(f"(?i){OWN_GOAL_WORDS}"), text.rlike(f"(?i){PENALTY_WORDS}")
+    return F.when(own, "owngoal").when(penalty, "penalty").otherwise("regular")
 
 
 def tag_text(html: Column, tag: str) -> Column:

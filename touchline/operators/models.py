@@ -1,6 +1,9 @@
 """Regression, classification and ranking models fitted from one-pass sums."""
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.classification import LogisticRegression
@@ -10,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import clamp
-from touchline.operators.ordered import running_totals, top_n
+from touchline.operators.ordered import running_totals
 
 
 def ridge(df: DataFrame, group: str, features: list[str], target: str, alpha: float = 1.0, min_rows: int = 20, label: str = "ALL") -> DataFrame:
@@ -161,21 +164,54 @@ def with_residual(df: DataFrame, x: str, y: str, name: str = "residual") -> Data
     return df.withColumn("_fit", fit).withColumn(name, F.col(y) - fitted).drop("_fit")
 
 
-def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidates: DataFrame, positions: list[str], per_position: int = 60) -> DataFrame:
-    """Evaluate every plan with a greedy buy and keep the best per ``group``.
+def buyable(candidates: DataFrame, most: dict[str, int]) -> DataFrame:
+    """Candidates that a greedy buy by points can ever reach.
+
+    Behind ``most[position]`` rows of its position that score as much and cost no more, a row is never bought: one of
+    them was skipped for want of money while a place was free, and money only falls. Each partition drops such rows
+    first, what is left meets once more.
+    """
 
-    ``plans``: plan keys, budget, keep_points and one ``need_<position>`` per position.
-    ``candidates``: id, position, price, xpts; the best ``per_position`` of each position form
-    one short list (its size is positions x per_position), walked once per plan with the
-    money left as state. Plans are independent rows.
+    def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            rows = batch if kept is None else pd.concat([kept, batch])
+            rows = rows.sort_values(["xpts", "id"], ascending=[False, True], ignore_index=True)
+            cheapest: dict[str, list[float]] = {p: [] for p in most}  # negated prices of the cheapest rows so far
+            keep = []
+            for position, price in zip(rows["position"], rows["price"]):
+                heap, n = cheapest.get(position, []), most.get(position, 0)
+                keep.append(len(heap) < n or n > 0 and price < -heap[0])
+                if len(heap) < n:
+                    heapq.heappush(heap, -price)
+                elif n and price < -heap[0]:
+                    heapq.heapreplace(heap, -price)
+            kept = rows[keep]
+        if kept is not None:
+            yield kept
+
+    good = candidates.where((F.col("xpts") > 0) & (F.col("price") > 0)).select("id", "position", "price", "xpts")
+    return good.mapInPandas(prune, good.schema).repartition(1).mapInPandas(prune, good.schema)
+
+
+def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidates: DataFrame, positions: list[str]) -> DataFrame:
+    """Evaluate every plan with a greedy buy by points and keep the best per ``group``; a group without a plan that
+    can be filled keeps its row with null results.
+
+    ``plans``: plan keys, budget, keep_points, one ``need_<position>`` per position and, if wanted, ``owned``, an array
+    of ids that must not be bought. ``candidates``: id, position, price, xpts; the reachable ones (``buyable``) form one
+    list, walked once per plan with the money left as state. Plans are independent rows.
     """
-    short = top_n(candidates.where((F.col("xpts") > 0) & (F.col("price") > 0)), ["position"], [F.col("xpts").desc(), F.col("id")], per_position)
+    owns = "owned" in plans.columns
+    limits = plans.agg(*[F.max(f"need_{p}").alias(p) for p in positions], F.max(F.size("owned") if owns else F.lit(0)).alias("owned")).first()
+    short = buyable(candidates, {p: (limits[p] or 0) + (limits["owned"] or 0) for p in positions})
     item = F.struct((-F.col("xpts")).alias("neg"), "id", "position", "price", "xpts")
     menu = short.agg(F.sort_array(F.collect_list(item)).alias("menu")).scalar()
     start = F.struct(
         F.col("budget").cast("double").alias("money"), F.lit(0.0).alias("points"), F.lit(0).alias("bought"),
         *[F.col(f"need_{p}").cast("int").alias(f"need_{p}") for p in positions],
     )
+    free = (lambda c: ~F.array_contains("owned", c["id"])) if owns else (lambda c: F.lit(True))
 
     def step(s, c):
         left = F.lit(0)
@@ -185,7 +221,7 @@ def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidat
             (s["money"] - c["price"]).alias("money"), (s["points"] + c["xpts"]).alias("points"), (s["bought"] + 1).alias("bought"),
             *[(s[f"need_{p}"] - (c["position"] == p).cast("int")).alias(f"need_{p}") for p in positions],
         )
-        return F.when((c["price"] <= s["money"]) & (left > 0), bought).otherwise(s)
+        return F.when((c["price"] <= s["money"]) & (left > 0) & free(c), bought).otherwise(s)
 
     # the walk is the cost, not the bytes: spread the plans over all cores before it
     cores = plans.sparkSession.sparkContext.defaultParallelism
@@ -197,5 +233,5 @@ def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidat
     order = F.when(F.col("total").isNotNull(), F.struct("total", *[-F.col(k) for k in plan_keys]))
     pick = F.max_by(F.struct(*plan_keys, "total", F.col("_r.money").alias("money_left")), order)
     rest = [k for k in plan_keys if k not in group]
-    best = done.groupBy(*group).agg(pick.alias("_b")).where(F.col("_b").isNotNull())
+    best = done.groupBy(*group).agg(pick.alias("_b"))
     return best.select(*group, *[F.col(f"_b.{k}") for k in rest], "_b.total", "_b.money_left")

@@ -1,8 +1,6 @@
 """Squad planning: every formation and every set of kept players, best buy under the budget."""
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +30,13 @@ def _at(position: str):
 def keep_plans(squads: DataFrame, keep: int = 5, formations=FORMATIONS) -> DataFrame:
     """All plans of each manager: formations x keep-sets of the squad's kept-able slots.
 
-    ``squads``: manager_id, bank, slots array<struct<pos, xpts, price, must_sell>>. Keep-sets are
-    positions in the slot array; plans whose kept players do not fit the formation are dropped.
+    ``squads``: manager_id, bank, slots array<struct<pos, xpts, price, must_sell>>. A keep-set is a
+    number whose bits are the kept slots of the squad, however many it has; plans whose kept players do not fit the formation are dropped.
     """
-    size = 11
-    masks = F.array(*[F.array(*[F.lit(i) for i in c]) for c in combinations(range(size), keep)])
     shapes = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(1).alias("G"), F.lit(d).alias("D"), F.lit(m).alias("M"), F.lit(f).alias("F")) for i, (d, m, f) in enumerate(formations)])
-    p = squads.select("*", F.posexplode(masks).alias("keep_set", "_mask"))
-    p = p.withColumn("_kept", F.transform("_mask", lambda i: F.get(F.col("slots"), i)))
+    sets = F.filter(F.sequence(F.lit(0), F.call_function("shiftleft", F.lit(1), F.size("slots")) - 1), lambda m: F.bit_count(m) == keep)
+    p = squads.select("*", F.explode(sets).alias("keep_set"))
+    p = p.withColumn("_kept", F.filter("slots", lambda s, i: F.getbit("keep_set", i) == 1))
     p = p.where(~F.exists("_kept", lambda s: s.isNull() | s["must_sell"]))
     add = lambda arr, f: F.aggregate(F.transform(arr, lambda s: s[f].cast("double")), F.lit(0.0), lambda a, b: a + b)
     p = p.withColumns({

@@ -174,17 +174,27 @@ def roster_rows(pages: DataFrame, html: str = "html", keep: list[str] | None = N
     )
 
 
+_ATTRIBUTES = r"""((?:\s+[^\s=>"'/]+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s>"']+))?)*)"""
+
+
 def page_links(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
-    """Every link of a page in order: target and text."""
-    found = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<a href=\"([^\"]*)\"[^>]*>.*?</a>"), 1)
-    names = F.regexp_extract_all(F.col(html), F.lit(r"(?s)<a href=\"[^\"]*\"[^>]*>(.*?)</a>"), 1)
-    both = F.arrays_zip(found.alias("href"), names.alias("name"))
-    return pages.select(*keep, F.posexplode(both).alias("ordinal", "l")).select(*keep, "ordinal", F.col("l.href").alias("href"), F.col("l.name").alias("name"))
+    """Every link of a page in order: target and text. The target may stand at any place of the tag, in either quote or none."""
+    tag = rf"(?is)<a{_ATTRIBUTES}\s*>(.*?)</a>"
+    parts = [F.regexp_extract_all(F.col(html), F.lit(tag), F.lit(g)) for g in (1, 2)]
+    target = r"""(?is)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+    link = lambda a, name: F.struct(
+        F.when(a.rlike(target), F.concat(*[F.regexp_extract(a, target, g) for g in (1, 2, 3)])).alias("href"), name.alias("name")
+    )
+    links = F.filter(F.zip_with(*parts, link), lambda x: x["href"].isNotNull())
+    return pages.select(*keep, F.posexplode(links).alias("ordinal", "l")).select(*keep, "ordinal", "l.href", "l.name")
 
 
 def embedded_json(pages: DataFrame, variable: str, schema: str, html: str = "html") -> DataFrame:
-    """Payload of ``const <variable> = {...};`` in a page, parsed with an explicit schema."""
-    text = F.regexp_extract(html, rf"(?s)const {variable}\s*=\s*(\{{.*?\}})\s*;", 1)
+    """Payload of ``const <variable> = {...}`` in a page, parsed with an explicit schema.
+
+    The parser reads one value and stops at its closing brace, so braces in strings and what follows do not matter.
+    """
+    text = F.regexp_extract(html, rf"(?s)const\s+{variable}\s*=\s*(\{{.*)", 1)
     return pages.withColumn("payload", F.from_json(F.nullif(text, F.lit("")), schema))
 
 

@@ -21,20 +21,31 @@ def write_json(df: DataFrame, path: str) -> None:
 
 
 def publish(df: DataFrame, root: str, run: str) -> str:
-    """Write a run folder, then move the pointer to it; earlier runs stay.
+    """Write a run folder, then point readers to it; earlier runs stay.
 
-    Readers follow the pointer, so a job that dies half way changes nothing for them.
+    A job that dies half way changes nothing for readers.
     """
     target = f"{root}/runs/{run}"
     df.write.mode("errorifexists").parquet(target)
-    pointer = df.sparkSession.createDataFrame([(run,)], "run string").coalesce(1)
-    pointer.write.mode("overwrite").json(f"{root}/pointers/{run}")
+    point(df.sparkSession, root, run)
     return target
 
 
+def _moves(spark: SparkSession, root: str) -> DataFrame:
+    """All moves of the pointer so far; the folder exists from the first move on."""
+    return spark.read.schema("move long, run string").json(f"{root}/pointer")
+
+
+def point(spark: SparkSession, root: str, run: str) -> None:
+    """Move the pointer to any written run, an earlier one too; one small file is added at once."""
+    spark.createDataFrame([], "move long, run string").write.mode("append").json(f"{root}/pointer")
+    last = _moves(spark, root).agg(F.coalesce(F.max("move"), F.lit(0))).first()[0]
+    spark.createDataFrame([(last + 1, run)], "move long, run string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+
+
 def latest(spark: SparkSession, root: str) -> DataFrame:
-    """The published table of the newest completed run."""
-    run = spark.read.schema("run string").json(f"{root}/pointers/*").agg(F.max("run")).first()[0]
+    """The table of the run that the pointer was last moved to."""
+    run = _moves(spark, root).agg(F.max_by("run", "move")).first()[0]
     return spark.read.parquet(f"{root}/runs/{run}")
 
 

@@ -89,9 +89,20 @@ def _(t):
     return out.select("match_day", "user_id", *[F.round(c, 6).alias(c) for c in ("p1", "p2", "p3")])
 
 
-@query("best_squad_plans", "K05, J03")
+PLAN_SQL = f"""WITH RECURSIVE {PLAYERS_SQL}, pool AS (SELECT *, row_number() OVER (ORDER BY xpts DESC, id) AS k FROM
+  (SELECT player_id AS id, pos, price, round(xg * 5 + xa * 3, 6) AS xpts FROM players) WHERE xpts > 0 AND price > 0),
+shapes AS (SELECT * FROM (VALUES {', '.join(f'({i}, {d}, {m}, {f})' for i, (d, m, f) in enumerate(transfers.FORMATIONS))}) v(formation, d, m, f)),
+walk AS (SELECT s_suppkey AS manager_id, formation, CAST(0 AS BIGINT) AS k, 90.0::DOUBLE + s_acctbal / 100 AS money, 0.0::DOUBLE AS points, 1 AS g, d, m, f FROM supplier, shapes
+  UNION ALL SELECT manager_id, formation, k + 1, CASE WHEN buy THEN money - price ELSE money END, CASE WHEN buy THEN points + xpts ELSE points END,
+    g - CAST(buy AND pos = 'G' AS INTEGER), d - CAST(buy AND pos = 'D' AS INTEGER), m - CAST(buy AND pos = 'M' AS INTEGER), f - CAST(buy AND pos = 'F' AS INTEGER)
+  FROM (SELECT w.*, p.price, p.xpts, p.pos, p.price <= w.money AND CASE p.pos WHEN 'G' THEN g WHEN 'D' THEN d WHEN 'M' THEN m ELSE f END > 0 AS buy FROM walk w JOIN pool p ON p.k = w.k + 1 WHERE g + d + m + f > 0)),
+done AS (SELECT * FROM walk WHERE g + d + m + f = 0)
+SELECT s_suppkey AS manager_id, formation, {rnd('points')} AS total, {rnd('money')} AS money_left FROM supplier LEFT JOIN done ON manager_id = s_suppkey QUALIFY row_number() OVER (PARTITION BY s_suppkey ORDER BY points DESC, formation) = 1"""
+
+
+@query("best_squad_plans", "K05, J03", PLAN_SQL)
 def _(t):
     managers = t.supplier.select(F.col("s_suppkey").alias("manager_id"), (F.lit(90.0) + F.col("s_acctbal") / 100).alias("budget"))
-    pool = t.players().select(F.col("player_id").alias("id"), F.col("pos").alias("position"), "price", (F.col("xg") * 5 + F.col("xa") * 3).alias("xpts"))
+    pool = t.players().select(F.col("player_id").alias("id"), F.col("pos").alias("position"), "price", F.round(F.col("xg") * 5 + F.col("xa") * 3, 6).alias("xpts"))
     out = transfers.best_transfers(transfers.formation_plans(managers), pool, ["manager_id", "formation"])
     return out.select("manager_id", "formation", F.round("total", 4).alias("total"), F.round("money_left", 4).alias("money_left"))
