@@ -128,7 +128,8 @@ def brute_lines(rows, settings):
     return {i: "\n".join(line for p, line in enumerate(text.split("\n")) if (i, p) not in gone) for i, text in rows if text is not None}, len(links)
 
 
-def test_lines_equal_brute_force(spark):
+@pytest.mark.parametrize("settings", [linededup.Settings(), linededup.Settings(pivots=1)])
+def test_lines_equal_brute_force(spark, settings):
     rng = random.Random(4)
     base = [[rng.choice(VOCABULARY) for _ in range(rng.randrange(3, 90))] for _ in range(25)]
     rows = []
@@ -140,9 +141,14 @@ def test_lines_equal_brute_force(spark):
                 w[rng.randrange(len(w))] = rng.choice(VOCABULARY)
             lines.append(" ".join(w).title() + rng.choice(["", ".", " !"]))
         rows.append((i, "\n".join(lines)))
-    want, links = brute_lines(rows, linededup.Settings())
+    base[0] = [rng.choice(VOCABULARY) for _ in range(60)]
+    for i in range(60, 90):  # many variants of one line
+        w = list(base[0])
+        w[i % 60] = rng.choice(VOCABULARY)
+        rows.append((i, " ".join(w)))
+    want, links = brute_lines(rows, settings)
     assert links > 10
-    got = {r["doc_id"]: r["text"] for r in linededup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["text"] for r in linededup.deduplicate_lines(spark.createDataFrame(rows, "doc_id long, text string"), settings).collect()}
     assert got == want
 
 
@@ -151,6 +157,18 @@ def test_lines_of_documents(docs, texts):
     assert got == brute_lines(sorted(texts.items()), linededup.Settings())[0]
 
 
+def test_long_lines_vote_alike(spark):
+    """Both widths of the counters give the SimHash of plain counting."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(VOCABULARY) for _ in range(n)) for n in (5, 64, 16_383, 16_384, 40_000)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["sim"] & (1 << 64) - 1 for r in linededup.simhashes(rows, 5).collect()}
+    for i, text in enumerate(texts):
+        w = text.split()
+        h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in w]
+        assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(w))
+
+
 def test_lines_odd_rows(odd):
     rows = linededup.deduplicate_lines(odd.withColumn("n_lines", odd["doc_id"])).collect()
     assert len(rows) == odd.count()

@@ -43,20 +43,41 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return rows.select("doc_id", "th", "pos", "words", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"))
 
 
-def simhashes(lines: DataFrame) -> DataFrame:
-    """doc_id, th, pos, h1, h2 and SimHash of every line.
+def _votes(lines: DataFrame, fields: int) -> DataFrame:
+    """Counts of set bits over the words of each line: ``fields`` counts in one long, bit i of each field in sum i."""
+    width = 64 // fields
+    ones = sum(1 << (width * f) for f in range(fields))
+    word = lines.select("doc_id", "th", "pos", "h1", "h2", F.explode("words").alias("w")).withColumn("w", F.xxhash64("w"))
+    sums = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(ones))).alias(f"v{i}") for i in range(width)]
+    return word.groupBy("doc_id", "th", "pos", "h1", "h2").agg(F.count("*").alias("n"), *sums)
+
+
+def _majority(fields: int) -> Column:
+    """The SimHash from such counts: a bit is set where 2 * count > n, for all fields of a long at once.
 
-    For each of 64 bits the words of a line vote; two votes are counted in one long (32 bits each, so a line may have
-    four thousand million words). A line's words lie in one input row, so the sums are whole before they are shuffled.
+    In fields of w bits, 2 * count + 2**(w - 2) - 1 - n has bit w - 2 set just then, for n below 2**(w - 2).
     """
-    pair = (1 << 32) | 1
-    word = lines.select("doc_id", "th", "pos", "h1", "h2", F.explode("words").alias("w")).withColumn("w", F.xxhash64("w"))
-    votes = [F.sum(F.shiftrightunsigned("w", i).bitwiseAND(F.lit(pair))).alias(f"v{i}") for i in range(32)]
-    sums = word.groupBy("doc_id", "th", "pos", "h1", "h2").agg(F.count("*").alias("n"), *votes)
-    low = [F.when(F.col(f"v{i}").bitwiseAND(F.lit((1 << 32) - 1)) * 2 > F.col("n"), F.lit(1 << i)).otherwise(F.lit(0)) for i in range(32)]
-    high = [F.when(F.shiftrightunsigned(f"v{i}", 32) * 2 > F.col("n"), F.shiftleft(F.lit(1).cast("long"), i + 32)).otherwise(F.lit(0).cast("long")) for i in range(32)]
-    bits = reduce(lambda a, b: a.bitwiseOR(b), [x.cast("long") for x in low + high])
-    return sums.select("doc_id", "th", "pos", "h1", "h2", bits.alias("sim"))
+    width = 64 // fields
+    ones = F.lit(sum(1 << (width * f) for f in range(fields)))
+    level = (F.lit((1 << (width - 2)) - 1) - F.col("n")) * ones
+    bits = [F.shiftleft(F.shiftrightunsigned(F.shiftleft(f"v{i}", 1) + level, width - 2).bitwiseAND(ones), i) for i in range(width)]
+    return reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+#: Words of a line up to which four counts fit a long.
+SHORT = (1 << 14) - 1
+
+
+def simhashes(docs: DataFrame, min_words: int) -> DataFrame:
+    """doc_id, th, pos, h1, h2 and the 64-bit SimHash of every line.
+
+    For each bit the words of a line vote. A line's words lie in one input row, so the counts are whole before they are
+    shuffled. Lines of over SHORT words are counted in wider fields (up to a thousand million words).
+    """
+    line = ["doc_id", "th", "pos", "h1", "h2"]
+    short = _votes(_lines(docs, min_words).where(F.size("words") <= SHORT), 4).select(*line, _majority(4).alias("sim"))
+    long = _lines(docs.where(F.length("text") > 2 * SHORT), min_words).where(F.size("words") > SHORT)
+    return short.union(_votes(long, 2).select(*line, _majority(2).alias("sim")))
 
 
 def _keys() -> Column:
@@ -149,7 +170,7 @@ def line_groups(keys: DataFrame, docs: DataFrame, settings: Settings) -> DataFra
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, th and the positions of the lines to remove, one row for each document that loses any."""
     docs = docs.select("doc_id", "text")
-    lines = cut(simhashes(_lines(docs, settings.min_words)), "lines")
+    lines = cut(simhashes(docs, settings.min_words), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos", "th")
     keys = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"))
     keys = cut(keys, "distinct-lines")
