@@ -33,3 +33,17 @@ def test_history_writer_rerun(spark, tmp_path):
     write(batch, 1)
     write(batch, 1)  # the same batch after a failure
     assert st.latest_history(spark, str(tmp_path / "h")).count() == 2
+
+
+def test_event_stream_reads_files_and_folders(spark, tmp_path):
+    from touchline.workload.streams import event_stream, run
+    from touchline.workload.tables import Tables
+
+    events = spark.range(1000).selectExpr("id as event_id", "timestamp_seconds(id) as ts")
+    events.repartition(2).write.parquet(str(tmp_path / "folder" / "events.parquet"))
+    events.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("part-*.parquet")).rename(tmp_path / "file" / "events.parquet")
+    for kind in ("folder", "file"):
+        t = Tables(spark, str(tmp_path / kind))
+        assert run(t, event_stream(t), kind).count() == 1000

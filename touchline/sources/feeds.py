@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from touchline.functions.scalars import decimal_odds, iso_date, match_xa, match_xg, percent_value
 from touchline.functions.text import market_value, tag_all
-from touchline.operators.ordered import arg_min
 
 RED = ("red", "yellowRed")
 SET_PIECES = ("fromSetPiece", "fromCorner", "penalty")
@@ -15,7 +14,8 @@ SET_PIECES = ("fromSetPiece", "fromCorner", "penalty")
 def incidents(df: DataFrame, column: str = "incidents", keep: list[str] | None = None) -> DataFrame:
     """One row per incident, in feed order. ``keep`` are match columns (event_id, home_id, away_id)."""
     keep = keep or ["event_id", "home_id", "away_id"]
-    rows = df.select(*keep, F.posexplode(column).alias("ordinal", "i"))
+    # the outer form asks for no filter on the array, so a parsed column is parsed once
+    rows = df.select(*keep, F.posexplode_outer(column).alias("ordinal", "i")).where(F.col("ordinal").isNotNull())
     at = F.col("i.time") + F.coalesce("i.addedTime", F.lit(0)) * 0.5
     home = F.coalesce("i.isHome", F.lit(True))
     return rows.select(
@@ -50,14 +50,8 @@ def final_whistles(inc: DataFrame) -> DataFrame:
     return inc.where((F.col("kind") == "period") & F.col("text").isin("FT", "AP", "AET")).select("event_id", "minute", "added")
 
 
-def _tagged(side: str, number: int, rank: int, status: str):
-    def tag(p, i):
-        return F.struct(
-            F.lit(rank).alias("rank"), F.lit(number).alias("_s"), i.alias("ordinal"), F.lit(status).alias("status"), F.lit(side == "home").alias("is_home"),
-            F.col(f"{side}.team.name").alias("team"), p.alias("p"),
-        )
-
-    return tag
+def _tagged(side: str, status: str):
+    return lambda p: F.struct(F.lit(status).alias("status"), F.lit(side == "home").alias("is_home"), F.col(f"{side}.team.name").alias("team"), p.alias("p"))
 
 
 def _sided(side: str):
@@ -67,26 +61,22 @@ def _sided(side: str):
 def lineups(df: DataFrame, sides=("home", "away")) -> DataFrame:
     """Starters, bench and missing players; the strongest status of a player wins.
 
-    ``df``: event_id and one struct column per side.
+    ``df``: event_id and one struct column per side, one row a match. All entries of a match sit in its row, so they are
+    put in order of strength there (starters, bench, missing; inside one status by side, list and entry) and the first
+    of each player is kept before anything is exploded: no shuffle.
     """
     entry = df.schema[sides[0]].dataType["players"].dataType
     empty = F.array().cast(entry)
-    lists = []
-    for s, side in enumerate(sides):
-        for rank, (field, status) in enumerate([("players", "starter"), ("substitutes", "substitute"), ("bench", "substitute"), ("missingPlayers", "missing")]):
-            lists.append(F.transform(F.coalesce(F.col(f"{side}.{field}"), empty), _tagged(side, s, rank, status)))
-    # one explode over all lists, so the nested record is read once
-    rows = df.select("event_id", F.explode(F.concat(*lists)).alias("e")).select("event_id", "e.*")
-    rows = rows.select(
-        "event_id", "rank", "_s", "ordinal", "status", "is_home", "team", F.col("p.player.id").alias("player_id"), F.col("p.jerseyNumber").alias("jersey"),
+    strongest = [("starter", ["players"]), ("substitute", ["substitutes", "bench"]), ("missing", ["missingPlayers"])]
+    lists = [F.transform(F.coalesce(F.col(f"{side}.{field}"), empty), _tagged(side, status)) for status, fields in strongest for side in sides for field in fields]
+    rows = df.select("event_id", F.concat(*lists).alias("_e")).withColumn("_ids", F.transform("_e", lambda e: e["p"]["player"]["id"]))
+    first = F.filter("_e", lambda e, i: e["p"]["player"]["id"].isNotNull() & (F.array_position("_ids", e["p"]["player"]["id"]) == i + 1))
+    rows = rows.select("event_id", F.explode_outer(first).alias("e")).where(F.col("e").isNotNull()).select("event_id", "e.*")
+    return rows.select(
+        "event_id", F.col("p.player.id").alias("player_id"), "status", "is_home", "team", F.col("p.jerseyNumber").alias("jersey"),
         F.coalesce("p.position", "p.player.position").alias("pos"), F.coalesce("p.player.name", "p.player.shortName").alias("name"),
         F.when(F.col("status") == "missing", F.coalesce("p.type", "p.reason")).alias("reason"),
     )
-    cols = ["status", "is_home", "team", "jersey", "pos", "name", "reason"]
-    known = rows.where(F.col("player_id").isNotNull())
-    # starter before bench before missing; inside one status the earlier side, list and entry
-    strength = F.when(F.col("status") == "starter", 0).when(F.col("status") == "substitute", 1).otherwise(2)
-    return arg_min(known, ["event_id", "player_id"], [strength, F.col("_s"), F.col("rank"), F.col("ordinal")], cols)
 
 
 def lineup_statistics(df: DataFrame, features: list[str], sides=("home", "away")) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators.joins import match_sides
 from touchline.operators.ordered import top_n
+from touchline.session import durable
 
 
 class Tables:
@@ -69,6 +70,12 @@ class Tables:
         )
         return part.join(line, "player_id")
 
+    def stored_players(self) -> DataFrame:
+        """The player table written once, for jobs that read it several times."""
+        if "_players" not in self.__dict__:
+            self._players = durable(self.players())
+        return self._players
+
 
 # The same views as SQL, for the checks.
 FIXTURES_SQL = """
