@@ -1,6 +1,8 @@
 """Standings, strengths, score probabilities and brackets on derived fixtures."""
 from __future__ import annotations
 
+from math import factorial
+
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as pr
@@ -72,15 +74,28 @@ def _(t):
     return g.select("event_id", F.size(pr.score_map(F.col("g"))).cast("long").alias("n_scores"), F.round("mass", 4).alias("mass"))
 
 
-@query("market_calibration", "K06, H10", f"WITH {FIXTURES_SQL} SELECT event_id, TRUE AS market_used, TRUE AS calibrated FROM fixtures")
+def win_sql(h: str, a: str) -> str:
+    """Home-win probability of two lambdas on the 0..8 grid with the low-score correction."""
+    below = lambda i: " + ".join(f"pow({a}, {j}) / {factorial(j)}.0" for j in range(i))
+    cells = " + ".join(f"pow({h}, {i}) / {factorial(i)}.0 * ({below(i)})" for i in range(1, 9))
+    return f"exp(-({h} + {a})) * ({cells} - 0.13 * {h} * {a})"
+
+
+MARKET_SQL = f"""WITH RECURSIVE {LAMBDA_SQL}, q AS (SELECT event_id, lh, la, lh + la AS total, 1.8::DOUBLE + (event_id % 7) / 5 AS o1, 3.0::DOUBLE + (event_id % 3) / 4 AS o2, 2.2::DOUBLE + (event_id % 5) / 3 AS o3 FROM lam),
+search AS (SELECT event_id, total, (1 / o1) / (1 / o1 + 1 / o2 + 1 / o3) AS goal, 0.05::DOUBLE AS lo, 20.0::DOUBLE AS hi, 0 AS step FROM q
+  UNION ALL SELECT event_id, total, goal, CASE WHEN win > goal THEN lo ELSE r END, CASE WHEN win > goal THEN r ELSE hi END, step + 1
+  FROM (SELECT *, {win_sql("(total * r / (1 + r))", "(total / (1 + r))")} AS win FROM (SELECT *, (lo + hi) / 2 AS r FROM search WHERE step < 25))),
+found AS (SELECT event_id, (lo + hi) / 2 AS r FROM search WHERE step = 25)
+SELECT event_id, TRUE AS market_used, {rnd('greatest(0.2, least(5.0, lh * 0.4 + total * r / (1 + r) * 0.6))')} AS lambda_home, {rnd('greatest(0.2, least(5.0, la * 0.4 + total / (1 + r) * 0.6))')} AS lambda_away FROM q JOIN found USING (event_id)"""
+
+
+@query("market_calibration", "K06, H10, L09", MARKET_SQL)
 def _(t):
-    """Every quoted fixture gets lambdas whose home-win probability is the market's."""
+    """Lambdas blended 60 to 40 with those whose home-win probability is the market's."""
     k = F.col("event_id")
     f = lambdas(t).withColumns({"odds_home": 1.8 + (k % 7) / 5, "odds_draw": 3.0 + (k % 3) / 4, "odds_away": 2.2 + (k % 5) / 3})
-    target = (1 / F.col("odds_home")) / (1 / F.col("odds_home") + 1 / F.col("odds_draw") + 1 / F.col("odds_away"))
-    out = cp.market_blend(f, weight=1.0)
-    gap = F.abs(pr.p_home_win(F.col("lambda_home"), F.col("lambda_away")) - target)
-    return out.select("event_id", "market_used", (gap < 0.002).alias("calibrated"))
+    out = cp.market_blend(f)
+    return out.select("event_id", "market_used", F.round("lambda_home", 4).alias("lambda_home"), F.round("lambda_away", 4).alias("lambda_away"))
 
 
 RANK_SQL = FIXTURES_SQL + """,
