@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.components import components
@@ -28,7 +28,6 @@ SMALL = 500_000
 class Settings:
     least: float = 0.8
     min_words: int = 5
-    pivots: int = 3
 
 
 def words(line: Column) -> Column:
@@ -93,40 +92,12 @@ def _few(df: DataFrame, name: str) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
-def buckets(sims: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Lines that share a key: pairs (a, b) of buckets of two, and rows (key, id, sim) of larger buckets.
-
-    ``sims`` has distinct ids. Buckets are counted by a hash aggregate; only the few larger ones are listed.
-    """
+def candidates(sims: DataFrame) -> DataFrame:
+    """Pairs a < b of ids whose SimHashes differ in at most three bits; ``sims`` has distinct ids."""
     rows = sims.select("id", "sim", F.explode(_keys()).alias("key"))
-    counted = cut(rows.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("a"), F.max("id").alias("b")).where(F.col("n") > 1), "line-buckets")
-    large = _few(counted.where(F.col("n") > 2).select("key"), "large-line-buckets")
-    return counted.where(F.col("n") == 2).select("a", "b"), cut(rows.join(large, "key"), "bucket-lines")
-
-
-def stars(large: DataFrame, pivots: int) -> DataFrame:
-    """Pairs of a large bucket's most central members (those that meet most others) with all its members."""
-    meets = large.join(large.groupBy("key").agg(F.count("*").alias("n")), "key").groupBy("id").agg(F.sum("n").alias("meets"))
-    rank = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("meets"), "id"))
-    chosen = cut(large.join(meets, "id").withColumn("rank", rank).where(F.col("rank") <= pivots).select("key", F.col("id").alias("p")), "pivots")
-    pairs = large.select("key", "id").join(chosen, "key").where(F.col("id") != F.col("p"))
-    return pairs.select(F.least("id", "p").alias("a"), F.greatest("id", "p").alias("b"))
-
-
-def near(pairs: DataFrame, sims: DataFrame) -> DataFrame:
-    """Distinct pairs whose SimHashes differ in at most three bits."""
-    both = pairs.distinct().join(sims.select(F.col("id").alias("a"), F.col("sim").alias("sa")), "a").join(sims.select(F.col("id").alias("b"), F.col("sim").alias("sb")), "b")
-    return both.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= DISTANCE).select("a", "b")
-
-
-def rest_pairs(large: DataFrame, labels: DataFrame) -> DataFrame:
-    """Near pairs in different components, in large buckets that the stars have not made one component: the exact rest."""
-    rows = large.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    open_ = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    rows = cut(rows.join(open_, "key"), "open-lines")
-    left, right = (rows.select("key", F.col("id").alias(i), F.col("sim").alias(f"s{i}"), F.col("component").alias(f"c{i}")) for i in "ab")
-    close = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= DISTANCE)
-    return left.join(right, "key").where(close).select("a", "b").distinct()
+    left, right = (rows.select(F.col("id").alias(i), F.col("sim").alias(f"s{i}"), "key") for i in "ab")
+    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= DISTANCE)
+    return left.join(right, "key").where(near).select("a", "b").distinct()
 
 
 def word_signs(line: Column) -> Column:
@@ -153,18 +124,9 @@ def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float)
 
 def line_groups(keys: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """h1 and component of every line (a row of ``keys``) that links with another."""
-    sims = cut(keys.select(F.col("h1").alias("id"), "sim").dropDuplicates(["id"]), "simhashes")
+    pairs = cut(candidates(keys.select(F.col("h1").alias("id"), "sim").dropDuplicates(["id"])), "line-pairs")
     firsts = keys.select(F.col("h1").alias("id"), "first.doc_id", "first.th", "first.pos")
-    pairs, large = buckets(sims)
-    pairs = cut(near(pairs.union(stars(large, settings.pivots)), sims), "line-pairs")
-    first = cut(components(similar(pairs, docs, firsts, settings.least)).select(F.col("node").alias("id"), "component"), "line-components")
-    rest = cut(rest_pairs(large, first), "rest-line-pairs")
-    links = similar(rest, docs, firsts, settings.least)
-    names = [first.select(F.col("id").alias(i), F.col("component").alias(f"c{i}")) for i in "ab"]
-    links = links.join(names[0], "a", "left").join(names[1], "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-    second = components(links).select(F.col("node").alias("component"), F.col("component").alias("final"))
-    known = first.union(second.select(F.col("component").alias("id"), "component")).distinct()
-    return known.join(second, "component", "left").groupBy(F.col("id").alias("h1")).agg(F.min(F.coalesce("final", "component")).alias("component"))
+    return components(similar(pairs, docs, firsts, settings.least)).select(F.col("node").alias("h1"), "component")
 
 
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
