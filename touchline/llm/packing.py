@@ -138,8 +138,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, p
         packer = Packer(window, piece, group, slack, TaskContext.get().partitionId() << 33)
         encode = encoder(tokenizer).encode
         for batch in batches:
-            for a in range(0, len(batch), 1000):
-                part = batch.iloc[a : a + 1000]
+            for a in range(0, len(batch), 500):
+                part = batch.iloc[a : a + 500]
                 for doc, ids in zip(part["doc_id"], encode([t if isinstance(t, str) else None for t in part["text"]])):
                     packer.add(None if pd.isna(doc) else int(doc), np.append(ids, np.uint32(end_id)).astype("<u4"))
                 yield packer.take()

@@ -10,7 +10,7 @@ from functools import lru_cache
 
 import numpy as np
 
-BLOCK_CHARS = 1 << 21
+BLOCK_CHARS = 1 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _powers: dict[int, np.ndarray] = {}
@@ -23,7 +23,7 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(1 << max(16, n - 1).bit_length() if n > 1 << 16 else 1 << 16, base, dtype=np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        if n <= 4 * BLOCK_CHARS:
+        if n <= 2 * BLOCK_CHARS:
             _powers[int(base)] = have
     return have[:n]
 
