@@ -11,7 +11,7 @@ import xxhash
 from touchline.llm import linededup, minhash, vectors
 from touchline.llm.components import components
 
-from brute import union_find
+from brute import SF, union_find
 
 
 def test_components_of_paths_stars_and_loops(spark):
@@ -157,6 +157,67 @@ def test_lines_of_documents(docs, texts):
     assert got == brute_lines(sorted(texts.items()), linededup.Settings())[0]
 
 
+def brute_edit_lines(rows, least, min_words):
+    """Kept text of each document by the edit similarity of all pairs of different lines alone, and the pairs' words."""
+    places = {}
+    for i, text in rows:
+        for p, line in enumerate(text.split("\n")):
+            w = tuple(regex.findall(r"[\p{L}\p{N}]+", line.lower()))
+            if len(w) >= min_words:
+                places.setdefault(w, []).append((i, p))
+
+    def distance(a, b):
+        d = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            p, d[0] = d[0], i
+            for j, y in enumerate(b, 1):
+                p, d[j] = d[j], min(d[j] + 1, d[j - 1] + 1, p + (x != y))
+        return d[-1]
+
+    lines = list(places)
+    sets = {w: set(w) for w in lines}
+    apart = lambda a, b: max(len(a), len(b)) - min(len(a) - sum(x not in sets[b] for x in a), len(b) - sum(x not in sets[a] for x in b))  # edits at least
+    near = lambda a, b: min(len(a), len(b)) >= least * max(len(a), len(b)) - 1e-9 and 1 - apart(a, b) / max(len(a), len(b)) >= least - 1e-9 and 1 - distance(a, b) / max(len(a), len(b)) >= least - 1e-9
+    links = [(j, i) for i in range(len(lines)) for j in range(i) if near(lines[i], lines[j])]
+    group = {}
+    for k, root in union_find(range(len(lines)), links).items():
+        group.setdefault(root, []).extend(places[lines[k]])
+    gone = {x for g in group.values() for x in set(g) - {min(g)}}
+    return {i: "\n".join(line for p, line in enumerate(text.split("\n")) if (i, p) not in gone) for i, text in rows}, [(lines[a], lines[b]) for a, b in links]
+
+
+@pytest.mark.parametrize("least", [0.8, 0.9, 0.6])
+def test_whole_line_dedup_finds_every_pair_by_edit_similarity(spark, least):
+    """Substitutions, insertions and deletions up to the threshold, at all lengths from five words."""
+    rng, rows = random.Random(12), []
+    for n in [*range(5, 32), 50, 77, 120]:
+        base = [rng.choice(VOCABULARY) for _ in range(n)]
+        rows.append(" ".join(base))
+        for _ in range(3):
+            w = list(base)
+            for _ in range(int((1 - least) * n + 1e-9) + rng.randrange(2)):
+                at, kind = rng.randrange(len(w)), rng.randrange(3)
+                w[at : at + (kind != 0)] = [rng.choice(VOCABULARY)] if kind < 2 else []
+            rows.append(" ".join(w))
+    rows = list(enumerate(rows))
+    settings = linededup.Settings(least=least, radius=None)
+    want, links = brute_edit_lines(rows, least, settings.min_words)
+    assert len(links) > 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    keys = linededup._lines(df, 5).selectExpr("h1 as id", "size(words) as words", "array_join(words, ' ') as line").distinct()
+    name = {r["id"]: tuple(r["line"].split()) for r in keys.collect()}
+    pairs = linededup.similar(linededup.candidates(keys, least), keys, least).collect()
+    assert {frozenset((name[r["a"]], name[r["b"]])) for r in pairs} == {frozenset(p) for p in links}
+    assert {r["doc_id"]: r["text"] for r in linededup.deduplicate_lines(df, settings).collect()} == want
+
+
+def test_registered_line_dedup_equals_edit_similarity(spark, texts):
+    from touchline.llm.queries import QUERIES
+
+    got = {r["doc_id"]: r["text"] for r in QUERIES["op9_line_dedup"](spark, SF).collect()}
+    assert got == brute_edit_lines(sorted((i, t) for i, t in texts.items() if t is not None), 0.8, 5)[0]
+
+
 def test_long_lines_vote_alike(spark):
     """Both widths of the counters give the SimHash of plain counting."""
     rng = random.Random(8)

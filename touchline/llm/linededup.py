@@ -1,15 +1,14 @@
 """Repeated and nearly repeated lines across documents, with DataFrame functions only.
 
-Lines are normalised to lower-cased words. Equal lines are grouped by a 128-bit hash; different ones get a 64-bit SimHash
-of their words, meet when all but three of five blocks agree (by the pigeonhole principle two lines at a Hamming distance
-of three share at least two whole blocks), and link when the edit similarity of their words is high enough. Of each
-connected group one occurrence stays.
+Lines are normalised to lower-cased words. Equal lines are grouped by a 128-bit hash. Different ones link when the edit
+similarity of their words is high enough, and none of these pairs is missed: of d + 1 separate runs of words of the longer
+line at least one stands unchanged in the other line when d edits lead from one to the other, so lines meet by their runs.
+Of each connected group one occurrence stays.
 """
 from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,17 +16,23 @@ from pyspark.sql import functions as F
 from touchline.llm.components import components
 from touchline.llm.work import cut
 
-#: Bits of the five blocks of a SimHash.
-BLOCKS = (13, 13, 13, 13, 12)
-DISTANCE = len(BLOCKS) - 2
-#: Candidate lines up to this number are sent to all executors (some 30 MB); more are joined by shuffle.
+#: Words of the longest runs by which lines meet.
+RUN = 4
+#: Removals of documents up to this number are sent to all executors (some 30 MB); more are joined by shuffle.
 SMALL = 500_000
 
 
 @dataclass(frozen=True)
 class Settings:
+    """Lines link at an edit similarity of ``least``; with a ``radius``, their SimHashes must also be that near."""
+
     least: float = 0.8
     min_words: int = 5
+    radius: int | None = 3
+
+
+#: The edit similarity alone decides.
+WHOLE = Settings(radius=None)
 
 
 def words(line: Column) -> Column:
@@ -71,87 +76,128 @@ def simhashes(docs: DataFrame, min_words: int) -> DataFrame:
     """doc_id, th, pos, h1, h2 and the 64-bit SimHash of every line.
 
     For each bit the words of a line vote. A line's words lie in one input row, so the counts are whole before they are
-    shuffled. Lines of over SHORT words are counted in wider fields (up to a thousand million words).
+    shuffled. Lines of over SHORT words are counted in wider fields (up to a thousand million words). Rows that repeat
+    doc_id and text vote once, so no count exceeds its line's words.
     """
+    docs = docs.select("doc_id", "text").dropDuplicates()
     line = ["doc_id", "th", "pos", "h1", "h2"]
     short = _votes(_lines(docs, min_words).where(F.size("words") <= SHORT), 4).select(*line, _majority(4).alias("sim"))
     long = _lines(docs.where(F.length("text") > 2 * SHORT), min_words).where(F.size("words") > SHORT)
     return short.union(_votes(long, 2).select(*line, _majority(2).alias("sim")))
 
 
-def _keys() -> Column:
-    """The ten keys of a SimHash: two whole blocks each."""
-    starts = [sum(BLOCKS[:i]) for i in range(len(BLOCKS))]
-    block = lambda i: F.shiftrightunsigned("sim", starts[i]).bitwiseAND(F.lit((1 << BLOCKS[i]) - 1))
-    return F.array(*[F.lit(t << 26).bitwiseOR(F.shiftleft(block(i), 13)).bitwiseOR(block(j)) for t, (i, j) in enumerate(combinations(range(len(BLOCKS)), 2))])
+def _edits(n: Column, least: float) -> Column:
+    """Edits that leave a line of ``n`` words similar enough to one that is not longer."""
+    return F.floor((1 - F.lit(least)) * n + 1e-9).cast("int")
 
 
-def _few(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table of its own, sent to all executors if it has at most SMALL rows."""
-    df = cut(df, name)
-    return F.broadcast(df) if df.count() <= SMALL else df
+def run_lengths(least: float) -> tuple[int, dict[int, list[int]]]:
+    """The length of run into which long lines are cut, and for each shorter one the lengths of lines that meet by it."""
+    top = max(q for q in range(1, RUN + 1) if q == 1 or 1 - q * (1 - least) > 1e-9)
+    run = lambda n: min(top, n // (int((1 - least) * n + 1e-9) + 1))
+    long = int(top / (1 - top * (1 - least))) + 2
+    short: dict[int, set[int]] = {}
+    for n in range(1, long):
+        if run(n) < top:  # lines of n words are cut in shorter runs, and meet lines down to n - edits words
+            short.setdefault(run(n), set()).update(range(n - int((1 - least) * n + 1e-9), n + 1))
+    return top, {q: sorted(ns) for q, ns in short.items()}
 
 
-def candidates(sims: DataFrame) -> DataFrame:
-    """Pairs a < b of ids whose SimHashes differ in at most three bits; ``sims`` has distinct ids."""
-    rows = sims.select("id", "sim", F.explode(_keys()).alias("key"))
-    left, right = (rows.select(F.col("id").alias(i), F.col("sim").alias(f"s{i}"), "key") for i in "ab")
-    near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= DISTANCE)
-    return left.join(right, "key").where(near).select("a", "b").distinct()
+def _run(w: Column, at: Column, length: int) -> Column:
+    return F.xxhash64(F.lit(length), *[F.get(w, at + k) for k in range(length)])
 
 
-def word_signs(line: Column) -> Column:
-    """The line with one sign for each word, so that an edit distance of strings is one of words."""
-    code = F.transform(words(line), lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD800))), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+def _cut_runs(w: Column, least: float) -> Column:
+    """Hashes of one separate run more than the edits that a line of these words may differ by."""
+    top, _ = run_lengths(least)
+    n, parts = F.size(w), _edits(F.size(w), least) + 1
+    start = lambda k: F.floor(k.cast("long") * n / parts).cast("int")
+    runs = lambda q: F.transform(F.sequence(F.lit(0), parts - 1), lambda k: _run(w, start(k), q))
+    fits = F.floor(n / parts)
+    out = reduce(lambda rest, q: F.when(fits == q, runs(q)).otherwise(rest), range(top - 1, 0, -1), runs(top))
+    return F.array_distinct(out)
 
 
-def similar(pairs: DataFrame, docs: DataFrame, firsts: DataFrame, least: float) -> DataFrame:
-    """The pairs whose word edit similarity (1 - distance / longer length) is ``least`` or more.
+def _all_runs(w: Column, least: float) -> Column:
+    """Hashes of all runs of words that a line at least as long may be cut into."""
+    top, short = run_lengths(least)
+    n = F.size(w)
+    runs = lambda q: F.array_distinct(F.transform(F.sequence(F.lit(0), n - q), lambda i: _run(w, i, q)))
+    none = F.array().cast("array<bigint>")
+    return F.concat(F.when(n >= top, runs(top)).otherwise(none), *[F.when((n >= q) & n.isin(ns), runs(q)).otherwise(none) for q, ns in short.items()])
 
-    ``firsts`` says where an id's line stands; only those documents' texts are read for it.
+
+def candidates(lines: DataFrame, least: float) -> DataFrame:
+    """Pairs a < b of ids, among them all whose word edit similarity is ``least`` or more.
+
+    ``lines`` has distinct ids and their words, joined by blanks. Runs are exploded as sets, so a line that repeats
+    itself meets another once a run. Lines whose lengths alone are too far apart do not meet.
     """
+    def rows(runs, i: str, n: str) -> DataFrame:
+        hashed = F.transform(F.split("line", " "), lambda w: F.xxhash64(w))
+        keys = F.get(F.transform(F.array(hashed), lambda w: runs(w, least)), 0)  # the words are hashed once for all runs
+        return lines.select(F.col("id").alias(i), F.col("words").alias(n), F.explode(keys).alias("key"))
+
+    near = (F.col("m") <= F.col("n")) & (F.col("m") >= F.col("n") - _edits(F.col("n"), least)) & ((F.col("m") < F.col("n")) | (F.col("x") < F.col("y"))) & (F.col("x") != F.col("y"))
+    met = rows(_cut_runs, "x", "n").join(rows(_all_runs, "y", "m"), "key").where(near)
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def word_signs(words: Column) -> Column:
+    """The words with one sign for each, so that an edit distance of strings is one of words."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.xxhash64(w), F.lit(0xD800))), 4, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+
+
+def similar(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
+    """The pairs whose word edit similarity (1 - distance / longer length) is ``least`` or more."""
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    where = _few(firsts.join(ids, "id", "left_semi"), "candidate-lines")
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.xxhash64("text").alias("th"), "text")
-    here = texts["doc_id"].eqNullSafe(where["doc_id"]) & (texts["th"] == where["th"])
-    line = F.element_at(F.split("text", "\n", -1), F.col("pos") + 1)
-    signs = cut(texts.join(where, here).select("id", word_signs(line).alias("signs")).dropDuplicates(["id"]), "line-signs")
+    signs = cut(lines.join(ids, "id", "left_semi").select("id", word_signs(F.split("line", " ")).alias("signs")), "line-signs")
     both = pairs.join(signs.select(F.col("id").alias("a"), F.col("signs").alias("x")), "a").join(signs.select(F.col("id").alias("b"), F.col("signs").alias("y")), "b")
-    longer = F.greatest(F.length("x"), F.length("y"))
-    return both.where(F.levenshtein("x", "y") <= (1 - F.lit(least)) * longer + 1e-9).select("a", "b")
+    both = both.withColumn("most", _edits(F.greatest(F.length("x"), F.length("y")), least))
+    return both.where(F.expr("levenshtein(x, y, most)") >= 0).select("a", "b")  # -1 beyond the third argument
+
+
+def within_radius(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
+    """The pairs whose SimHashes differ in at most ``radius`` bits."""
+    sims = simhashes(docs, settings.min_words).groupBy("h1").agg(F.min("sim").alias("sim"))
+    left, right = (sims.select(F.col("h1").alias(i), F.col("sim").alias(f"s{i}")) for i in "ab")
+    both = pairs.join(left, "a").join(right, "b")
+    return both.where(F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= settings.radius).select("a", "b")
 
 
 def line_groups(keys: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
     """h1 and component of every line (a row of ``keys``) that links with another."""
-    pairs = cut(candidates(keys.select(F.col("h1").alias("id"), "sim").dropDuplicates(["id"])), "line-pairs")
-    firsts = keys.select(F.col("h1").alias("id"), "first.doc_id", "first.th", "first.pos")
-    return components(similar(pairs, docs, firsts, settings.least)).select(F.col("node").alias("h1"), "component")
+    lines = keys.select(F.col("h1").alias("id"), "words", "line")
+    pairs = similar(cut(candidates(lines, settings.least), "line-pairs"), lines, settings.least)
+    if settings.radius is not None:
+        pairs = within_radius(pairs, docs, settings)
+    return components(pairs).select(F.col("node").alias("h1"), "component")
 
 
 def removed_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """doc_id, th and the positions of the lines to remove, one row for each document that loses any."""
     docs = docs.select("doc_id", "text")
-    lines = cut(simhashes(docs, settings.min_words), "lines")
+    lines = _lines(docs, settings.min_words)
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "pos", "th")
-    keys = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.min("sim").alias("sim"))
-    keys = cut(keys, "distinct-lines")
+    keys = lines.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n"), F.first(F.array_join("words", " ")).alias("line"))
+    keys = cut(keys.withColumn("words", F.size(F.split("line", " "))), "distinct-lines")
     groups = line_groups(keys, docs, settings)
-    grouped = keys.join(groups, "h1", "left")
+    grouped = keys.drop("line").join(groups, "h1", "left")
     lead = cut(grouped.where(F.col("component").isNotNull()).groupBy("component").agg(F.min("first").alias("lead")), "leads")
     known = grouped.where((F.col("n") > 1) | F.col("component").isNotNull()).join(lead, "component", "left")
     keep = known.select("h1", "h2", F.coalesce("lead", "first").alias("keep"))
     gone = lines.select("doc_id", "th", "pos", "h1", "h2").join(keep, ["h1", "h2"])
     here = F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("pos") == F.col("keep.pos")) & (F.col("th") == F.col("keep.th"))
-    return gone.where(~here).groupBy("doc_id", "th").agg(F.collect_list("pos").alias("gone"))
+    return gone.where(~here).groupBy("doc_id", "th").agg(F.collect_set("pos").alias("gone"))
 
 
 def deduplicate_lines(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """``docs`` without lines that repeat an earlier one or nearly so, with n_lines and n_removed.
 
     A line is what stands between newlines; only lines of at least ``min_words`` words take part, all shorter ones stay.
-    Two different lines link when their SimHashes differ in at most three bits and 1 - (word edit distance) / (words of
-    the longer) is at least ``least``. Of a connected group the occurrence with the smallest doc_id and position stays
+    Two different lines link when 1 - (word edit distance) / (words of the longer) is at least ``least`` and, unless
+    ``radius`` is None as in WHOLE, their SimHashes differ in at most ``radius`` bits. Of a connected group the occurrence with the smallest doc_id and position stays
     (null ids come last). A document that loses all lines has the empty text. Null texts stay null, with 0 lines; an
     empty text has one line. Rows that repeat doc_id and text are one document and come back alike. n_chars, if there,
     follows the new text; other columns stay, those named n_lines or n_removed are replaced.

@@ -80,7 +80,7 @@ def _(spark, sf_dir):
 
 @query("op9_line_dedup")
 def _(spark, sf_dir):
-    return linededup.deduplicate_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return linededup.deduplicate_lines(table(spark, sf_dir, "documents"), linededup.WHOLE).select("doc_id", "n_lines", "n_removed", "text")
 
 
 ROLLUP_SQL = r"""
