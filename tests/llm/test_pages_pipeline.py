@@ -68,6 +68,18 @@ def test_template_of_a_site_goes(spark):
     assert html.extract(empty).count() == 0
 
 
+def test_templates_of_sections_and_small_hosts_go(spark):
+    """Three sections of a third of a host each, a box on two pages of a hundred, and a host of six pages."""
+    page = lambda i, box: f"<div><p>{box}</p></div><div><p>Story number {i}</p></div>"
+    rows = [(i, f"https://large.example/{i}", page(i, f"Section {i % 3}")) for i in range(60)]
+    rows += [(100 + i, f"https://hot.example/{i}", page(i, f"Layout {i}" if i >= 20 else "Rare layout")) for i in range(1000)]
+    rows += [(2000 + i, f"https://small.example/{i}", page(i, "All pages")) for i in range(6)]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Story number {i}" for i in range(60))
+    assert all(got[100 + i] == (f"Layout {i}\n" if i >= 20 else "") + f"Story number {i}" for i in range(1000))
+    assert all(got[2000 + i] == f"Story number {i}" for i in range(6))
+
+
 def test_pipeline_stages(spark, docs):
     before, rows = docs, docs.count()
     for name, stage in corpus_pipeline.STAGES[:-1]:

@@ -1,7 +1,7 @@
 """Main text of web pages: marked-up boilerplate goes by rule, the rest of a site's template by recurrence.
 
-Each page is read into element subtrees. Subtrees are hashed and counted per host in Spark; a subtree that stands on
-most pages of a host belongs to its template and is deleted from all of them.
+Each page is read into element subtrees. Subtrees are hashed and counted per host in Spark; a subtree that recurs on
+many pages of a host belongs to one of its templates and is deleted from all of them.
 """
 from __future__ import annotations
 
@@ -193,7 +193,7 @@ def parse(hosted: DataFrame) -> DataFrame:
 
 
 def templates(hosted: DataFrame, min_pages: int, share: float) -> DataFrame:
-    """The subtrees of each host's template: on at least ``min_pages`` pages and on more than ``share`` of the host's.
+    """The subtrees of each host's templates: on at least ``min_pages`` pages and on more than ``share`` of the host's.
 
     A host's list has at most 1/share times the mean number of subtrees of its pages.
     """
@@ -204,20 +204,24 @@ def templates(hosted: DataFrame, min_pages: int, share: float) -> DataFrame:
     return counts.join(hosts, "host").where(F.col("n") > share * F.col("pages")).groupBy("host").agg(F.collect_list("subtree").alias("template"))
 
 
-def extract(pages: DataFrame, min_pages: int = 10, share: float = 0.5) -> DataFrame:
+def extract(pages: DataFrame, min_pages: int = 6, share: float = 0.01) -> DataFrame:
     """page_id, url, host, text and n_chars of every page.
 
     Dropped by rule: scripts, styles, navigation, headers and footers of the page, sidebars, forms, hidden parts, and
     elements whose class, id or role names an advert, notice, comment section or the like. If the page has articles,
-    only they count, else its main part, else its body. Then template subtrees of the host go; if nothing would remain,
-    the page keeps its text. White space within a block is one blank, blocks are joined by a newline. A null or empty
-    page gives the empty text; a null or odd url belongs to no host. Repeated rows come back as often, and count as
-    pages. Broken markup (open tags, quotes, comments) is read to the end of the page. Other columns are ignored.
+    only they count, else its main part, else its body. Then template subtrees of the host go: those on at least
+    ``min_pages`` of its pages and on more than ``share`` of them, so that sections and layouts have templates of their
+    own. If nothing would remain, the page keeps its text. White space within a block is one blank, blocks are joined by
+    a newline. A null or empty page gives the empty text; a null or odd url belongs to no host. Repeated rows come back
+    as often, and count as pages. Broken markup (open tags, quotes, comments) is read to the end of the page. Other
+    columns are ignored.
     """
     hosted = with_host(pages)
     template = cut(templates(hosted, min_pages, share), "templates")  # a table of its own: hot hosts can be split in the join
     known = parse(hosted).join(template, "host", "left")
-    kept = F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], F.col("template")))
-    blocks = F.when(F.col("template").isNull() | (F.size(kept) == 0), F.col("blocks")).otherwise(kept)
+    found = F.array_intersect(F.flatten(F.col("blocks.path")), F.col("template"))  # once a page, however long the host's list
+    kept = F.get(F.transform(F.array(found), lambda t: F.filter("blocks", lambda b: ~F.arrays_overlap(b["path"], t))), 0)
+    known = known.select("page_id", "url", "host", "blocks", F.when(F.col("template").isNotNull(), kept).alias("kept"))
+    blocks = F.when(F.col("kept").isNull() | (F.size("kept") == 0), F.col("blocks")).otherwise(F.col("kept"))
     text = F.array_join(F.transform(blocks, lambda b: b["text"]), "\n")
     return known.select("page_id", "url", "host", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))
