@@ -39,6 +39,32 @@ def test_blocks(page, want):
     assert text(page) == want
 
 
+STORY = "<p>A long story with many words to tell.</p><p>It goes on.</p>"
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class='content no-sidebar'>{STORY}</div><div class='sidebar'><p>no</p></div>", True),
+        (f"<div id=page class='has-sidebar'>{STORY}</div><p>end</p>", "end"),
+        (f"<section class='post social'><article>{STORY}</article></section><p>foot</p>", True),
+        (f"<div class='social'><main>{STORY}</main></div><div><p>{'other words ' * 20}</p></div>", True),
+        (f"<div class='widget'>{STORY}</div><p>end</p>", "end"),
+        (f"<div class='widget'><div class='notice'>{STORY}</div><div class='ad'>no</div></div>", True),
+        (f"<div class='comments'>{STORY}</div>", True),
+        (f"<p>short</p><div class='comments'>{STORY}</div>", "short only"),
+        (f"<article>{STORY}</article><div class='related'><article>{'teaser ' * 50}</article></div>", True),
+        (f"<form>{STORY}<script>no</script><select><option>no</select></form>", True),
+        (f"<div class='sidebar'>{STORY}</div><div class='content'><p>{'other words ' * 20}</p></div>", "other only"),
+        (f"<div hidden>{STORY}</div>", ""),
+    ],
+)
+def test_rules_keep_the_article(page, want):
+    story = "A long story with many words to tell.\nIt goes on."
+    other = {True: story, "end": story + "\nend", "short only": "short", "other only": ("other words " * 20).strip(), "": ""}
+    assert text(page) == other[want]
+
+
 def test_very_deep_and_long_pages():
     assert text("<div>" * 20_000 + "x") == "x"
     assert len(text("<p>" + "word " * 500_000)) == 5 * 500_000 - 1

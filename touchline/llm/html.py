@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from hashlib import blake2b
 
 import pandas as pd
@@ -41,6 +41,14 @@ BOILERPLATE = frozenset(
     "disclaimer contentinfo complementary".split()
 )
 KEEP = frozenset(("html", "body", "main", "article"))
+#: Words that mark what readers write, often more than the article has.
+COMMENTS = frozenset("comment comments commentlist disqus respond replies".split())
+#: After these words of a class name, an element tells what it has or lacks, not what it is.
+NEGATED = frozenset("no not non without with has have".split())
+#: Elements that never hold the article, but are read if a page has no other text.
+AROUND = frozenset("nav header footer aside form".split())
+#: Why an element is dropped, the firmer the larger.
+BY_TOKEN, AS_COMMENTS, BY_TAG, FOR_GOOD = 1, 2, 3, 4
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
@@ -53,10 +61,12 @@ _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
 class Element:
-    __slots__ = ("tag", "parent", "dropped", "article", "main", "parts", "hash")
+    __slots__ = ("tag", "parent", "number", "own", "dropped", "cause", "article", "main", "parts", "hash")
 
-    def __init__(self, tag: str, parent: "Element | None", dropped: bool):
-        self.tag, self.parent, self.dropped = tag, parent, dropped
+    def __init__(self, tag: str, parent: "Element | None", number: int, own: int):
+        self.tag, self.parent, self.number, self.own = tag, parent, number, own
+        self.dropped = max(own, parent.dropped if parent else 0)
+        self.cause: Element | None = self if own else parent and parent.cause  # the innermost element dropped for itself
         self.article = tag == "article" or bool(parent and parent.article)
         self.main = tag == "main" or bool(parent and parent.main)
         self.parts: list[str] = []
@@ -71,33 +81,114 @@ class Element:
                 self.parent.parts.append(f"#{self.hash}")
 
 
-def _unwanted(tag: str, attrs: str, parent: Element) -> bool:
-    if parent.dropped or tag in NEVER_TEXT:
-        return True
+def _names(value: str) -> set[str]:
+    """Words of class names, without those that a word like "no" or "has" stands before."""
+    out: set[str] = set()
+    for name in value.split():
+        words = _WORD.findall(name)
+        out.update(words[: next((i for i, w in enumerate(words) if w in NEGATED), len(words))])
+    return out
+
+
+def _unwanted(tag: str, attrs: str, parent: Element) -> int:
+    """Why the element is dropped, 0 if it is not."""
+    if tag in NEVER_TEXT and tag not in AROUND:
+        return FOR_GOOD
     inside = parent.article or parent.main
-    if tag == "header" and not inside:
-        return True
+    why = BY_TAG if tag in AROUND and not (tag == "header" and inside) else 0
     if tag in KEEP or not attrs:
-        return False
+        return why
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true":
-            return True
+            return FOR_GOOD
         if name == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
+                return FOR_GOOD
         elif name in ("class", "id", "role"):
-            words = set(_WORD.findall(value))
-            if words & BOILERPLATE or not inside and words & {"header", "top", "bottom"}:
-                return True
-    return False
+            words = _names(value)
+            if words & COMMENTS:
+                why = max(why, AS_COMMENTS)
+            elif words & BOILERPLATE or not inside and words & {"header", "top", "bottom"}:
+                why = max(why, BY_TOKEN)
+    return why
+
+
+def _causes(nodes: Iterable[Element]) -> list[Element]:
+    """The elements dropped for themselves that hold any of ``nodes``, as they open."""
+    out: set[Element] = set()
+    for node in nodes:
+        at = node.cause
+        while at is not None and at not in out:
+            out.add(at)
+            at = at.parent.cause
+    return sorted(out, key=lambda e: e.number)
+
+
+def _released(blocks: list[tuple[str, Element]], aside: dict[Element, int]) -> set[int]:
+    """Numbers of the elements dropped by a word that hold the page's article, its main element or most of its text.
+
+    ``aside`` has the characters of text by the innermost dropped element around and the element they stand in.
+    """
+    seen = sum(len(t) for t, _ in blocks)
+    scoped = any(n.article or n.main for _, n in blocks)
+    loose = {node: size for node, size in aside.items() if node.dropped == BY_TOKEN}
+    causes = _causes(loose)
+    held = {e: [0, 0, 0] for e in causes}  # characters: all, in an article, in a main element
+    for node, size in loose.items():
+        for i, part in enumerate((size, size * node.article, size * node.main)):
+            held[node.cause][i] += part
+    for e in reversed(causes):
+        if e.parent.cause is not None:
+            for i, part in enumerate(held[e]):
+                held[e.parent.cause][i] += part
+    whole = seen + sum(loose.values())
+    out: set[int] = set()
+    for e in causes:
+        if e.parent.cause is None or e.parent.cause.number in out:
+            size, article, main = held[e]
+            inside = e.parent.article or e.parent.main
+            holds = not scoped and not inside and (main or article and 2 * article >= seen)
+            if holds or 2 * size > whole and (inside or not scoped):  # beside an article that stays, nothing is read again
+                out.add(e.number)
+    return out
 
 
 def read_blocks(page: str) -> list[tuple[str, list[int]]]:
     """Text blocks of the page's article (else its main part, else its body) in order, without what rules drop; with
-    each block the hashes of the subtrees that hold it, the innermost first."""
-    root = Element("#page", None, False)
-    stack, blocks, text = [root], [], []
+    each block the hashes of the subtrees that hold it, the innermost first.
+
+    An element dropped by a word of its class, id or role is read again if it holds the page's article or most of its
+    text. If a page would have no text, it keeps first what words dropped, then comments, then navigation and forms.
+    """
+    blocks, aside = _read(page, set())
+    if aside:
+        released = _released(blocks, aside)
+        if released:
+            blocks, _ = _read(page, released)
+        for firmest in (BY_TOKEN, AS_COMMENTS, BY_TAG):
+            if blocks:
+                break
+            released = {e.number for e in _causes(aside) if e.own <= firmest}
+            blocks, _ = _read(page, released)
+    scoped = [b for b in blocks if b[1].article] or [b for b in blocks if b[1].main] or blocks
+    out = []
+    for whole, node in scoped:
+        path = []
+        while node.parent is not None:
+            if node.hash is not None and node.tag not in KEEP:
+                path.append(node.hash)
+            node = node.parent
+        out.append((whole, path))
+    return out
+
+
+def _read(page: str, released: set[int]) -> tuple[list[tuple[str, Element]], dict[Element, int]]:
+    """The blocks of a page with their elements, and the characters of text in elements that are dropped, but not for
+    good. Elements are numbered as they open; those of ``released`` are not dropped for themselves."""
+    root = Element("#page", None, 0, 0)
+    stack, blocks, text, opened = [root], [], [], 0
+    aside: dict[Element, int] = {}
 
     def flush() -> None:
         if text:
@@ -128,8 +219,12 @@ def read_blocks(page: str) -> list[tuple[str, list[int]]]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         stop = m.start() if m else len(page)
-        if stop > at and not stack[-1].dropped:
-            text.append(page[at:stop])
+        if stop > at:
+            here = stack[-1]
+            if not here.dropped:
+                text.append(page[at:stop])
+            elif here.dropped < FOR_GOOD and (size := len(" ".join(page[at:stop].split()))):
+                aside[here] = aside.get(here, 0) + size
         if not m:
             break
         at = m.end()
@@ -155,22 +250,15 @@ def read_blocks(page: str) -> list[tuple[str, list[int]]]:
             end(*ENDS[tag])
         if tag not in INLINE:
             flush()
-        stack.append(Element(tag, stack[-1], _unwanted(tag, attrs, stack[-1])))
+        opened += 1
+        parent = stack[-1]
+        stack.append(Element(tag, parent, opened, 0 if opened in released or parent.dropped == FOR_GOOD else _unwanted(tag, attrs, parent)))
         if tag in RAW:
             last = _RAW_END[tag].search(page, at)
             at = last.start() if last else len(page)
     pop_to(1)
     flush()
-    scoped = [b for b in blocks if b[1].article] or [b for b in blocks if b[1].main] or blocks
-    out = []
-    for whole, node in scoped:
-        path = []
-        while node is not None and node is not root:
-            if node.hash is not None and node.tag not in KEEP:
-                path.append(node.hash)
-            node = node.parent
-        out.append((whole, path))
-    return out
+    return blocks, aside
 
 
 def with_host(pages: DataFrame) -> DataFrame:
@@ -211,8 +299,8 @@ def extract(pages: DataFrame, min_pages: int = 6, share: float = 0.01) -> DataFr
     elements whose class, id or role names an advert, notice, comment section or the like. If the page has articles,
     only they count, else its main part, else its body. Then template subtrees of the host go: those on at least
     ``min_pages`` of its pages and on more than ``share`` of them, so that sections and layouts have templates of their
-    own. If nothing would remain, the page keeps its text. White space within a block is one blank, blocks are joined by
-    a newline. A null or empty page gives the empty text; a null or odd url belongs to no host. Repeated rows come back
+    own. If nothing would remain after the rules or
+    after the templates, the page keeps its text. White space within a block is one blank, blocks are joined by a newline. A null or empty page gives the empty text; a null or odd url belongs to no host. Repeated rows come back
     as often, and count as pages. Broken markup (open tags, quotes, comments) is read to the end of the page. Other
     columns are ignored.
     """
