@@ -230,6 +230,15 @@ def test_long_lines_vote_alike(spark):
         assert got[i] == sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(w))
 
 
+def test_repeated_rows_vote_once(spark):
+    """A row that comes 200 times has the SimHash of one that comes once."""
+    rng = random.Random(3)
+    text = " ".join(rng.choice(VOCABULARY) for _ in range(100))
+    rows = spark.createDataFrame([(1, text)] * 200 + [(None, text)] * 200 + [(2, text)], "doc_id long, text string")
+    got = {(r["doc_id"], r["sim"]) for r in linededup.simhashes(rows, 5).collect()}
+    assert len(got) == 3 and len({sim for _, sim in got}) == 1
+
+
 def test_lines_odd_rows(odd):
     rows = linededup.deduplicate_lines(odd.withColumn("n_lines", odd["doc_id"])).collect()
     assert len(rows) == odd.count()
