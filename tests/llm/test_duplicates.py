@@ -275,6 +275,14 @@ def test_vectors_against_brute_force(spark):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in out.values())
 
 
+@pytest.mark.parametrize("hashes", [2, 3, 4, 5, 6])
+def test_vector_recall_holds_for_every_key_length(hashes):
+    """Pairs at the threshold are candidates whatever the number of rows asks of the keys."""
+    x, y = vectors.pairs_at(0.95, 64, 4000, np.random.default_rng(9))
+    tables = vectors.tables_for(64, hashes, 2, 0.95)
+    assert vectors.met(x, y, tables, hashes, 2, 7).any(axis=1).mean() >= 0.998
+
+
 def test_vectors_odd_rows(spark):
     nan, inf = float("nan"), float("inf")
     rows = [

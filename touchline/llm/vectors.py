@@ -101,11 +101,40 @@ def hash_length(rows: int, dim: int) -> int:
     return 1 + max(1, math.ceil(math.log(max(rows, 2)) / math.log(2 * max(dim, 2))))
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int = 12, hashes: int | None = None, probes: int = 2, seed: int = 7) -> DataFrame:
+def pairs_at(cosine: float, dim: int, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """``n`` random pairs of unit vectors with this cosine."""
+    x = rng.normal(size=(n, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    y = rng.normal(size=(n, dim))
+    y -= (x * y).sum(axis=1, keepdims=True) * x
+    y /= np.linalg.norm(y, axis=1, keepdims=True)
+    return x, cosine * x + math.sqrt(1 - cosine * cosine) * y
+
+
+def met(x: np.ndarray, y: np.ndarray, tables: int, hashes: int, probes: int, seed: int) -> np.ndarray:
+    """Whether row i of ``x`` and row i of ``y`` are candidates, by table."""
+    (own_x, more_x), (own_y, more_y) = (bucket_keys(v, tables, hashes, probes, seed) for v in (x, y))
+    look = lambda own, more: np.concatenate((own[:, :, None], more.reshape(len(own), tables, -1)), axis=2)
+    return (look(own_x, more_x) == own_y[:, :, None]).any(axis=2) | (look(own_y, more_y) == own_x[:, :, None]).any(axis=2)
+
+
+def tables_for(dim: int, hashes: int, probes: int, least: float, missed: float = 5e-4, fewest: int = 12) -> int:
+    """Tables that miss a pair at the threshold with probability ``missed`` at most, whatever the key length.
+
+    The chance of one table is measured on 2000 random pairs at the threshold in four tables, the same in every run.
+    """
+    if dim < 2 or not 0 < least < 1:
+        return fewest
+    x, y = pairs_at(least, dim, 2000, np.random.default_rng(5))
+    chance = min(max(met(x, y, 4, hashes, probes, 3).mean(), 1e-3), 0.999)
+    return max(fewest, math.ceil(math.log(missed) / math.log(1 - chance)))
+
+
+def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int | None = None, hashes: int | None = None, probes: int = 2, seed: int = 7) -> DataFrame:
     """vec_id, n_links, component_id and kept of every row of ``vectors`` (vec_id, embedding).
 
     Two vectors link when their cosine in double precision is at least ``least``. Candidates share a bucket of one of
-    ``tables`` tables, a vector looking into its own bucket and into ``probes`` more for each of the ``hashes``
+    ``tables`` tables (by default tables_for the key length, so recall at the threshold holds at every size), a vector looking into its own bucket and into ``probes`` more for each of the ``hashes``
     rotations (by default hash_length of the table, so candidates grow with the rows and not their square); each candidate pair is verified, so there are no false links, and every bucket is joined whole. Equal
     unit vectors are one class, found by exact grouping and weighted by its size. Vectors that are null, zero or hold a
     null or non-finite component link with nothing, as do those of different lengths; a null vec_id keeps its row with
@@ -119,9 +148,10 @@ def near_duplicates(vectors: DataFrame, least: float = 0.95, tables: int = 12, h
     member = units.join(classes, ["h1", "h2"]).select("vec_id", "id", "size", "v")
     member = cut(member, "vector-classes")
     reps = member.where(F.col("vec_id") == F.col("id")).select("id", "v")
-    if hashes is None:
+    if hashes is None or tables is None:
         n, dim = reps.agg(F.count("*"), F.max(F.size("v"))).first()
-        hashes = hash_length(n, dim or 2)
+        hashes = hashes or hash_length(n, dim or 2)
+        tables = tables or tables_for(dim or 2, hashes, probes, least)
     hashed = cut(_hashed(reps, tables, hashes, probes, seed), "buckets")
     own = hashed.select(F.col("id").alias("a"), "dim", F.explode("own").alias("key"))
     look = hashed.select(F.col("id").alias("b"), "dim", F.explode(F.concat("own", "probe")).alias("key"))
