@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import html, language, linededup, minhash, packing, pii, quality, rollups, vectors, wordtable
+from touchline.llm import html, language, linededup, minhash, packing, pii, quality, rollups, substrings, vectors, wordtable
 from touchline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def _(spark, sf_dir):
     for _ in range(2):
         ledger.commit("recount", rollups.revision(one.join(move, "doc_id", "left_semi"), two.join(move, "doc_id", "left_semi")))
     return ledger.totals()
+
+
+@query("op11_substring_dedup")
+def _(spark, sf_dir):
+    return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
