@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from touchline.llm import html, language, linededup, minhash, packing, pii, quality, rollups, substrings, vectors, wordtable
+from touchline.llm import conversations, html, language, linededup, minhash, packing, pii, quality, rollups, spelling, substrings, vectors, wordtable
 from touchline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -112,3 +112,13 @@ def _(spark, sf_dir):
 @query("op11_substring_dedup")
 def _(spark, sf_dir):
     return substrings.digests(substrings.remove_repeats(table(spark, sf_dir, "documents")))
+
+
+@query("op12_spelling_variants")
+def _(spark, sf_dir):
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op13_conversation_trie")
+def _(spark, sf_dir):
+    return conversations.conversation_trie(table(spark, sf_dir, "conversations"))
