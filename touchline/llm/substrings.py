@@ -21,6 +21,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,13 +34,16 @@ BLOCK = 1 << 20
 #: Characters of documents whose repeated anchors are settled before the shuffle.
 LOCAL = 1 << 23
 PLACE = ["no_id", "id", "th"]
+SEGMENT = "no_id boolean, id long, th long, pos long, count long, prefix long, segment string, spans binary"
+#: Up to this many crowded prefixes (8 bytes each) are sent to all executors; more are joined by shuffle.
+FEW = 1_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
     window: int = 20
     anchor: int = 6
-    group: int = 4096
+    group: int = 1 << 15
 
 
 def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -85,6 +89,32 @@ def _documents(docs: DataFrame) -> DataFrame:
     return rows.withColumn("dk", F.xxhash64("id", "no_id", "th"))
 
 
+def _zipped(rows: DataFrame) -> DataFrame:
+    """The rows with their text compressed, for a shuffle."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        zipper = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            batch["text"] = [zipper.compress(t.encode("utf-8", "surrogatepass")) for t in batch["text"]]
+            yield batch
+
+    return rows.mapInPandas(run, "id long, no_id boolean, th long, text binary, dk long")
+
+
+def _unzipped(texts: pd.Series) -> Iterator[str]:
+    unzip = zstandard.ZstdDecompressor()
+    return (unzip.decompress(bytes(t)).decode("utf-8", "surrogatepass") for t in texts)
+
+
+def _packed(rows: pd.DataFrame, owner: np.ndarray, first: np.ndarray, end: np.ndarray) -> pd.DataFrame:
+    """Place and packed (first word, last word + 1) pairs, one row for each of ``owner``, which is in order."""
+    pairs = np.stack([first, end], axis=1).astype(">i8")
+    cuts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, dtype=np.int64)
+    ends = np.append(cuts[1:], len(owner))
+    out = rows[PLACE].iloc[owner[cuts]].copy()
+    out["spans"] = [pairs[i:j].tobytes() for i, j in zip(cuts, ends)]
+    return out
+
+
 def _settle(anchor: np.ndarray, dk: np.ndarray, parts: int) -> pd.DataFrame:
     """Packed rows of one block: kind 1 repeats in the block, 0 and 2 are each anchor once, 2 if it repeats here."""
     order = np.lexsort((dk, anchor))
@@ -156,15 +186,15 @@ def repeated_anchors(rows: DataFrame, parts: int, settings: Settings) -> DataFra
 
 
 def segments(rows: DataFrame, anchors: DataFrame, settings: Settings) -> DataFrame:
-    """The words around repeated anchors: place (no_id, id, th, pos), prefix, text; repeats in a block have no text.
+    """The words around repeated anchors: place (no_id, id, th, pos), prefix, segment; or place and spans of repeats.
 
-    A row covers ``count`` windows from word ``pos`` on. Where the same words come again in the block of documents, the
-    later copies are repeats as a whole: they go out as marks, without text.
+    A segment covers ``count`` windows from word ``pos`` on. Where the same words come again in the block of documents, the
+    later copies are repeats as a whole: they go out as spans only.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = batch["text"].tolist()
+            texts = list(_unzipped(batch["text"]))
             for a, b in blocks(texts, BLOCK):
                 part = batch.iloc[a:b]
                 w = Windows(texts[a:b], settings)
@@ -172,64 +202,67 @@ def segments(rows: DataFrame, anchors: DataFrame, settings: Settings) -> DataFra
                     continue
                 lists = [np.frombuffer(b"".join(x), dtype=np.uint64) for x in part["anchors"]]
                 salt = mix(np.arange(b - a, dtype=np.uint64) + np.uint64(1))
-                known = np.concatenate([x ^ salt[i] for i, x in enumerate(lists)])
-                good = np.isin(w.anchor ^ salt[w.owner], known)
+                good = np.isin(w.anchor ^ salt[w.owner], np.concatenate([x ^ salt[i] for i, x in enumerate(lists)]))
                 at, owner, place, anchor = w.at[good], w.owner[good], w.place[good], w.anchor[good]
                 if not len(at):
                     continue
                 edge = np.flatnonzero(np.append(True, (at[1:] != at[:-1] + 1) | (place[1:] != place[:-1]) | (owner[1:] != owner[:-1])))
                 count = np.diff(np.append(edge, len(at)))
                 docs, pos = owner[edge], at[edge] - w.first[owner[edge]]
-                names = {}
-                first: dict[str, tuple] = {}
-                out = []
+                names, words = -1, []
                 keys = list(zip(part["no_id"], part["id"], part["th"]))
-                for d, p, n, g in zip(docs.tolist(), pos.tolist(), count.tolist(), anchor[edge].tolist()):
-                    words = names.get(d)
-                    if words is None:
-                        names = {d: (words := WORD.findall(texts[a + d]))}
+                first: dict[str, int] = {}
+                again = []
+                for i, (d, p, n) in enumerate(zip(docs.tolist(), pos.tolist(), count.tolist())):
+                    if d != names:
+                        names, words = d, WORD.findall(texts[a + d])
                     text = " ".join(words[p : p + n + settings.window - 1])
-                    row, seen = (*keys[d], p, n, g), first.get(text)
-                    if seen is None or row[:4] < seen[:4]:
-                        first[text] = row
-                        row = seen
-                    if row is not None and row[:4] != first[text][:4]:
-                        out.append((*row, None))
-                rows = pd.DataFrame(out + [(*row, text) for text, row in first.items()], columns=["no_id", "id", "th", "pos", "count", "prefix", "segment"])
-                rows["prefix"] = rows["prefix"].to_numpy(dtype=np.uint64).view(np.int64)
-                yield rows
+                    seen = first.setdefault(text, i)
+                    if seen != i and keys[d] < keys[docs[seen]]:
+                        first[text], seen, i = i, i, seen
+                    if seen != i and keys[docs[i]] != keys[docs[seen]] or pos[i] != pos[seen]:
+                        again.append(i)
+                lead = np.fromiter(first.values(), dtype=np.int64, count=len(first))
+                out = part[PLACE].iloc[docs[lead]].copy()
+                out["pos"], out["count"], out["prefix"], out["segment"], out["spans"] = pos[lead], count[lead], anchor[edge][lead].view(np.int64), list(first), None
+                yield out
+                again = np.sort(np.array(again, dtype=np.int64))
+                out = _packed(part, docs[again], pos[again], pos[again] + count[again] + settings.window - 1)
+                out[["pos", "count", "prefix"]] = 0
+                out.insert(6, "segment", None)
+                yield out[[c.split()[0] for c in SEGMENT.split(", ")]]
 
     lists = anchors.groupBy("dk").agg(F.collect_list("anchors").alias("anchors"))
-    both = rows.join(lists, "dk").select(*PLACE, "text", "anchors")
-    return both.mapInPandas(run, "no_id boolean, id long, th long, pos long, count long, prefix long, segment string")
+    both = _zipped(rows).join(lists, "dk").select(*PLACE, "text", "anchors")
+    return both.mapInPandas(run, SEGMENT)
 
 
 def lengthened(parts: DataFrame, settings: Settings) -> DataFrame:
     """Segments with the prefix of their group; where over ``group`` segments have one, its windows by all their words."""
     crowded = parts.groupBy("prefix").count().where(F.col("count") > settings.group).select("prefix", F.lit(True).alias("crowded"))
+    crowded = cut(crowded, "crowded-prefixes")
+    crowded = F.broadcast(crowded) if crowded.count() <= FEW else crowded
     rows = parts.join(crowded, "prefix", "left")
 
     def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             first: dict[str, tuple] = {}
-            marks = []
+            gone = []
             for no_id, i, th, pos, n, text in zip(*(batch[c] for c in ("no_id", "id", "th", "pos", "count", "segment"))):
                 words = text.split(" ")
                 for k in range(n):
                     window, row = " ".join(words[k : k + settings.window]), (no_id, i, th, pos + k)
-                    seen = first.get(window)
-                    if seen is None or row < seen:
-                        first[window], row = row, seen
-                    if row is not None and row != first[window]:
-                        marks.append((*row, 1, None))
-            rows = pd.DataFrame(marks + [(*row, 1, window) for window, row in first.items()], columns=["no_id", "id", "th", "pos", "count", "segment"])
-            prefix = [0 if t is None else int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True) for t in rows["segment"]]
-            rows.insert(5, "prefix", np.array(prefix, dtype=np.int64))
-            yield rows
+                    seen = first.setdefault(window, row)
+                    if row < seen:
+                        first[window], row, seen = row, seen, row
+                    if row != seen:
+                        gone.append(row)
+            rows = [(*row, 1, int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True), t, None) for t, row in first.items()]
+            pairs = [(*row[:3], 0, 0, 0, None, np.array([row[3], row[3] + settings.window], dtype=">i8").tobytes()) for row in gone]
+            yield pd.DataFrame(rows + pairs, columns=[c.split()[0] for c in SEGMENT.split(", ")])
 
-    schema = "no_id boolean, id long, th long, pos long, count long, prefix long, segment string"
-    columns = [c.split()[0] for c in schema.split(", ")]
-    return rows.where(F.col("crowded").isNull()).select(*columns).union(rows.where("crowded").select(*columns).mapInPandas(windows, schema))
+    columns = [c.split()[0] for c in SEGMENT.split(", ")]
+    return rows.where(F.col("crowded").isNull()).select(*columns).union(rows.where("crowded").select(*columns).mapInPandas(windows, SEGMENT))
 
 
 def subtree(codes: np.ndarray, depth: int) -> np.ndarray:
@@ -274,19 +307,10 @@ def repeats(groups: DataFrame, settings: Settings) -> DataFrame:
             same &= k[owner[order]] == k[owner[leader]]
         gone = np.zeros(len(order), dtype=bool)
         gone[order[~same]] = True
-        return packed(rows, owner[gone], pos[gone])
-
-    def packed(rows: pd.DataFrame, owner: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-        """One row a segment: runs of consecutive window starts as (first word, last word + 1)."""
+        owner, pos = owner[gone], pos[gone]
         edge = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + 1))) if len(pos) else np.zeros(0, dtype=np.int64)
         last = np.append(edge[1:], len(pos)) - 1
-        pairs = np.stack([pos[edge], pos[last] + settings.window], axis=1).astype(">i8")
-        who = owner[edge]
-        cuts = np.flatnonzero(np.append(True, who[1:] != who[:-1])) if len(who) else np.zeros(0, dtype=np.int64)
-        ends = np.append(cuts[1:], len(who))
-        out = rows[PLACE].iloc[who[cuts]].copy()
-        out["spans"] = [pairs[i:j].tobytes() for i, j in zip(cuts, ends)]
-        return out
+        return _packed(rows, owner[edge], pos[edge], pos[last] + settings.window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Groups arrive in a row; trees of whole groups are built together, about BLOCK characters at a time."""
@@ -311,12 +335,9 @@ def repeats(groups: DataFrame, settings: Settings) -> DataFrame:
         if held:
             yield spans(held)
 
-    whole = groups.where(F.col("segment").isNull())
-    end = F.col("pos") + F.col("count") + F.lit(settings.window - 1)
-    number = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    marks = whole.select(*PLACE, F.concat(number(F.col("pos")), number(end)).alias("spans"))
-    ordered = groups.where(F.col("segment").isNotNull()).repartition("prefix").sortWithinPartitions("prefix")
-    return marks.union(ordered.mapInPandas(run, "no_id boolean, id long, th long, spans binary"))
+    known = groups.where(F.col("segment").isNull()).select(*PLACE, "spans")
+    ordered = groups.where(F.col("segment").isNotNull()).drop("spans").repartition("prefix").sortWithinPartitions("prefix")
+    return known.union(ordered.mapInPandas(run, "no_id boolean, id long, th long, spans binary"))
 
 
 def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -331,15 +352,15 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFram
     rows = _documents(docs)
     chars = rows.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     parts = max(1, -(-chars // (1 << 24)))
-    found = cut(segments(rows, repeated_anchors(rows, parts, settings), settings), "segments")
-    marks, texts = found.where(F.col("segment").isNull()), found.where(F.col("segment").isNotNull())
-    spans = repeats(lengthened(texts, settings).union(marks.select(texts.columns)), settings)
+    found = cut(segments(rows, repeated_anchors(rows, parts, settings), settings), "segments", "zstd")
+    known, texts = found.where(F.col("segment").isNull()), found.where(F.col("segment").isNotNull())
+    spans = repeats(lengthened(texts, settings).union(known), settings)
     spans = spans.groupBy(*PLACE).agg(F.collect_list("spans").alias("spans"))
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for i, no_id, text, spans in zip(batch["id"], batch["no_id"], batch["text"], batch["spans"]):
+            for i, no_id, text, spans in zip(batch["id"], batch["no_id"], _unzipped(batch["text"]), batch["spans"]):
                 words = WORD.findall(text)
                 if spans is None:
                     kept = words
@@ -351,7 +372,7 @@ def remove_repeats(docs: DataFrame, settings: Settings = Settings()) -> DataFram
                 out.append((i, no_id, text, len(words), len(words) - len(kept), " ".join(kept)))
             yield pd.DataFrame(out, columns=["id", "no_id", "text", "n_words", "n_removed", "kept"])
 
-    both = rows.join(spans, PLACE, "left").select("id", "no_id", "text", "spans")
+    both = _zipped(rows).join(spans, PLACE, "left").select("id", "no_id", "text", "spans")
     out = both.mapInPandas(keep, "id long, no_id boolean, text string, n_words long, n_removed long, kept string")
     return out.select(F.when(~F.col("no_id"), F.col("id")).alias("doc_id"), "text", "n_words", "n_removed", "kept")
 

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from touchline.session import shared_folder
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
+def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Write ``df`` as Parquet below the shared checkpoint folder and go on from the files.
 
-    A lost executor costs its running tasks only, and later readers prune columns.
+    A lost executor costs its running tasks only, and later readers prune columns. ``codec`` is the session's if None.
     """
     path = f"{shared_folder(df.sparkSession)}/corpus/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
