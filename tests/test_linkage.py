@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from touchline.operators import joins, linkage
@@ -85,6 +86,54 @@ def test_match_scorers_of_a_long_side(spark):
     assert got == {("a", "zz"): 3333, ("b", "ana silva"): 3000}
 
 
+@pytest.mark.parametrize("rounds", [16, 1])
+def test_match_scorers_of_crowded_sides(spark, rounds):
+    """Few tokens shared by many names, repeated names, nulls and equal ordinals; the fold takes over after one round."""
+    rng = random.Random(2)
+    tokens = ["perez", "silva", "sosa", "juan", "luis"]
+    name = lambda: None if rng.random() < 0.05 else " ".join(rng.sample(tokens, rng.randrange(1, 3)))
+    rows = {s: [(m, rng.randrange(8), name()) for m in range(6) for _ in range(rng.randrange(25))] for s in "ab"}
+    want = []
+    for m in range(6):
+        a, b = (sorted((r for r in rows[s] if r[0] == m), key=lambda r: (r[1], r[2] or "")) for s in "ab")
+        used = set()
+        for r in a:
+            hit = [j for j, x in enumerate(b) if r[2] and x[2] and matches(r[2], x[2])]
+            if not hit:
+                want.append((m, "a", r[1], r[2]))
+            used |= set([j for j in hit if j not in used][:1])
+        want += [(m, "b", x[1], x[2]) for j, x in enumerate(b) if j not in used]
+    schema = "match_id int, ordinal int, name string"
+    out = linkage.match_scorers(spark.createDataFrame(rows["a"], schema), spark.createDataFrame(rows["b"], schema), ["match_id"], rounds=rounds)
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, want))
+
+
+def test_top_matchups_cut_before_the_pairs(spark):
+    rng = random.Random(5)
+    players = [(i, f"t{i % 6}", rng.choice([rng.random() * 3, 0.5, 0.5 + 1e-7 * rng.random()])) for i in range(900)] + [(1000, "t9", 1.0), (1001, "t9", None)]
+    strengths = [(f"t{i}", 0.5 + i / 3) for i in range(6)] + [("t9", 1.0)]
+    pairs = [(a, b) for a, _ in strengths for b, _ in strengths if a < b]
+    df = spark.createDataFrame(players, "player_id int, team string, v double")
+    got = joins.top_matchups(spark.createDataFrame(pairs, "home string, away string"), df, spark.createDataFrame(strengths, "team string, f double"), F.col("v"), F.col("f"), 40)
+    found = {}
+    for r in got.collect():
+        found.setdefault((r.home, r.away), {})[r["rank"]] = r.player_id
+    factor = dict(strengths)
+    for h, a in pairs:
+        rows = [(-round(v * factor[a if t == h else h], 6), i) for i, t, v in players if t in (h, a) and v is not None]
+        assert [found[h, a][k + 1] for k in range(40)] == [i for _, i in sorted(rows)[:40]]
+
+
+def test_setpiece_roles_by_the_rarest_token(spark):
+    """One token is in a third of the names: it is no key unless a taker is called nothing else."""
+    players = [(i, "A", ["silva" if i % 3 == 0 else f"x{i}", f"n{i}"]) for i in range(3000)]
+    takers = [("A", "pk", i, ["silva", f"n{3 * i}"]) for i in range(50)] + [("A", "ck", 0, ["zz", "silva"])]
+    p = spark.createDataFrame(players, "player_id int, team string, name_tokens array<string>")
+    t = spark.createDataFrame(takers, "team string, kind string, idx int, taker_tokens array<string>")
+    got = {(r.player_id, r.idx) for r in joins.setpiece_roles(p, t).collect()}
+    assert got == {(3 * i, i) for i in range(50)}
+
+
 def test_setpiece_roles(spark):
     players = spark.createDataFrame([(1, "A", ["juan", "perez"]), (2, "A", ["silva"]), (3, "B", ["perez"])], "player_id int, team string, name_tokens array<string>")
     takers = spark.createDataFrame([("A", "pk", 0, ["silva"]), ("A", "pk", 1, ["perez"]), ("A", "ck", 1, ["perez", "juan"]), ("A", "fk", 0, [])], "team string, kind string, idx int, taker_tokens array<string>")

@@ -73,3 +73,43 @@ def test_top_n_overall(spark):
     df = spark.range(100).withColumn("v", F.col("id") % 10)
     got = [(r.id, r["rank"]) for r in od.top_n_overall(df, [F.col("v").desc(), F.col("id")], 3).orderBy("rank").collect()]
     assert got == [(9, 1), (19, 2), (29, 3)]
+
+
+@pytest.mark.parametrize("most", [10_000, 40])
+def test_order_statistics_on_skewed_values(spark, most):
+    """An outlier, a heavy value, wide longs and decimals; ``most`` small enough to narrow again and again."""
+    import math
+    from decimal import Decimal
+
+    rng = random.Random(7)
+    rows = [("a", 10**12)] + [("a", rng.randrange(1000)) for _ in range(20_000)]
+    rows += [("b", 2**53 + rng.randrange(50)) for _ in range(500)] + [("c", 5)] * 300 + [("c", rng.randrange(10**9)) for _ in range(300)] + [("d", 7), (None, 1), (None, 3)]
+    rows += [("e", int(math.exp(rng.random() * 40))) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "k string, v long")
+    ranks = {"low": lambda n: F.floor(n / 10), "mid": lambda n: F.floor(n / 2), "top": lambda n: n - 1, "least": lambda n: n * 0}
+    got = {r.k: (r.low, r.mid, r.top, r.least) for r in od.order_statistics(df, ["k"], "v", ranks, most).collect()}
+    groups = {}
+    for k, v in rows:
+        groups.setdefault(k, []).append(v)
+    for vs in groups.values():
+        vs.sort()
+    assert got == {k: (vs[len(vs) // 10], vs[len(vs) // 2], vs[-1], vs[0]) for k, vs in groups.items()}
+    every = sorted(v for _, v in rows)
+    assert od.order_statistics(df, [], "v", ranks, most).first().mid == every[len(every) // 2]
+    dec = spark.createDataFrame([(Decimal(f"{i}.{i:018d}"),) for i in range(999)], "v decimal(38, 18)")
+    assert od.upper_median(dec, [], "v", "m").first().m == Decimal(f"499.{499:018d}")
+
+
+def test_no_interval_is_crowded_by_an_outlier(spark):
+    """200,000 values and one of 1e12: no interval holds over 2 % of the rows."""
+    df = spark.range(200_000).select((F.col("id") * 7919 % 200_000).cast("double").alias("_v"), F.lit(0).alias("g"))
+    df = df.union(spark.createDataFrame([(1e12, 0)], "_v double, g int"))
+    bounds = od.rank_intervals(df, ["g"], {"m": lambda n: F.floor(n / 2), "q": lambda n: F.floor(n / 4)}).first()
+    for name in "mq":
+        assert df.where((F.col("_v") >= bounds[f"_lo_{name}"]) & (F.col("_v") <= bounds[f"_hi_{name}"])).count() < 0.02 * 200_001
+
+
+def test_order_statistics_of_nothing(spark):
+    empty = spark.createDataFrame([], "k string, v long")
+    assert od.upper_median(empty, ["k"], "v", "m").count() == 0
+    assert od.upper_median(spark.createDataFrame([("a", None)], "k string, v long"), ["k"], "v", "m").count() == 0

@@ -9,30 +9,19 @@ def rows(spark, items):
     return spark.createDataFrame(items, "user_id long, event_id long, t string, value double").select("user_id", "event_id", F.to_timestamp("t").alias("ts"), "value")
 
 
-def test_history_over_batches_drops_repeats_and_late_rows(spark, tmp_path):
-    src, out = str(tmp_path / "in"), str(tmp_path / "h")
+def test_intake_drops_repeats_and_late_rows(spark, tmp_path):
+    src = str(tmp_path / "in")
 
     def run(items):
         rows(spark, items).write.mode("append").parquet(src)
-        stream = spark.readStream.schema(SCHEMA).parquet(src)
-        once = st.once_per_event(stream, ["user_id", "event_id"], "ts", "1 hour")
-        write = st.history_writer(out, ["user_id"], "event_id", ["ts", "event_id"], 2, SCHEMA)
-        q = once.writeStream.foreachBatch(write).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        once = st.once_per_event(spark.readStream.schema(SCHEMA).parquet(src), ["user_id", "event_id"], "ts", "1 hour")
+        q = once.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
         q.awaitTermination()
-        return sorted((r.user_id, r.event_id) for r in st.latest_history(spark, out).collect())
+        return sorted((r.user_id, r.event_id) for r in spark.read.parquet(str(tmp_path / "out")).collect())
 
     assert run([(1, 1, "2024-01-01 10:00:00", 1.0), (1, 2, "2024-01-01 11:00:00", 2.0), (1, 2, "2024-01-01 11:00:00", 2.0)]) == [(1, 1), (1, 2)]
-    # a repeat, a row far behind the watermark, and a new newest row that pushes out the oldest
-    assert run([(1, 2, "2024-01-01 11:00:00", 2.0), (2, 9, "2023-12-01 00:00:00", 1.0), (1, 3, "2024-01-01 12:00:00", 3.0)]) == [(1, 2), (1, 3)]
-
-
-def test_history_writer_rerun(spark, tmp_path):
-    write = st.history_writer(str(tmp_path / "h"), ["user_id"], "event_id", ["ts"], 5, SCHEMA)
-    write(rows(spark, [(1, 1, "2024-01-01 10:00:00", 1.0)]), 0)
-    batch = rows(spark, [(1, 2, "2024-01-01 11:00:00", 1.0)])
-    write(batch, 1)
-    write(batch, 1)  # the same batch after a failure
-    assert st.latest_history(spark, str(tmp_path / "h")).count() == 2
+    # a repeat, a row far behind the watermark, and a new one
+    assert run([(1, 2, "2024-01-01 11:00:00", 2.0), (2, 9, "2023-12-01 00:00:00", 1.0), (1, 3, "2024-01-01 12:00:00", 3.0)]) == [(1, 1), (1, 2), (1, 3)]
 
 
 def test_event_stream_reads_files_and_folders(spark, tmp_path):

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import arg_min, positions
+from touchline.operators.ordered import arg_min, positions, top_n
 
 
 def lookup(df: DataFrame, dim: DataFrame, on: list[str], defaults: dict | None = None) -> DataFrame:
@@ -145,23 +145,47 @@ def matchup_table(pairs: DataFrame, players: DataFrame, strengths: DataFrame, co
     return with_opponent(sides.join(players, "team"), strengths, columns)
 
 
+def top_matchups(pairs: DataFrame, players: DataFrame, strengths: DataFrame, base: Column, factor: Column, n: int, digits: int = 6, player: str = "player_id") -> DataFrame:
+    """The best ``n`` players of both sides of every pair by ``base * factor``, rounded; ties go to the smaller id.
+
+    ``base`` is a column of ``players`` (team, id), ``factor`` a positive one of ``strengths`` (team). A rival scales all
+    rows of a team alike, so only its best ``n`` by base can be among the best of a pair, and those so near the last of
+    them that rounding may tie them. They are picked before the pairs are formed: a pair meets about 2 * ``n`` rows.
+    Returns home, away, the player columns, x (unrounded) and rank.
+    """
+    rows = players.withColumn("_base", base)
+    rated = strengths.select(F.col("team").alias("opponent"), factor.cast("double").alias("_factor"))
+    ranked = top_n(rows.where(F.col("_base").isNotNull()).select("team", player, "_base"), ["team"], [F.col("_base").desc(), F.col(player)], n, "_r")
+    last = ranked.groupBy("team").agg(F.min(F.when(F.col("_r") == n, F.col("_base"))).alias("_last"))
+    slack = rated.agg((F.lit(10.0**-digits) / F.min("_factor")).alias("s")).select("s").scalar()
+    near = rows.join(last, "team", "left").where(F.col("_last").isNull() | (F.col("_base") >= F.col("_last") - slack)).drop("_last")
+    sides = two_sides(pairs, {"team": "home", "opponent": "away"}, {"team": "away", "opponent": "home"}, ["home", "away"])
+    both = sides.join(near, "team").join(rated, "opponent").withColumn("x", F.col("_base") * F.col("_factor"))
+    return top_n(both, ["home", "away"], [F.round("x", digits).desc(), F.col(player)], n).drop("_base", "_factor", "opponent")
+
+
 def setpiece_roles(players: DataFrame, takers: DataFrame) -> DataFrame:
     """Set-piece role of each player: a taker all of whose name tokens are in the player's name.
 
-    ``players``: player_id, team, name_tokens. ``takers``: team, kind, idx, taker_tokens.
-    Joined on the taker's longest token, then checked; the lowest index per kind wins.
+    ``players``: player_id, team, name_tokens. ``takers``: team, kind, idx, taker_tokens. A taker list meets players by
+    the one of its tokens that the fewest of the team's players have, so a common surname is a key only for takers called
+    nothing else; then all tokens are checked. The lowest index per kind wins.
     """
-    lists = takers.where(F.size("taker_tokens") > 0).groupBy("team", "kind", "taker_tokens").agg(F.min("idx").alias("idx"))
-    longest = F.array_max(F.transform("taker_tokens", lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
-    lists = lists.withColumn("token", longest)
-    named = players.select("player_id", "team", "name_tokens", F.explode("name_tokens").alias("token"))
-    hit = named.join(lists, ["team", "token"]).where(F.size(F.array_except("taker_tokens", "name_tokens")) == 0)
+    lists = takers.where(F.size("taker_tokens") > 0).groupBy("team", "kind", F.array_sort(F.array_distinct("taker_tokens")).alias("taker_tokens")).agg(F.min("idx").alias("idx"))
+    named = players.select("player_id", "team", "name_tokens", F.explode(F.array_distinct("name_tokens")).alias("token"))
+    # how many of the team's players have each token that some taker has
+    wanted = lists.select("team", F.explode("taker_tokens").alias("token")).distinct()
+    held = named.join(wanted, ["team", "token"], "left_semi").groupBy("team", "token").agg(F.count("*").alias("held"))
+    spread = lists.withColumn("token", F.explode("taker_tokens")).join(held, ["team", "token"], "left")
+    # a token nobody has leaves its list without players
+    rarest = spread.groupBy("team", "kind", "taker_tokens", "idx").agg(F.min(F.struct(F.coalesce("held", F.lit(0)).alias("n"), "token")).alias("r"))
+    keyed = rarest.where(F.col("r.n") > 0).select("team", "kind", "taker_tokens", "idx", F.col("r.token").alias("token"))
+    hit = named.join(keyed, ["team", "token"]).where(F.size(F.array_except("taker_tokens", "name_tokens")) == 0)
     best = hit.groupBy("player_id", "team", "kind").agg(F.min("idx").alias("idx"))
     rank = F.when((F.col("kind") == "ck") | (F.col("idx") == 0), "primary").otherwise("secondary")
     return best.select("player_id", "team", "kind", "idx", F.concat_ws("_", "kind", rank).alias("role"))
 
 
-
 def union_all(frames: list[DataFrame]) -> DataFrame:
     """Bag union by column name; missing columns become null."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)

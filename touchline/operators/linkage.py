@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.text import tokens
+from touchline.operators.ordered import positions, top_n
+from touchline.session import durable
 
 
 def link_keys(name: Column, min_len: int = 3) -> Column:
@@ -130,29 +132,90 @@ def _leftovers(a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
     yield from (row for (_, row), left in zip(b, free) if left)
 
 
-def match_scorers(a: DataFrame, b: DataFrame, keys: list[str], ordinal: str = "ordinal", name: str = "name", min_len: int = 3) -> DataFrame:
+def _first_choices(heads: DataFrame, words: DataFrame) -> DataFrame:
+    """For the first free row of each name: the name of the other side's first free row that matches (``best``), and the
+    position of the first one of yet another name (``until``, null if there is none).
+
+    Of all rows that share a word only the first two names are looked at, so a common word costs its names once.
+    """
+    spread = heads.join(words, ["_g", "source", "_name"])
+    firsts = top_n(spread, ["_g", "_k", "source"], [F.col("_pos"), F.col("_name")], 2, "_n")
+    firsts = firsts.groupBy("_g", "_k", "source").agg(F.collect_list(F.struct("_pos", "_name")).alias("firsts"))  # two at most
+    other = firsts.withColumn("source", F.when(F.col("source") == "a", "b").otherwise("a"))
+    seen = spread.select("_g", "source", "_name", "_k").join(other, ["_g", "_k", "source"])
+    seen = seen.groupBy("_g", "source", "_name").agg(F.array_sort(F.flatten(F.collect_list("firsts"))).alias("f"))  # two a word of the name
+    best = F.col("f")[0]["_name"]
+    return seen.select("_g", "source", "_name", best.alias("best"), F.get(F.filter("f", lambda r: r["_name"] != best), 0)["_pos"].alias("until"))
+
+
+def _settled(choices: DataFrame, rows: DataFrame, state: DataFrame) -> DataFrame:
+    """_g, source, _name and how many more of its first free rows are matched in this round.
+
+    Where two names are each other's first choice, their rows pair in order as far as no third name comes in between on
+    either side: until then nobody else wants them, and they want nobody else.
+    """
+    a = choices.where(F.col("source") == "a").select("_g", F.col("_name").alias("a"), F.col("best").alias("b"), F.col("until").alias("b_before"))
+    b = choices.where(F.col("source") == "b").select("_g", F.col("_name").alias("b"), F.col("best").alias("a"), F.col("until").alias("a_before"))
+    mutual = a.join(b, ["_g", "a", "b"])
+    side = lambda x: mutual.select("_g", F.lit(x).alias("source"), F.col(x).alias("_name"), F.col(f"{x}_before").alias("before"), "a", "b")
+    free = rows.join(state, ["_g", "source", "_name"]).where(F.col("_rank") > F.col("_gone")).join(side("a").union(side("b")), ["_g", "source", "_name"])
+    ahead = free.where(F.col("before").isNull() | (F.col("_pos") < F.col("before"))).groupBy("_g", "a", "b").agg(*[F.count_if(F.col("source") == x).alias(f"n_{x}") for x in "ab"])
+    more = ahead.select("_g", F.least("n_a", "n_b").alias("_more"), F.explode(F.array(*[F.struct(F.lit(x).alias("source"), F.col(x).alias("_name")) for x in "ab"])).alias("s"))
+    return more.select("_g", "s.source", "s._name", "_more")
+
+
+def match_scorers(a: DataFrame, b: DataFrame, keys: list[str], ordinal: str = "ordinal", name: str = "name", min_len: int = 3, rounds: int = 16) -> DataFrame:
     """Leftovers of two goal lists of the same match side, of any length.
 
     A row of ``a`` is left over when no row of ``b`` matches its name at all. Rows of ``b`` are consumed one to one:
-    each row of ``a``, in order, takes the first free match. The order makes a side one fold over its sorted rows; its
-    time grows with the rows and their name tokens, its memory with the rows (one team's goals of one match).
+    each row of ``a``, in order, takes the first free match. The same pairs come out of rounds in which all rows that are
+    each other's first free choice pair up, rows of two names that want each other all at once; the rows of a name are used
+    up from the first on, so a round carries one number a name. Names that still wait for one another after ``rounds`` rounds (a
+    chain in which each takes the next one's choice) are folded in order, a side in a task.
     Returns keys, source ('a' or 'b'), ordinal, name.
     """
     out = [*keys, "source", ordinal, name]
     rows = a.select(*keys, F.lit("a").alias("source"), ordinal, name).union(b.select(*keys, F.lit("b").alias("source"), ordinal, name))
-    rows = rows.repartition(*keys).sortWithinPartitions(*keys, "source", ordinal, name).withColumn("_k", link_keys(F.col(name), min_len))
+    rows = rows.withColumns({"_g": F.struct(*keys), "_name": F.coalesce(F.col(name), F.lit(""))})
+    rows = positions(rows, ["_g", "source"], [F.col(ordinal), F.col("_name")], "_pos")
+    rows = durable(positions(rows, ["_g", "source", "_name"], [F.col("_pos")], "_rank"))
+    names = rows.groupBy("_g", "source", "_name").agg(F.max(name).alias("_shown"))
+    words = durable(names.select("_g", "source", "_name", F.explode(F.array_distinct(link_keys(F.col("_shown"), min_len))).alias("_k")))
+    met = words.select("_g", "_k", F.when(F.col("source") == "a", "b").otherwise("a").alias("source")).distinct()
+    state = durable(words.join(met, ["_g", "_k", "source"], "left_semi").select("_g", "source", "_name").distinct().withColumn("_gone", F.lit(0).cast("long")))
+    known, waiting = state.drop("_gone"), True
+    for _ in range(rounds):
+        heads = rows.join(state, ["_g", "source", "_name"]).where(F.col("_rank") == F.col("_gone") + 1).select("_g", "source", "_name", "_pos")
+        more = durable(_settled(_first_choices(heads, words), rows, state))
+        waiting = not more.isEmpty()
+        if not waiting:
+            break
+        state = durable(state.join(more, ["_g", "source", "_name"], "left").select("_g", "source", "_name", (F.col("_gone") + F.coalesce("_more", F.lit(0))).alias("_gone")))
+    free = rows.join(state, ["_g", "source", "_name"], "left").where(F.col("_rank") > F.coalesce("_gone", F.lit(0)))
+    unknown = free.join(known, ["_g", "source", "_name"], "left_anti")
+    rest = free.join(known, ["_g", "source", "_name"], "left_semi")
+    if waiting:
+        rest = _folded(rest, keys, out, name, min_len)
+        return unknown.select(*out).union(rest)
+    return unknown.select(*out).union(rest.where(F.col("source") == "b").select(*out))
+
+
+def _folded(rows: DataFrame, keys: list[str], out: list[str], name: str, min_len: int) -> DataFrame:
+    """What stays of rows that all match some row of the other side, each side's rows taken in order."""
+    rows = rows.repartition("_g").sortWithinPartitions("_g", "source", "_pos").select(*out, link_keys(F.col(name), min_len).alias("_k"))
     at = len(keys)
 
     def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         side, sides = None, {"a": [], "b": []}
+        left = lambda: (row for row in _leftovers(**sides) if row[at] == "b")
         for batch in batches:
             done = []
-            for *row, names in zip(*[batch[c].tolist() for c in [*out, "_k"]]):
+            for *row, words in zip(*[batch[c].tolist() for c in [*out, "_k"]]):
                 if row[:at] != side:
-                    done += _leftovers(**sides)
+                    done += left()
                     side, sides = row[:at], {"a": [], "b": []}
-                sides[row[at]].append((names, row))
+                sides[row[at]].append((words, row))
             yield pd.DataFrame(done, columns=out)
-        yield pd.DataFrame(list(_leftovers(**sides)), columns=out)
+        yield pd.DataFrame(list(left()), columns=out)
 
     return rows.mapInPandas(fold, rows.select(*out).schema)

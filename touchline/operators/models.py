@@ -9,11 +9,13 @@ import pandas as pd
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.functions.scalars import clamp
+from touchline.operators.ordered import positions as number_rows
 from touchline.operators.ordered import running_totals
+from touchline.session import durable
 
 
 def ridge(df: DataFrame, group: str, features: list[str], target: str, alpha: float = 1.0, min_rows: int = 20, label: str = "ALL") -> DataFrame:
@@ -169,7 +171,7 @@ def buyable(candidates: DataFrame, most: dict[str, int]) -> DataFrame:
 
     Behind ``most[position]`` rows of its position that score as much and cost no more, a row is never bought: one of
     them was skipped for want of money while a place was free, and money only falls. Each partition drops such rows
-    first, what is left meets once more.
+    first; what is left is not brought together for it.
     """
 
     def prune(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,47 +193,79 @@ def buyable(candidates: DataFrame, most: dict[str, int]) -> DataFrame:
             yield kept
 
     good = candidates.where((F.col("xpts") > 0) & (F.col("price") > 0)).select("id", "position", "price", "xpts")
-    return good.mapInPandas(prune, good.schema).repartition(1).mapInPandas(prune, good.schema)
+    return good.mapInPandas(prune, good.schema)
 
 
-def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidates: DataFrame, positions: list[str]) -> DataFrame:
+def menus(candidates: DataFrame, positions: list[str], size: int) -> DataFrame:
+    """Candidates in order of points, cut into slices of ``size``: slice, menu, and per position the least price after it.
+
+    Rows are numbered over range partitions (``positions`` of the ordered operators); one row a slice meets in a window.
+    """
+    ranked = number_rows(candidates, [], [F.col("xpts").desc(), F.col("id")], "_at")
+    item = F.struct("_at", "id", "position", "price", "xpts")
+    least = [F.min(F.when(F.col("position") == p, F.col("price"))).alias(f"_min_{p}") for p in positions]
+    slices = ranked.groupBy(F.floor((F.col("_at") - 1) / size).alias("slice")).agg(F.sort_array(F.collect_list(item)).alias("menu"), *least)
+    after = Window.orderBy(F.col("slice").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    return slices.select("slice", "menu", *[F.min(f"_min_{p}").over(after).alias(f"later_{p}") for p in positions])
+
+
+def best_plan(plans: DataFrame, plan_keys: list[str], group: list[str], candidates: DataFrame, positions: list[str], slice_size: int = 1024) -> DataFrame:
     """Evaluate every plan with a greedy buy by points and keep the best per ``group``; a group without a plan that
-    can be filled keeps its row with null results.
+    can be filled keeps its row with null results. Returns group, the other plan keys, total, money_left and ``chosen``,
+    the bought rows (position, id, xpts) in the order they were bought.
 
     ``plans``: plan keys, budget, keep_points, one ``need_<position>`` per position and, if wanted, ``owned``, an array
-    of ids that must not be bought. ``candidates``: id, position, price, xpts; the reachable ones (``buyable``) form one
-    list, walked once per plan with the money left as state. Plans are independent rows.
+    of ids that must not be bought. ``candidates``: id, position, price, xpts. Their list is swept slice by slice: each
+    plan carries its money, places and purchases from one slice to the next, and stops as soon as its places are filled
+    or no later candidate of an open place is cheap enough. A slice is all a task holds of the list.
     """
     owns = "owned" in plans.columns
     limits = plans.agg(*[F.max(f"need_{p}").alias(p) for p in positions], F.max(F.size("owned") if owns else F.lit(0)).alias("owned")).first()
-    short = buyable(candidates, {p: (limits[p] or 0) + (limits["owned"] or 0) for p in positions})
-    item = F.struct((-F.col("xpts")).alias("neg"), "id", "position", "price", "xpts")
-    menu = short.agg(F.sort_array(F.collect_list(item)).alias("menu")).scalar()
-    start = F.struct(
-        F.col("budget").cast("double").alias("money"), F.lit(0.0).alias("points"), F.lit(0).alias("bought"),
-        *[F.col(f"need_{p}").cast("int").alias(f"need_{p}") for p in positions],
-    )
-    free = (lambda c: ~F.array_contains("owned", c["id"])) if owns else (lambda c: F.lit(True))
+    reach = buyable(candidates, {p: (limits[p] or 0) + (limits["owned"] or 0) for p in positions})
+    slices = durable(menus(reach, positions, slice_size))
+    last = slices.agg(F.max("slice")).first()[0]
+    id_type = candidates.schema["id"].dataType.simpleString()
+    bought_type = f"array<struct<position:string,id:{id_type},xpts:double>>"
+    needs = [f"need_{p}" for p in positions]
+    start = {"_money": F.col("budget").cast("double"), "_points": F.lit(0.0), "_chosen": F.array().cast(bought_type), **{n: F.col(n).cast("int") for n in needs}}
+    active = plans.select("*", F.lit(0).cast("long").alias("slice")).withColumns(start)
+    wanted = sum((F.col(n) for n in needs[1:]), F.col(needs[0]))
+    free = (lambda c: ~F.coalesce(F.array_contains("owned", c["id"]), F.lit(False))) if owns else (lambda c: F.lit(True))
+    state = F.struct(F.col("_money").alias("money"), F.col("_points").alias("points"), F.col("_chosen").alias("chosen"), *needs)
 
     def step(s, c):
         left = F.lit(0)
         for p in positions:
             left = F.when(c["position"] == p, s[f"need_{p}"]).otherwise(left)
+        row = F.array(F.struct(c["position"].alias("position"), c["id"].alias("id"), c["xpts"].cast("double").alias("xpts")))
         bought = F.struct(
-            (s["money"] - c["price"]).alias("money"), (s["points"] + c["xpts"]).alias("points"), (s["bought"] + 1).alias("bought"),
+            (s["money"] - c["price"]).alias("money"), (s["points"] + c["xpts"]).alias("points"), F.concat(s["chosen"], row).cast(bought_type).alias("chosen"),
             *[(s[f"need_{p}"] - (c["position"] == p).cast("int")).alias(f"need_{p}") for p in positions],
         )
         return F.when((c["price"] <= s["money"]) & (left > 0) & free(c), bought).otherwise(s)
 
-    # the walk is the cost, not the bytes: spread the plans over all cores before it
     cores = plans.sparkSession.sparkContext.defaultParallelism
-    done = plans.repartition(cores, *plan_keys).withColumn("_menu", menu).withColumn("_r", F.aggregate("_menu", start, step)).drop("_menu")
-    wanted = sum((F.col(f"need_{p}") for p in positions[1:]), F.col(f"need_{positions[0]}"))
-    # incomplete plans get a null total, which max_by skips; a filter on the walk's result
-    # would be pushed below it and walk every plan twice
-    done = done.withColumn("total", F.when(F.col("_r.bought") == wanted, F.col("keep_points") + F.col("_r.points")))
+    active, done, at = durable(active.repartition(cores, *plan_keys)), [], 0
+    while last is not None and at <= last:
+        walked = active.join(slices, "slice").withColumn("_s", F.aggregate("menu", state, step)).drop("menu", "_money", "_points", "_chosen", *needs)
+        walked = walked.select("*", F.col("_s.money").alias("_money"), F.col("_s.points").alias("_points"), F.col("_s.chosen").alias("_chosen"), *[F.col(f"_s.{n}").alias(n) for n in needs]).drop("_s")
+        open_place = F.lit(False)
+        for p in positions:
+            open_place = open_place | F.coalesce((F.col(f"need_{p}") > 0) & (F.col(f"later_{p}") <= F.col("_money")), F.lit(False))
+        walked = durable(walked.withColumn("_open", open_place).drop(*[f"later_{p}" for p in positions]))
+        done.append(walked.where(~F.col("_open")).drop("_open", "slice"))
+        active = walked.where("_open").drop("_open").withColumn("slice", F.col("slice") + 1)
+        at += 1
+        if at <= last and active.isEmpty():
+            break
+    done.append(active.drop("slice"))
+    ended = done[0]
+    for part in done[1:]:
+        ended = ended.unionByName(part)
+    # incomplete plans get a null total, which max_by skips
+    ended = ended.withColumn("total", F.when(wanted == 0, F.col("keep_points") + F.col("_points")))
     order = F.when(F.col("total").isNotNull(), F.struct("total", *[-F.col(k) for k in plan_keys]))
-    pick = F.max_by(F.struct(*plan_keys, "total", F.col("_r.money").alias("money_left")), order)
+    pick = F.max_by(F.struct(*plan_keys, "total", F.col("_money").alias("money_left"), F.col("_chosen").alias("chosen")), order)
     rest = [k for k in plan_keys if k not in group]
-    best = done.groupBy(*group).agg(pick.alias("_b"))
-    return best.select(*group, *[F.col(f"_b.{k}") for k in rest], "_b.total", "_b.money_left")
+    best = ended.groupBy(*group).agg(pick.alias("_b"))
+    return best.select(*group, *[F.col(f"_b.{k}") for k in rest], "_b.total", "_b.money_left", "_b.chosen")

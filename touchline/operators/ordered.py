@@ -4,7 +4,7 @@
   the shuffle, so a hot key arrives already cut to n rows per upstream task.
 * ``running_totals`` and ``carry_forward`` range-partition by key *and* order, so a hot
   key spreads over many slices; only one summary row per (key, slice) meets in a window.
-* ``order_statistics`` finds exact ranks through histograms of a value's buckets.
+* ``order_statistics`` finds exact ranks between pivots of a quantile sketch, whatever the distribution.
 """
 from __future__ import annotations
 
@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from touchline.session import durable
 
@@ -118,44 +119,88 @@ def next_after(
 
 Rank = Callable[[Column], Column]
 
+#: Equal shares of a group between two pivots.
+PIVOTS = 200
+#: Distinct values of one group that meet in one task to be counted one by one.
+MOST = 1_000_000
 
-def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Rank], buckets: int = 4096) -> DataFrame:
-    """Exact values at 0-based ranks (functions of the group size) per key.
 
-    Pass one finds each key's range, pass two counts ``buckets`` equal steps of it, pass
-    three counts distinct values inside the hit buckets only. All three are partial
-    aggregates, so a key holding most of the rows costs no more than its share.
+def _narrowed(rank: Column, n: Column, pivots: Column) -> tuple[Column, Column]:
+    """Pivots below and above the value at ``rank`` of ``n`` sorted ones, a step aside for the error of the sketch."""
+    at = F.floor(rank * PIVOTS / F.nullif(n, F.lit(0)))
+    return F.get(pivots, F.greatest(at - 1, F.lit(0)).cast("int")), F.get(pivots, F.least(at + 2, F.lit(PIVOTS)).cast("int"))
+
+
+def _axis(rows: DataFrame) -> Column:
+    """``_v`` as the sketch sees it: a double where it is a number, which keeps the order and may only join neighbours."""
+    return F.col("_v").cast("double") if isinstance(rows.schema["_v"].dataType, NumericType) else F.col("_v")
+
+
+def rank_intervals(rows: DataFrame, group: list[str], ranks: dict[str, Rank], most: int = MOST) -> DataFrame:
+    """Per group and rank: ``_rank_*`` and an interval ``_lo_*`` .. ``_hi_*`` of values that holds it.
+
+    Pivots come from a quantile sketch, a partial aggregate of fixed size whose error is a twentieth of the step between
+    two of them, so however the values are spread, at most four steps' rows lie strictly inside an interval. While that
+    may be more than ``most`` rows, the rows inside are counted and sketched again. ``rows`` has the group and ``_v``.
+    """
+    points = F.array(*[F.lit(i / PIVOTS) for i in range(PIVOTS + 1)])
+    sketch = lambda v: F.percentile_approx(v, points, 20 * PIVOTS)
+    axis = _axis(rows)
+    start = rows.groupBy(*group).agg(F.count("*").alias("_n"), sketch(axis).alias("_p"))
+    for name, rank in ranks.items():
+        start = start.withColumn(f"_rank_{name}", rank(F.col("_n")).cast("long"))
+        lo, hi = _narrowed(F.col(f"_rank_{name}"), F.col("_n"), F.col("_p"))
+        start = start.withColumns({f"_lo_{name}": lo, f"_hi_{name}": hi})
+    bounds = durable(start.drop("_p"))
+    largest = (bounds.agg(F.max("_n")).first()[0] or 0) * 4 // PIVOTS
+    while largest > most:
+        inside = same_keys(rows, bounds, group)
+        exprs = []
+        for name in ranks:
+            lo, hi, v = F.col(f"_lo_{name}"), F.col(f"_hi_{name}"), axis
+            between = (v > lo) & (v < hi)
+            exprs += [F.count_if(v <= lo).alias(f"_below_{name}"), F.count_if(between).alias(f"_in_{name}"), sketch(F.when(between, v)).alias(f"_p_{name}")]
+        seen = same_keys(bounds, inside.groupBy(*group).agg(*exprs), group)
+        for name in ranks:
+            rank = F.col(f"_rank_{name}") - F.col(f"_below_{name}")  # among the rows strictly inside
+            lo, hi = _narrowed(rank, F.col(f"_in_{name}"), F.col(f"_p_{name}"))
+            old_lo, old_hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
+            is_lo, is_hi = rank < 0, rank >= F.col(f"_in_{name}")
+            # past the first or last pivot the old bound still holds
+            at = F.floor(rank * PIVOTS / F.nullif(F.col(f"_in_{name}"), F.lit(0)))
+            lo = F.when(is_lo, old_lo).when(is_hi, old_hi).when(at < 1, old_lo).otherwise(lo)
+            hi = F.when(is_lo, old_lo).when(is_hi, old_hi).when(at + 2 >= PIVOTS, old_hi).otherwise(hi)
+            seen = seen.withColumns({f"_new_{name}": lo, f"_hi_{name}": hi}).withColumn(f"_lo_{name}", F.col(f"_new_{name}")).drop(f"_new_{name}")
+        size = F.greatest(F.lit(0), *[F.col(f"_in_{name}") for name in ranks])
+        rows_inside = seen.agg(F.max(size)).first()[0] or 0
+        bounds = durable(seen.select(*bounds.columns))
+        largest = rows_inside * 4 // PIVOTS
+    return bounds
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, ranks: dict[str, Rank], most: int = MOST) -> DataFrame:
+    """Exact values at 0-based ranks (functions of the group size) per key, in the type of ``value``.
+
+    One pass narrows each rank to an interval (``rank_intervals``); another counts the rows below it and the distinct
+    values inside. Both are partial aggregates, so a key holding most of the rows costs no more than its share, and at
+    most about ``most`` counted values of it meet in one task, however skewed the values are.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    if keys:
-        stats = rows.groupBy(*keys).agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-        ranged = same_keys(rows, stats.select(*keys, "_lo", "_hi"), keys)
-        group = keys
-    else:
-        group = ["_g"]
-        stats = rows.agg(F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")).withColumn("_g", F.lit(0))
-        ranged = rows.withColumns(
-            {"_g": F.lit(0), "_lo": stats.select("_lo").scalar(), "_hi": stats.select("_hi").scalar()}
-        )
-    step = F.floor((F.col("_v") - F.col("_lo")) / F.nullif(F.col("_hi") - F.col("_lo"), F.lit(0.0)) * buckets)
-    binned = ranged.withColumn("_b", F.coalesce(step, F.lit(0)).cast("int")).drop("_lo", "_hi")
-    by_bucket = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    hist = binned.groupBy(*group, "_b").agg(F.count("*").alias("_c"))
-    hist = hist.withColumn("_before", F.coalesce(F.sum("_c").over(by_bucket), F.lit(0)))
-    # the wanted ranks follow from the group's size; each histogram row is tried against them
-    sized = same_keys(hist, stats.select(*keys, "_n"), keys) if keys else hist.withColumn("_n", stats.select("_n").scalar())
-    wanted = F.array(*[F.struct(F.lit(n).alias("_name"), r(F.col("_n")).cast("long").alias("_rank")) for n, r in ranks.items()])
-    hit = sized.withColumn("_t", F.explode(wanted)).select(*hist.columns, "_t.*").where(
-        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
-    ).select(*group, "_b", "_name", (F.col("_rank") - F.col("_before")).alias("_rank"))
-    fine = same_keys(binned, hit.select(*group, "_b").distinct(), [*group, "_b"])
-    by_value = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    fine = fine.groupBy(*group, "_b", "_v").agg(F.count("*").alias("_c"))
-    fine = fine.withColumn("_before", F.coalesce(F.sum("_c").over(by_value), F.lit(0)))
-    found = same_keys(fine, hit, [*group, "_b"]).where(
-        (F.col("_rank") >= F.col("_before")) & (F.col("_rank") < F.col("_before") + F.col("_c"))
+    group = keys or ["_g"]
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    rows = rows if keys else rows.withColumn("_g", F.lit(0))
+    bounds = rank_intervals(rows, group, ranks, most)
+    axis = _axis(rows)
+    between = [(axis >= F.col(f"_lo_{n}")) & (axis <= F.col(f"_hi_{n}")) for n in ranks]
+    counted = same_keys(rows, bounds, group).groupBy(*group, F.when(reduce(lambda a, b: a | b, between), F.col("_v")).alias("_v")).agg(
+        F.count("*").alias("_c"), *[F.count_if(axis < F.col(f"_lo_{n}")).alias(f"_b_{n}") for n in ranks]
     )
-    out = found.groupBy(*group).agg(*[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in ranks])
+    whole, before = Window.partitionBy(*group), Window.partitionBy(*group).orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
+    counted = same_keys(counted, bounds, group)
+    placed = counted.withColumns({
+        f"_at_{n}": F.sum(f"_b_{n}").over(whole) + F.coalesce(F.sum(F.when(between[i], F.col("_c"))).over(before), F.lit(0)) for i, n in enumerate(ranks)
+    })
+    hit = lambda i, n: between[i] & (F.col(f"_rank_{n}") >= F.col(f"_at_{n}")) & (F.col(f"_rank_{n}") < F.col(f"_at_{n}") + F.col("_c"))
+    out = placed.groupBy(*group).agg(*[F.max(F.when(hit(i, n), F.col("_v"))).alias(n) for i, n in enumerate(ranks)])
     return out if keys else out.drop("_g")
 
 

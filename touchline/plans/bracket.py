@@ -10,15 +10,48 @@ from touchline.operators.joins import unordered_pair
 from touchline.session import durable
 
 
-def fixtures_from_slots(slots: list[tuple[int, str, str]], positions: DataFrame) -> DataFrame:
-    """First knockout round: (event id, home slot, away slot) with slots like '1A'."""
-    table = positions.sparkSession.createDataFrame(slots, "event_id long, slot_home string, slot_away string")
+def fixtures_from_slots(slots: DataFrame, positions: DataFrame) -> DataFrame:
+    """Fixtures whose sides are slots like '1A': event_id, home, away (null where no team holds the slot).
+
+    ``slots``: event_id, slot_home, slot_away.
+    """
+    table = slots
     for side in ("home", "away"):
         dim = positions.select(F.col("position").alias(f"slot_{side}"), F.col("team").alias(side))
         table = table.join(dim, f"slot_{side}", "left")
     return table.select("event_id", "home", "away")
 
 
+def group_slots(groups: DataFrame) -> DataFrame:
+    """Slots of the first round: first and second of a group against fourth and third of the next group.
+
+    ``groups``: grp, ordinal (0, 1, ... without gaps); the last group meets the first.
+    """
+    n = groups.agg(F.count("*")).first()[0]
+    rival = groups.select(F.pmod(F.col("ordinal") - 1, F.lit(max(1, n))).alias("ordinal"), F.col("grp").alias("rival"))
+    pair = lambda k, a, b: F.struct((2 * F.col("ordinal") + k).cast("long").alias("event_id"), F.concat(F.lit(a), "grp").alias("slot_home"), F.concat(F.lit(b), "rival").alias("slot_away"))
+    return groups.join(rival, "ordinal").select(F.explode(F.array(pair(1, "1", "4"), pair(2, "2", "3"))).alias("s")).select("s.*")
+
+
+def ladder(first: DataFrame) -> DataFrame:
+    """Edges event_id, from_a, from_b of all rounds after ``first``, whose event ids are 1, 2, ... without gaps.
+
+    Winners of neighbours meet; an odd one out has no rival and passes. Only the number of fixtures is read here.
+    """
+    size, offset = first.count(), 0
+    spans = []
+    while size > 1:
+        spans.append((offset, size))
+        offset, size = offset + size, (size + 1) // 2
+    spark = first.sparkSession
+    edges = spark.createDataFrame([], "event_id long, from_a long, from_b long")
+    for offset, size in spans:
+        j = F.col("id")
+        b = F.when(2 * j + 2 <= size, offset + 2 * j + 2)
+        edges = edges.union(spark.range((size + 1) // 2).select((offset + size + 1 + j).alias("event_id"), (offset + 2 * j + 1).alias("from_a"), b.alias("from_b")))
+    return edges
+
+
 def decide(fixtures: DataFrame, strengths: DataFrame, form: DataFrame, results: DataFrame, hosts: list[str], max_goals: int = 7) -> DataFrame:
     """Lambdas, win probabilities and winner of each fixture of one round.
 
@@ -43,15 +76,26 @@ def decide(fixtures: DataFrame, strengths: DataFrame, form: DataFrame, results:
     return f.select("event_id", "home", "away", "lambda_home", "lambda_away", "p_home", "p_away", winner.alias("winner"), sh.isNotNull().alias("confirmed"))
 
 
-def project_bracket(first_round: DataFrame, edges: list[list[tuple[int, int, int]]], strengths: DataFrame, form: DataFrame,
-                    results: DataFrame, hosts: list[str]) -> DataFrame:
-    """All rounds: winners of two fixtures meet in the next one, as the edge list says."""
-    spark = first_round.sparkSession
-    # each round reads the one before twice, so the few rows of a round are written once
-    current = durable(decide(first_round, strengths, form, results, hosts))
-    rounds = current.withColumn("round", F.lit(1))
-    for i, level in enumerate(edges, start=2):
-        links = spark.createDataFrame(level, "event_id long, from_a long, from_b long")
-        current = durable(decide(cp.advance(links, current), strengths, form, results, hosts))
-        rounds = rounds.unionByName(current.withColumn("round", F.lit(i)))
-    return rounds
+def project_bracket(first_round: DataFrame, edges: DataFrame, strengths: DataFrame, form: DataFrame, results: DataFrame, hosts: list[str]) -> DataFrame:
+    """All fixtures of a bracket of any depth, with the round in which they can be played.
+
+    ``edges``: event_id, from_a, from_b: the fixtures whose winners meet (null: no rival, the other side passes). Rounds
+    are found on the way: a fixture is decided once all it comes from are, whatever lies between. Each round reads the
+    ones before from the files it wrote. Edges that go in a circle or name no fixture raise an error.
+    """
+    done = durable(decide(first_round, strengths, form, results, hosts).withColumn("round", F.lit(1)))
+    waiting, level = durable(edges), 1
+    left = waiting.count()
+    while left:
+        level += 1
+        known = done.select("event_id", "winner")
+        came = [known.select(F.col("event_id").alias(f"from_{x}"), F.col("winner").alias(side), F.lit(True).alias(f"has_{x}")) for x, side in (("a", "home"), ("b", "away"))]
+        both = waiting.join(came[0], "from_a", "left").join(came[1], "from_b", "left")
+        ready = (F.col("from_a").isNull() | F.col("has_a").isNotNull()) & (F.col("from_b").isNull() | F.col("has_b").isNotNull())
+        played = durable(decide(both.where(ready).select("event_id", "home", "away"), strengths, form, results, hosts).withColumn("round", F.lit(level)))
+        waiting = durable(waiting.join(played, "event_id", "left_anti"))
+        before, left = left, waiting.count()
+        if left == before:
+            raise ValueError(f"{left} fixtures wait for each other or for none of the table")
+        done = done.unionByName(played)
+    return done

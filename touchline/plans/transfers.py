@@ -56,11 +56,35 @@ def best_transfers(plans: DataFrame, candidates: DataFrame, plan_keys: list[str]
     return best_plan(plans, plan_keys, ["manager_id"], candidates, POSITIONS)
 
 
+def _place(position: str):
+    """Order of a position on the pitch; unknown ones come last."""
+    order = F.lit(9)
+    for i, p in enumerate(POSITIONS):
+        order = F.when(F.col(position) == p, i).otherwise(order)
+    return order
+
+
 def swaps(sold: DataFrame, bought: DataFrame, keys: list[str]) -> DataFrame:
-    """Pair sold and bought players in order of points, with points gained over the one replaced."""
-    out = zip_ranked(
-        sold.withColumnRenamed("xpts", "sold_xpts").withColumnRenamed("name", "sold"),
-        bought.withColumnRenamed("xpts", "bought_xpts").withColumnRenamed("name", "bought"), keys,
-        [F.col("sold_xpts"), F.col("sold")], [F.col("bought_xpts").desc(), F.col("bought")],
-    )
-    return out.withColumn("over_replaced", F.round(F.col("bought_xpts") - F.col("sold_xpts"), 2))
+    """Pair sold and bought players by position (goalkeeper to forward), with points gained over the one replaced.
+
+    ``sold``: keys, pos, ordinal (place in the squad), id, xpts; ``bought``: the same with the order of purchase. Within a
+    position each side keeps its ordinals; a side may cross positions where the formation changes.
+    """
+    sides = []
+    for df, side in ((sold, "sold"), (bought, "bought")):
+        sides.append(df.select(*keys, F.col("id").alias(side), F.col("pos").alias(f"{side}_pos"), F.col("xpts").alias(f"{side}_xpts"), F.col("ordinal").alias(f"_{side}_ord")))
+    out = zip_ranked(*sides, keys, [_place("sold_pos"), F.col("_sold_ord")], [_place("bought_pos"), F.col("_bought_ord")])
+    return out.withColumn("over_replaced", F.round(F.col("bought_xpts") - F.col("sold_xpts"), 2)).drop("_sold_ord", "_bought_ord")
+
+
+def planned_swaps(squads: DataFrame, best: DataFrame) -> DataFrame:
+    """The swaps of each manager's best plan: the slots that its keep-set leaves out against what it buys.
+
+    ``squads`` as for ``keep_plans``, with an ``id`` in every slot; ``best`` has manager_id, keep_set and chosen.
+    """
+    both = squads.join(best.where(F.col("total").isNotNull()), "manager_id")
+    slot = both.select("manager_id", "keep_set", F.posexplode("slots").alias("ordinal", "_s")).where(F.getbit("keep_set", F.col("ordinal")) == 0)
+    sold = slot.select("manager_id", "ordinal", F.col("_s.id").alias("id"), F.col("_s.pos").alias("pos"), F.col("_s.xpts").alias("xpts"))
+    buy = both.select("manager_id", F.posexplode("chosen").alias("ordinal", "_s"))
+    bought = buy.select("manager_id", "ordinal", F.col("_s.id").alias("id"), F.col("_s.position").alias("pos"), F.col("_s.xpts").alias("xpts"))
+    return swaps(sold, bought, ["manager_id"])

@@ -1,6 +1,7 @@
 """Reading landed JSON."""
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,9 @@ def read_named_array(spark: SparkSession, path: str, name: str, schema: str) ->
 
 def optional(spark: SparkSession, path: str, schema: str | T.StructType, reader) -> DataFrame:
     """``reader(path)`` when the path exists on its file system, else a typed empty table."""
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
-    return reader(path) if found else spark.createDataFrame([], schema)
+    try:
+        return reader(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)

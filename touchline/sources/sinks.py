@@ -4,6 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from touchline.sources import markers
+
 
 def write_csv(df: DataFrame, path: str, order: list) -> None:
     """Ordered CSV with header."""
@@ -23,7 +25,8 @@ def write_json(df: DataFrame, path: str) -> None:
 def publish(df: DataFrame, root: str, run: str) -> str:
     """Write a run folder, then point readers to it; earlier runs stay.
 
-    A job that dies half way changes nothing for readers.
+    A job that dies half way changes nothing for readers. Of several publishers at once all runs stay, and readers get the
+    one that moved the pointer last.
     """
     target = f"{root}/runs/{run}"
     df.write.mode("errorifexists").parquet(target)
@@ -31,22 +34,18 @@ def publish(df: DataFrame, root: str, run: str) -> str:
     return target
 
 
-def _moves(spark: SparkSession, root: str) -> DataFrame:
-    """All moves of the pointer so far; the folder exists from the first move on."""
-    return spark.read.schema("move long, run string").json(f"{root}/pointer")
-
+def point(spark: SparkSession, root: str, run: str, expected: str | None = None, check: bool = False) -> int:
+    """Move the pointer to any written run, an earlier one too, and return the number of the move.
 
-def point(spark: SparkSession, root: str, run: str) -> None:
-    """Move the pointer to any written run, an earlier one too; one small file is added at once."""
-    spark.createDataFrame([], "move long, run string").write.mode("append").json(f"{root}/pointer")
-    last = _moves(spark, root).agg(F.coalesce(F.max("move"), F.lit(0))).first()[0]
-    spark.createDataFrame([(last + 1, run)], "move long, run string").coalesce(1).write.mode("append").json(f"{root}/pointer")
+    With ``check`` the pointer moves only from ``expected`` (None: it was never set), else a ValueError is raised and
+    nothing changes. Each move is a numbered marker that exactly one writer can create.
+    """
+    return markers.append(spark, f"{root}/pointer", run, expected, check)
 
 
 def latest(spark: SparkSession, root: str) -> DataFrame:
     """The table of the run that the pointer was last moved to."""
-    run = _moves(spark, root).agg(F.max_by("run", "move")).first()[0]
-    return spark.read.parquet(f"{root}/runs/{run}")
+    return spark.read.parquet(f"{root}/runs/{markers.last(spark, f'{root}/pointer')[1]}")
 
 
 def pending(wanted: DataFrame, done: DataFrame, keys: list[str], empty=None) -> DataFrame:

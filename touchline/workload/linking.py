@@ -192,16 +192,12 @@ m AS (SELECT home, away, home AS team, away AS opponent FROM pairs UNION ALL SEL
 SELECT m.home, m.away, player_id, {rnd('xg / minutes * 90 * (1 + s.d)')} AS xpts FROM m JOIN players USING (team) JOIN s ON s.team = m.opponent
 QUALIFY row_number() OVER (PARTITION BY m.home, m.away ORDER BY round(xg / minutes * 90 * (1 + s.d), 6) DESC, player_id) <= 40""")
 def _(t):
-    from touchline.operators.ordered import top_n
-
-    players = t.players()
+    players = t.stored_players()
     strengths = players.groupBy("team").agg(F.avg(F.col("yellow") / F.col("games")).alias("d"))
     a = t.part.join(t.lineitem.select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_semi").select("p_partkey", "p_size", F.col("p_brand").alias("home"))
     b = t.part.select((F.col("p_partkey") - 1).alias("p_partkey"), "p_size", F.col("p_brand").alias("away"))
     pairs = a.join(b, ["p_partkey", "p_size"]).where(F.col("home") != F.col("away")).select("home", "away").distinct()
-    out = joins.matchup_table(pairs, players, strengths, ["d"])
-    x = F.col("xg") / F.col("minutes") * 90 * (1 + F.col("opp_d"))
-    best = top_n(out.withColumn("x", x), ["home", "away"], [F.round("x", 6).desc(), F.col("player_id")], 40)
+    best = joins.top_matchups(pairs, players, strengths, F.col("xg") / F.col("minutes") * 90, 1 + F.col("d"), 40)
     return best.select("home", "away", "player_id", F.round("x", 4).alias("xpts"))
 
 

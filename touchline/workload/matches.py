@@ -3,6 +3,7 @@ from __future__ import annotations
 
 from math import factorial
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from touchline.functions import probability as pr
@@ -206,17 +207,8 @@ def _(t):
     return f.select("event_id", cp.shootout_winner(F.col("xg_home"), F.col("xg_away")).alias("pens_winner"))
 
 
-GROUPS = ["AFRICA", "AMERICA", "ASIA", "EUROPE"]
-EDGES = [[(9, 1, 2), (10, 3, 4), (11, 5, 6), (12, 7, 8)], [(13, 9, 10), (14, 11, 12)], [(15, 13, 14)]]
-
-
-def slots(names):
-    out = []
-    for i, g in enumerate(names):
-        rival = names[(i + 1) % len(names)]
-        out.append((2 * i + 1, f"1{g}", f"4{rival}"))
-        out.append((2 * i + 2, f"2{g}", f"3{rival}"))
-    return out
+#: Fixtures of each round for the five regions: two a group, then winners of neighbours, an odd one passing.
+LEVELS = [10, 5, 3, 2, 1]
 
 
 def _bracket_sql() -> str:
@@ -225,10 +217,13 @@ gs AS (SELECT grp, home AS team, score_home AS gf, score_away AS ga FROM fixture
 tbl AS (SELECT grp, team, sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 ELSE 0 END) AS pts, sum(gf) AS gf, sum(gf - ga) AS gd FROM gs GROUP BY 1, 2),
 own AS (SELECT tbl.* FROM tbl JOIN nation ON n_name = team JOIN region ON r_regionkey = n_regionkey WHERE r_name = grp),
 pos AS (SELECT team, CAST(row_number() OVER (PARTITION BY grp ORDER BY pts DESC, gd DESC, gf DESC, team) AS VARCHAR) || grp AS position FROM own),
-last AS (SELECT least(home, away) || '|' || greatest(home, away) AS pair, arg_max(home, event_id) AS rh, arg_max(score_home, event_id) AS rsh, arg_max(score_away, event_id) AS rsa, max(event_id) AS e FROM fixtures WHERE round_num = 12 GROUP BY 1),
-slot AS (SELECT * FROM (VALUES {", ".join(f"({e}, '{h}', '{a}')" for e, h, a in slots(GROUPS))}) v(event_id, sh, sa)),
+last AS (SELECT least(home, away) || '|' || greatest(home, away) AS pair, arg_max(home, (played, event_id)) AS rh, arg_max(score_home, (played, event_id)) AS rsh, arg_max(score_away, (played, event_id)) AS rsa, max(event_id) AS e FROM fixtures GROUP BY 1),
+g AS (SELECT r_name, row_number() OVER (ORDER BY r_regionkey) - 1 AS i, count(*) OVER () AS n FROM region),
+gg AS (SELECT a.i, a.r_name AS grp, b.r_name AS rival FROM g a JOIN g b ON b.i = (a.i + 1) % a.n),
+slot AS (SELECT 2 * i + 1 AS event_id, '1' || grp AS sh, '4' || rival AS sa FROM gg UNION ALL SELECT 2 * i + 2, '2' || grp, '3' || rival FROM gg),
 f1 AS (SELECT event_id, h.team AS home, a.team AS away FROM slot LEFT JOIN pos h ON h.position = sh LEFT JOIN pos a ON a.position = sa)"""
-    for r in range(1, 5):
+    for r in range(1, len(LEVELS) + 1):
+        offset = sum(LEVELS[:r - 1])
         sql += f""",
 l{r} AS (SELECT f.*, round(coalesce(hs.alpha * coalesce(ht.att_mult, 1), 1.3) * coalesce(greatest(0.45, ax.beta * coalesce(ta.def_mult, 1)), 1.0) * 1.02, 4) AS lh,
    round(coalesce(ax.alpha * coalesce(ta.att_mult, 1), 1.3) * coalesce(greatest(0.45, hs.beta * coalesce(ht.def_mult, 1)), 1.0), 4) AS la
@@ -237,11 +232,11 @@ p{r} AS (SELECT event_id, home, away, lh, la, round(sum(p) FILTER (i > j), 3) AS
    FROM l{r} l, generate_series(0, 7) gi(i), generate_series(0, 7) gj(j)) GROUP BY ALL),
 w{r} AS (SELECT p.*, CASE WHEN home IS NULL THEN away WHEN away IS NULL THEN home WHEN rsh IS NULL THEN CASE WHEN ph >= pa THEN home ELSE away END WHEN rsh = rsa THEN home WHEN (rsh > rsa) = (rh = home) THEN home ELSE away END AS winner, rsh IS NOT NULL AS confirmed
    FROM p{r} p LEFT JOIN last ON pair = least(home, away) || '|' || greatest(home, away))"""
-        if r < 4:
+        if r < len(LEVELS):
             sql += f""",
-e{r} AS (SELECT * FROM (VALUES {", ".join(map(str, EDGES[r - 1]))}) v(event_id, fa, fb)),
-f{r + 1} AS (SELECT e.event_id, a.winner AS home, b.winner AS away FROM e{r} e JOIN w{r} a ON a.event_id = fa JOIN w{r} b ON b.event_id = fb)"""
-    parts = [f"SELECT {r} AS round, CAST(event_id AS BIGINT) AS event_id, home, away, winner, confirmed FROM w{r}" for r in range(1, 5)]
+f{r + 1} AS (SELECT {offset + LEVELS[r - 1]} + j AS event_id, a.winner AS home, b.winner AS away FROM generate_series(1, {LEVELS[r]}) s(j)
+   JOIN w{r} a ON a.event_id = {offset} + 2 * j - 1 LEFT JOIN w{r} b ON b.event_id = {offset} + 2 * j)"""
+    parts = [f"SELECT {r} AS round, CAST(event_id AS BIGINT) AS event_id, home, away, winner, confirmed FROM w{r}" for r in range(1, len(LEVELS) + 1)]
     return sql + "\n" + " UNION ALL ".join(parts)
 
 
@@ -251,15 +246,15 @@ def _(t):
     # the match table and the strengths are read several times: derive each once and go on from the files
     t.fixtures = lambda f=durable(t.fixtures()): f
     table = cp.standings(t.fixtures()).join(home_region, ["team", "grp"], "left_semi")
-    first = durable(bracket.fixtures_from_slots(slots(GROUPS), cp.group_positions(table)))
+    groups = t.region.select(F.col("r_name").alias("grp"), (F.row_number().over(Window.orderBy("r_regionkey")) - 1).alias("ordinal"))
+    first = durable(bracket.fixtures_from_slots(bracket.group_slots(groups), cp.group_positions(table)))
     s = durable(strengths(t))
     form = durable(cp.tournament_form(t.sides(), s, ROUND_WEIGHTS))
-    played = t.fixtures().where(F.col("round_num") == 12)
-    last = played.groupBy(unordered_pair(F.col("home"), F.col("away")).alias("pair")).agg(
-        F.max_by(F.struct("home", "away", "score_home", "score_away"), "event_id").alias("m")
+    last = t.fixtures().groupBy(unordered_pair(F.col("home"), F.col("away")).alias("pair")).agg(
+        F.max_by(F.struct("home", "away", "score_home", "score_away"), F.struct("played", "event_id")).alias("m")
     ).select(
         "pair", F.col("m.home").alias("res_home"), F.col("m.away").alias("res_away"), F.col("m.score_home").alias("res_score_home"),
         F.col("m.score_away").alias("res_score_away"), F.lit(None).cast("string").alias("pens"),
     )
-    out = bracket.project_bracket(first, EDGES, s, form, durable(last), [])
+    out = bracket.project_bracket(first, bracket.ladder(first), s, form, durable(last), [])
     return out.select("round", "event_id", "home", "away", "winner", "confirmed")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from touchline.session import shared_folder
 from touchline.streaming import activity as st
+from touchline.streaming import state
 from touchline.workload.registry import query
 from touchline.workload.tables import rnd
 
@@ -50,8 +51,10 @@ def _(t):
 @query("stream_history", "I02, E09", """SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""")
 def _(t):
     root = f"{shared_folder(t.spark)}/stream-history-{uuid.uuid4().hex}"
-    once = st.once_per_event(event_stream(t), ["user_id", "event_id"], "ts", "60 days").select("user_id", "event_id", "ts", "value")
-    write = st.history_writer(f"{root}/history", ["user_id"], "event_id", ["ts", "event_id"], 20, "user_id long, event_id long, ts timestamp, value double")
-    q = once.writeStream.foreachBatch(write).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    for name, value in state.ROCKSDB.items():
+        t.spark.conf.set(name, value)
+    lists = state.last_n(event_stream(t), ["user_id"], "event_id", "ts", ["value"], "60 days")
+    schema = lists.schema
+    q = lists.writeStream.outputMode("update").foreachBatch(state.updates_writer(f"{root}/updates")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return st.latest_history(t.spark, f"{root}/history").select("user_id", "event_id", "value")
+    return state.current(t.spark, f"{root}/updates", ["user_id"], schema).select("user_id", "event_id", "value")
