@@ -309,7 +309,7 @@ def repeats(groups: DataFrame, settings: Settings) -> DataFrame:
         gone[order[~same]] = True
         owner, pos = owner[gone], pos[gone]
         edge = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (pos[1:] != pos[:-1] + 1))) if len(pos) else np.zeros(0, dtype=np.int64)
-        last = np.append(edge[1:], len(pos)) - 1
+        last = np.append(edge[1:], len(pos))[: len(edge)] - 1
         return _packed(rows, owner[edge], pos[edge], pos[last] + settings.window)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
