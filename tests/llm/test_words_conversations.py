@@ -2,6 +2,7 @@
 import hashlib
 import random
 import re
+import string
 import zlib
 from collections import Counter, defaultdict
 
@@ -14,7 +15,7 @@ from touchline.llm.queries import QUERIES
 
 
 def variants(rows, least_length=5, least_count=3):
-    n, lower = Counter(), str.maketrans(sp.UPPER, sp.LOWER)
+    n, lower = Counter(), str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
     for i, text in rows:
         for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
             run = run.translate(lower)

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from touchline.llm.work import cut
+from touchline.llm.work import cut, map_rows
 
 # HTML element names by role.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -276,8 +276,8 @@ def parse(hosted: DataFrame) -> DataFrame:
             out["blocks"] = [[{"text": t, "path": p} for t, p in read_blocks(h)] if isinstance(h, str) else [] for h in batch["html"]]
             yield out
 
-    kind = dict(hosted.dtypes)["page_id"]
-    return hosted.mapInPandas(run, f"page_id {kind}, url string, host string, blocks array<struct<text:string,path:array<bigint>>>")
+    schema = hosted.select("page_id", "url", "host").schema.add("blocks", "array<struct<text:string,path:array<bigint>>>")
+    return map_rows(hosted, run, schema, ["page_id", "url", "host"])
 
 
 def templates(hosted: DataFrame, min_pages: int, share: float) -> DataFrame:

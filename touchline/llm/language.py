@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.llm.textscan import Flat, table
+from touchline.llm.work import map_rows
 
 ORDERS = 3
 #: n-grams are told apart by a hash of this many bits.
@@ -153,4 +154,4 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
                 part["lang_pred"], part["score"] = lang, score
                 yield part
 
-    return docs.select(*keep).mapInPandas(run, schema)
+    return map_rows(docs.select(*keep), run, schema, keep)

@@ -141,12 +141,14 @@ def pack(docs: DataFrame, tokenizer: str, window: int = 1024, end_id: int = 0, p
             for a in range(0, len(batch), 500):
                 part = batch.iloc[a : a + 500]
                 for doc, ids in zip(part["doc_id"], encode([t if isinstance(t, str) else None for t in part["text"]])):
-                    packer.add(None if pd.isna(doc) else int(doc), np.append(ids, np.uint32(end_id)).astype("<u4"))
+                    packer.add(doc, np.append(ids, np.uint32(end_id)).astype("<u4"))
                 yield packer.take()
         packer.finish()
         yield packer.take()
 
-    return docs.select("doc_id", "text").mapInPandas(run, SCHEMA)
+    # ids pass the worker as text: next to a null they would turn into floats
+    out = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInPandas(run, SCHEMA.replace("doc_id long", "doc_id string"))
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digests(pieces: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.textscan import Flat, ascii_space, blocks, window_hashes
+from touchline.llm.work import map_rows
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("small letter", "capital letter", "other letter", "digit", "blank", "line end", "comma or full stop", "shout", "rule symbol", "other sign")
@@ -201,4 +202,4 @@ def score(docs: DataFrame, common: int = 10, min_words: int = 10, max_repeat: in
                 out["base_failed"], out["kept"] = failed, ~failed & ~far
                 yield out
 
-    return docs.select(*keep).mapInPandas(run, schema)
+    return map_rows(docs.select(*keep), run, schema, keep)

@@ -7,30 +7,53 @@ short however many words there are.
 """
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+import zlib
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.llm.work import cut
 
-RUN = r"[A-Za-zÀ-ÿ]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Stands after the last character; no word contains it.
 END = "$"
+#: Distinct words that a task counts before it passes them on.
+HELD = 200_000
 
 
 def counted_words(docs: DataFrame, least_length: int = 5, least_count: int = 3) -> DataFrame:
-    """word, n: lower-cased (A-Z only) runs of letters in all texts, seeded with one deletion in about 97 runs.
+    """word, n: lower-cased (A-Z only) runs of the letters A-Z, a-z and U+00C0 to U+00FF in all texts, seeded with one
+    deletion in about 97 runs.
 
-    With h the crc32 of ``<doc_id>:<run>``, a run whose h is a multiple of 97 loses its code point at h % length.
+    With h the crc32 of ``<doc_id>:<run>``, a run whose h is a multiple of 97 loses its code point at h % length. All
+    letters have one byte in Latin-1, so a text is scanned as bytes; any other character separates runs there too.
     """
-    runs = docs.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), F.explode(F.regexp_extract_all("text", F.lit(RUN), F.lit(0))).alias("run"))
-    runs = runs.where(F.length("run") >= least_length)  # deletion only shortens
-    lower = F.when(F.col("run").rlike("[A-Z]"), F.translate("run", UPPER, LOWER)).otherwise(F.col("run"))
-    runs = runs.select("id", lower.alias("run")).withColumn("h", F.crc32(F.concat_ws(":", "id", "run")))
-    at = (F.col("h") % F.length("run")).cast("int")
-    cut_out = F.concat(F.substring("run", F.lit(1), at), F.substring("run", at + 2, F.length("run")))
-    words = runs.select(F.when(F.col("h") % 97 == 0, cut_out).otherwise(F.col("run")).alias("word")).where(F.length("word") >= least_length)
-    return words.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
+    run = re.compile(rb"[a-z\xc0-\xff]{%d,}" % least_length)  # a shorter run only gets shorter
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: Counter[bytes] = Counter()
+        for batch in batches:
+            for i, text in zip(batch["id"], batch["text"]):
+                prefix = zlib.crc32(f"{i}:".encode())
+                for word, n in Counter(run.findall(text.encode("latin-1", "replace").lower())).items():
+                    h = zlib.crc32(word if word.isascii() else word.decode("latin-1").encode(), prefix)
+                    if h % 97 == 0:
+                        at = h % len(word)
+                        word = word[:at] + word[at + 1 :]
+                        if len(word) < least_length:
+                            continue
+                    total[word] += n
+            if len(total) > HELD:
+                yield pd.DataFrame({"word": [w.decode("latin-1") for w in total], "n": list(total.values())})
+                total.clear()
+        yield pd.DataFrame({"word": [w.decode("latin-1") for w in total], "n": np.array(list(total.values()), dtype=np.int64)})
+
+    texts = docs.where(F.col("text").isNotNull()).select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), "text")
+    return texts.mapInPandas(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_count)
 
 
 def rotations(words: DataFrame) -> DataFrame:
@@ -40,34 +63,69 @@ def rotations(words: DataFrame) -> DataFrame:
     ``first`` tells whether that character differs from the one before it in the word, so that of equal neighbours only
     one counts as inserted.
     """
-    size = F.length("word")
-    turn = lambda i, upto: F.concat(F.substring("word", i + 1, size), F.lit(END), F.substring("word", F.lit(1), upto))
-    char = lambda i: F.substring("word", i + 1, F.lit(1))
 
-    def entry(key: Column, whole: bool, first: Column) -> Column:
-        return F.struct(key.alias("key"), F.lit(whole).alias("whole"), first.alias("first"))
-
-    whole = F.transform(F.sequence(F.lit(0), size), lambda i: entry(turn(i, i), True, F.lit(False)))
-    skipped = F.transform(F.sequence(F.lit(1), size), lambda i: entry(turn(i, i - 1), False, (i == 1) | (char(i - 1) != char(i - 2))))
-    return words.select("word", "n", F.explode(F.concat(whole, skipped)).alias("r")).select("r.key", "word", "n", "r.whole", "r.first")
+    def turn(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, whole, first = [], [], []
+            length = batch["word"].str.len().to_numpy()
+            for w in batch["word"]:
+                size, double = len(w) + 1, (w + END) * 2
+                keys += [double[i : i + size] for i in range(size)]
+                keys += [double[i : i + size - 1] for i in range(1, size)]
+                whole += [True] * size + [False] * (size - 1)
+                first += [False] * size + [i == 0 or w[i] != w[i - 1] for i in range(size - 1)]
+            at = np.repeat(np.arange(len(batch)), 2 * length + 1)
+            yield pd.DataFrame({"key": keys, "word": batch["word"].to_numpy()[at], "n": batch["n"].to_numpy()[at], "whole": whole, "first": first})
+
+    return words.select("word", "n").mapInPandas(turn, "key string, word string, n long, whole boolean, first boolean")
+
+
+def _near(members: list[tuple[str, int, bool, bool]]) -> Iterator[tuple[str, int, int, str]]:
+    """word, number of near words and the most frequent of them (n and word), for each word of one range."""
+    order = lambda m: (-m[1], m[0])
+    skipped = sorted((m for m in members if not m[2]), key=order)
+    whole = [m for m in members if m[2]]  # one word at most
+    firsts = [m for m in skipped if m[3]]
+    for m in skipped:
+        near = [x for x in skipped[:2] if x[0] != m[0]][:1] + (whole if m[3] else [])
+        if near:
+            best = min(near, key=order)
+            yield m[0], len(skipped) - 1 + (len(whole) if m[3] else 0), best[1], best[0]
+    for m in whole:
+        if firsts:
+            yield m[0], len(firsts), firsts[0][1], firsts[0][0]
 
 
 def neighbours(words: DataFrame) -> DataFrame:
     """word, n_near and best (struct of -n and word): how many words are one edit away, and the most frequent of them.
 
-    Ranges are scanned in the order of the sorted rotations. Two words replace each other in one range only; an indel is
-    counted in the range of the first of equal characters, so no pair counts twice.
+    The rotations are sorted over range partitions and scanned range by range. Two words replace each other in one range
+    only; an indel is counted in the range of the first of equal characters, so no pair counts twice.
     """
-    member = F.struct("word", "n", "whole", "first")
-    ranges = rotations(words).repartitionByRange("key").groupBy("key").agg(F.collect_list(member).alias("all")).where(F.size("all") > 1)
-
-    def scan(m: Column) -> Column:
-        replaced = ~m["whole"]
-        near = F.filter("all", lambda o: (replaced & ~o["whole"] & (o["word"] != m["word"])) | (replaced & m["first"] & o["whole"]) | (m["whole"] & o["first"]))
-        return F.struct(m["word"].alias("word"), F.size(near).alias("n_near"), F.array_min(F.transform(near, lambda o: F.struct((-o["n"]).alias("minus_n"), o["word"].alias("word")))).alias("best"))
 
-    found = ranges.select(F.explode(F.transform("all", scan)).alias("m")).where(F.col("m.n_near") > 0).select("m.*")
-    return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), F.min("best").alias("best"))
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, key = [], None  # the range that may go on in the next batch
+        for batch in batches:
+            if batch.empty:
+                continue
+            out = []
+            keys = batch["key"].to_numpy()
+            edge = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            stop = np.append(edge[1:], len(keys))
+            crowd = (stop - edge > 1) | (np.arange(len(edge)) == len(edge) - 1) | (np.arange(len(edge)) == 0)  # single rows have no neighbour
+            columns = [batch[c].tolist() for c in ("word", "n", "whole", "first")]
+            for a, b in zip(edge[crowd].tolist(), stop[crowd].tolist()):
+                if keys[a] != key:
+                    out += _near(held) if len(held) > 1 else []
+                    held, key = [], keys[a]
+                held += zip(*[c[a:b] for c in columns])
+            yield pd.DataFrame(out, columns=["word", "n_near", "n", "best"])
+        yield pd.DataFrame(list(_near(held)) if len(held) > 1 else [], columns=["word", "n_near", "n", "best"])
+
+    ordered = rotations(words).repartitionByRange("key").sortWithinPartitions("key")
+    found = ordered.mapInPandas(scan, "word string, n_near long, n long, best string")
+    best = F.min(F.struct((-F.col("n")).alias("minus_n"), F.col("best").alias("word")))
+    return found.groupBy("word").agg(F.sum("n_near").alias("n_near"), best.alias("best"))
 
 
 def followed(forms: DataFrame) -> DataFrame:

@@ -105,6 +105,11 @@ class Chunk:
         self.codes = np.split(rank[all_codes], lengths) if self.codes else []
 
 
+def _as_text(docs: DataFrame) -> DataFrame:
+    """doc_id (as text, since next to a null it would turn into a float in a worker) and text."""
+    return docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+
+
 def _chunks(batches: Iterator[pd.DataFrame], path: str, chunk_chars: int) -> Iterator[Chunk]:
     """The finished chunks of a partition, in order."""
     split, partition, made = splitter(path), TaskContext.get().partitionId(), 0
@@ -156,10 +161,9 @@ def document_codes(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) -
 
     def run(batches):
         for chunk in _chunks(batches, path, chunk_chars):
-            ids = pd.array([None if pd.isna(i) else int(i) for i in chunk.ids], dtype="Int64")
-            yield pd.DataFrame({"chunk": chunk.number, "doc_id": ids, "codes": [_packed(c) for c in chunk.codes], "n_words": len(chunk.words)})
+            yield pd.DataFrame({"chunk": chunk.number, "doc_id": chunk.ids, "codes": [_packed(c) for c in chunk.codes], "n_words": len(chunk.words)})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, doc_id long, codes binary, n_words long")
+    return _as_text(docs).mapInPandas(run, "chunk long, doc_id string, codes binary, n_words long")
 
 
 def chunk_words(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, parts: int = PARTS) -> DataFrame:
@@ -181,7 +185,7 @@ def chunk_words(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS, part
                     rows.append((chunk.number, p, zlib.compress("\n".join(words[codes]).encode()), _packed(codes)))
             yield pd.DataFrame(rows, columns=["chunk", "part", "words", "codes"])
 
-    return docs.select("doc_id", "text").mapInPandas(run, "chunk long, part int, words binary, codes binary")
+    return _as_text(docs).mapInPandas(run, "chunk long, part int, words binary, codes binary")
 
 
 def encode_words(words: DataFrame, path: str) -> DataFrame:
@@ -277,11 +281,12 @@ def encode_decode(docs: DataFrame, path: str, chunk_chars: int = CHUNK_CHARS) ->
             stop = np.cumsum(n)
             out_ids.append(store[np.arange(stop[-1]) + np.repeat(first[codes] - (stop - n), n)] if len(codes) else np.zeros(0, dtype=np.int32))
             out_text.append(" ".join([decoded[c] for c in codes.tolist()]))
-        return pd.DataFrame({"doc_id": left["doc_id"].astype("Int64"), "ids": pd.Series(out_ids, dtype=object), "decoded": pd.Series(out_text, dtype=object)})
+        return pd.DataFrame({"doc_id": left["doc_id"], "ids": pd.Series(out_ids, dtype=object), "decoded": pd.Series(out_text, dtype=object)})
 
     coded = document_codes(docs, path, chunk_chars)
     known = encode_words(chunk_words(docs, path, chunk_chars), path)
-    return coded.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(rebuild, "doc_id long, ids array<int>, decoded string")
+    out = coded.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInPandas(rebuild, "doc_id string, ids array<int>, decoded string")
+    return out.withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def digests(encoded: DataFrame) -> DataFrame:

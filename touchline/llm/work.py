@@ -3,7 +3,12 @@ from __future__ import annotations
 
 import uuid
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from touchline.session import shared_folder
 
@@ -16,3 +21,17 @@ def cut(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/corpus/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path, compression=codec)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def map_rows(df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: StructType, kept: list[str]) -> DataFrame:
+    """``df`` through ``run``, which passes on the columns ``kept`` as they come.
+
+    A column of whole numbers with a null in a batch would turn into floats in pandas and lose digits beyond 2**53, so
+    long columns among ``kept`` go through the worker as text.
+    """
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    longs = [c for c in kept if isinstance(df.schema[c].dataType, LongType)]
+    inside = StructType([StructField(f.name, StringType()) if f.name in longs else f for f in schema.fields])
+    rows = df.select(*[quoted(c).cast("string").alias(c) if c in longs else quoted(c) for c in df.columns])
+    out = rows.mapInPandas(run, inside)
+    return out.select(*[quoted(f.name).cast("long").alias(f.name) if f.name in longs else quoted(f.name) for f in schema.fields])
