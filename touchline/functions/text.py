@@ -81,8 +81,9 @@ UNIT_FACTORS = {"m": 1_000_000, "k": 1_000, "th": 1_000}
 
 def market_value(text: Column) -> Column:
     """'1,50M' -> 1500000, '500k' / '500 Th.' -> 500000; unit-free numbers stay as they are."""
-    digits = F.rtrim(F.translate(F.regexp_replace(text, "[^0-9.,]", ""), ",", "."), F.lit("."))
-    letters = F.lower(F.regexp_replace(text, "[^A-Za-z]", ""))
+    first = r"([0-9][0-9.,]*)\s*([A-Za-z]*)"  # the first number and the word after it; what follows says nothing
+    digits = F.rtrim(F.translate(F.regexp_extract(text, first, 1), ",", "."), F.lit("."))
+    letters = F.lower(F.regexp_extract(text, first, 2))
     factor = F.lit(1)
     for unit, value in UNIT_FACTORS.items():
         factor = F.when(letters == unit, value).otherwise(factor)

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from touchline.operators.ordered import arg_min, top_n
+from touchline.operators.ordered import SLICE, arg_min, sliced, top_n
 
 
 def latest_by_class(df: DataFrame, keys: list[str], classes: list[tuple[Column, str]], date: str, tie: str, columns: list[str]) -> DataFrame:
@@ -71,11 +71,18 @@ def podium_totals(gains: DataFrame, player: str) -> DataFrame:
 
 
 def before_marker(df: DataFrame, keys: list[str], ordinal: str, marker: Column, counted: Column, name: str) -> DataFrame:
-    """Rows satisfying ``counted`` before the first marker row; all of them when there is none."""
-    mark = df.groupBy(*keys).agg(F.min(F.when(marker, F.col(ordinal))).alias("_mark"))
-    joined = df.join(mark, keys)
+    """Rows satisfying ``counted`` before the first marker row; all of them when there is none.
+
+    Rows are range-partitioned by key and ordinal and counted slice by slice; then one row a slice and key meets, and
+    those behind the first slice with a marker drop out. No key is gathered or joined back.
+    """
+    base = sliced(df, keys, [F.col(ordinal)])
+    mark = F.min(F.when(marker, F.col(ordinal))).over(Window.partitionBy(*keys, SLICE))
     inside = F.col("_mark").isNull() | (F.col(ordinal) < F.col("_mark"))
-    return joined.groupBy(*keys).agg(F.count_if(inside & counted).alias(name))
+    per = base.withColumn("_mark", mark).groupBy(*keys, SLICE).agg(F.count_if(inside & counted).alias("_n"), F.max(F.col("_mark").isNotNull()).alias("_has"))
+    earlier = Window.partitionBy(*keys).orderBy(SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    still = per.withColumn("_past", F.coalesce(F.max("_has").over(earlier), F.lit(False)))
+    return still.groupBy(*keys).agg(F.sum(F.when(~F.col("_past"), F.col("_n")).otherwise(0)).alias(name))
 
 
 def split_at_second(df: DataFrame, keys: list[str], ordinal: str, marker: Column, name: str = "is_second") -> DataFrame:

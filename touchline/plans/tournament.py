@@ -13,7 +13,7 @@ from touchline.functions.scoring import role as role_of
 from touchline.operators import history
 from touchline.operators.aggregates import mode_rows, positional_decay
 from touchline.operators.joins import two_sides
-from touchline.operators.ordered import top_n
+from touchline.operators.ordered import next_after, top_n
 from touchline.operators.podium import podium
 from touchline.sources import feeds
 
@@ -75,6 +75,29 @@ def carry_lineups(played: DataFrame, squads: DataFrame, suspended: DataFrame, ov
     return base.select("team", "player_id", status.alias("status"), reason.alias("reason"), "mins")
 
 
+def suspended_next(inc: DataFrame, played: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """Players sent off, with the next fixture of their team that they miss: player_id, team, event_id (of that fixture).
+
+    ``inc``: flattened incidents whose team_id is the team; ``played``: event_id, round_num of the matches they are of;
+    ``fixtures``: event_id, home, away, round_num of all. The next fixture is the team's first one of a later round.
+    """
+    out = feeds.cards(inc).where("misses_next").join(played.select("event_id", "round_num"), "event_id")
+    out = out.select("player_id", F.col("team_id").alias("team"), "round_num").where(F.col("player_id").isNotNull() & F.col("team").isNotNull()).distinct()
+    calendar = fixtures.select("event_id", "round_num", F.explode(F.array("home", "away")).alias("team"))
+    found = next_after(out, calendar, ["team"], "round_num", "round_num", ["event_id"], ["event_id"])
+    return found.where(F.col("next_event_id").isNotNull()).select("player_id", "team", F.col("next_event_id").alias("event_id")).distinct()
+
+
+def carry_with_suspensions(lineups: DataFrame, inc: DataFrame, played: DataFrame, fixtures: DataFrame) -> DataFrame:
+    """``lineups`` (event_id, team, player_id, status, reason) in which sent-off players miss their team's next fixture.
+
+    An entry of the player in that fixture is replaced; one without an entry, or a fixture without any lineup, gets it.
+    """
+    missing = suspended_next(inc, played, fixtures).withColumns({"status": F.lit("missing"), "reason": F.lit("suspension")})
+    stays = lineups.join(missing.select("event_id", "player_id"), ["event_id", "player_id"], "left_anti")
+    return stays.unionByName(missing, allowMissingColumns=True)
+
+
 def match_records(lineup: DataFrame, inc: DataFrame, stats: DataFrame) -> DataFrame:
     """Player rows of played matches: exact minutes, cards, metrics with fallbacks.
 

@@ -102,18 +102,23 @@ def period_statistics(df: DataFrame, wanted: list[str], column: str = "statistic
 
 
 def odds_markets(df: DataFrame, column: str = "markets") -> DataFrame:
-    """Pre-match 1X2, over/under 2.5 and both-score prices of each event."""
-    m = df.select("event_id", F.posexplode(column).alias("ordinal", "m")).where(~F.coalesce("m.isLive", F.lit(False)))
-    name = F.col("m.marketName")
-    kind = (
-        F.when((F.col("m.marketGroup") == "1X2") & F.contains(name, F.lit("Full time")), "1x2").when(F.contains(name, F.lit("2.5")), "ou").when(F.contains(name, F.lit("Both teams")), "btts")
-    )
-    c = m.withColumn("kind", kind).where(F.col("kind").isNotNull()).select("event_id", "ordinal", "kind", F.explode("m.choices").alias("c"))
-    price = decimal_odds(F.col("c.fractionalValue"))
-    pick = lambda k, n: F.max_by(price, F.when((F.col("kind") == k) & (F.col("c.name") == n) & F.col("c.fractionalValue").isNotNull(), F.col("ordinal")))
-    return c.groupBy("event_id").agg(
-        pick("1x2", "1").alias("odds_home"), pick("1x2", "X").alias("odds_draw"), pick("1x2", "2").alias("odds_away"), pick("ou", "Over").alias("over"),
-        pick("ou", "Under").alias("under"), pick("btts", "Yes").alias("both_yes"), pick("btts", "No").alias("both_no"),
+    """Pre-match 1X2, over/under 2.5 and both-score prices of each event that has one of them.
+
+    Of several markets of a kind the last one counts as a whole, so prices of two markets never mix; of several choices of
+    a name in it the last with a price. All is found in the event's own row.
+    """
+    name = lambda m: m["marketName"]
+    pre = lambda m: ~F.coalesce(m["isLive"], F.lit(False))
+    is_1x2 = lambda m: F.coalesce((m["marketGroup"] == "1X2") & F.contains(name(m), F.lit("Full time")), F.lit(False))
+    is_goals = lambda m: ~is_1x2(m) & F.coalesce(F.contains(name(m), F.lit("2.5")), F.lit(False))
+    is_both = lambda m: ~is_1x2(m) & ~is_goals(m) & F.coalesce(F.contains(name(m), F.lit("Both teams")), F.lit(False))
+    last = lambda kind: F.try_element_at(F.filter(column, lambda m: pre(m) & kind(m)), F.lit(-1))["choices"]
+    rows = df.select("event_id", last(is_1x2).alias("_result"), last(is_goals).alias("_goals"), last(is_both).alias("_both"))
+    rows = rows.where(F.coalesce("_result", "_goals", "_both").isNotNull())
+    price = lambda c, n: decimal_odds(F.try_element_at(F.filter(c, lambda x: (x["name"] == n) & (F.coalesce(x["fractionalValue"], F.lit("")) != "")), F.lit(-1))["fractionalValue"])
+    return rows.select(
+        "event_id", price("_result", "1").alias("odds_home"), price("_result", "X").alias("odds_draw"), price("_result", "2").alias("odds_away"),
+        price("_goals", "Over").alias("over"), price("_goals", "Under").alias("under"), price("_both", "Yes").alias("both_yes"), price("_both", "No").alias("both_no"),
     )
 
 

@@ -115,14 +115,17 @@ def ranks(t):
     return t.nation.select(F.col("n_name").alias("team"), (F.lit(15.0) + F.col("n_nationkey") * 3).alias("rank_score"))
 
 
-def strengths(t):
+def rated_matches(t):
     k = F.col("event_id")
     quoted = k % 4 == 0
-    m = t.sides().withColumns({
+    return t.sides().withColumns({
         "date": F.col("played"), "is_cup": F.col("round_num") == 6, "odds_home": F.when(quoted, 1.5 + k % 5), "odds_draw": F.when(quoted, F.lit(3.4)),
         "odds_away": F.when(quoted, 2.0 + k % 3),
     })
-    return cp.team_strengths(m, ranks(t), F.lit(NOW).cast("date"))
+
+
+def strengths(t):
+    return cp.team_strengths(rated_matches(t), ranks(t), F.lit(NOW).cast("date"))
 
 
 @query("team_strengths", "L08, D10, H10, H11", f"WITH {RANK_SQL} SELECT team, {rnd('alpha', 3)} AS alpha, {rnd('beta', 3)} AS beta, {rnd('n_matches', 1)} AS n_matches FROM str")
