@@ -165,15 +165,15 @@ def _(t):
     return tournament.intake_flat(lists).select("event_id", "player_id", "is_home", "team_id", "status", F.round("xg", 4).alias("xg"))
 
 
-@query("recent_minutes_gate", "L13, B20", f"""WITH {PLAYERS_SQL}, p AS (SELECT player_id, CASE WHEN player_id % 4 > 0 THEN CAST(games * 7 % 100 AS DOUBLE) END AS m, (games % 9 + 1) / 10 AS share, (yellow % 8 + 1) / 10 AS p_play, round(xg * 10, 4) AS xpts, player_id % 5 = 0 AS fixed FROM players),
-n AS (SELECT *, round(least(1.0, m / 90), 3) AS s2, round(greatest(0.05, least(0.95, m / 75)), 2) AS p2 FROM p)
+@query("recent_minutes_gate", "L13, B20", f"""WITH {PLAYERS_SQL}, p AS (SELECT player_id, CASE WHEN player_id % 4 > 0 THEN CAST(games * 7 % 100 AS DOUBLE) END AS m, (games % 9 + 1) / 10 AS share, (yellow % 8 + 1) / 10 AS p_play, round(xg * 9.9731, 4) AS xpts, player_id % 5 = 0 AS fixed FROM players),
+n AS (SELECT *, CASE WHEN m IS NOT NULL THEN round(least(1.0, m / 90), 3) END AS s2, CASE WHEN m IS NOT NULL THEN round(greatest(0.05, least(0.95, m / 75)), 2) END AS p2 FROM p)
 SELECT player_id, {rnd('coalesce(s2, share)', 3)} AS mins_share, {rnd('coalesce(p2, p_play)', 2)} AS p_play, {rnd('CASE WHEN m IS NULL THEN xpts ELSE xpts * (s2 / share * (p2 / p_play)) END', 2)} AS xpts,
   CASE WHEN m IS NULL OR fixed THEN 'given' WHEN p2 >= 0.80 THEN 'starter' WHEN p2 >= 0.50 THEN 'rotation' ELSE 'substitute' END AS role FROM n""")
 def _(t):
     k = F.col("player_id")
     p = t.players().select(
         "player_id", F.when(k % 4 > 0, (F.col("games") * 7 % 100).cast("double")).alias("recent"), ((F.col("games") % 9 + 1) / 10).alias("mins_share"), ((F.col("yellow") % 8 + 1) / 10).alias("p_play"),
-        F.round(F.col("xg") * 10, 4).alias("xpts"), F.when(k % 5 == 0, "starter").alias("lineup_status"), F.lit("given").alias("role"),
+        F.round(F.col("xg") * 9.9731, 4).alias("xpts"), F.when(k % 5 == 0, "starter").alias("lineup_status"), F.lit("given").alias("role"),
     )
     out = tournament.gate_by_recent_minutes(p, "recent")
     return out.select("player_id", F.round("mins_share", 3).alias("mins_share"), F.round("p_play", 2).alias("p_play"), F.round("xpts", 2).alias("xpts"), "role")
