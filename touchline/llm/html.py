@@ -13,6 +13,7 @@ from hashlib import blake2b
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from touchline.llm.work import cut, map_rows
 
@@ -47,8 +48,13 @@ COMMENTS = frozenset("comment comments commentlist disqus respond replies".split
 NEGATED = frozenset("no not non without with has have".split())
 #: Elements that never hold the article, but are read if a page has no other text.
 AROUND = frozenset("nav header footer aside form".split())
+#: Words that mark other pages' texts and adverts; the rest of BOILERPLATE often only tells of a layout.
+OTHERS = frozenset("ad ads adv advert adverts advertisement advertising sponsored sponsor promo promotion related recommended recommendations".split())
 #: Why an element is dropped, the firmer the larger.
-BY_TOKEN, AS_COMMENTS, BY_TAG, FOR_GOOD = 1, 2, 3, 4
+BY_TOKEN, AS_OTHERS, AS_COMMENTS, BY_TAG, FOR_GOOD = 1, 2, 3, 4, 5
+#: Characters of a form from which on it can be the page's text, and of text that stays from which on no box of others'
+#: texts is read, however long it is.
+ENOUGH = 80
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^"'>]++|"[^"]*+"|'[^']*+')*+)>"""
@@ -96,7 +102,7 @@ def _unwanted(tag: str, attrs: str, parent: Element) -> int:
         return FOR_GOOD
     inside = parent.article or parent.main
     why = BY_TAG if tag in AROUND and not (tag == "header" and inside) else 0
-    if tag in KEEP or not attrs:
+    if tag in KEEP and tag != "article" or not attrs:
         return why
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
@@ -109,6 +115,10 @@ def _unwanted(tag: str, attrs: str, parent: Element) -> int:
             words = _names(value)
             if words & COMMENTS:
                 why = max(why, AS_COMMENTS)
+            elif tag == "article":
+                continue
+            elif words & OTHERS:
+                why = max(why, AS_OTHERS)
             elif words & BOILERPLATE or not inside and words & {"header", "top", "bottom"}:
                 why = max(why, BY_TOKEN)
     return why
@@ -125,18 +135,39 @@ def _causes(nodes: Iterable[Element]) -> list[Element]:
     return sorted(out, key=lambda e: e.number)
 
 
+def _loose(node: Element) -> bool:
+    """Is it dropped by words alone, by a form around it, or as an article that a word calls a comment?"""
+    at = node.cause
+    while at is not None:
+        if at.own > AS_OTHERS and not (at.own == BY_TAG and at.tag == "form" or at.own == AS_COMMENTS and at.tag == "article"):
+            return False
+        at = at.parent.cause
+    return True
+
+
+def _linked(node: Element) -> bool:
+    while node.parent is not None and node is not node.cause:
+        if node.tag == "a":
+            return True
+        node = node.parent
+    return False
+
+
 def _released(blocks: list[tuple[str, Element]], aside: dict[Element, int]) -> set[int]:
-    """Numbers of the elements dropped by a word that hold the page's article, its main element or most of its text.
+    """Numbers of the elements dropped by a word, or as a form, that hold the page's article, its main element or most of
+    its text.
 
-    ``aside`` has the characters of text by the innermost dropped element around and the element they stand in.
+    ``aside`` has the characters of text by the innermost dropped element around and the element they stand in. By its
+    length alone nothing is released that consists of links; nor a box of adverts or related texts beside text enough;
+    nor a comment, unless it is a single article longer than all else.
     """
     seen = sum(len(t) for t, _ in blocks)
     scoped = any(n.article or n.main for _, n in blocks)
-    loose = {node: size for node, size in aside.items() if node.dropped == BY_TOKEN}
+    loose = {node: size for node, size in aside.items() if _loose(node)}
     causes = _causes(loose)
-    held = {e: [0, 0, 0] for e in causes}  # characters: all, in an article, in a main element
+    held = {e: [0, 0, 0, 0] for e in causes}  # characters: all, in an article, in a main element, in links
     for node, size in loose.items():
-        for i, part in enumerate((size, size * node.article, size * node.main)):
+        for i, part in enumerate((size, size * node.article, size * node.main, size * _linked(node))):
             held[node.cause][i] += part
     for e in reversed(causes):
         if e.parent.cause is not None:
@@ -146,34 +177,52 @@ def _released(blocks: list[tuple[str, Element]], aside: dict[Element, int]) -> s
     out: set[int] = set()
     for e in causes:
         if e.parent.cause is None or e.parent.cause.number in out:
-            size, article, main = held[e]
+            size, article, main, links = held[e]
             inside = e.parent.article or e.parent.main
-            holds = not scoped and not inside and (main or article and 2 * article >= seen)
-            if holds or 2 * size > whole and (inside or not scoped):  # beside an article that stays, nothing is read again
+            holds = e.own != AS_COMMENTS and not scoped and not inside and (main or article and 2 * article >= seen)
+            long = 2 * size > whole and 2 * links < size and not (e.own == AS_OTHERS and seen >= ENOUGH) and not (e.own == BY_TAG and size < ENOUGH)
+            if holds or long and (inside or not scoped):  # beside an article that stays, nothing is read again
                 out.add(e.number)
     return out
 
 
+def _scope(blocks: list[tuple[str, Element]]) -> list[tuple[str, Element]]:
+    """The blocks of the article, else of the main element, else all; without articles where several small ones stand
+    beside a longer text, as teasers do."""
+    inside = [b for b in blocks if b[1].article]
+    around = [b for b in blocks if b[1].main] or blocks
+    if not inside:
+        return around
+    sizes: dict[Element, int] = {}
+    for text, node in inside:
+        top = node
+        while not (top.tag == "article" and not top.parent.article):
+            top = top.parent
+        sizes[top] = sizes.get(top, 0) + len(text)
+    others = [b for b in around if not b[1].article]
+    return others if len(sizes) > 1 and sum(len(t) for t, _ in others) > max(sizes.values()) else inside
+
+
 def read_blocks(page: str) -> list[tuple[str, list[int]]]:
     """Text blocks of the page's article (else its main part, else its body) in order, without what rules drop; with
     each block the hashes of the subtrees that hold it, the innermost first.
 
-    An element dropped by a word of its class, id or role is read again if it holds the page's article or most of its
-    text. If a page would have no text, it keeps first what words dropped, then comments, then navigation and forms.
+    An element dropped by a word of its class, id or role, and a form, is read again if it holds the page's article or most
+    of its text. If a page would have no text, it keeps first what words dropped, then adverts and related texts, then
+    comments, then navigation and forms.
     """
     blocks, aside = _read(page, set())
     if aside:
         released = _released(blocks, aside)
         if released:
             blocks, _ = _read(page, released)
-        for firmest in (BY_TOKEN, AS_COMMENTS, BY_TAG):
+        for firmest in (BY_TOKEN, AS_OTHERS, AS_COMMENTS, BY_TAG):
             if blocks:
                 break
             released = {e.number for e in _causes(aside) if e.own <= firmest}
             blocks, _ = _read(page, released)
-    scoped = [b for b in blocks if b[1].article] or [b for b in blocks if b[1].main] or blocks
     out = []
-    for whole, node in scoped:
+    for whole, node in _scope(blocks):
         path = []
         while node.parent is not None:
             if node.hash is not None and node.tag not in KEEP:
@@ -276,7 +325,8 @@ def parse(hosted: DataFrame) -> DataFrame:
             out["blocks"] = [[{"text": t, "path": p} for t, p in read_blocks(h)] if isinstance(h, str) else [] for h in batch["html"]]
             yield out
 
-    schema = hosted.select("page_id", "url", "host").schema.add("blocks", "array<struct<text:string,path:array<bigint>>>")
+    blocks = StructType.fromDDL("blocks array<struct<text:string,path:array<bigint>>>")
+    schema = StructType(hosted.select("page_id", "url", "host").schema.fields + blocks.fields)
     return map_rows(hosted, run, schema, ["page_id", "url", "host"])
 
 
