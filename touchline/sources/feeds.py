@@ -69,8 +69,10 @@ def lineups(df: DataFrame, sides=("home", "away")) -> DataFrame:
     empty = F.array().cast(entry)
     strongest = [("starter", ["players"]), ("substitute", ["substitutes", "bench"]), ("missing", ["missingPlayers"])]
     lists = [F.transform(F.coalesce(F.col(f"{side}.{field}"), empty), _tagged(side, status)) for status, fields in strongest for side in sides for field in fields]
-    rows = df.select("event_id", F.concat(*lists).alias("_e")).withColumn("_ids", F.transform("_e", lambda e: e["p"]["player"]["id"]))
-    first = F.filter("_e", lambda e, i: e["p"]["player"]["id"].isNotNull() & (F.array_position("_ids", e["p"]["player"]["id"]) == i + 1))
+    rows = df.select("event_id", F.concat(*lists).alias("_e"))
+    both = F.struct(F.col("_e").alias("e"), F.transform("_e", lambda e: e["p"]["player"]["id"]).alias("ids"))
+    firsts = lambda s: F.filter(s["e"], lambda e, i: e["p"]["player"]["id"].isNotNull() & (F.array_position(s["ids"], e["p"]["player"]["id"]) == i + 1))
+    first = F.get(F.transform(F.array(both), firsts), 0)  # the ids are listed once a match, not once an entry
     rows = rows.select("event_id", F.explode_outer(first).alias("e")).where(F.col("e").isNotNull()).select("event_id", "e.*")
     return rows.select(
         "event_id", F.col("p.player.id").alias("player_id"), "status", "is_home", "team", F.col("p.jerseyNumber").alias("jersey"),

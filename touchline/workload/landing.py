@@ -5,17 +5,21 @@ then flattened by the same functions that read landed files.
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from touchline.functions.text import tag_text
+from touchline.session import shared_folder, spread
 from touchline.sources import feeds, readers, schemas, sinks
+from touchline.sources.keyed import read_keyed_ranges
 from touchline.workload.registry import query
 from touchline.workload.tables import rnd
 
 
 def doc(t, column: str, schema: str, text):
     """Orders as one JSON text per match, parsed with the feed's schema."""
-    o = t.orders.select(
+    o = spread(t.orders).select(
         F.col("o_orderkey").alias("event_id"), F.col("o_custkey").alias("home_id"), (F.col("o_custkey") + 1).alias("away_id"), text.alias("_json")
     )
     return o.withColumn(column, F.from_json("_json", schema)).drop("_json")
@@ -28,6 +32,19 @@ def _(t):
     return o.select("o_orderkey", F.explode("m").alias("team", "v")).select("team", "o_orderkey", "v.kind", "v.amount")
 
 
+@query("keyed_file_rows", "A01, H21", """SELECT CAST(o_orderkey AS VARCHAR) AS order_key, o_custkey AS cust, 'a "b" } {' || o_orderstatus AS note, o_orderkey % 3 AS first FROM orders""")
+def _(t):
+    """Orders written as files that each hold one keyed object, and read back in byte ranges."""
+    path = f"{shared_folder(t.spark)}/keyed-{uuid.uuid4().hex}"
+    k = F.col("o_orderkey")
+    value = F.to_json(F.struct(F.col("o_custkey").alias("cust"), F.concat(F.lit('a "b" } {'), "o_orderstatus").alias("note"), F.array(F.struct((k % 3).alias("x"))).alias("list")))
+    pairs = t.orders.select(F.floor(k / 20_000).alias("part"), F.concat(F.lit('"'), k.cast("string"), F.lit('": '), value).alias("pair"))
+    files = pairs.groupBy("part").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ",\n"), F.lit("}")).alias("value"))  # 20,000 keys a file
+    files.write.partitionBy("part").text(path)
+    rows = read_keyed_ranges(t.spark, f"{path}/*/*.txt", "order_key", "struct<cust: long, note: string, list: array<struct<x: long>>>")
+    return rows.select("order_key", "cust", "note", F.col("list")[0]["x"].alias("first"))
+
+
 @query("named_array_rows", "A02", """SELECT event_id, CAST(key AS INTEGER) AS ordinal, CAST(json_extract_string(props, '$.k') AS INTEGER) + key AS k FROM events, generate_series(0, 1) g(key)""")
 def _(t):
     text = F.concat(F.lit('{"fixtures": ['), "props", F.lit(", "), "props", F.lit("]}"))
