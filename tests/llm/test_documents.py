@@ -177,6 +177,57 @@ def test_ledger_is_idempotent_and_additive(spark, odd, tmp_path):
         ledger.commit("../x", rollups.signed(one, 1))
 
 
+def test_commits_that_die_and_compaction(spark, tmp_path, monkeypatch):
+    """A job that dies before its marker changes nothing; totals stay the same over compactions and replaced batches."""
+    from touchline.sources import markers
+
+    rows = lambda *r: spark.createDataFrame(r, "source string, lang string, version string, docs long, tokens long")
+    ledger = rollups.Ledger(spark, str(tmp_path))
+    seen = lambda: sorted(map(tuple, rollups.Ledger(spark, str(tmp_path)).totals().collect()), key=str)
+    ledger.commit("a", rows(("s", "en", "v", 2, 10), (None, None, "v", 1, 0)))
+    before = seen()
+    with monkeypatch.context() as m:
+        m.setattr(markers, "append", lambda *a, **k: (_ for _ in ()).throw(OSError("lost")))
+        with pytest.raises(OSError):
+            ledger.commit("a", rows(("s", "en", "v", 9, 99)))
+        with pytest.raises(OSError):
+            ledger.compact()
+    assert seen() == before == sorted([("s", "en", "v", 2, 10), (None, None, "v", 1, 0)], key=str)
+    ledger.commit("b", rows(("s", "en", "v", -1, -4), ("t", "de", "w", 3, 7)))
+    want = sorted([("s", "en", "v", 1, 6), (None, None, "v", 1, 0), ("t", "de", "w", 3, 7)], key=str)
+    assert seen() == want
+    ledger.compact()
+    assert seen() == want
+    ledger.commit("b", rows(("s", "en", "v", -1, -4), ("t", "de", "w", 5, 8)))  # replaces what the compaction holds
+    ledger.commit("c", rows(("u", "fr", "w", 1, 1)))
+    want = sorted([("s", "en", "v", 1, 6), (None, None, "v", 1, 0), ("t", "de", "w", 5, 8), ("u", "fr", "w", 1, 1)], key=str)
+    assert seen() == want
+    ledger.compact()
+    ledger.commit("c", rows(("u", "fr", "w", 1, 1)))
+    assert seen() == want
+
+
+def test_two_public_tokenizers_as_versions(spark, docs, tmp_path):
+    """Documents move from one public BPE file to another; the totals are those of the library."""
+    from tokenizers import Tokenizer
+
+    from touchline.llm.queries import tokenizer_file
+
+    some = docs.where("doc_id % 4 = 0")
+    path = tokenizer_file("byte_bpe_50k.json")
+    one = rollups.counted(some, "words-1").persist()
+    two = rollups.counted(some, "byte-bpe", rollups.bpe_counter(path))
+    ledger = rollups.Ledger(spark, str(tmp_path))
+    ledger.commit("load", rollups.signed(one, 1))
+    ledger.commit("move", rollups.revision(one, two))
+    library, want = Tokenizer.from_file(path), {}
+    for r in some.collect():
+        key = (r.source, r.lang, "byte-bpe")
+        n, total = want.get(key, (0, 0))
+        want[key] = (n + 1, total + len(library.encode(r.text or "", add_special_tokens=False).ids))
+    assert {(r.source, r.lang, r.version): (r.docs, r.tokens) for r in ledger.totals().collect()} == want
+
+
 def test_bpe_version_counts_tokens(spark, docs):
     from tokenizers import Tokenizer
 

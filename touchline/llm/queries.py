@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from touchline.llm import conversations, html, language, linededup, minhash, packing, pii, quality, rollups, spelling, substrings, vectors, wordtable
+from touchline.llm.work import cut
 from touchline.session import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,7 +100,9 @@ def _(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
     labels = table(spark, sf_dir, "labels").where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     toxic = F.coalesce(F.col("toxic") == 1, F.lit(False))
-    one, two = rollups.counted(docs, "words-1"), rollups.counted(docs, "words-2")  # counts are joined, not texts
+    # each text is counted once; then counts are joined, not texts
+    counts = cut(docs.select("doc_id", "source", "lang", *[rollups.tokens(F.col("text"), v).alias(v) for v in ("words-1", "words-2")]), "token-counts")
+    one, two = (counts.select("doc_id", "source", "lang", F.lit(v).alias("version"), F.col(f"`{v}`").alias("tokens")) for v in ("words-1", "words-2"))
     leave, move = labels.where(toxic).select("doc_id"), labels.where(~toxic).select("doc_id")
     ledger = rollups.Ledger(spark, f"{shared_folder(spark)}/corpus/token-counts-{uuid.uuid4().hex}")
     ledger.commit("load", rollups.signed(one, 1))
