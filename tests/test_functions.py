@@ -120,3 +120,17 @@ def test_scoring(one):
     assert one(scoring.bonus_expectation(lit(0.5), lit(1.0))) == pytest.approx(1.5)
     assert one(scoring.adjust_bonus(lit(2.0), lit("G"), lit(0.65))) == 0.8
     assert one(scoring.points_per_price(lit(3.0), lit(0.0))) is None
+
+
+def test_round_to_rounds_as_python_does(spark):
+    import random
+
+    from touchline.functions.scalars import round_to
+
+    rng = random.Random(6)
+    values = [2.675, 1.005, 0.5, 1.5, 2.5, -0.5, -1.5, 0.125, 0.375, -2.675, 1e300, float("inf"), 5e-324, 0.0, 4503599627370497.5, None]
+    values += [round(rng.uniform(-1000, 1000), 3) + rng.choice([0, 0.005, 0.0005]) for _ in range(2000)] + [rng.randrange(10**6) / 8 for _ in range(300)] + [rng.uniform(-1, 1) * 10 ** rng.randrange(-9, 9) for _ in range(2000)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for digits in (0, 1, 2, 3, 4):
+        for r in df.select("v", round_to(F.col("v"), digits).alias("r")).collect():
+            assert r.r == (None if r.v is None else r.v if r.v in (float("inf"), 1e300) else round(r.v, digits)), (r.v, digits)

@@ -45,10 +45,49 @@ def labelled(t):
     )
 
 
-@query("logistic_coefficients", "K04")
+def newton_sql(steps: int = 10) -> str:
+    """Logistic regression of three standardised features with a unit penalty on their weights, by Newton steps from zero."""
+    n = 4
+    x = ["1.0", "z1", "z2", "z3"]
+    sql = """d AS (SELECT doc_id, quality, n_chars / 1000 AS x1, ln(1 + n_chars) AS x2, CAST(toxic AS DOUBLE) AS x3 FROM labels JOIN documents USING (doc_id)),
+m AS (SELECT avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, coalesce(nullif(stddev_pop(x1), 0), 1) AS s1, coalesce(nullif(stddev_pop(x2), 0), 1) AS s2, coalesce(nullif(stddev_pop(x3), 0), 1) AS s3 FROM d),
+z AS (SELECT doc_id, quality, CAST(quality AS DOUBLE) AS y, (x1 - m1) / s1 AS z1, (x2 - m2) / s2 AS z2, (x3 - m3) / s3 AS z3 FROM d, m),
+b0 AS (SELECT 0.0::DOUBLE AS c0, 0.0::DOUBLE AS c1, 0.0::DOUBLE AS c2, 0.0::DOUBLE AS c3)"""
+    for k in range(1, steps + 1):
+        h = [f"sum(p * (1 - p) * {x[i]} * {x[j]}){' + 1' if i == j > 0 else ''} AS h{i}{j}" for i in range(n) for j in range(n)]
+        g = [f"sum((p - y) * {x[i]}){f' + c{i}' if i else ''} AS g{i}" for i in range(n)]
+        sql += f""",
+a{k} AS (SELECT c0, c1, c2, c3, {', '.join(h + g)} FROM (SELECT *, 1 / (1 + exp(-(c0 + c1 * z1 + c2 * z2 + c3 * z3))) AS p FROM z, b{k - 1}) GROUP BY c0, c1, c2, c3)"""
+        last = f"a{k}"
+        for t in range(n - 1):  # eliminate column t below the diagonal
+            cols = [f"h{i}{j} - h{i}{t} / h{t}{t} * h{t}{j} AS h{i}{j}" if i > t else f"h{i}{j}" for i in range(n) for j in range(n)]
+            cols += [f"g{i} - h{i}{t} / h{t}{t} * g{t} AS g{i}" if i > t else f"g{i}" for i in range(n)]
+            sql += f",\ne{k}_{t} AS (SELECT c0, c1, c2, c3, {', '.join(cols)} FROM {last})"
+            last = f"e{k}_{t}"
+        for i in range(n - 1, -1, -1):
+            known = "".join(f" - h{i}{j} * d{j}" for j in range(i + 1, n))
+            sql += f",\ns{k}_{i} AS (SELECT *, (g{i}{known}) / h{i}{i} AS d{i} FROM {last})"
+            last = f"s{k}_{i}"
+        sql += f",\nb{k} AS (SELECT c0 - d0 AS c0, c1 - d1 AS c1, c2 - d2 AS c2, c3 - d3 AS c3 FROM {last})"
+    return sql + f",\nfit AS (SELECT * FROM b{steps})"
+
+
+FEATURES = ["size", "log_size", "toxic"]
+
+
+@query("logistic_coefficients", "K04", f"WITH {newton_sql()} " + " UNION ALL ".join(f"SELECT '{f}' AS feature, {rnd(f'c{i}', 3)} AS coefficient FROM fit" for i, f in [*enumerate(FEATURES, 1), (0, "intercept")]))
 def _(t):
-    coefs, _scored = models.logistic(labelled(t), ["size", "log_size", "toxic"], "quality")
-    return coefs.withColumn("coefficient", F.round("coefficient", 6))
+    coefs, _scored = models.logistic(labelled(t), FEATURES, "quality")
+    return coefs.withColumn("coefficient", F.round("coefficient", 3) + 0.0)
+
+
+@query("logistic_auc", "K04, E18", f"""WITH {newton_sql()}, sc AS (SELECT quality, round(c0 + c1 * z1 + c2 * z2 + c3 * z3, 9) AS v FROM z, fit), r AS (SELECT quality, avg(rk) OVER (PARTITION BY v) AS rk FROM (SELECT *, row_number() OVER (ORDER BY v) AS rk FROM sc))
+SELECT count(*) FILTER (quality = 1) AS n_pos, count(*) FILTER (quality <> 1) AS n_neg,
+  {rnd('(sum(rk) FILTER (quality = 1) - count(*) FILTER (quality = 1) * (count(*) FILTER (quality = 1) + 1) / 2) / (count(*) FILTER (quality = 1) * count(*) FILTER (quality <> 1))', 3)} AS auc FROM r""")
+def _(t):
+    """Area under the curve of the fitted score."""
+    _coefs, scored = models.logistic(labelled(t), FEATURES, "quality")
+    return models.auc(scored.withColumn("score", F.round("score", 9)), "score", "quality").withColumn("auc", F.round("auc", 3))
 
 
 @query("auc_of_score", "E18, K04", f"""WITH d AS (SELECT quality, n_chars FROM labels JOIN documents USING (doc_id)), r AS (SELECT quality, avg(rk) OVER (PARTITION BY n_chars) AS rk FROM (SELECT *, row_number() OVER (ORDER BY n_chars) AS rk FROM d))

@@ -5,6 +5,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from touchline.functions.scalars import round_to
 from touchline.functions.text import goal_kind
 from touchline.operators.ordered import top_n
 from touchline.plans import audit, strength, tournament, transfers
@@ -276,3 +277,14 @@ def _(t):
     history = s.where((F.col("round_num") > 4) | (F.col("event_id") % 10 == 0))
     every = strength.weighted_matches(s.where(F.col("round_num") <= 3), history, {1: 2, 2: 3, 3: 4})
     return every.groupBy("team").agg(F.sum("weight").cast("long").alias("n"), F.round(F.sum(F.col("eff") * F.col("weight")) / F.sum("weight"), 4).alias("goals"))
+
+
+def exact_round_sql(v: str, digits: int) -> str:
+    """Half to even of a value that is stored exactly and whose product with the power of ten is exact."""
+    return f"CASE WHEN {v} * {10**digits} - floor({v} * {10**digits}) = 0.5 THEN 2 * round({v} * {10**digits} / 2) ELSE round({v} * {10**digits}) END / {10**digits}"
+
+
+@query("half_even_rounding", "H22", f"SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, {exact_round_sql('(l_quantity / 8)', 2)} AS eighths, {exact_round_sql('(l_quantity / 2)', 0)} AS halves FROM lineitem")
+def _(t):
+    """Eighths and halves are stored exactly, so their ties are real ones and go to the even side."""
+    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", round_to(F.col("l_quantity") / 8, 2).alias("eighths"), round_to(F.col("l_quantity") / 2, 0).alias("halves"))
