@@ -113,3 +113,15 @@ def test_order_statistics_of_nothing(spark):
     empty = spark.createDataFrame([], "k string, v long")
     assert od.upper_median(empty, ["k"], "v", "m").count() == 0
     assert od.upper_median(spark.createDataFrame([("a", None)], "k string, v long"), ["k"], "v", "m").count() == 0
+
+
+def test_next_after_keeps_all_digits(spark):
+    """Times beyond 2**53 that differ by one, and dates."""
+    base = 2**60
+    left = spark.createDataFrame([("a", base, 1), ("a", base + 1, 2), ("a", base + 3, 3)], "k string, t long, id int")
+    right = spark.createDataFrame([("a", base + 1, 10), ("a", base + 2, 20), ("a", -base, 30)], "k string, t long, v int")
+    got = {r.id: r.next_v for r in od.next_after(left, right, ["k"], "t", "t", ["v"], ["v"]).collect()}
+    assert got == {1: 10, 2: 20, 3: None}
+    day = lambda df: df.withColumn("t", F.date_add(F.lit("2024-01-01").cast("date"), (F.col("t") - base).cast("int")))
+    got = {r.id: r.next_v for r in od.next_after(day(left), day(right.where("v < 30")), ["k"], "t", "t", ["v"], ["v"]).collect()}
+    assert got == {1: 10, 2: 20, 3: None}

@@ -13,7 +13,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
+from pyspark.sql.types import DateType, IntegralType, NumericType, TimestampNTZType, TimestampType
 
 from touchline.session import durable
 
@@ -94,6 +94,16 @@ def carry_forward(df: DataFrame, keys: list[str], order: list[str], value: str,
     return out.withColumn(name, F.coalesce("_local", "_carry")).drop("_local", "_carry", SLICE)
 
 
+def _backwards(df: DataFrame, time: str) -> Column:
+    """A value that falls as ``time`` rises, without losing digits."""
+    kind, t = df.schema[time].dataType, F.col(time)
+    if isinstance(kind, (TimestampType, TimestampNTZType)):
+        return -F.unix_micros(t.cast("timestamp"))
+    if isinstance(kind, DateType):
+        return -F.unix_date(t)
+    return F.bitwise_not(t) if isinstance(kind, IntegralType) else -t
+
+
 def next_after(
     left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str,
     columns: list[str], tie: list[str], prefix: str = "next_",
@@ -111,7 +121,7 @@ def next_after(
     # one row per (key, time): the first by tie order
     b = b.groupBy(*keys, "_t", "_side").agg(F.min_by("_payload", "_tie").alias("_payload"))
     both = a.unionByName(b, allowMissingColumns=True)
-    both = both.withColumn("_late", -F.col("_t").cast("double")).withColumn("_id", F.xxhash64("_row"))
+    both = both.withColumn("_late", _backwards(both, "_t")).withColumn("_id", F.xxhash64("_row"))
     out = carry_forward(both, keys, ["_late", "_side", "_id"], "_payload", "_found")
     found = [F.col(f"_found.{c}").alias(f"{prefix}{c}") for c in columns]
     return out.where(F.col("_side") == 0).select("_row.*", *found)
