@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.scalars import clamp, consistency, shrink
 from touchline.operators.ordered import arg_max, arg_min, same_keys, top_n, upper_median
+from touchline.session import durable
 
 
 def nested_top(df: DataFrame, keys: list[str], order: list, n: int, columns: list[str], name: str) -> DataFrame:
@@ -153,7 +154,9 @@ def portfolio_summary(players: DataFrame, agency: str, value: str, fees: str, ex
     """Per-agency counts, sums, means, upper median, shares and nested top five."""
     mv = F.nullif(F.col(value), F.lit(0))
     fee = F.when(F.col(fees) > 0, F.col(fees))
-    flat = players.withColumns({"_exp": exported, "_age": age, "_since": since.isNotNull(), "_mv": mv})
+    flat = players.select(agency, F.col(name).alias("_name"), F.col(club).alias("_club"), fee.alias("_fee"), exported.alias("_exp"), age.alias("_age"), since.isNotNull().alias("_since"), mv.alias("_mv"))
+    flat = durable(flat)  # read three times from here on, and derived once
+    fee = F.col("_fee")
     base = flat.groupBy(agency).agg(
         F.count("*").alias("n_players"),
         F.count_if("_exp").alias("n_exported"),
@@ -168,9 +171,8 @@ def portfolio_summary(players: DataFrame, agency: str, value: str, fees: str, ex
         share(F.col("_since")).alias("agency_since_coverage"),
     )
     median = upper_median(flat, [agency], "_mv", "median_mv")
-    order = [F.coalesce(F.col("_mv"), F.lit(0)).desc(), F.col(name)]
-    named = flat.withColumns({"_name": F.col(name), "_club": F.col(club)})
-    top = nested_top(named, [agency], order, 5, ["_name", "_mv", "_club"], "_top").withColumn(
+    order = [F.coalesce(F.col("_mv"), F.lit(0)).desc(), F.col("_name")]
+    top = nested_top(flat, [agency], order, 5, ["_name", "_mv", "_club"], "_top").withColumn(
         "players_top5_mv",
         F.transform("_top", lambda s: F.struct(s["_name"].alias("name"), s["_mv"].alias("mv"), s["_club"].alias("club"))),
     ).drop("_top")

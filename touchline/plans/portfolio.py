@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from touchline.functions.text import contains_any
-from touchline.operators import history
 from touchline.operators.aggregates import portfolio_summary
 
 
@@ -16,20 +15,21 @@ def enrich_players(players: DataFrame, transfers: DataFrame, home_words: list[st
     ``transfers``: player_id, transfer_id, date, fee, is_loan, from_club, to_club. The agency is
     assumed to have run the latest paid move, else the latest permanent move.
     """
-    paid = (F.col("fee") > paid_over) & ~F.col("is_loan")
-    dated = F.col("date").isNotNull() & ~F.col("is_loan")
-    span = history.career_span(transfers, ["player_id"], "date", "fee")
-    fees = transfers.groupBy("player_id").agg(F.sum("fee").alias("total_fees"), F.count("*").alias("n_transfers"))
-    since = history.latest_by_class(
-        transfers, ["player_id"], [(paid, "last_paid_transfer"), (dated, "last_transfer")], "date", "transfer_id", ["date"]
-    ).withColumnRenamed("date", "since_date")
-    abroad = contains_any(F.col("from_club"), home_words) & F.col("to_club").isNotNull()
-    abroad = abroad & ~contains_any(F.col("to_club"), [*home_words, *(abroad_words or [])])
-    first = history.first_where(transfers, ["player_id"], abroad, ["date", "transfer_id"], ["date", "to_club"])
-    first = first.withColumnRenamed("date", "first_export_date").withColumnRenamed("to_club", "first_export_club")
-    out = players
-    for part in (span, fees, since, first):
-        out = out.join(part, "player_id", "left")
+    loan = F.col("is_loan")
+    kind = F.when((F.col("fee") > paid_over) & ~loan, 0).when(F.col("date").isNotNull() & ~loan, 1)
+    method = F.when(kind == 0, "last_paid_transfer").otherwise("last_transfer")
+    newest = F.max_by(F.when(kind.isNotNull(), F.struct("date", method.alias("method"))), F.when(kind.isNotNull(), F.struct(-kind, "date", -F.col("transfer_id"))))
+    abroad = contains_any(F.col("from_club"), home_words) & F.col("to_club").isNotNull() & ~contains_any(F.col("to_club"), [*home_words, *(abroad_words or [])])
+    first = F.min_by(F.when(abroad, F.struct("date", "to_club")), F.when(abroad, F.struct("date", "transfer_id")))
+    # all that a player's moves tell is one aggregate: one scan and one shuffle of the transfers
+    told = transfers.groupBy("player_id").agg(
+        F.min("date").alias("first_date"), F.max("date").alias("last_date"), F.round(F.datediff(F.max("date"), F.min("date")) / 365.25, 1).alias("career_years"),
+        F.max("fee").alias("peak_value"), F.sum("fee").alias("total_fees"), F.count("*").alias("n_transfers"), newest.alias("_since"), first.alias("_first"),
+    )
+    out = players.join(told, "player_id", "left")
+    out = out.withColumns({
+        "since_date": F.col("_since.date"), "method": F.col("_since.method"), "first_export_date": F.col("_first.date"), "first_export_club": F.col("_first.to_club"),
+    }).drop("_since", "_first")
     return out.withColumn("method", F.coalesce("method", F.when(F.col("n_transfers").isNull(), "no_transfers").otherwise("no_moves")))
 
 
