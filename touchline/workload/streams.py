@@ -18,9 +18,16 @@ def event_stream(t):
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def on_disk(t) -> None:
+    """State of the streams that start from now on lies on disk: sixty days of keys need not fit in memory."""
+    for name, value in state.ROCKSDB.items():
+        t.spark.conf.set(name, value)
+
+
 def run(t, stream, name: str):
     """Run to the end of the data into a folder of the shared checkpoint directory, then read it."""
     root = f"{shared_folder(t.spark)}/stream-{name}-{uuid.uuid4().hex}"
+    on_disk(t)
     q = stream.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
     return t.spark.read.schema(stream.schema).parquet(f"{root}/out")
@@ -51,8 +58,7 @@ def _(t):
 @query("stream_history", "I02, E09", """SELECT user_id, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20""")
 def _(t):
     root = f"{shared_folder(t.spark)}/stream-history-{uuid.uuid4().hex}"
-    for name, value in state.ROCKSDB.items():
-        t.spark.conf.set(name, value)
+    on_disk(t)
     lists = state.last_n(event_stream(t), ["user_id"], "event_id", "ts", ["value"], "60 days")
     schema = lists.schema
     q = lists.writeStream.outputMode("update").foreachBatch(state.updates_writer(f"{root}/updates")).option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
