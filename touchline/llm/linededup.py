@@ -143,29 +143,27 @@ def candidates(lines: DataFrame, least: float) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def word_signs(words: Column, part: int) -> Column:
-    """The words with one sign for each, so that an edit distance of strings is one of words; ``part`` picks other hash bits."""
-    code = F.transform(words, lambda w: F.lpad(F.hex(F.pmod(F.shiftrightunsigned(F.xxhash64(w), 31 * part).bitwiseAND(F.lit((1 << 31) - 1)), F.lit(0xD800))), 4, "0"))
-    return F.decode(F.unhex(F.array_join(code, "")), "UTF-16BE")
+#: Code points that can stand for words: all but the surrogates.
+SIGNS = 0x110000 - 0x800
+
+
+def word_signs(words: Column) -> Column:
+    """The words with one sign for each, so that an edit distance of strings is one of words."""
+    number = lambda w: F.pmod(F.xxhash64(w), F.lit(SIGNS))
+    code = F.transform(words, lambda w: F.lpad(F.hex(number(w) + F.when(number(w) >= 0xD800, 0x800).otherwise(0)), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
 
 
 def similar(pairs: DataFrame, lines: DataFrame, least: float) -> DataFrame:
     """The pairs whose word edit similarity (1 - distance / longer length) is ``least`` or more.
 
-    A sign stands for many words, and a distance of signs is never above that of the words. Pairs that pass are measured
-    again under independent signs: two given words pass for one another in both with probability 3e-10.
+    A sign stands for any of many words: two given words pass for one another with probability 9e-7.
     """
     ids = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    words = F.split("line", " ")
-    signs = cut(lines.join(ids, "id", "left_semi").select("id", word_signs(words, 0).alias("s0"), word_signs(words, 1).alias("s1")), "line-signs")
-
-    def passing(pairs: DataFrame, name: str) -> DataFrame:
-        side = lambda i, s: signs.select(F.col("id").alias(i), F.col(name).alias(s))
-        both = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-        both = both.withColumn("most", _edits(F.greatest(F.length("x"), F.length("y")), least))
-        return both.where(F.expr("levenshtein(x, y, most)") >= 0).select("a", "b")  # -1 beyond the third argument
-
-    return passing(passing(pairs, "s0"), "s1")
+    signs = cut(lines.join(ids, "id", "left_semi").select("id", word_signs(F.split("line", " ")).alias("signs")), "line-signs")
+    both = pairs.join(signs.select(F.col("id").alias("a"), F.col("signs").alias("x")), "a").join(signs.select(F.col("id").alias("b"), F.col("signs").alias("y")), "b")
+    both = both.withColumn("most", _edits(F.greatest(F.length("x"), F.length("y")), least))
+    return both.where(F.expr("levenshtein(x, y, most)") >= 0).select("a", "b")  # -1 beyond the third argument
 
 
 def within_radius(pairs: DataFrame, docs: DataFrame, settings: Settings) -> DataFrame:
