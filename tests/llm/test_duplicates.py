@@ -299,3 +299,32 @@ def test_vectors_odd_rows(spark):
 def test_hadamard_keeps_lengths_and_is_its_own_inverse():
     x = np.random.default_rng(0).normal(size=(5, 16))
     assert vectors.hadamard(vectors.hadamard(x)) == pytest.approx(x)
+
+
+def test_passes_over_runs_give_all_pairs(spark):
+    rng = random.Random(4)
+    rows = []
+    for _ in range(60):
+        w = rng.choices(VOCABULARY, k=rng.randrange(5, 40))
+        rows += [" ".join(w), " ".join(w[:2] + ["zz"] + w[3:])]
+    keys = spark.createDataFrame([(i, len(r.split()), r) for i, r in enumerate(dict.fromkeys(rows))], "id long, words int, line string")
+    whole = {tuple(r) for r in linededup.candidates(keys, 0.8).collect()}
+    shares = [{tuple(r) for r in linededup.candidates(keys, 0.8, k, 3).collect()} for k in range(3)]
+    assert whole and set().union(*shares) == whole and all(s != whole for s in shares)
+
+
+def test_shuffle_files_go_with_the_write(spark):
+    """Steps of an operator do not add up on disk."""
+    import glob
+    import tempfile
+    import time
+
+    from touchline.llm.work import CLEANUP, cut
+
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*"))
+    before, setting = files(), spark.conf.get(CLEANUP, "false")
+    out = cut(spark.range(10_000).repartition(7, "id"), "rows")
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 10_000 and spark.conf.get(CLEANUP, "false") == setting
