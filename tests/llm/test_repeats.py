@@ -92,3 +92,12 @@ def test_whole_table(spark, docs):
     want = {i: (n, r, hashlib.sha256(k.encode()).hexdigest()) for (i, _), (n, r, k) in brute([tuple(r) for r in docs.select("doc_id", "text").collect()]).items()}
     got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in QUERIES["op11_substring_dedup"](spark, SF).collect()}
     assert got == want
+
+
+def test_anchors_of_a_document_come_in_one_row(spark):
+    """However many parts its anchors are dealt to, so rows grow with the documents."""
+    rng = random.Random(3)
+    text = [" ".join(rng.choices("abcdefghijklmnop", k=200)) for _ in range(5)]
+    rows = spark.createDataFrame([(i, text[i % 5]) for i in range(40)], SCHEMA).repartition(4)
+    found = sub.repeated_anchors(sub._documents(rows), 8, sub.Settings()).collect()
+    assert len(found) == len({r["dk"] for r in found}) == 40

@@ -115,6 +115,10 @@ def _packed(rows: pd.DataFrame, owner: np.ndarray, first: np.ndarray, end: np.nd
     return out
 
 
+def _bucket(dk: np.ndarray, parts: int) -> np.ndarray:
+    return (mix(dk.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
+
+
 def _settle(anchor: np.ndarray, dk: np.ndarray, parts: int) -> pd.DataFrame:
     """Packed rows of one block: kind 1 repeats in the block, 0 and 2 are each anchor once, 2 if it repeats here."""
     order = np.lexsort((dk, anchor))
@@ -124,7 +128,7 @@ def _settle(anchor: np.ndarray, dk: np.ndarray, parts: int) -> pd.DataFrame:
     fresh = known & (head | np.append(True, dk[1:] != dk[:-1]))  # once a document
     a, d = np.concatenate([anchor[head], anchor[fresh]]), np.concatenate([dk[head], dk[fresh]])
     kind = np.concatenate([np.where(known[head], 2, 0), np.ones(int(fresh.sum()), dtype=np.int64)])
-    part = (np.where(kind == 1, mix(d.view(np.uint64)), a) % np.uint64(parts)).astype(np.int64)
+    part = np.where(kind == 1, _bucket(d, parts), (a % np.uint64(parts)).astype(np.int64))
     order = np.lexsort((d, kind, part))
     a, d, kind, part = a[order], d[order], kind[order], part[order]
     edge = np.flatnonzero(np.append(True, (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])))
@@ -133,6 +137,17 @@ def _settle(anchor: np.ndarray, dk: np.ndarray, parts: int) -> pd.DataFrame:
     return pd.DataFrame({"part": part[edge], "kind": kind[edge], "anchors": [c[0] for c in cells], "dks": [c[1] for c in cells]})
 
 
+def _by_bucket(anchor: np.ndarray, dk: np.ndarray, parts: int) -> pd.DataFrame:
+    """Packed rows, one for each bucket of documents."""
+    bucket = _bucket(dk, parts)
+    order = np.argsort(bucket, kind="stable")
+    anchor, dk, bucket = anchor[order], dk[order], bucket[order]
+    edge = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(dk) else np.zeros(0, dtype=np.int64)
+    ends = np.append(edge[1:], len(dk))
+    cells = [(anchor[i:j].tobytes(), dk[i:j].tobytes()) for i, j in zip(edge, ends)]
+    return pd.DataFrame({"bucket": bucket[edge], "anchors": [c[0] for c in cells], "dks": [c[1] for c in cells]})
+
+
 def _by_document(anchor: np.ndarray, dk: np.ndarray) -> pd.DataFrame:
     order = np.argsort(dk, kind="stable")
     anchor, dk = anchor[order], dk[order]
@@ -142,10 +157,11 @@ def _by_document(anchor: np.ndarray, dk: np.ndarray) -> pd.DataFrame:
 
 
 def repeated_anchors(rows: DataFrame, parts: int, settings: Settings) -> DataFrame:
-    """dk and packed hashes (some rows a document): the anchors of that document that occur twice or more in the corpus.
+    """dk and packed hashes (one row a document): the anchors of that document that occur twice or more in the corpus.
 
     What repeats within a block of documents is settled there and only passes through; of each anchor one occurrence a
-    block is compared across blocks, so an anchor in a third of all documents meets as one row a block.
+    block is compared across blocks, so an anchor in a third of all documents meets as one row a block. What is found goes
+    on packed by buckets of documents, and each bucket (about the size of a block) is opened to one row a document.
     """
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -167,10 +183,10 @@ def repeated_anchors(rows: DataFrame, parts: int, settings: Settings) -> DataFra
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         anchors, dks, sure = [], [], []
         for batch in batches:
-            for kind, a, d in zip(batch["kind"], batch["anchors"], batch["dks"]):
+            for part, kind, a, d in zip(batch["part"], batch["kind"], batch["anchors"], batch["dks"]):
                 a, d = np.frombuffer(a, dtype=np.uint64), np.frombuffer(d, dtype=np.int64)
                 if kind == 1:
-                    yield _by_document(a, d)
+                    yield pd.DataFrame({"bucket": [part], "anchors": [a.tobytes()], "dks": [d.tobytes()]})
                 else:
                     anchors.append(a)
                     dks.append(d)
@@ -179,10 +195,19 @@ def repeated_anchors(rows: DataFrame, parts: int, settings: Settings) -> DataFra
             a, d, s = (np.concatenate(x) for x in (anchors, dks, sure))
             _, which, n = np.unique(a, return_inverse=True, return_counts=True)
             hit = (n[which] > 1) & ~s  # what repeats in its own block has gone out already
-            yield _by_document(a[hit], d[hit])
+            yield _by_bucket(a[hit], d[hit], parts)
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        anchors, dks = [], []
+        for batch in batches:
+            anchors += batch["anchors"].tolist()
+            dks += batch["dks"].tolist()
+        if anchors:
+            yield _by_document(np.frombuffer(b"".join(anchors), dtype=np.uint64), np.frombuffer(b"".join(dks), dtype=np.int64))
 
     packed = rows.select("text", "dk").mapInPandas(local, "part long, kind long, anchors binary, dks binary")
-    return packed.repartition(parts, "part").mapInPandas(compare, "dk long, anchors binary")
+    found = packed.repartition(parts, "part").mapInPandas(compare, "bucket long, anchors binary, dks binary")
+    return found.repartition(parts, "bucket").mapInPandas(gather, "dk long, anchors binary")
 
 
 def segments(rows: DataFrame, anchors: DataFrame, settings: Settings) -> DataFrame:
@@ -200,7 +225,7 @@ def segments(rows: DataFrame, anchors: DataFrame, settings: Settings) -> DataFra
                 w = Windows(texts[a:b], settings)
                 if not len(w.at):
                     continue
-                lists = [np.frombuffer(b"".join(x), dtype=np.uint64) for x in part["anchors"]]
+                lists = [np.frombuffer(x, dtype=np.uint64) for x in part["anchors"]]
                 salt = mix(np.arange(b - a, dtype=np.uint64) + np.uint64(1))
                 good = np.isin(w.anchor ^ salt[w.owner], np.concatenate([x ^ salt[i] for i, x in enumerate(lists)]))
                 at, owner, place, anchor = w.at[good], w.owner[good], w.place[good], w.anchor[good]
@@ -232,8 +257,7 @@ def segments(rows: DataFrame, anchors: DataFrame, settings: Settings) -> DataFra
                 out.insert(6, "segment", None)
                 yield out[[c.split()[0] for c in SEGMENT.split(", ")]]
 
-    lists = anchors.groupBy("dk").agg(F.collect_list("anchors").alias("anchors"))
-    both = _zipped(rows).join(lists, "dk").select(*PLACE, "text", "anchors")
+    both = _zipped(rows).join(anchors, "dk").select(*PLACE, "text", "anchors")
     return both.mapInPandas(run, SEGMENT)
 
 
