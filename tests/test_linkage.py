@@ -139,3 +139,18 @@ def test_setpiece_roles(spark):
     takers = spark.createDataFrame([("A", "pk", 0, ["silva"]), ("A", "pk", 1, ["perez"]), ("A", "ck", 1, ["perez", "juan"]), ("A", "fk", 0, [])], "team string, kind string, idx int, taker_tokens array<string>")
     got = {(r.player_id, r.role) for r in joins.setpiece_roles(players, takers).collect()}
     assert got == {(2, "pk_primary"), (1, "pk_secondary"), (1, "ck_primary")}
+
+
+def test_short_sides_are_matched_without_rounds(spark, monkeypatch):
+    """Short sides never reach the rounds; with a lower bound the long ones do, and the leftovers are the same."""
+    rng = random.Random(7)
+    tokens = ["perez", "silva", "sosa", "juan", "luis"]
+    name = lambda: None if rng.random() < 0.1 else " ".join(rng.sample(tokens, rng.randrange(1, 3)))
+    rows = {s: [(m, i, name()) for m in [None, 2**60 + 1, *range(6)] for i in range(rng.randrange(12))] for s in "ab"}
+    frames = [spark.createDataFrame(rows[s], "match_id long, ordinal int, name string") for s in "ab"]
+    leftovers = lambda: sorted(map(str, map(tuple, linkage.match_scorers(*frames, ["match_id"]).collect())))
+    monkeypatch.setattr(linkage, "SIDE", 8)
+    mixed = leftovers()
+    monkeypatch.undo()
+    monkeypatch.setattr(linkage, "_first_choices", None)
+    assert leftovers() == mixed

@@ -164,11 +164,33 @@ def _settled(choices: DataFrame, rows: DataFrame, state: DataFrame) -> DataFrame
     return more.select("_g", "s.source", "s._name", "_more")
 
 
+#: Rows of both lists of a match side up to which the side is settled within its row.
+SIDE = 100
+
+
+def _in_row(rows: DataFrame, keys: list[str], ordinal: str, name: str, min_len: int) -> DataFrame:
+    """Leftovers of sides of at most SIDE rows: each side's two lists are put in one row and folded there."""
+    item = F.struct(F.col(ordinal).alias("ordinal"), F.col("_name").alias("word"), F.col(name).alias("name"), link_keys(F.col(name), min_len).alias("keys"))
+    listed = lambda x: F.array_sort(F.collect_list(F.when(F.col("source") == x, item))).alias(x)
+    sides = rows.groupBy("_g").agg(listed("a"), listed("b"))
+    meets = lambda x, y: F.coalesce(F.arrays_overlap(x["keys"], y["keys"]), F.lit(False))
+    free = lambda taken, x: F.filter("b", lambda y, i: ~F.array_contains(taken, i) & meets(x, y))
+    place = lambda taken, x: F.transform(F.slice(free(taken, x), 1, 1), lambda y: y["at"])
+    sides = sides.withColumn("b", F.transform("b", lambda y, i: F.struct(y["ordinal"].alias("ordinal"), y["name"].alias("name"), y["keys"].alias("keys"), i.alias("at"))))
+    taken = F.aggregate("a", F.array().cast("array<int>"), lambda taken, x: F.concat(taken, place(taken, x)))
+    left = lambda x, of: F.transform(of, lambda y: F.struct(F.lit(x).alias("source"), y["ordinal"].alias("ordinal"), y["name"].alias("name")))
+    a = left("a", F.filter("a", lambda x: ~F.exists("b", lambda y: meets(x, y))))
+    b = F.get(F.transform(F.array(taken), lambda t: left("b", F.filter("b", lambda y: ~F.array_contains(t, y["at"])))), 0)  # folded once a side
+    out = sides.select("_g", F.explode(F.concat(a, b)).alias("r"))
+    return out.select(*[F.col(f"_g.{k}").alias(k) for k in keys], "r.source", F.col("r.ordinal").alias(ordinal), F.col("r.name").alias(name))
+
+
 def match_scorers(a: DataFrame, b: DataFrame, keys: list[str], ordinal: str = "ordinal", name: str = "name", min_len: int = 3, rounds: int = 16) -> DataFrame:
     """Leftovers of two goal lists of the same match side, of any length.
 
     A row of ``a`` is left over when no row of ``b`` matches its name at all. Rows of ``b`` are consumed one to one:
-    each row of ``a``, in order, takes the first free match. The same pairs come out of rounds in which all rows that are
+    each row of ``a``, in order, takes the first free match. Sides of at most SIDE rows are settled within one row, after one
+    shuffle. In longer ones the same pairs come out of rounds in which all rows that are
     each other's first free choice pair up, rows of two names that want each other all at once; the rows of a name are used
     up from the first on, so a round carries one number a name. Names that still wait for one another after ``rounds`` rounds (a
     chain in which each takes the next one's choice) are folded in order, a side in a task.
@@ -177,6 +199,10 @@ def match_scorers(a: DataFrame, b: DataFrame, keys: list[str], ordinal: str = "o
     out = [*keys, "source", ordinal, name]
     rows = a.select(*keys, F.lit("a").alias("source"), ordinal, name).union(b.select(*keys, F.lit("b").alias("source"), ordinal, name))
     rows = rows.withColumns({"_g": F.struct(*keys), "_name": F.coalesce(F.col(name), F.lit(""))})
+    long = durable(rows.groupBy("_g").count().where(F.col("count") > SIDE).select("_g"))
+    if long.isEmpty():
+        return _in_row(rows, keys, ordinal, name, min_len)
+    short, rows = rows.join(long, "_g", "left_anti"), rows.join(long, "_g", "left_semi")
     rows = positions(rows, ["_g", "source"], [F.col(ordinal), F.col("_name")], "_pos")
     rows = durable(positions(rows, ["_g", "source", "_name"], [F.col("_pos")], "_rank"))
     names = rows.groupBy("_g", "source", "_name").agg(F.max(name).alias("_shown"))
@@ -196,8 +222,9 @@ def match_scorers(a: DataFrame, b: DataFrame, keys: list[str], ordinal: str = "o
     rest = free.join(known, ["_g", "source", "_name"], "left_semi")
     if waiting:
         rest = _folded(rest, keys, out, name, min_len)
-        return unknown.select(*out).union(rest)
-    return unknown.select(*out).union(rest.where(F.col("source") == "b").select(*out))
+    else:
+        rest = rest.where(F.col("source") == "b").select(*out)
+    return unknown.select(*out).union(rest).union(_in_row(short, keys, ordinal, name, min_len))
 
 
 def _folded(rows: DataFrame, keys: list[str], out: list[str], name: str, min_len: int) -> DataFrame:
