@@ -154,3 +154,12 @@ def test_short_sides_are_matched_without_rounds(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(linkage, "_first_choices", None)
     assert leftovers() == mixed
+
+
+def test_rows_that_cannot_meet_stay_out_of_the_join(spark):
+    rows = spark.range(20_000).selectExpr("if(id % 100 = 0, null, id) as k", "id as v")
+    few = spark.createDataFrame([(7,), (7,), (31,), (2**40,), (None,)], "k long")
+    left = joins.may_meet(rows, few, ["k"])
+    got = {r.k for r in left.collect()}
+    assert {7, 31} <= got and len(got) < 50 and left.columns == ["k", "v"]
+    assert joins.may_meet(rows, few.selectExpr("cast(k as double) as k"), ["k"]) is rows
