@@ -163,3 +163,15 @@ def test_rows_that_cannot_meet_stay_out_of_the_join(spark):
     got = {r.k for r in left.collect()}
     assert {7, 31} <= got and len(got) < 50 and left.columns == ["k", "v"]
     assert joins.may_meet(rows, few.selectExpr("cast(k as double) as k"), ["k"]) is rows
+
+
+def test_a_table_of_one_row_group_is_dealt_by_its_rows(spark, monkeypatch):
+    from touchline import session
+
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    dealt = session.spread(spark.range(0, 20_000, 1, 8).toDF("player_id"), "player_id")
+    assert dealt.rdd.getNumPartitions() == 20 and max(dealt.rdd.glom().map(len).collect()) < 1500
+    players = spark.range(20_000).selectExpr("id as player_id", "'A' as team", "array('silva') as name_tokens")
+    takers = spark.createDataFrame([("A", "pk", 0, ["silva"])], "team string, kind string, idx int, taker_tokens array<string>")
+    out = joins.setpiece_roles(players, takers)
+    assert out.count() == 20_000
