@@ -328,3 +328,34 @@ def test_shuffle_files_go_with_the_write(spark):
     while files() - before and time.time() < until:
         time.sleep(0.2)
     assert not files() - before and out.count() == 10_000 and spark.conf.get(CLEANUP, "false") == setting
+
+
+def test_families_of_near_lines_make_no_square_of_pairs(spark, monkeypatch):
+    """Lines of a family are held against one of it, not against each other; a line near the edge of the family still joins it."""
+    rng, held = random.Random(21), []
+    similar = linededup.similar
+    monkeypatch.setattr(linededup, "similar", lambda pairs, *rest: held.append(pairs.count()) or similar(pairs, *rest))
+    base = [f"base{k}{rng.choice(VOCABULARY)}" for k in range(40)]
+    rows = [" ".join(base[:k] + [f"own{k}x{i}"] + base[k + 1 :]) for i, k in enumerate(rng.randrange(30) for _ in range(200))]
+    rows.append(" ".join(base[:32] + [f"edge{k}" for k in range(8)]))  # eight words from the base, nine from the others
+    rows.append(" ".join(base[:30] + [f"far{k}" for k in range(10)]))
+    out = linededup.deduplicate_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), linededup.WHOLE).collect()
+    want = brute_edit_lines(list(enumerate(rows)), 0.8, 5)[0]
+    assert {r["doc_id"]: r["text"] for r in out} == want
+    assert 0 < sum(held) < 10 * len(rows)
+
+
+def test_lines_meet_by_few_keys(spark):
+    """Some two keys for every word by which a near line may differ, not one for every run of words."""
+    rng = random.Random(22)
+    rows = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in range(5, 200)]
+    keys = spark.createDataFrame([(i, len(r.split()), r) for i, r in enumerate(rows)], "id long, words int, line string")
+    assert linededup.meetings(keys, 0.8).count() <= sum(0.5 * len(r.split()) + 1 + linededup.SHARED for r in rows)
+
+
+def test_plain_lines_have_the_words_of_lines(spark):
+    """One normalisation of the whole text gives the words of each line."""
+    texts = ["A, b;c  d-e f\n\n  Ünï ÇA 日本 x9\tk \n-- a b c d e --", "ΟΔΟΣ ΟΔΟΣ\nΣ a b c d Σ\r\nİ I ı a.b.c.d𝒳y", " ", "", None, "one two three four five six seven\n" * 3]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = sorted((r["doc_id"], r["pos"], " ".join(r["words"]), len(r["words"])) for r in linededup._lines(docs, 1).collect())
+    assert sorted((r["doc_id"], r["pos"], r["line"], r["n"]) for r in linededup._plain(docs, 1).collect()) == want and want
