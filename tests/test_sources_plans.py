@@ -5,6 +5,8 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
+from touchline import session
+from touchline.operators import history
 from touchline.plans import audit, league, portfolio, strength, tournament, transfers
 from touchline.sources import feeds, readers, schemas, sinks
 
@@ -74,6 +76,33 @@ def test_incidents_and_minutes(spark):
     assert got[1].xg == pytest.approx(0.5) and got[1].xa == pytest.approx(0.16) and got[5].reason == "absent" and got[7].is_home is False
 
 
+LINEUP = "match_id long, player_id long, status string, is_home boolean, name string, reason string"
+SUBS = "match_id long, minute int, added int, player_out long, player_in long, is_home boolean, ordinal int"
+
+
+def test_minutes_deal_matches_over_tasks_by_rows(spark, monkeypatch):
+    """A task's rows do not grow with the table."""
+    monkeypatch.setattr(session, "TASK_ROWS", 1000)
+    of = F.floor(F.col("id") / 11)
+    lineup = spark.range(22_000).select(of.alias("match_id"), F.col("id").alias("player_id"), F.lit("starter").alias("status"), F.lit(True).alias("is_home"), F.lit("n").alias("name"), F.lit(None).cast("string").alias("reason"))
+    ends = spark.range(2000).select(F.col("id").alias("match_id"), F.lit(90).alias("minute"), (F.col("id") % 4).cast("int").alias("added"))
+    got = history.player_minutes(lineup, spark.createDataFrame([(7, 60, 0, 77, 1, True, 1)], SUBS), ends)
+    sizes = got.rdd.glom().map(len).collect()
+    assert len(sizes) == 22 and max(sizes) < 2200 and sum(sizes) == 22_001
+    assert {(r.player_id, r.mins) for r in got.where("match_id = 7 and player_id in (1, 77, 78)").collect()} == {(1, 33), (77, 60), (78, 93)}
+
+
+def test_minutes_of_rows_without_match_or_player(spark):
+    """They meet no substitution and no whistle; repeated entries of a player count once, a starter's before a missing one's."""
+    lineup = spark.createDataFrame(
+        [(None, 1, "starter", True, "a", None), (1, None, "starter", True, "b", None), (None, 2, "bench", True, "c", None), (1, 3, "missing", True, "d", None), (1, 3, "starter", True, "d", None), (None, 4, "missing", True, "e", None)], LINEUP
+    )
+    subs = spark.createDataFrame([(None, 60, 0, 1, 4, False, 1), (1, 70, 1, None, None, True, 2), (1, 80, None, 3, 6, False, 3), (1, None, 0, 6, 7, True, 4)], SUBS)
+    ends = spark.createDataFrame([(None, 120, 0), (1, 90, 4), (1, 45, 3)], "match_id long, minute int, added int")
+    got = {(r.match_id, r.player_id): (r.mins, r.status, r.is_home) for r in history.player_minutes(lineup, subs, ends).collect()}
+    assert got == {(None, 1): (90, "starter", True), (1, None): (94, "starter", True), (1, 3): (80, "starter", True), (None, 4): (30, "sub_in", False), (1, 6): (14, "sub_in", False)}
+
+
 def test_roster_page(spark):
     html = '<table><tr><td><a href="/juan/profil/spieler/77">Juan <b>P</b></a></td><td>x</td><td class="r">€1,20M</td></tr><tr><td>head</td></tr></table>'
     r = feeds.roster_rows(spark.createDataFrame([("u", html)], "url string, html string")).collect()

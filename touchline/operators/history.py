@@ -5,6 +5,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from touchline.operators.ordered import SLICE, arg_min, sliced, top_n
+from touchline.session import task_count
 
 
 def latest_by_class(df: DataFrame, keys: list[str], classes: list[tuple[Column, str]], date: str, tie: str, columns: list[str]) -> DataFrame:
@@ -92,32 +93,41 @@ def split_at_second(df: DataFrame, keys: list[str], ordinal: str, marker: Column
     return df.join(cut, keys, "left").withColumn(name, F.coalesce(F.col(ordinal) >= F.col("_cut"), F.lit(False))).drop("_cut")
 
 
-def player_minutes(lineup: DataFrame, subs: DataFrame, periods: DataFrame) -> DataFrame:
+def player_minutes(lineup: DataFrame, subs: DataFrame, periods: DataFrame, tasks: int | None = None) -> DataFrame:
     """Exact minutes on the pitch.
 
     ``lineup``: match_id, player_id, status (starter, bench, missing), is_home, name, reason.
     ``subs``: match_id, minute, added, player_out, player_in, is_home, ordinal.
     ``periods``: match_id, minute, added of FT / AET / AP markers.
     Players who came on without being listed are added.
+    All rows of a match meet in one of ``tasks`` tasks; without that number the lineup is counted for it.
     """
     at = F.col("minute") + F.coalesce("added", F.lit(0)) * 0.5
-    final = periods.groupBy("match_id").agg(F.max(F.col("minute") + F.coalesce("added", F.lit(0))).alias("_final"))
-    out = subs.where(F.col("player_out").isNotNull()).groupBy("match_id", F.col("player_out").alias("player_id")).agg(F.min(at).alias("_out"))
-    came = subs.where(F.col("player_in").isNotNull()).groupBy("match_id", F.col("player_in").alias("player_id")).agg(
-        F.max_by(at, F.col("ordinal")).alias("_in"), F.max_by("is_home", F.col("ordinal")).alias("_side")
+    void = lambda c: F.lit(None).cast(subs.schema[c].dataType)
+    entry = F.struct(F.col("player_in").alias("player_id"), at.alias("_came"), F.col("ordinal").alias("_ordinal"), F.col("is_home").alias("_home"), F.lit(None).cast("double").alias("_left"))
+    leave = F.struct(F.col("player_out").alias("player_id"), F.lit(None).cast("double").alias("_came"), void("ordinal").alias("_ordinal"), void("is_home").alias("_home"), F.when(F.col("match_id").isNotNull(), at).alias("_left"))
+    moves = subs.select("match_id", F.explode(F.array(entry, leave)).alias("_m")).select("match_id", "_m.*").where(F.col("player_id").isNotNull())
+    ends = periods.select("match_id", (F.col("minute") + F.coalesce("added", F.lit(0))).alias("_end")).where(F.col("match_id").isNotNull())
+    listed = lineup.select("match_id", "player_id", "status", "is_home", "name", "reason", F.lit(True).alias("_listed"))
+    # a player's rows and a match's whistles meet by the match alone: one table, dealt once
+    rows = listed.unionByName(moves, allowMissingColumns=True).unionByName(ends, allowMissingColumns=True).repartition(tasks or task_count(lineup), "match_id")
+    known = F.col("match_id").isNotNull() & F.col("player_id").isNotNull()
+    s = F.col("status")
+    entered = F.struct(F.when(s == "bench", 0).when(s == "starter", 1).when(s.isNull(), 2).otherwise(3).alias("_kind"), "status", "is_home", "name", "reason")
+    stayed = F.struct(F.when(s == "starter", 1).otherwise(3).alias("_kind"), "status", "is_home", "name", "reason")
+    players = rows.groupBy("match_id", "player_id").agg(
+        F.min(F.when(F.col("_listed"), entered)).alias("_entered"),
+        F.min(F.when(F.col("_listed") & s.isin("starter", "missing"), stayed)).alias("_stayed"),
+        F.max_by("_came", "_ordinal").alias("_in"), F.max_by("_home", "_ordinal").alias("_side"), F.min("_left").alias("_out"), F.max("_end").alias("_end"),
     )
-    rank = F.when(F.col("status") == "starter", 0).when(F.col("status") == "bench", 1).otherwise(2)
-    squad = lineup.withColumn("_rank", rank)
+    final = F.when(F.col("match_id").isNotNull(), F.max("_end").over(Window.partitionBy("match_id")))
+    players = players.withColumn("_final", final)
+    # a substitute's entry replaces a starter's row, as the later record of the same player; a benched player who did not
+    # come on leaves no row, a missing one does; rows without a match or player meet no substitution
     on = F.col("_in").isNotNull()
-    squad = squad.join(came, ["match_id", "player_id"], "full_outer")
-    # a benched player who did not come on leaves no row; a missing one does
-    squad = squad.where((F.col("status") == "starter") | on | (F.col("status") == "missing"))
-    # a substitute's entry replaces a starter's row, as the later record of the same player
-    kind = F.when((F.col("status") == "bench") & on, 0).when(F.col("status") == "starter", 1).when(on & F.col("status").isNull(), 2).otherwise(3)
-    squad = squad.withColumn("_kind", kind)
-    cols = ["status", "is_home", "name", "reason", "_in", "_side", "_kind"]
-    best = arg_min(squad, ["match_id", "player_id"], [F.col("_kind"), *[F.col(c) for c in cols[:-1]]], cols)
-    best = best.join(final, "match_id", "left").join(out, ["match_id", "player_id"], "left")
+    alone = F.when(on & ~(known & F.col("_entered").isNotNull()), F.struct(F.lit(2).alias("_kind"), *[F.lit(None).cast(lineup.schema[c].dataType).alias(c) for c in ("status", "is_home", "name", "reason")]))
+    best = players.withColumn("_best", F.least(F.when(on & known, F.col("_entered")).otherwise(F.col("_stayed")), alone)).where(F.col("_best").isNotNull())
+    best = best.select("match_id", "player_id", "_in", "_out", "_final", "_best.*", F.when(known | (F.col("_best._kind") == 2), F.col("_side")).alias("_side"))
     end = F.greatest(F.lit(90), F.coalesce("_final", F.lit(90)))
     mins = (
         F.when(F.col("_kind") == 1, F.greatest(F.lit(1), F.round(F.coalesce("_out", end))))

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from touchline.operators import history
 from touchline.operators.ordered import carry_forward, dense_ranks, percentiles, positions, running_totals, top_n, top_n_overall
+from touchline.session import task_count
 from touchline.workload.registry import query
 from touchline.workload.tables import FIXTURES_SQL, PLAYERS_SQL, rnd
 
@@ -128,16 +129,18 @@ def _(t):
     rank = F.min("l_linenumber")
     status = F.when(rank <= 2, "starter").when(rank <= 5, "bench").otherwise("missing")
     key = F.col("l_orderkey").alias("match_id")
-    lineup = t.lineitem.groupBy(key, F.col("l_partkey").alias("player_id")).agg(status.alias("status"))
+    tasks = task_count(t.lineitem)
+    lines = t.lineitem.repartition(tasks, "l_orderkey")
+    lineup = lines.groupBy(key, F.col("l_partkey").alias("player_id")).agg(status.alias("status"))
     lineup = lineup.withColumns({"is_home": F.lit(True), "name": F.lit("p"), "reason": F.lit(None).cast("string")})
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")  # the lines of one order
-    subs = t.lineitem.where(F.col("l_returnflag") == "R").select(
+    subs = lines.where(F.col("l_returnflag") == "R").select(
         key, (F.col("l_quantity").cast("int") + 40).alias("minute"), F.lit(0).alias("added"), F.col("l_partkey").alias("player_in"),
         F.lead("l_partkey").over(w).alias("player_out"), F.row_number().over(w).alias("ordinal"), F.lit(True).alias("is_home"),
     )
     periods = t.orders.select(F.col("o_orderkey").alias("match_id"), F.lit(90).alias("minute"), (F.col("o_custkey") % 8).cast("int").alias("added"))
     known = t.orders.select(F.col("o_orderkey").alias("match_id"))
-    out = history.player_minutes(lineup, subs, periods).join(known, "match_id", "left_semi")
+    out = history.player_minutes(lineup, subs, periods, tasks).join(known, "match_id", "left_semi")
     return out.select("match_id", "player_id", "mins", "status")
 
 
