@@ -1,4 +1,5 @@
 """Packing and the codec against the tokenizer library itself."""
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -26,6 +27,19 @@ def test_encoder_equals_library(byte_encoder, texts):
     assert [x.tolist() for x in byte_encoder.encode(texts)] == want
 
 
+def test_encoder_scans_little_at_once(byte_encoder):
+    """The arrays over a call's texts stay small, however much text the call has, and the ids are the library's."""
+    texts = [" ".join(f"w{i * 977 % 4999} of line {j}" for j in range(1500)) for i in range(60)]
+    want = [x.ids for x in byte_encoder.tokenizer.encode_batch(texts[:3], add_special_tokens=False)]
+    byte_encoder.encode(texts[:1])
+    tracemalloc.start()
+    got = byte_encoder.encode(texts)
+    peak = tracemalloc.get_traced_memory()[1] - sum(x.nbytes for x in got)
+    tracemalloc.stop()
+    assert sum(map(len, texts)) > 1_200_000 and peak < 40e6, peak
+    assert [x.tolist() for x in got[:3]] == want
+
+
 def library(path, text):
     from tokenizers import Tokenizer
 
