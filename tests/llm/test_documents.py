@@ -1,9 +1,11 @@
 """Language, quality, PII and token counts against plain Python."""
 import hashlib
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,26 @@ def test_js_distance():
     assert quality.js_distance(p, p[0])[0] == 0
 
 
+def test_quality_scans_small_parts_of_a_batch():
+    texts = [f"{i} " + "word and other " * 100 for i in range(2000)]
+    batch = pa.RecordBatch.from_pydict({"text": texts})
+    tracemalloc.start()
+    seen = [(part["text"].to_pylist(), f.counts["n_words"].tolist()) for part, f in quality._blocks([batch])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum((t for t, _ in seen), []) == texts and sum((n for _, n in seen), []) == [301] * 2000
+    assert peak < 40e6  # 3 million signs
+
+
+def test_quality_passes_other_columns_on(spark):
+    """Longs beside nulls, odd names, nested values, times and decimals come back as they went in."""
+    sql = "select 9007199254740993L as `a b`, 'x' as text, 'en' as lang, array(struct(1 as u, 'v' as w)) as n, timestamp'2024-03-31 02:30:00' as at, 1.50BD as d, map('k', 1L) as m"
+    rows = spark.sql(sql + " union all select null, null, null, null, null, null, null")
+    out = quality.score(rows)
+    assert out.dtypes[:7] == rows.dtypes
+    assert sorted(map(str, out.select(*[f"`{c}`" for c in rows.columns]).collect())) == sorted(map(str, rows.collect()))
+
+
 def test_quality_odd_rows(odd):
     rows = quality.score(odd.withColumn("Kept", F.lit("old"))).collect()
     assert len(rows) == odd.count() and all(isinstance(r["kept"], bool) for r in rows)

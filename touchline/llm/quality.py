@@ -6,22 +6,25 @@ Jensen-Shannon distance. The references are sums over all labelled documents tha
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from touchline.llm.textscan import Flat, ascii_space, blocks, window_hashes
-from touchline.llm.work import map_rows
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("small letter", "capital letter", "other letter", "digit", "blank", "line end", "comma or full stop", "shout", "rule symbol", "other sign")
 #: Word counts are kept by a hash of the lower-cased word modulo this, so their number is fixed.
 SLOTS = 1 << 13
 WINDOW = 5
+#: Documents that a task holds as Python strings at once, and code points scanned at once: these take some hundred bytes each meanwhile.
+STEP, SCAN_CHARS = 500, 1 << 17
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -99,31 +102,34 @@ class Features:
         return (words < min_words) | (100 * self.counts["n_repeat_words"] > max_repeat * words)
 
 
-def _blocks(batch: pd.DataFrame) -> Iterator[tuple[pd.DataFrame, Features]]:
-    texts = [t if isinstance(t, str) else "" for t in batch["text"]]
-    for a, b in blocks(texts):
-        yield batch.iloc[a:b], Features(texts[a:b])
+def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Features]]:
+    for batch in batches:
+        for at in range(0, len(batch), STEP):
+            part = batch.slice(at, STEP)
+            texts = [t if isinstance(t, str) else "" for t in part["text"].to_pylist()]
+            for a, b in blocks(texts, SCAN_CHARS):
+                yield part.slice(a, b - a), Features(texts[a:b])
 
 
 def language_counts(docs: DataFrame, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
     """lang, kind (0 character class, 1 word slot), slot and count over all labelled documents that pass the counted rules."""
 
-    def run(batches):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars, words = {}, {}
-        for batch in batches:
-            for part, f in _blocks(batch):
-                good = ~f.base_failed(min_words, max_repeat)
-                lang = part["lang"].to_numpy(dtype=object)
-                for name in {x for x in lang[good] if isinstance(x, str)}:
-                    mine = good & (lang == name)
-                    chars[name] = chars.get(name, 0) + f.chars[mine].sum(axis=0)
-                    words[name] = words.get(name, 0) + np.bincount(f.slot[mine[f.owner]], minlength=SLOTS)
+        for part, f in _blocks(batches):
+            good = ~f.base_failed(min_words, max_repeat)
+            lang = np.array(part["lang"].to_pylist(), dtype=object)
+            for name in {x for x in lang[good] if isinstance(x, str)}:
+                mine = good & (lang == name)
+                chars[name] = chars.get(name, 0) + f.chars[mine].sum(axis=0)
+                words[name] = words.get(name, 0) + np.bincount(f.slot[mine[f.owner]], minlength=SLOTS)
         for kind, by in ((0, chars), (1, words)):
             for name, c in by.items():
                 at = np.flatnonzero(c)
-                yield pd.DataFrame({"lang": name, "kind": kind, "slot": at, "count": c[at]})
+                columns = {"lang": pa.array([name] * len(at), pa.string()), "kind": pa.array([kind] * len(at), pa.int32()), "slot": pa.array(at, pa.int64()), "count": pa.array(c[at], pa.int64())}
+                yield pa.RecordBatch.from_pydict(columns)
 
-    part = docs.select("lang", "text").mapInPandas(run, "lang string, kind int, slot long, count long")
+    part = docs.select("lang", "text").mapInArrow(run, "lang string, kind int, slot long, count long")
     return part.groupBy("lang", "kind", "slot").agg(F.sum("count").alias("count"))
 
 
@@ -184,22 +190,18 @@ def score(docs: DataFrame, common: int = 10, min_words: int = 10, max_repeat: in
     result = [*COUNTS, "char_distance", "word_distance", "base_failed", "kept"]
     kinds = ["long"] * 5 + ["double", "double", "boolean", "boolean"]
     keep = [c for c in docs.columns if c.lower() not in result]
-    schema = docs.select(*keep).schema
+    rows = docs.select(*keep)
+    schema = StructType(list(rows.schema.fields))
     for name, kind in zip(result, kinds):
         schema = schema.add(name, kind)
 
-    def run(batches):
-        for batch in batches:
-            for part, f in _blocks(batch):
-                out = part.copy()
-                for name in COUNTS:
-                    out[name] = f.counts[name]
-                out["char_distance"] = nearest(f.chars, refs.chars)
-                out["word_distance"] = nearest(refs.word_counts(f), refs.words)
-                failed = f.base_failed(min_words, max_repeat)
-                far = (f.chars.sum(axis=1) >= guard_chars) & (out["char_distance"].to_numpy() > char_limit)
-                far |= (f.counts["n_words"] >= guard_words) & (out["word_distance"].to_numpy() > word_limit)
-                out["base_failed"], out["kept"] = failed, ~failed & ~far
-                yield out
-
-    return map_rows(docs.select(*keep), run, schema, keep)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, f in _blocks(batches):
+            char_distance, word_distance = nearest(f.chars, refs.chars), nearest(refs.word_counts(f), refs.words)
+            failed = f.base_failed(min_words, max_repeat)
+            far = (f.chars.sum(axis=1) >= guard_chars) & (char_distance > char_limit)
+            far |= (f.counts["n_words"] >= guard_words) & (word_distance > word_limit)
+            found = [pa.array(f.counts[name], pa.int64()) for name in COUNTS] + [pa.array(x) for x in (char_distance, word_distance, failed, ~failed & ~far)]
+            yield pa.RecordBatch.from_arrays([*part.columns, *found], names=[*keep, *result])
+
+    return rows.mapInArrow(run, schema)
