@@ -1,14 +1,17 @@
 """MinHash, line and vector near-duplicates, and components, against brute force."""
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import regex
 import xxhash
 
 from touchline.llm import linededup, minhash, vectors
+from touchline.llm.work import slices
 from touchline.llm.components import components
 
 from brute import SF, union_find
@@ -359,3 +362,21 @@ def test_plain_lines_have_the_words_of_lines(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = sorted((r["doc_id"], r["pos"], " ".join(r["words"]), len(r["words"])) for r in linededup._lines(docs, 1).collect())
     assert sorted((r["doc_id"], r["pos"], r["line"], r["n"]) for r in linededup._plain(docs, 1).collect()) == want and want
+
+
+def test_shingles_scan_small_parts():
+    texts = [f"{i} " + " ".join(f"word{i * k % 9973}" for k in range(150)) for i in range(2000)]
+    alone = [h.tolist() for t in texts[::97] for h, *_ in minhash.shingles([t])]
+    tracemalloc.start()
+    seen = [h.tolist() if i % 97 == 0 else [] for i, (h, *_) in enumerate(minhash.shingles(texts))]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(seen) == 2000 and seen[::97] == alone
+    assert peak < 25e6  # 2.5 million signs
+
+
+def test_slices_keep_all_rows():
+    batches = [pa.RecordBatch.from_pydict({"x": list(range(n))}) for n in (0, 1, 500, 1201)]
+    parts = [p["x"].to_pylist() for p in slices(batches)]
+    assert [len(p) for p in parts] == [1, 500, 500, 500, 201]
+    assert sum(parts, []) == [*range(1), *range(500), *range(1201)]

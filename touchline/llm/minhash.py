@@ -12,13 +12,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from touchline.llm.components import components
 from touchline.llm.textscan import Flat, blocks, mix, table, window_hashes
-from touchline.llm.work import cut
+from touchline.llm.work import cut, slices
 
 WORDS = 5
 #: Two rows of this many counters hold the document frequencies of all shingles, whatever their number.
@@ -27,7 +28,7 @@ SLICE = 1 << 14
 #: A shingle in a smaller share of the documents than this weighs as one in this share.
 LEAST_SHARE = 0.01
 TABLE_BITS = 16
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 #: Up to this many ids (some 30 MB) are sent to all executors to pick their texts; more are joined by shuffle.
 FEW_IDS = 2_000_000
 
@@ -84,17 +85,18 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     added slice by slice as a stream, and the driver gets their fixed 2**20 counters.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counters, n = np.zeros(2 * WIDTH, dtype=np.int64), 0
-        for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
+        for batch in slices(batches):
+            texts = batch["text"].to_pylist()
             for a, b in blocks(texts, BLOCK):
                 all_h = [h for h, _, _, _ in shingles(texts[a:b])]
                 n += sum(len(h) > 0 for h in all_h)
                 for place in _counter_places(np.concatenate(all_h)):
-                    counters += np.bincount(place, minlength=2 * WIDTH)
+                    np.add.at(counters, place, 1)
         for i in range(0, 2 * WIDTH, SLICE):
-            yield pd.DataFrame({"slice": [i], "n": [n if i == 0 else 0], "counts": [zlib.compress(counters[i : i + SLICE].astype("<u4").tobytes(), 1)]})
+            counts = zlib.compress(counters[i : i + SLICE].astype("<u4").tobytes(), 1)
+            yield pa.RecordBatch.from_pydict({"slice": [i], "n": [n if i == 0 else 0], "counts": [counts]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[int, np.ndarray] = {}
@@ -107,7 +109,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
             yield pd.DataFrame({"slice": [at], "n": [n], "counts": [zlib.compress(c.tobytes(), 1)]})
             n = 0
 
-    parts = docs.select("text").mapInPandas(count, "slice long, n long, counts binary")
+    parts = docs.select("text").mapInArrow(count, "slice long, n long, counts binary")
     got = parts.repartition("slice").mapInPandas(add, "slice long, n long, counts binary").toPandas()
     counters = np.zeros(2 * WIDTH)
     for at, c in zip(got["slice"], got["counts"]):
@@ -173,10 +175,11 @@ def features(docs: DataFrame, idf, settings: Settings) -> DataFrame:
     """doc_id, signature (s1, s2), sample codes and band keys of every document; no bands without words."""
     tables = sampling_tables(settings.seed)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = [t if isinstance(t, str) else None for t in batch["text"]]
-            ids = batch["doc_id"].to_numpy()
+    row = pa.schema([("doc_id", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("codes", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            ids, texts = batch["doc_id"], batch["text"].to_pylist()
             for a, b in blocks(texts, BLOCK):
                 got = list(shingles(texts[a:b]))
                 some = [i for i, g in enumerate(got) if len(g[0])]
@@ -188,9 +191,9 @@ def features(docs: DataFrame, idf, settings: Settings) -> DataFrame:
                     drawn = samples(h, np.log(w), starts, settings, tables)
                     for i, c, k in zip(some, drawn, band_keys(drawn, settings)):
                         codes[i], keys[i] = c.tobytes(), k
-                yield pd.DataFrame({"doc_id": ids[a:b], "s1": [g[2] for g in got], "s2": [g[3] for g in got], "codes": codes, "bands": keys})
+                yield pa.RecordBatch.from_pydict({"doc_id": ids[a:b], "s1": [g[2] for g in got], "s2": [g[3] for g in got], "codes": codes, "bands": keys}, schema=row)
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, s1 long, s2 long, codes binary, bands array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, s1 long, s2 long, codes binary, bands array<long>")
 
 
 def _sets(ids, texts, idf) -> dict:
@@ -202,17 +205,16 @@ def _sets(ids, texts, idf) -> dict:
 def verified(pairs: DataFrame, texts: DataFrame, idf, least: float) -> DataFrame:
     """The pairs (a, b) whose texts have a weighted Jaccard similarity of ``least`` or more."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for at in range(0, len(batch), 500):
-                p = batch.iloc[at : at + 500]
-                sets_a, sets_b = _sets(p["a"], p["ta"], idf.value), _sets(p["b"], p["tb"], idf.value)
-                good = [weighted_jaccard(sets_a[x], sets_b[y]) >= least for x, y in zip(p["a"], p["b"])]
-                yield p.loc[good, ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in slices(batches):
+            a, b, ta, tb = (c.to_pylist() for c in p.columns)
+            sets_a, sets_b = _sets(a, ta, idf.value), _sets(b, tb, idf.value)
+            good = [weighted_jaccard(sets_a[x], sets_b[y]) >= least for x, y in zip(a, b)]
+            yield p.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb"))
-    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long").distinct()
+    return pairs.join(a, "a").join(b, "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long").distinct()
 
 
 def star_pairs(buckets: DataFrame, pivots: int) -> DataFrame:

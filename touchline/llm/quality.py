@@ -17,14 +17,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from touchline.llm.textscan import Flat, ascii_space, blocks, window_hashes
+from touchline.llm.work import slices
 
 SYMBOLS = "#*$%&|<>"
 CLASSES = ("small letter", "capital letter", "other letter", "digit", "blank", "line end", "comma or full stop", "shout", "rule symbol", "other sign")
 #: Word counts are kept by a hash of the lower-cased word modulo this, so their number is fixed.
 SLOTS = 1 << 13
 WINDOW = 5
-#: Documents that a task holds as Python strings at once, and code points scanned at once: these take some hundred bytes each meanwhile.
-STEP, SCAN_CHARS = 500, 1 << 17
+#: Code points scanned at once: they take some hundred bytes each meanwhile.
+SCAN_CHARS = 1 << 17
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -103,12 +104,10 @@ class Features:
 
 
 def _blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Features]]:
-    for batch in batches:
-        for at in range(0, len(batch), STEP):
-            part = batch.slice(at, STEP)
-            texts = [t if isinstance(t, str) else "" for t in part["text"].to_pylist()]
-            for a, b in blocks(texts, SCAN_CHARS):
-                yield part.slice(a, b - a), Features(texts[a:b])
+    for part in slices(batches):
+        texts = [t if isinstance(t, str) else "" for t in part["text"].to_pylist()]
+        for a, b in blocks(texts, SCAN_CHARS):
+            yield part.slice(a, b - a), Features(texts[a:b])
 
 
 def language_counts(docs: DataFrame, min_words: int = 10, max_repeat: int = 20) -> DataFrame:
