@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from touchline.llm import linededup, minhash, vectors
 from touchline.llm.work import slices
@@ -348,6 +349,35 @@ def test_families_of_near_lines_make_no_square_of_pairs(spark, monkeypatch):
     assert 0 < sum(held) < 10 * len(rows)
 
 
+def test_lines_that_meet_by_chance_are_parted_there(spark, monkeypatch):
+    """Lines of other words that share a pair of words give no pairs that grow with the square of them."""
+    rng, held = random.Random(23), []
+    met = linededup._met
+    monkeypatch.setattr(linededup, "_met", lambda *a: held.append(met(*a).count()) or met(*a))
+    rows = [f"extraordinarily{'y' * 20} longest{'z' * 20} " + " ".join(f"w{rng.randrange(10**6)}" for _ in range(n)) for n in [*[14] * 150, *[70] * 150]]
+    rows.append(rows[0] + " more")
+    out = linededup.deduplicate_lines(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), linededup.WHOLE).collect()
+    assert {r["doc_id"] for r in out if r["text"] == ""} == {300}
+    assert held and sum(held) < len(rows)
+
+
+def test_marks_part_no_near_lines(spark):
+    """At all lengths, about LONG words too, and whichever edits make up the distance."""
+    rng, rows = random.Random(24), []
+    for n in [*range(5, 70), 100, 150, 400]:
+        words = [rng.choice(VOCABULARY) + str(rng.randrange(40)) for _ in range(n)]
+        for kinds in ((0,), (1,), (2,), (0, 1, 2)):
+            w, most = list(words), int(0.2 * n + 1e-9)
+            for _ in range(most):
+                at, kind = rng.randrange(len(w)), rng.choice(kinds)
+                w[at : at + (kind != 0)] = [f"new{rng.randrange(10**6)}"] if kind < 2 else []
+            rows += [(*sorted((words, w), key=len, reverse=True), most)]
+    df = spark.createDataFrame([(x, y) for x, y, _ in rows], "x array<string>, y array<string>")
+    df = df.select("x", "y", linededup._marks(F.col("x"), F.size("x")).alias("p"), linededup._marks(F.col("y"), F.size("y")).alias("q"))
+    near = linededup._alike(lambda i: F.col("p")[i], lambda i: F.col("q")[i], F.size("x"), F.size("y"), 0.8)
+    assert df.where(near).count() == len(rows)
+
+
 def test_lines_meet_by_few_keys(spark):
     """Some two keys for every word by which a near line may differ, not one for every run of words."""
     rng = random.Random(22)
