@@ -1,5 +1,8 @@
+import glob
 import json
 import math
+import tempfile
+import time
 from itertools import combinations
 
 import pytest
@@ -274,3 +277,32 @@ def test_plans_keep_managers_and_skip_owned(spark):
     pool = [(i, "GDMF"[i % 4], 1.0 + i % 3, 50.0 - i) for i in range(40)]
     got = {r.manager_id: r for r in transfers.best_transfers(plans, spark.createDataFrame(pool, "id int, position string, price double, xpts double"), ["manager_id", "formation", "keep_set"]).collect()}
     assert got[1].total is None and got[2].total > 0 and bin(got[2].keep_set).count("1") == 3
+
+
+def test_tables_leave_no_shuffle_files(spark):
+    """Steps of a job do not add up on disk."""
+    files = lambda: set(glob.glob(f"{tempfile.gettempdir()}/blockmgr-*/*/shuffle_*"))
+    before, setting = files(), spark.conf.get(session.CLEANUP, "false")
+    out = session.durable(spark.range(10_000).repartition(7, "id"))
+    until = time.time() + 20
+    while files() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not files() - before and out.count() == 10_000 and spark.conf.get(session.CLEANUP, "false") == setting
+
+
+def test_audit_links_before_it_pairs_scorers(spark):
+    """Links and goals are written part by part; the last step reads them and links nothing again. Null and repeated keys stay as they are."""
+    fx = "match_id int, home string, away string, score_home int, score_away int, ordinal int"
+    gl = "match_id int, side string, ordinal int, name string, kind string"
+    provider = [(i, f"club{i}x fc", f"rival{i}", i % 3, 0, i) for i in range(40)] + [(None, "club1x", "rival1", 1, 0, 50), (3, "club3x", "rival3", 0, 0, 60)]
+    feed = [(100 + i, f"club{i}x", f"rival{i} sc", i % 3 + (i % 5 == 0), 0, i) for i in range(40)] + [(None, "club2x", "rival2", 2, 0, -1)]
+    goals = lambda base: [(base + i, "home", n, f"name{n}", "regular") for i in range(40) for n in range(2)] + [(None, "home", 0, "nobody", "regular")]
+    frames = [spark.createDataFrame(rows, kind) for rows, kind in ((provider, fx), (feed, fx), (goals(0), gl), (goals(100)[:-1] + [(101, "home", 9, "other", "regular")] * 2, gl))]
+    out = audit.name_audit(*frames)
+    assert "score_home" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(r) for r in out.collect()) == [(101, "home", "b", 9, "other")] * 2
+
+
+def test_shares_give_each_row_once(spark):
+    rows = spark.range(1000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 50).alias("k"), "id")
+    assert sorted(r.id for r in session.in_shares(lambda mine: rows.where(mine(F.col("k")))).collect()) == list(range(1000))

@@ -9,7 +9,7 @@ rows times tokens even when one surname covers a third of them.
 from __future__ import annotations
 
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from touchline.functions.text import tokens
 from touchline.operators.ordered import positions, top_n
-from touchline.session import durable
+from touchline.session import durable, in_shares
 
 
 def link_keys(name: Column, min_len: int = 3) -> Column:
@@ -77,33 +77,43 @@ def link_fixtures(left: DataFrame, right: DataFrame, left_id: str, right_id: str
     """First right fixture whose home and away names both match and whose score agrees when
     both scores are known. Columns home, away, score_home, score_away on both sides.
 
-    The key is (home key, away key); scores are folded into three summaries: fixtures with
-    that score, fixtures without a score, and all of them (for a left row without a score).
+    The key is (home key, away key), as a hash of 128 bits. A left row with a score looks at the right rows with that score and at
+    those without one, a left row without a score at all; each key's right rows are folded into one summary first.
+    The keys are dealt to parts that are done one after the other.
     """
 
-    def exploded(df: DataFrame) -> DataFrame:
-        return df.withColumn("_h", F.explode(link_keys(F.col("home"), min_len))).withColumn(
-            "_a", F.explode(link_keys(F.col("away"), min_len))
-        )
+    def exploded(df: DataFrame, *columns: Column) -> DataFrame:
+        keys = df.select(*columns, F.explode(link_keys(F.col("home"), min_len)).alias("_h"), "away").select("*", F.explode(link_keys(F.col("away"), min_len)).alias("_a"))
+        return keys.select(*[c for c in keys.columns if c not in ("_h", "_a", "away")], F.xxhash64("_h", "_a").alias("_k1"), F.xxhash64(F.lit(1), "_h", "_a").alias("_k2"))
 
+    scores = [F.col("score_home").alias("_sh"), F.col("score_away").alias("_sa")]
     known = F.col("score_home").isNotNull()
-    first = F.min(F.struct(F.col(ordinal).alias("_ord"), F.col(right_id).alias("_id")))
-    r = exploded(right)
-    scored = r.where(known).groupBy("_h", "_a", "score_home", "score_away").agg(first.alias("_same"))
-    every = r.groupBy("_h", "_a").agg(
-        first.alias("_any"),
-        F.min(F.when(~known, F.struct(F.col(ordinal).alias("_ord"), F.col(right_id).alias("_id")))).alias("_open"),
-    )
-    p = exploded(left.select(left_id, "home", "away", "score_home", "score_away"))
-    hits = p.join(every, ["_h", "_a"])
-    s = scored.select("_h", "_a", F.col("score_home").alias("_sh"), F.col("score_away").alias("_sa"), "_same")
-    hits = hits.join(
-        s, (hits["_h"] == s["_h"]) & (hits["_a"] == s["_a"]) & (hits["score_home"] == s["_sh"])
-        & hits["score_away"].eqNullSafe(s["_sa"]), "left",
-    )
-    best = F.when(known, F.least(F.col("_same"), F.col("_open"))).otherwise(F.col("_any"))
-    out = hits.withColumn("_best", best).groupBy(left_id).agg(F.min("_best").alias("_m"))
-    return left.select(left_id).join(out, left_id, "left").select(left_id, F.col("_m._id").alias("match_id"))
+    item = F.struct(F.col(ordinal).alias("_ord"), F.col(right_id).alias("_id")).alias("_f")
+    p_known, p_open = left.where(known), left.where(~known)
+    r_known, r_open = right.where(known), right.where(~known)
+    steps = [(exploded(p_known, F.col(left_id), *scores), exploded(r_known, item, *scores), True)]
+    steps += [(exploded(p_known, F.col(left_id)), exploded(r_open, item), False)] if not r_open.isEmpty() else []
+    steps += [(exploded(p_open, F.col(left_id)), exploded(right, item), False)] if not p_open.isEmpty() else []
+
+    def found(mine: Callable[[Column], Column]) -> DataFrame:
+        out = []
+        for p, r, scored in steps:
+            p, r = p.where(mine(F.col("_k1"))), r.where(mine(F.col("_k1")))
+            keys = ["_k1", "_k2", "_sh", "_sa"] if scored else ["_k1", "_k2"]
+            first = r.groupBy(*keys).agg(F.min("_f").alias("_f"))
+            if scored:
+                on = [F.col(f"p.{k}") == F.col(f"r.{k}") for k in keys[:3]] + [F.col("p._sa").eqNullSafe(F.col("r._sa"))]
+                out.append(p.alias("p").join(first.alias("r"), on).select(F.col(f"p.{left_id}").alias("_left"), F.col("r._f").alias("_f")))
+            else:
+                out.append(p.join(first, keys).select(F.col(left_id).alias("_left"), "_f"))
+        hits = out[0]
+        for more in out[1:]:
+            hits = hits.union(more)
+        return hits.groupBy("_left").agg(F.min("_f").alias("_f"))
+
+    best = in_shares(found).groupBy("_left").agg(F.min("_f").alias("_m"))
+    out = left.select(left_id).join(best, F.col(left_id) == F.col("_left"), "left")
+    return out.select(left_id, F.col("_m._id").alias("match_id"))
 
 
 def _leftovers(a: list[tuple], b: list[tuple]) -> Iterator[tuple]:
@@ -170,9 +180,12 @@ SIDE = 100
 
 def _in_row(rows: DataFrame, keys: list[str], ordinal: str, name: str, min_len: int) -> DataFrame:
     """Leftovers of sides of at most SIDE rows: each side's two lists are put in one row and folded there."""
-    item = F.struct(F.col(ordinal).alias("ordinal"), F.col("_name").alias("word"), F.col(name).alias("name"), link_keys(F.col(name), min_len).alias("keys"))
-    listed = lambda x: F.array_sort(F.collect_list(F.when(F.col("source") == x, item))).alias(x)
-    sides = rows.groupBy("_g").agg(listed("a"), listed("b"))
+    item = F.struct(F.col(ordinal).alias("ordinal"), F.col(name).alias("name"))
+    listed = lambda x: F.collect_list(F.when(F.col("source") == x, item)).alias(x)
+    whole = lambda r: F.struct(r["ordinal"].alias("ordinal"), F.coalesce(r["name"], F.lit("")).alias("word"), r["name"].alias("name"), link_keys(r["name"], min_len).alias("keys"))
+    # only what the result needs goes through the shuffle
+    sides = rows.select("_g", "source", ordinal, name).groupBy("_g").agg(listed("a"), listed("b"))
+    sides = sides.select("_g", *[F.array_sort(F.transform(x, whole)).alias(x) for x in "ab"])
     meets = lambda x, y: F.coalesce(F.arrays_overlap(x["keys"], y["keys"]), F.lit(False))
     free = lambda taken, x: F.filter("b", lambda y, i: ~F.array_contains(taken, i) & meets(x, y))
     place = lambda taken, x: F.transform(F.slice(free(taken, x), 1, 1), lambda y: y["at"])

@@ -8,6 +8,7 @@ from touchline.operators import linkage
 from touchline.operators.joins import reconcile
 from touchline.operators.models import rescore, ridge
 from touchline.operators.ordered import dense_ranks, positions, top_n
+from touchline.session import durable, in_shares
 
 
 def coverage(matches: DataFrame, rows: DataFrame, match: str, rating: str) -> DataFrame:
@@ -45,11 +46,13 @@ def name_audit(provider: DataFrame, feed: DataFrame, provider_goals: DataFrame,
     goals: match_id, side, ordinal, name, kind. Own goals are ignored.
     """
     unique = top_n(provider, ["match_id"], [F.col("ordinal")], 1).drop("rank")
-    left = unique.withColumnRenamed("match_id", "provider_id")
-    linked = linkage.link_fixtures(left, feed, "provider_id", "match_id", "ordinal").where(F.col("match_id").isNotNull())
-    real = lambda g: g.where(F.col("kind") != "owngoal").drop("kind")
-    a = real(provider_goals).withColumnRenamed("match_id", "provider_id").join(linked, "provider_id").drop("provider_id")
-    b = real(feed_goals).join(linked.select("match_id").distinct(), "match_id", "left_semi")
+    left = durable(unique.withColumnRenamed("match_id", "provider_id"))
+    linked = durable(linkage.link_fixtures(left, feed, "provider_id", "match_id", "ordinal").where(F.col("match_id").isNotNull()))
+    real = lambda g: g.where(F.col("kind") != "owngoal").drop("kind")
+    here = linked.select("match_id").distinct()
+    part = lambda g, mine: real(g).where(mine(F.col("match_id")))
+    a = in_shares(lambda mine: part(provider_goals, mine).withColumnRenamed("match_id", "provider_id").join(linked, "provider_id").drop("provider_id"))
+    b = in_shares(lambda mine: part(feed_goals, mine).join(here, "match_id", "left_semi"))
     return linkage.match_scorers(a, b, ["match_id", "side"])
 
 
