@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from touchline import session
-from touchline.operators import history
+from touchline.operators import history, models
 from touchline.plans import audit, league, portfolio, strength, tournament, transfers
 from touchline.sources import feeds, readers, schemas, sinks
 
@@ -303,6 +303,37 @@ def test_audit_links_before_it_pairs_scorers(spark):
     assert sorted(tuple(r) for r in out.collect()) == [(101, "home", "b", 9, "other")] * 2
 
 
+def test_plans_meet_one_slice_at_a_time(spark, monkeypatch):
+    """A step sends one slice of the candidates, and plans walk over many slices and parts to the same result."""
+    pool = [(i, "GDMF"[i % 4], 5.0 + (i * 7 % 11) - (i > 150) * 4, 300.0 - i) for i in range(200)]
+    cands = spark.createDataFrame(pool, "id int, position string, price double, xpts double")
+    plans = spark.createDataFrame([(k, 12.0 + k, 0.0, 1, 1, 1, 1, [0, 1, 5]) for k in range(12)], "manager_id int, budget double, keep_points double, need_G int, need_D int, need_M int, need_F int, owned array<int>")
+    broadcast, sent = F.broadcast, []
+    monkeypatch.setattr(models.F, "broadcast", lambda df: sent.append(df.count()) or broadcast(df))
+    monkeypatch.setattr(models, "buyable", lambda candidates, most: candidates)
+    got = {r.manager_id: (r.total, r.money_left, [c["id"] for c in r.chosen or []]) for r in models.best_plan(plans, ["manager_id"], ["manager_id"], cands, list("GDMF"), 40).collect()}
+    assert len(sent) > 1 and set(sent) == {1}
+    for k in range(12):
+        money, left, bought, total = 12.0 + k, dict.fromkeys("GDMF", 1), [], 0.0
+        for i, pos, price, x in pool:
+            if i not in (0, 1, 5) and left[pos] and price <= money:
+                money, left[pos], total = money - price, 0, total + x
+                bought.append(i)
+        assert got[k] == ((total, money, bought) if not any(left.values()) else (None, None, [])) or (got[k][0] is None and any(left.values()))
+
+
+def test_swaps_and_plans_send_no_squads_through_the_driver(spark, monkeypatch):
+    slot = "array<struct<id: int, pos: string, xpts: double, price: double, must_sell: boolean>>"
+    squads = spark.createDataFrame([(1, 6.0, [(7, "G", 1.0, 2.0, False), (8, "D", 1.0, 2.0, False)], [7, 8])], f"manager_id int, bank double, slots {slot}, owned array<int>")
+    assert transfers.keep_plans(squads, 1, [(3, 4, 3)], ("owned",)).select("owned").distinct().collect() == [([7, 8],)]
+    best = spark.createDataFrame([(1, 1, 3.0, [("D", 9, 2.5)])], "manager_id int, keep_set int, total double, chosen array<struct<position: string, id: int, xpts: double>>")
+    plans, swaps = [], transfers.swaps
+    monkeypatch.setattr(transfers, "swaps", lambda sold, bought, keys: plans.extend(d._jdf.queryExecution().executedPlan().toString() for d in (sold, bought)) or swaps(sold, bought, keys))
+    out = transfers.planned_swaps(session.durable(squads), session.durable(best))
+    assert len(plans) == 2 and all("SortMergeJoin" in p and "Broadcast" not in p for p in plans)
+    assert [(r.sold, r.bought, r.over_replaced) for r in out.collect()] == [(8, 9, 1.5)]
+
+
 def test_shares_give_each_row_once(spark):
     rows = spark.range(1000).select(F.when(F.col("id") % 7 > 0, F.col("id") % 50).alias("k"), "id")
     assert sorted(r.id for r in session.in_shares(lambda mine: rows.where(mine(F.col("k")))).collect()) == list(range(1000))
